@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import language_id, license_scan, pii, quality_classifier, quality_rules
+from facetmill.llm import language_id, license_scan, piece_codec, pii, quality_classifier, quality_rules
 from facetmill.llm.common import crc_fold, table
 
 
@@ -37,6 +37,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_codec.PieceModel.load()
+    return piece_codec.codec_report(table(spark, sf_dir, "documents"), model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
