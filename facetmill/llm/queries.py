@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import language_id, license_scan, piece_codec, pii, quality_classifier, quality_rules
+from facetmill.llm import jaccard_join, language_id, license_scan, piece_codec, pii, quality_classifier, quality_rules
 from facetmill.llm.common import crc_fold, table
 
 
@@ -26,6 +26,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_fold(F.col("doc_id"), 3) == 1
