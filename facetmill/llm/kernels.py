@@ -69,6 +69,15 @@ def column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.nd
     return buf, offs - offs[0]
 
 
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 in lower case."""
+    out = LOWER[buf]
+    if len(out) > 1:
+        capital = (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97) & (buf[:-1] == 0xC3)
+        out[1:][capital] += 0x20
+    return out
+
+
 def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes outside ``gap``, none across texts; and, for
     each text, the index of its first word (one more entry at the end)."""

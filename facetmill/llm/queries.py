@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import html_extract, jaccard_join, language_id, license_scan, piece_codec, pii, quality_classifier, quality_rules, substring_dedup
+from facetmill.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, piece_codec, pii, quality_classifier, quality_rules, substring_dedup
 from facetmill.llm.common import crc_fold, table
 
 
@@ -49,6 +49,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_codec.PieceModel.load()
     return piece_codec.codec_report(table(spark, sf_dir, "documents"), model)
