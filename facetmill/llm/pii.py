@@ -122,13 +122,13 @@ def spans_of(kind: str, text: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one array of spans for each kind, in columns ``pii_<kind>``."""
+    """``docs`` with one array of spans for each kind, in columns ``__pii_<kind>``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("*", *[spans_of(kind, t).alias(f"pii_{kind}") for kind in PATTERNS])
+    return docs.select("*", *[spans_of(kind, t).alias(f"__pii_{kind}") for kind in PATTERNS])
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
-    parts = [F.transform(f"pii_{kind}", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))) for kind in kinds]
+    parts = [F.transform(f"__pii_{kind}", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))) for kind in kinds]
     return F.array_join(F.concat(*parts), ",")
 
 
@@ -137,7 +137,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     rows = with_spans(docs.select(F.col(key), F.col(text).alias("text")), "text")
     return rows.select(
         key,
-        *[F.size(f"pii_{kind}").cast("long").alias(f"n_{kind}") for kind in BASE],
+        *[F.size(f"__pii_{kind}").cast("long").alias(f"n_{kind}") for kind in BASE],
         F.sha2(_listed(BASE).cast("binary"), 256).alias("base_sha256"),
         _listed(tuple(PATTERNS)).alias("spans"),
     )
@@ -156,7 +156,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         done = F.aggregate(spans, zero, step)
         return _let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(t, d["at"] + 1, F.length(t))))
 
-    names = [f"pii_{kind}" for kind in PATTERNS]
+    names = [f"__pii_{kind}" for kind in PATTERNS]
     ordered = F.array_sort(F.transform(F.concat(*names), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = with_spans(docs, text).withColumn("_spans", ordered)
-    return rows.withColumn(text, F.when(F.size("_spans") > 0, rebuilt(F.col("_spans"))).otherwise(t)).drop("_spans", *names)
+    rows = with_spans(docs, text).withColumn("__pii_spans", ordered)
+    return rows.withColumn(text, F.when(F.size("__pii_spans") > 0, rebuilt(F.col("__pii_spans"))).otherwise(t)).drop("__pii_spans", *names)
