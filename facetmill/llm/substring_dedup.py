@@ -12,8 +12,8 @@ The work is dealt out so that each window of ``length`` bytes is judged in exact
    ``length`` bytes, and common-prefix lengths are taken at the ends of the runs only. Streaming over
    the text, the length of the match at a position is the one sampled there or one less than the
    position's before; where it reaches ``length`` the window is repeated.
-4. An anchor with more classes than a lot should hold is settled by hashes of its windows instead,
-   spread over all tasks and counted.
+4. An anchor with more classes than a lot should hold is settled by counting hashes instead, spread
+   over all tasks: first of the bytes that neighbouring windows share, then of the windows left.
 
 Marked windows go back to their documents, which cut the covered bytes.
 
@@ -38,8 +38,10 @@ from facetmill.llm.common import bound_batches, materialize
 GRAM = 48
 #: Windows looked at in one piece of a long text.
 PIECE = 2 << 20
+#: Distances to the anchor that are counted together for crowded anchors.
+NEAR = 32
 #: Bytes of a lot, and classes of one anchor that a lot takes.
-LOT_BYTES, LOT_CLASSES = 2 << 20, 1000
+LOT_BYTES, LOT_CLASSES = 1 << 20, 2000
 
 
 def _window_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -79,19 +81,21 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     fresh = np.concatenate([[True], word[order[1:]] != word[order[:-1]]])
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head
     span = 8
+    late = np.zeros(n, bool)  # not told apart from the suffix before by the last round but one
     while span < length:
+        late = ~fresh
         shared = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
         if not len(shared):
-            break
+            return [np.zeros(len(t), bool) for t in texts]
         pos = order[shared]
         next_rank = np.where(pos + span < n, rank[np.minimum(pos + span, n - 1)], -1)
-        inner = np.lexsort((next_rank, rank[pos]))
+        inner = np.argsort(rank[pos] * (n + 1) + next_rank + 1)
         pos, next_rank = pos[inner], next_rank[inner]
         order[shared] = pos
         group = rank[pos]
@@ -104,7 +108,8 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     before[order == 0] = -1
     # Starts of texts count as different, and so do suffixes that were not told apart.
     ends = (before[1:] != before[:-1]) | (before[1:] == 0xFF) | ~fresh[1:]  # between neighbours i and i+1
-    sampled = np.flatnonzero(ends)
+    # Neighbours told apart earlier have too little in common to be of use as samples.
+    sampled = np.flatnonzero(ends & late[1:])
     left, right = order[sampled], order[sampled + 1]
     common = _common_prefix(s, left, right, length)
     # Streaming: the match at x+1 is at least that at x less one. Inside a run both neighbours go on
@@ -220,19 +225,53 @@ def _search(contexts: DataFrame, length: int, lots: int) -> DataFrame:
     return dealt.mapInArrow(run, f"anchor long, context long, spans {SPANS}")
 
 
+def _anchor_place(s: np.ndarray, anchor: int, number: int, length: int) -> int:
+    """Where a context's anchor starts: the first such k-gram that all its windows hold."""
+    gram = min(GRAM, max(1, length // 4))
+    at = np.arange(number - 1, length - gram + 1)
+    h = K.span_hash(K.prefix_hash(s), at, at + gram).view(np.int64)
+    return int(at[np.flatnonzero(h == anchor)[0]])
+
+
 def _crowded(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many classes: windows are hashed, counted and brought back."""
+    """The same for anchors with very many classes, by counting hashes.
+
+    Windows whose distance to the anchor falls in one class of ``NEAR`` distances share all but
+    ``NEAR`` - 1 bytes. Those shared bytes are counted first; only classes seen twice have their
+    windows hashed and counted."""
+
+    near = min(NEAR, length // 2)
+
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for anchor, context, number, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                place = _anchor_place(np.frombuffer(data, np.uint8), anchor, number, length)
+                for j in range((place - number + 1) // near, place // near + 1):
+                    first = place - near * j
+                    rows.append((anchor, context, j, xxhash.xxh3_64_intdigest(data[max(first, 0) : first + length - near + 1]) - (1 << 63)))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["anchor", "context", "part", "shared"])
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, context, number, data, parts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 s = np.frombuffer(data, np.uint8)
+                place = _anchor_place(s, anchor, number, length)
                 at = np.arange(number)
+                at = at[np.isin((place - at) // near, parts)]
                 h = K.span_hash(K.prefix_hash(s), at, at + length).view(np.int64)
-                fixed = [pa.array(np.full(number, v), pa.int64()) for v in (anchor, context)]
+                fixed = [pa.array(np.full(len(at), v), pa.int64()) for v in (anchor, context)]
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(at.astype(np.int32)), pa.array(h)], ["anchor", "context", "at", "window"])
 
-    rows = contexts.where("crowded").select("anchor", "context", "number", "bytes").mapInArrow(run, "anchor long, context long, at int, window long")
+    crowded = contexts.where("crowded").select("anchor", "context", "number", "bytes")
+    shared = materialize(crowded.mapInArrow(coarse, "anchor long, context long, part int, shared long"), "shared")
+    key = ["anchor", "part", "shared"]
+    again = shared.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    parts = shared.join(again, key, "left_semi").groupBy("anchor", "context").agg(F.collect_list("part").alias("parts"))
+    rows = materialize(crowded.join(parts, ["anchor", "context"]).select("anchor", "context", "number", "bytes", "parts").mapInArrow(fine, "anchor long, context long, at int, window long"), "windows")
     twice = rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
     marked = rows.join(twice, ["anchor", "window"], "left_semi")
     return marked.groupBy("anchor", "context").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")))).alias("spans"))
