@@ -123,22 +123,26 @@ _INTERVAL_SQL = """SELECT max(CASE WHEN r = 6 THEN v END) AS lo, max(CASE WHEN r
 FROM (SELECT v, row_number() OVER (ORDER BY v) AS r FROM sampled)"""
 
 
-@query(f"""WITH {_EXAMPLES_SQL.replace('FROM documents)', "FROM documents WHERE doc_id < 300)", 1)}, {_DRAWS_SQL},
+# The resampled units are sources and nations: each has the sums of its rows, so a resample adds up a
+# few numbers and nothing is matched again.
+@query(f"""WITH {_EXAMPLES_SQL.replace('f AS (', 'each AS (')}, f AS (SELECT source AS doc_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM each JOIN documents USING (doc_id) GROUP BY 1), {_DRAWS_SQL},
 sampled AS (SELECT b, round(2 * (sum(tp) / (sum(tp) + sum(fp))) * (sum(tp) / (sum(tp) + sum(fn))) / ((sum(tp) / (sum(tp) + sum(fp))) + (sum(tp) / (sum(tp) + sum(fn)))), 4) AS v FROM draws JOIN n USING (i) GROUP BY 1) {_INTERVAL_SQL}""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = examples(spark, sf_dir).where("doc_id < 300")  # the gold set, of bounded size by design
-    samples = scores.micro_scores(scores.resamples(spark, judged, ["doc_id"], 200), "b")
+    judged = examples(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    units = judged.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "polarity_hits")])
+    samples = scores.micro_scores(scores.resamples(spark, units, ["source"], 200), "b")
     out = scores.interval(samples, "facet_f1", 200)
     return out.select("lo", "hi", F.round("lo_i", 6).alias("lo_i"), F.round("hi_i", 6).alias("hi_i"))
 
 
-@query(f"""WITH f AS (SELECT o_custkey AS doc_id, avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) - avg(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END) AS d FROM orders WHERE o_custkey <= 300 GROUP BY 1),
+@query(f"""WITH f AS (SELECT c_nationkey AS doc_id, avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) - avg(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END) AS d FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
 {_DRAWS_SQL}, sampled AS (SELECT b, round(avg(d), 6) AS v FROM draws JOIN n USING (i) GROUP BY 1), c AS ({_INTERVAL_SQL})
 SELECT lo, hi, lo > 0 OR hi < 0 AS significant FROM c""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_custkey <= 300")  # the query set of a comparison
-    deltas = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg((F.avg((F.col("o_orderstatus") == "F").cast("int")) - F.avg((F.col("o_orderpriority") < "3").cast("int"))).alias("d"))
-    samples = scores.resamples(spark, deltas, ["doc_id"], 200).groupBy("b").agg(F.round(F.avg("d"), 6).alias("v"))
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    delta = F.avg((F.col("o_orderstatus") == "F").cast("int")) - F.avg((F.col("o_orderpriority") < "3").cast("int"))
+    deltas = orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy("c_nationkey").agg(delta.alias("d"))
+    samples = scores.resamples(spark, deltas, ["c_nationkey"], 200).groupBy("b").agg(F.round(F.avg("d"), 6).alias("v"))
     out = scores.interval(samples, "v", 200)
     return out.select("lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))
 

@@ -70,12 +70,12 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rrf(price.unionByName(date), "q", "item").select("q", "item", F.round("rrf", 8).alias("rrf"))
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (
+@query("""WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (
   SELECT qid, vec_id AS item, round(list_dot_product(v, embedding)::DOUBLE / sqrt(list_dot_product(v, v)::DOUBLE * list_dot_product(embedding, embedding)::DOUBLE), 3) AS score FROM q, embeddings WHERE vec_id <> qid),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC) AS rank FROM s) SELECT qid, rank, score FROM r WHERE rank <= 5""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    out = ranking.dense_top_k(rows, rows.where("vec_id % 50 = 0"), 5, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True)
+    out = ranking.dense_top_k(rows, rows.where("vec_id % 100 = 0"), 5, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True)
     return out.select("qid", "rank", F.round("score", 3).alias("score"))
 
 
@@ -89,7 +89,7 @@ def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
-q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 6)) AS w FROM benchmark WHERE item_id < 20),
+q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 6)) AS w FROM benchmark),
 terms AS (SELECT item_id, unnest(w) AS word FROM q), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 tf AS (SELECT doc_id, len(w) AS dl, word, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM terms) GROUP BY 1, 2, 3),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
@@ -97,7 +97,7 @@ SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.split(F.lower("text"), "[^a-z]+")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(split, lambda w: w != "").alias("w"))
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.filter(split, lambda w: F.length(w) > 6).alias("q"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.filter(split, lambda w: F.length(w) > 6).alias("q"))
     return ranking.bm25(docs, asked, "doc_id", "w", "item_id", "q").select("item_id", "doc_id", F.round("bm25", 4).alias("bm25"))
 
 
