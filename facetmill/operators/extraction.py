@@ -38,9 +38,12 @@ def classify(rows: DataFrame, log: DataFrame) -> DataFrame:
     done = log.select("asin", "review_no", F.lit(True).alias("__done")).distinct()
     known = log.select("review_md5", F.lit(True).alias("__known")).distinct()
     keyed = keyed.join(done, ["asin", "review_no"], "left").join(known, "review_md5", "left")
-    turn = F.row_number().over(Window.partitionBy("review_md5", F.col("__done").isNull()).orderBy("asin", "review_no"))
-    plan = F.when(F.col("__done"), "skipped").when(F.col("__known"), "cached").when(turn == 1, "first").otherwise("duplicate")
-    return keyed.withColumn("plan", plan).drop("__done", "__known")
+    # The first review of each new text by a partial minimum, so a text that is everywhere is no hot task.
+    firsts = keyed.where("__done IS NULL AND __known IS NULL").groupBy("review_md5").agg(F.min(F.struct("asin", "review_no")).alias("__first"))
+    keyed = keyed.join(firsts, "review_md5", "left")
+    turn = F.struct("asin", "review_no") == F.col("__first")
+    plan = F.when(F.col("__done"), "skipped").when(F.col("__known"), "cached").when(turn, "first").otherwise("duplicate")
+    return keyed.withColumn("plan", plan).drop("__done", "__known", "__first")
 
 
 def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None) -> DataFrame:

@@ -38,10 +38,11 @@ def gold_splits(rows: DataFrame, dev_n: int = 250, test_n: int = 350, seed: str
         raise ValueError(f"fewer than {test_n} rows to sample from")
     pool = ordered.join(test.select(key).distinct(), key, "left_anti")
     each = dev_n // len(STRATA)
-    ranked = pool.withColumn("__r", F.row_number().over(Window.partitionBy("stratum").orderBy(*order)))
-    even = ranked.where(F.col("__r") <= each).drop("__r")
-    short = dev_n - even.count()
-    more = ranked.where((F.col("__r") > each) & (F.col("stratum") == "typical")).orderBy(*order).limit(max(short, 0)).drop("__r")
+    # Both picks keep a few rows of each task only, before anything is shuffled.
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(*order))
+    even = pool.withColumn("__r", rank).where(F.col("__r") <= each).drop("__r")
+    short = max(dev_n - even.count(), 0)
+    more = pool.where("stratum = 'typical'").orderBy(*order).limit(each + short).join(even.select(*ids), list(ids), "left_anti").select(*even.columns)
     return test.unionByName(even.unionByName(more).withColumn("split", F.lit("dev"))).drop("__h")
 
 

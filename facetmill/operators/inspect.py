@@ -71,3 +71,24 @@ def log_minutes(lines: DataFrame, series: str, stamp: str, order: str, least: fl
     """Minutes between the first and last stamp of each series in line order, if over ``least``."""
     ends = lines.groupBy(series).agg(F.min_by(stamp, order).alias("first"), F.max_by(stamp, order).alias("last"))
     return ends.withColumn("minutes", P.minutes_between(F.col("first"), F.col("last"))).where(F.col("minutes") > least)
+
+
+def parse_rates(rows: DataFrame, parsers: dict[str, Column]) -> DataFrame:
+    """Percentage of rows that each parser reads."""
+    counts = rows.agg(F.count("*").alias("__n"), *[F.count(c).alias(n) for n, c in parsers.items()])
+    listed = F.array(*[F.struct(F.lit(n).alias("parser"), F.col("__n").alias("n"), F.round(100.0 * F.col(n) / F.col("__n"), 4).alias("parsed_pct")) for n in parsers])
+    return counts.select(F.inline(listed))
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str, a_name: str, b_name: str) -> DataFrame:
+    """Distinct keys in both tables and in either alone, by one full outer aggregate."""
+    sides = a.select(key, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select(key, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    each = sides.groupBy(key).agg(F.max("__a").alias("a"), F.max("__b").alias("b"))
+    return each.agg(F.count_if(F.col("a") + F.col("b") == 2).alias("shared"), F.count_if(F.col("b") == 0).alias(f"only_{a_name}"), F.count_if(F.col("a") == 0).alias(f"only_{b_name}"))
+
+
+def throughput(rows: DataFrame, series: str, stamp: str, target: int) -> DataFrame:
+    """Seconds for each row of a series, and the days that ``target`` rows would take."""
+    each = rows.groupBy(series).agg(F.count("*").alias("n"), F.timestamp_diff("SECOND", F.min(stamp), F.max(stamp)).alias("s"))
+    rate = F.col("s") / F.col("n")
+    return each.select(series, "n", F.round(rate, 6).alias("seconds_each"), F.round(rate * target / 86400.0, 4).alias("days"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,5 +147,21 @@ def factorial_cells(channels: list[str]) -> list[tuple[str, ...]]:
     return [tuple(c for i, c in enumerate(channels) if m >> i & 1) for m in range(1, 1 << len(channels))]
 
 
-def discount(rank: int) -> float:
-    return 1 / math.log2(rank + 1)
+def factorial_scores(scored: DataFrame, channels: list[str], query: str, item: str, gain: str, k: int) -> DataFrame:
+    """Mean NDCG@k of every combination of channels, fused by reciprocal ranks. Ranks within a channel
+    are computed once and only recombined."""
+    ranks = scored.withColumn("__r", F.row_number().over(Window.partitionBy(query, "channel").orderBy(F.desc("score"), item)))
+    cells = F.array(*[F.lit("+".join(c)) for c in factorial_cells(channels)])
+    mine = F.filter(cells, lambda c: F.array_contains(F.split(c, r"\+"), F.col("channel")))
+    each = ranks.withColumn("cell", F.explode(mine))
+    fused = each.groupBy("cell", query, item).agg(F.max(gain).alias(gain), F.round(F.avg(1.0 / (60 + F.col("__r"))), 12).alias("__s"))
+    unit = F.struct("cell", query)
+    per_query = ndcg(fused.withColumn("__q", unit), "__q", [F.desc("__s"), F.col(item)], gain, k)
+    return per_query.groupBy(F.col("__q.cell").alias("cell")).agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries"))
+
+
+def two_stage(pairs: DataFrame, query: str, item: str, first: str, second: str, retrieve: int, keep: int) -> DataFrame:
+    """The ``retrieve`` best of each query by a first score, reranked by a second: query, item, rank."""
+    by = lambda c: Window.partitionBy(query).orderBy(F.desc(c), item)
+    found = pairs.withColumn("__r", F.row_number().over(by(first))).where(F.col("__r") <= retrieve)
+    return found.withColumn("rank", F.row_number().over(by(second))).where(F.col("rank") <= keep).select(query, item, "rank")

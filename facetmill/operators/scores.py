@@ -77,11 +77,6 @@ def holm_bh(tests: DataFrame, p: str = "p", key: str = "test") -> DataFrame:
     return ranked.select(*tests.columns, holm.alias("holm"), bh.alias("bh"))
 
 
-def average_rank(column: str) -> Column:
-    """Rank of each value, ties at the mean of their places."""
-    return F.rank().over(Window.orderBy(column)) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2.0
-
-
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's rho. Ranks come from the distinct values and their counts, so no task sorts all
     rows."""

@@ -122,4 +122,31 @@ def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.late_interaction(pairs, "q", "token", "item", "s")
 
 
+_CHANNELS = {"price": "l_extendedprice", "tax": "-l_tax", "quantity": "l_quantity"}
+
+
+@query("""WITH g AS (SELECT l_orderkey AS q, l_partkey AS item, max(CASE WHEN l_discount > 0.07 THEN 1.0 WHEN l_discount > 0.04 THEN 0.1 ELSE 0.0 END) AS gain, max(l_extendedprice) AS price, max(-l_tax) AS tax, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2),
+c AS (SELECT q, item, gain, 'price' AS channel, price AS score FROM g UNION ALL SELECT q, item, gain, 'tax', tax FROM g UNION ALL SELECT q, item, gain, 'quantity', quantity FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY q, channel ORDER BY score DESC, item) AS r FROM c),
+cells AS (SELECT unnest(['price', 'quantity', 'tax', 'price+quantity', 'price+tax', 'quantity+tax', 'price+quantity+tax']) AS cell),
+f AS (SELECT cell, q, item, any_value(gain) AS gain, round(avg(1.0 / (60 + r)), 12) AS s FROM r JOIN cells ON list_contains(string_split(cell, '+'), channel) GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY cell, q ORDER BY s DESC, item) AS r, row_number() OVER (PARTITION BY cell, q ORDER BY gain DESC) AS i FROM f),
+n AS (SELECT cell, q, sum(CASE WHEN r <= 10 THEN gain / log2(r + 1) ELSE 0 END) / sum(CASE WHEN i <= 10 THEN gain / log2(i + 1) ELSE 0 END) AS ndcg FROM p GROUP BY 1, 2 HAVING sum(gain) > 0)
+SELECT cell, round(avg(ndcg), 6) AS ndcg_10, count(*) AS queries FROM n GROUP BY 1""")
+def factorial_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gain = F.when(F.col("l_discount") > 0.07, 1.0).when(F.col("l_discount") > 0.04, 0.1).otherwise(0.0)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("item")).agg(F.max(gain).alias("gain"), *[F.max(F.expr(e)).alias(c) for c, e in _CHANNELS.items()])
+    scored = rows.select("q", "item", "gain", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("score")) for c in _CHANNELS])))
+    return ranking.factorial_scores(scored, sorted(_CHANNELS), "q", "item", "gain", 10).select("cell", F.round("ndcg", 6).alias("ndcg_10"), "queries")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS q, l_partkey AS item, max(l_extendedprice) AS s1, max(l_quantity) AS s2 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY 1, 2),
+a AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s1 DESC, item) AS r FROM p), b AS (SELECT q, item, row_number() OVER (PARTITION BY q ORDER BY s2 DESC, item) AS rank FROM a WHERE r <= 3) SELECT q, item, rank FROM b WHERE rank <= 2""")
+def two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = table(spark, sf_dir, "part").where("p_size <= 25").select("p_partkey")
+    items = table(spark, sf_dir, "lineitem")
+    pairs = items.join(small, items.l_partkey == small.p_partkey, "left_semi").groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("item")).agg(F.max("l_extendedprice").alias("s1"), F.max("l_quantity").alias("s2"))
+    return ranking.two_stage(pairs, "q", "item", "s1", "s2", 3, 2)
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -165,4 +165,32 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT parser, count(*) AS n, round(100.0 * count(v) / count(*), 4) AS parsed_pct FROM (
+  SELECT 'stars' AS parser, CASE WHEN text LIKE '%out of 5%' THEN 1 END AS v FROM documents UNION ALL SELECT 'any', 1 FROM documents) GROUP BY 1""")
+def parse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return inspect.parse_rates(docs, {"stars": P.parse_stars(F.col("text")), "any": F.lit(1)})
+
+
+@query("SELECT event_type AS series, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1")
+def series_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@query("""SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS shared, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_documents,
+  (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_labels""")
+def id_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.overlap(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "documents", "labels")
+
+
+@query("""WITH e AS (SELECT event_type, count(*) AS n, date_sub('second', min(ts), max(ts)) AS s FROM events GROUP BY 1) SELECT event_type, n, round(s / n, 6) AS seconds_each, round(s / n * 1000000 / 86400.0, 4) AS days_for_million FROM e""")
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.throughput(table(spark, sf_dir, "events"), "event_type", "ts", 1_000_000).withColumnRenamed("days", "days_for_million")
+
+
+@query("""SELECT bucket, count(*) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE lang END AS bucket FROM documents) GROUP BY 1""")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle
