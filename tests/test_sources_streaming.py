@@ -85,3 +85,48 @@ def test_stream_resumes(spark, tmp_path):
 def test_windowed_counts(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:01:00", "x", 2.0), (2, "2024-01-01 00:04:00", "x", 3.0), (3, "2024-01-01 00:06:00", "x", 1.0)], "id int, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["n"], r["total"]) for r in S.windowed_counts(df).collect()) == [(1, 1.0), (2, 5.0)]
+
+
+def test_gold_and_log_files(spark, tmp_path):
+    kind = "asin string, review_no int, text string, stratum string, gold_aspects array<struct<facet:string,polarity:string>>, rationale string, split string"
+    frozen = spark.createDataFrame([("a", 1, "t", "typical", [(" Fit ", "positive")], "", "dev"), ("b", 2, "u", "long", [], "", "test")], kind)
+    writers.write_gold(frozen, str(tmp_path / "gold"))
+    got = readers.read_gold(spark, str(tmp_path / "gold/split=dev")).collect()
+    assert len(got) == 1 and got[0]["gold_aspects"][0]["facet"] == "fit"
+    log = str(tmp_path / "log")
+    for n in (1, 2):
+        writers.append_log(spark.createDataFrame([("a", n, "m", [])], "asin string, review_no int, review_md5 string, aspects array<string>"), log)
+    assert readers.read_checkpoint(spark, log).count() == 2
+    (tmp_path / "s.csv").write_text('asin,review_no,note\na,1,"two\nlines"\nb,,\n')
+    assert [tuple(r) for r in readers.read_sheet(spark, str(tmp_path / "s.csv")).orderBy("asin").collect()] == [("a", "1", "two\nlines"), ("b", "", "")]
+    for name, rows in (("train", [(1, "x")]), ("test", [(2, "y")])):
+        writers.write_table(spark.createDataFrame(rows, "query_id int, split string"), str(tmp_path / name))
+    assert readers.read_judgments(spark, str(tmp_path / "train"), str(tmp_path / "test")).count() == 2
+    assert readers.read_columns(spark, str(tmp_path / "train"), "split").columns == ["split"]
+
+
+def fetch(key, url):
+    if key == "p2":
+        raise OSError("gone")
+    return {"status": "ok", "http": 200, "bytes": 3, "md5": "m", "w": 1, "h": 1} if key == "p1" else None
+
+
+def test_images(spark):
+    from facetmill.operators import extraction
+
+    urls = spark.createDataFrame([("p1", "u"), ("p2", "u"), ("p3", "u")], "product_id string, url_small string")
+    got = {r["product_id"]: r["status"] for r in extraction.fetch_images(urls, fetch, 2).collect()}
+    assert got == {"p1": "ok", "p2": "exception", "p3": "none_returned"}
+    manifest = spark.createDataFrame([("p1", "skip", None), ("p2", "ok", "k")], "product_id string, status string, md5 string")
+    files = spark.createDataFrame([("p1", bytearray(b"abc"))], "product_id string, content binary")
+    assert {r["product_id"]: r["md5"] for r in tables.backfill_hashes(manifest, files).collect()} == {"p1": "900150983cd24fb0d6963f7d28e17f72", "p2": "k"}
+
+
+def test_failure_packet(spark):
+    from facetmill.operators import scores
+
+    kind = "k int, aspects array<struct<facet:string,polarity:string>>"
+    gold, pred = spark.createDataFrame([(1, [("a", "pos")]), (2, [("b", "pos")])], kind), spark.createDataFrame([(1, [("a", "pos")])], kind)
+    texts = spark.createDataFrame([(1, "one"), (2, "two")], "k int, text string")
+    packet = writers.failure_packet(scores.example_scores(gold, pred, ["k"]), texts, ["k"], 1)
+    assert "## 2  f1=0.0" in packet and "two" in packet and "one" not in packet.split("\n", 1)[1]
