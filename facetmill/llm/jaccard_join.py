@@ -6,14 +6,17 @@ up to more than D, some segment differs in less than its allotment: none (indexe
 tokens) or one token (indexed also by the hashes with any one token left out). The allotment of a
 band is chosen by cost: signatures written against chance collisions of small segments.
 
-Equal signatures only chain rows together; the chains' components hold every linked pair, and each
-component is verified exactly, with the sets shipped once: in one task for those of usual size, in
-pairs of blocks for large ones. Equal sets are one class from the start, so copies never meet in
-pairs. Verification counts common tokens by matrix products over hashed 64-bit tokens and returns
-links that span the components, not all pairs.
+A band has some segments more than it needs, so linked sets have several equal signatures. Rows of a
+signature that few sets have are counted in pairs, and pairs with too few equal signatures are
+dropped; rows of a crowded signature are only tied to their least id, which loses nothing. The
+components of what is left hold every linked pair, and each is verified exactly, with the sets shipped
+once: in one task for those of usual size, in pairs of blocks for large ones. Equal sets are one class
+from the start, so copies never meet in pairs. Verification counts common tokens by matrix products
+over hashed 64-bit tokens and returns links that span the components, not all pairs.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; fewer words
-than a shingle form one shingle; repeated ids are one document whose least set counts.
+than a shingle form one shingle; repeated rows are one document twice; a row without an id takes the
+component of a row with an equal set, or none.
 """
 
 from __future__ import annotations
@@ -22,36 +25,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.llm import kernels as K
 from facetmill.llm.common import bound_batches, materialize
 from facetmill.llm.components import connected_components
 
-#: Ratio of a band's bounds; cost of a chance collision, in signatures; tokens of an average segment
-#: under which collisions are likely.
-BAND, COLLISION, SMALL_SEGMENT = 1.25, 40.0, 5
+#: Cost of a chance collision, in signatures; tokens of an average segment under which collisions are
+#: likely.
+COLLISION, SMALL_SEGMENT = 40.0, 5
+#: Segments beyond those needed, as a share of them: the weakest of a set that its signatures skip.
+EXTRA = 0.3
+#: One more equal signature is needed of a pair for so many segments of its band.
+EVIDENCE = 12
+#: Rows up to which a signature's pairs are counted; rows of more are tied to the least id.
+CROWDED = 16
+#: Sample that tells common tokens: its documents, how many must hold a token, tokens kept at most.
+SAMPLE_DOCS, COMMON_DOCS, COMMON_TOKENS = 5000, 3, 200_000
 #: Members of a component that one task verifies; larger ones are split into pairs of such blocks.
 BLOCK, BLOCK_TOKENS = 1500, 2_000_000
 #: Signatures that a task combines before sending them.
-LOT = 1_000_000
-#: Up to so many member ids (24 bytes each) are sent to all executors; beyond, texts are shuffled.
+LOT = 400_000
+#: Up to so many ids of members, copies or classes (32 bytes each) are sent to all executors; beyond,
+#: rows are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def band_of(size: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
+def band_ratio(percent: int) -> float:
+    """Of a band's bounds. Linked sizes differ by 100/percent at most; with its square about half of
+    the sets need the next band too, and few bytes go into segments for the band's top size."""
+    return (100 / percent) ** 2 if percent < 100 else 2.0
 
 
-def band_top(band: int) -> int:
-    """The largest size in a band."""
-    return int(np.ceil(BAND ** (band + 1) - 1e-6))
+def band_of(size: int, percent: int) -> int:
+    return int(np.floor(np.log(max(size, 1)) / np.log(band_ratio(percent)) + 1e-9))
+
+
+def band_top(band: int, percent: int) -> int:
+    """No size in the band is larger."""
+    return int(np.ceil(band_ratio(percent) ** (band + 1) - 1e-6))
 
 
 def allotment(band: int, percent: int) -> tuple[int, int]:
     """Segments without and with one-deletion neighbourhoods, for pairs up to the band's top size."""
-    top = band_top(band)
+    top = band_top(band, percent)
     # |X ^ Y| = |X| + |Y| - 2 |X & Y|, and |X & Y| >= t/(1+t) (|X| + |Y|).
     differ = int((100 - percent) * 2 * top // (100 + percent))
     best = None
@@ -60,7 +78,9 @@ def allotment(band: int, percent: int) -> tuple[int, int]:
         if exact + deletions == 0:
             continue
         mean = top / (exact + deletions)
-        cost = exact + deletions * (1 + mean) + COLLISION * (exact + deletions) * np.exp(-mean / SMALL_SEGMENT * 3)
+        # A signature costs itself and its chance collisions; a deletion leaves a token fewer.
+        one = lambda size: 1 + COLLISION * np.exp(-3 * max(size, 0) / SMALL_SEGMENT)
+        cost = exact * one(mean) + deletions * (one(mean) + mean * one(mean - 1))
         if best is None or cost < best[0]:
             best = cost, exact, deletions
         if deletions > 4 and cost > 4 * best[0]:
@@ -80,32 +100,66 @@ def token_sets(buf: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray
     return out
 
 
-_plans: dict[tuple[int, int], tuple[int, int]] = {}
+_plans: dict[tuple[int, int], tuple[int, int, int, int]] = {}
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The set's 64-bit signatures in its own band, and in the next one if it can reach there."""
+def signatures(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The set's 64-bit signatures in its own band, and in the next ones if it can reach there.
+
+    A band has some segments more than it needs. Each set leaves out ``extra`` of its own, the weakest:
+    those with the fewest tokens outside ``common``, then the fewest tokens. No pair is lost: linked
+    sets have ``extra`` + ``needed`` equal segments, and the strongest ``needed`` of these are among the
+    weakest of neither. The lowest four bits of a signature tell how many a pair needs.
+    """
     n = len(tokens)
-    own = int(band_of(np.array([n]))[0])
-    bands = [own]
-    while (n * 100) // percent >= BAND ** (bands[-1] + 1) - 1e-6:
+    bands = [band_of(n, percent)]
+    while (n * 100) // percent >= band_ratio(percent) ** (bands[-1] + 1) - 1e-6:
         bands.append(bands[-1] + 1)
+    value, place = K.mix(tokens ^ np.uint64(0x5DEECE66D)), K.mix(tokens) >> np.uint64(32)
+    known = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+    rare = common[known] != tokens if len(common) else np.ones(n, bool)
     out = []
     for band in bands:
         if (band, percent) not in _plans:
-            _plans[band, percent] = allotment(band, percent)
-        exact, deletions = _plans[band, percent]
-        m = exact + deletions
-        segment = ((K.mix(tokens) >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-        value = K.mix(tokens ^ np.uint64(0x5DEECE66D))
+            exact, deletions = allotment(band, percent)
+            needed = 1 if deletions else min(1 + exact // EVIDENCE, 15)
+            exact += needed - 1
+            _plans[band, percent] = exact, deletions, int(np.ceil(exact * EXTRA)), needed
+        exact, deletions, extra, needed = _plans[band, percent]
+        m = exact + deletions + extra
+        segment = (place % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
         np.add.at(total, segment, value)
+        near = segment >= exact + extra  # those with one-deletion neighbourhoods
         salt = K.mix(np.uint64(band << 20) + np.arange(m, dtype=np.uint64))
-        out.append(K.mix(total ^ salt))
+        mark = lambda h, needed=needed: (K.mix(h) & ~np.uint64(15)) | np.uint64(needed)
+        whole = mark(total ^ salt)
+        if extra:
+            strength = np.bincount(segment[rare], minlength=m)[: exact + extra] * 4096 + np.bincount(segment, minlength=m)[: exact + extra]
+            order = np.lexsort((whole[: exact + extra], strength))
+            out.append(whole[order[extra:]])
+            out.append(whole[exact + extra :])
+        else:
+            out.append(whole)
         if deletions:
-            near = segment >= exact
-            out.append(K.mix((total[segment[near]] - value[near]) ^ salt[segment[near]]))
-    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
+            out.append(mark((total[segment[near]] - value[near]) ^ salt[segment[near]]))
+    return np.unique(np.concatenate(out))
+
+
+def common_tokens(docs: DataFrame, width: int, n_docs: int) -> np.ndarray:
+    """Tokens that are common in a bounded sample. They only rank segments, so any sample is exact."""
+    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = token_sets(*K.column(batch), width)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64())], ["token"])
+
+    counts = sample.select("id", "text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).select("token").collect()
+    return np.sort(np.array([r["token"] for r in top], np.int64).view(np.uint64))
 
 
 def _ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -128,21 +182,73 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _combine(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each signature of a lot, with its least id. Ids that share a signature are chained
-    to the least one by a signature of their own, so however common a signature is, a lot sends it
-    once."""
+    """A lot's rows without those of signatures that are crowded in the lot alone: these are tied to the
+    least id by signatures of their own, so however common a signature is, a lot sends few rows of it."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    least = ids[first][np.cumsum(first) - 1]
-    extra = np.unique(np.stack([ids[~first], least[~first]], 1), axis=0)
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(first, len(sig)))
+    place = np.arange(len(sig)) - np.repeat(first, size)
+    tied = np.repeat(size > CROWDED, size) & (place > CROWDED)
+    extra = np.unique(np.stack([ids[tied], np.repeat(ids[first], size)[tied]], 1), axis=0)
     extra = extra[extra[:, 0] != extra[:, 1]]
     own = K.mix(K.mix(extra[:, 0].astype(np.uint64)) ^ extra[:, 1].astype(np.uint64) ^ np.uint64(0x1234567))
-    return np.concatenate([sig[first], own, own]), np.concatenate([ids[first], extra[:, 0], extra[:, 1]])
+    own = (own & ~np.uint64(15)) | np.uint64(1)
+    return np.concatenate([sig[~tied], own, own]), np.concatenate([ids[~tied], extra[:, 0], extra[:, 1]])
+
+
+def _pairs(signed: DataFrame) -> DataFrame:
+    """a, b and the evidence for the pair, 1 or more if it must be verified."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hub: tuple[int, int] | None = None  # of a crowded signature that goes on
+
+        def found(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            a, b, w = [], [], []
+            if len(sig):
+                first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                size = np.repeat(np.diff(np.append(first, len(sig))), np.diff(np.append(first, len(sig))))
+                least = np.repeat(ids[first], np.diff(np.append(first, len(sig))))
+                if hub is not None and sig[0] == hub[0]:
+                    same = sig == hub[0]
+                    least[same], size[same] = hub[1], CROWDED + 1
+                many = size > CROWDED
+                a.append(ids[many]), b.append(least[many]), w.append(np.ones(many.sum()))
+                for d in range(1, min(CROWDED, len(sig))):
+                    at = np.flatnonzero((sig[d:] == sig[:-d]) & ~many[d:])
+                    if not len(at):
+                        break
+                    a.append(ids[at + d]), b.append(ids[at]), w.append(1.0 / (sig[at] & 15))
+            columns = [np.concatenate(x) if x else np.zeros(0) for x in (a, b, w)]
+            keep = columns[0] != columns[1]
+            return pa.RecordBatch.from_arrays([pa.array(c[keep], k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "w"])
+
+        for batch in batches:
+            sig = np.concatenate([sig, batch.column(0).to_numpy(zero_copy_only=False)])
+            ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
+            if not len(sig):
+                continue
+            last = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on
+            if len(sig) - last > CROWDED or hub is not None and hub[0] == sig[-1]:
+                out = found(sig, ids)
+                hub = hub if hub is not None and hub[0] == sig[-1] else (int(sig[-1]), int(ids[last]))
+                last = len(sig)
+            else:
+                out = found(sig[:last], ids[:last])
+                hub = None
+            sig, ids = sig[last:], ids[last:]
+            yield out
+        yield found(sig, ids)
+        K.release()
+
+    ordered = signed.repartition(F.col("sig")).sortWithinPartitions("sig", "id")
+    return ordered.mapInArrow(run, "a long, b long, w double")
+
+
+def _signature_rows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_TOKENS at most
 
-def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -155,12 +261,13 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 50_000]), pa.array(ids[a : a + 50_000])], ["sig", "id"])
 
         for batch in batches:
-            found = [signatures(s, percent) if len(s) else s for s in token_sets(*K.column(batch), width)]
+            found = [signatures(s, percent, shared.value) if len(s) else s for s in token_sets(*K.column(batch), width)]
             if found:
                 held.append((np.concatenate(found), np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found])))
             if sum(len(x) for x, _ in held) > LOT:
                 yield from send()
         yield from send()
+        K.release()
 
     return docs.mapInArrow(run, "sig long, id long")
 
@@ -253,6 +360,7 @@ def _verify(groups: DataFrame, percent: int) -> DataFrame:
             yield flush()
         close()
         yield flush()
+        K.release()
 
     ordered = groups.repartition(F.col("lot")).sortWithinPartitions("lot", "side", "id")
     return ordered.mapInArrow(run, "a long, b long")
@@ -267,15 +375,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     # One class for equal sets: its least id stands for it.
     found = materialize(_set_rows(rows, width), "sets")
     same = ["fp1", "fp2", "n_shingles"]
-    classes = found.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"))
-    sized = materialize(found.join(classes, same, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "classes")
+    classes = found.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    copied = materialize(classes.where("n > 1").select(*same, "rep"), "copied")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
+    sized = materialize(found.join(copied, same, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "classes")
     rep_of = sized.where("id <> rep").select("id", "rep").distinct()
-    # Equal signatures chain rows: neighbours in id order, no group is ever gathered.
-    signed = _signature_rows(rows, width, percent)
-    chained = signed.select("id", F.lag("id").over(Window.partitionBy("sig").orderBy("id")).alias("b"))
-    chains = materialize(chained.where("b IS NOT NULL AND b <> id").select(F.col("id").alias("a"), "b").distinct(), "chains")
-    chains = chains.join(rep_of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a", "left").join(rep_of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b", "left")
-    lots = connected_components(chains.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    others = rep_of.select("id")
+    alone = rows.where("id IS NOT NULL").join(F.broadcast(others) if rep_of.count() <= BROADCAST_ROWS else others, "id", "left_anti")
+    signed = _signature_rows(alone, width, percent, common_tokens(rows, width, found.count()))
+    evidence = _pairs(signed).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 0.999")
+    chains = materialize(evidence.select("a", "b"), "chains")
+    lots = connected_components(chains)
     nodes = lots.select(F.col("node").alias("id"), "root").unionByName(lots.select(F.col("root").alias("id"), "root").distinct())
     members = materialize(nodes.join(sized.where("id = rep").select("id", "n_shingles").distinct(), "id"), "members")
     counts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / (BLOCK // 2)), F.ceil(F.sum("n_shingles") / (BLOCK_TOKENS // 2))).cast("int").alias("blocks"), F.count("*").alias("members"))
