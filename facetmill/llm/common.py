@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from facetmill.session import ship_package
 
-#: Rows and bytes of one Arrow batch handed to a Python worker; bounds the worker's memory.
-BATCH_ROWS = 256
-BATCH_BYTES = 4 << 20
+#: Rows and bytes of one Arrow batch handed to a Python worker; the bytes bound the worker's memory.
+BATCH_ROWS = 10_000
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

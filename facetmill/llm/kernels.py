@@ -6,6 +6,8 @@ Python string is made per document or word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -54,6 +56,16 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64) * _MIX2)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between stages and share a machine's
+    memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     a = batch.column(batch.schema.get_field_index(name))

@@ -30,7 +30,7 @@ from facetmill.llm.common import bound_batches
 #: Where the vocabulary is looked for unless a path is given.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text solved at a time, and the longest stretch solved together with others.
-LOT_BYTES, LONG = 4 << 20, 40
+LOT_BYTES, LONG = 1 << 20, 40
 _MARK = "▁"
 #: As for unigram models: an uncovered character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -281,6 +281,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", check: bool =
                 columns.append(pa.array(same, pa.bool_()))
                 names.append("round_trip")
             yield pa.RecordBatch.from_arrays(columns, names)
+        K.release()
 
     rows = docs.drop("ids", "round_trip")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

@@ -99,6 +99,7 @@ def statistics_table(docs: DataFrame, text: str = "text", key: str = "doc_id") -
             rows = statistics(*K.column(batch))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(STATS)), pa.int32()), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["key", "stats"])
+        K.release()
 
     kind = docs.schema[key].dataType.simpleString()
     bound_batches(docs.sparkSession)

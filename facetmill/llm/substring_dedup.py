@@ -18,7 +18,8 @@ The work is dealt out so that each window of ``length`` bytes is judged in exact
 Marked windows go back to their documents, which cut the covered bytes.
 
 Defined results: null or empty text has no bytes; texts shorter than ``length`` keep all; matches never
-cross documents; ``key`` must be unique, other columns are ignored.
+cross documents. ``key`` must tell documents apart: a row that occurs twice is a copy of itself, and
+rows without a key count as places of a string but keep all. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     rank = np.empty(n, np.int64)
     rank[order] = head
     span = 8
-    late = np.zeros(n, bool)  # not told apart from the suffix before by the last round but one
+    late = np.full(n, length <= span)  # not told apart from the suffix before by the last round but one
     while span < length:
         late = ~fresh
         shared = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
@@ -220,6 +221,7 @@ def _search(contexts: DataFrame, length: int, lots: int) -> DataFrame:
                 held.append((anchor, context, number, data))
                 size += len(data)
         yield close()
+        K.release()
 
     dealt = contexts.where("NOT crowded").select("anchor", "context", "number", "bytes").repartition(lots, "anchor").sortWithinPartitions("anchor", "context")
     return dealt.mapInArrow(run, f"anchor long, context long, spans {SPANS}")
