@@ -133,7 +133,7 @@ def loop_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.log_minutes(table(spark, sf_dir, "events"), "user_id", "ts", "ts").select("user_id", "minutes")
 
 
-@query("""SELECT doc_id, count(*) AS n_sentences, sum(length(s)) AS n_chars FROM (
+@query("""SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM (
   SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'))) AS s FROM documents) WHERE length(s) >= 15 GROUP BY 1""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", P.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
