@@ -30,6 +30,9 @@ SUBSET, STEPS, PSEUDO = 0.5, 3, 20.0
 #: Chance that a Gaussian row is rejected.
 ALPHA = 1e-5
 KEYS = ("g_lang", "g_source")
+#: Up to so many groups (some 300 bytes each) are sent to all executors, so a hot source stays spread;
+#: beyond, rows are joined by group and skewed joins are split at run time.
+BROADCAST_GROUPS = 50_000
 
 
 def _let(value: Column, body) -> Column:
@@ -140,9 +143,13 @@ def _estimates(rows: DataFrame, dims: int) -> DataFrame:
     return out.select(*KEYS, *[f"m{i}" for i in range(dims)], *[f"c{i}_{j}" for i, j in pairs])
 
 
-def _distances(rows: DataFrame, model: DataFrame, dims: int) -> DataFrame:
+def _by_group(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(groups) if few else groups, list(KEYS))
+
+
+def _distances(rows: DataFrame, model: DataFrame, dims: int, few: bool) -> DataFrame:
     """``rows`` with ``d2``, the squared Mahalanobis distance under their group's model."""
-    out = rows.join(model, list(KEYS))
+    out = _by_group(rows, model, few)
     y: list[Column] = []
     for i in range(dims):
         rest = F.col("z")[i] - F.col(f"m{i}")
@@ -153,7 +160,7 @@ def _distances(rows: DataFrame, model: DataFrame, dims: int) -> DataFrame:
     return out.select(*rows.columns, sum((v * v for v in y[1:]), y[0] * y[0]).alias("d2"))
 
 
-def _concentrate(rows: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, few: bool) -> DataFrame:
     """Marks as ``inside`` the nearest share of each group, by a histogram of log distances."""
     cell = F.least(F.floor(8 * F.log2(1 + 1000 * F.col("d2"))), F.lit(400)).cast("int")
     marked = rows.withColumn("cell", cell)
@@ -162,20 +169,22 @@ def _concentrate(rows: DataFrame) -> DataFrame:
     running = F.sum("count").over(by.orderBy("cell"))
     cut = counts.select(*KEYS, "cell", running.alias("upto"), F.sum("count").over(by).alias("total"))
     cut = cut.where(F.col("upto") >= SUBSET * F.col("total")).groupBy(*KEYS).agg(F.min("cell").alias("cut"))
-    return marked.join(cut, list(KEYS)).withColumn("inside", F.col("cell") <= F.col("cut")).drop("cell", "cut", "d2")
+    return _by_group(marked, cut, few).withColumn("inside", F.col("cell") <= F.col("cut")).drop("cell", "cut", "d2")
 
 
 def outliers(stats: DataFrame) -> DataFrame:
     """``stats`` (with z, g_lang, g_source) plus ``d2`` under the robust estimates of the groups."""
     dims = len(VECTOR)
     medians = stats.groupBy(*KEYS).agg(*[F.percentile_approx(F.col("z")[i], 0.5, 1000).alias(f"p{i}") for i in range(dims)])
+    medians = materialize(medians, "medians")
+    few = medians.count() <= BROADCAST_GROUPS
     far = sum((((F.col("z")[i] - F.col(f"p{i}")) / floor) ** 2 for i, floor in enumerate(VECTOR.values())), F.lit(0.0))
     narrow = stats.select(*KEYS, "z")
-    rows = narrow.join(medians, list(KEYS)).select(*KEYS, "z", far.alias("d2"))
+    rows = _by_group(narrow, medians, few).select(*KEYS, "z", far.alias("d2"))
     for _ in range(STEPS):
-        model = materialize(_estimates(_concentrate(rows), dims), "mcd")
-        rows = _distances(narrow, model, dims)
-    return _distances(stats, model, dims)
+        model = materialize(_estimates(_concentrate(rows, few), dims), "mcd")
+        rows = _distances(narrow, model, dims, few)
+    return _distances(stats, model, dims, few)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
