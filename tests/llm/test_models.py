@@ -112,6 +112,10 @@ def test_html_page():
     assert html_extract.main_text(PAGE, [], frozenset()) == "T & x\nOne two three four\nfive <6 &amp; é\nk\nm"
     assert html_extract.main_text("plain <b>text</b> only", [], frozenset()) == "plain text only"
     assert html_extract.main_text("<p>a < b & c<", [], frozenset()) == "a < b & c<"
+    odd = '<p title="5" tall">a</p><p x="1>2">b</p><p>ok</p><a href="open>text</a><!-- x > y --><p>d</p><!-- open'
+    assert html_extract.main_text(odd, [], frozenset()) == "a\nb\nok\nd"  # a block that is all link is a menu
+    for broken in ('<a href="', '<a b="c" ', "<p>", "<div>"):  # linear, however broken
+        html_extract.main_text(broken * 50_000, [], frozenset())
 
 
 def test_html_wrappers(spark):
