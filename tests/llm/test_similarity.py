@@ -105,7 +105,9 @@ def test_pigeonhole_loses_nothing(monkeypatch, deletions):
     jaccard_join._plans.clear()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", rows)
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (11, 12), (7, 7), (12, 10)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[5] == 1 and got[12] == 10 and got[140] == 100 and 7 not in got
