@@ -9,9 +9,6 @@ from facetmill.llm.common import materialize
 
 #: Rounds at most; each at least halves long paths, so this is far beyond any real graph.
 MAX_ROUNDS = 60
-#: Up to so many edges the minima by node (16 bytes each, two for an edge at most) are sent to all tasks, so
-#: the edges of a hub stay spread; beyond, skewed joins are split at run time.
-BROADCAST_EDGES = 1_000_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -25,19 +22,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     minima; a round's edges are a table in the shared folder, never in driver memory.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before, known = None, e.count()
+    before = None
     for _ in range(MAX_ROUNDS):
-        few = F.broadcast if known <= BROADCAST_EDGES else lambda minima: minima
         # Large star: every greater neighbour of a node is linked to the node's least neighbour.
         ways = _both_ways(e)
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = ways.where("b > a").join(few(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: a node and its lesser neighbours are linked to the least of them.
         lesser = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(few(lesser), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = large.join(lesser, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = materialize(small.unionByName(lesser.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == tuple(now):
             break
-        before, known = tuple(now), now[0]
+        before = tuple(now)
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
