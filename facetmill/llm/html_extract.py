@@ -8,9 +8,11 @@ wrapper a host, and these are folded again in two salted steps, so a hot host is
 and a fold holds one wrapper at a time.
 
 A wrapper tells the host's content root (the group whose slots hold most text outside links) and its
-constant texts. A page's main text is what stands in its article (or main element, else the wrapper's
-content root), without menus, headers, footers, sidebars, notices, adverts, forms, comments and the
-wrapper's constants.
+constant texts: those that stand in a group on every page that shows it, also among the others of a
+repeated group. A page's main text is what stands in the content root, without menus, headers, footers,
+sidebars, notices, adverts, forms, comments and the wrapper's constants. Only where the wrapper is of no
+use (few pages, no group below the body that stands out, little text that differs) or the page lacks its
+content root do element names choose: the article, else main, else the likeliest root.
 
 Defined results: null or empty html, and pages without text, give an empty text; pages without a host
 share one wrapper; repeated rows stay; other columns are ignored.
@@ -64,6 +66,8 @@ WORDS_WRAP = frozenset("content main wrapper container page layout article post
 CONTENT_WORDS = frozenset("content article post entry story".split())
 #: Distinct pages a host must show before its constants count; levels and children a wrapper keeps.
 LEAST_PAGES, DEPTH, WIDTH = 5, 24, 200
+#: Least share of a group's slot text in its content root; of a host's whole text in the root's slots.
+MOST, DIFFERENT = 0.7, 0.3
 #: Bytes of host rules that may be sent to all executors; beyond, pages are joined by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -199,13 +203,19 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
-# A wrapper node is [key, flags, text, characters, children]: flags 1 optional, 2 repeated; text is
-# the constant text of a leaf, or null for a slot; characters of slot text outside links, summed.
+# A wrapper node is [key, flags, texts, characters, children]: flags 1 optional, 2 repeated; texts (of a
+# leaf) stand in it on every page that shows it, each with its characters outside links, summed, and
+# digests of some pages; characters are those of all other texts, the slot.
 OPTIONAL, REPEATED = 1, 2
 
 
-def _page_tree(blocks: list[Block]) -> list:
-    root = ["", 0, None, 0, []]
+def _mark(text: str) -> str:
+    """What a constant text is known by."""
+    return text[:200]
+
+
+def _page_tree(blocks: list[Block], page: int = 0) -> list:
+    root = ["", 0, {}, 0, []]
     last: tuple[str, ...] = ()
     open_nodes = [root]
     for b in blocks:
@@ -215,10 +225,10 @@ def _page_tree(blocks: list[Block]) -> list:
             same += 1
         del open_nodes[same + 1 :]
         for key in path[same:]:
-            node = [key, 0, None, 0, []]
+            node = [key, 0, {}, 0, []]
             open_nodes[-1][4].append(node)
             open_nodes.append(node)
-        open_nodes[-1][4].append(["#", 0, b.text[:200], max(len(b.text) - b.links, 0), []])
+        open_nodes[-1][4].append(["#", 0, {_mark(b.text): [max(len(b.text) - b.links, 0), [page]]}, 0, []])
         last = path
     return _fold_repeats(root)
 
@@ -229,7 +239,7 @@ def _fold_repeats(node: list) -> list:
     for child in node[4]:
         child = _fold_repeats(child)
         if out and out[-1][0] == child[0]:
-            out[-1] = _align(out[-1], child)
+            out[-1] = _align(out[-1], child, True)
             out[-1][1] |= REPEATED
         else:
             out.append(child)
@@ -256,26 +266,35 @@ def _common_keys(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def _align(a: list, b: list) -> list:
-    """The expression that covers both nodes, which have one key."""
-    text = a[2] if a[2] == b[2] else None
+def _align(a: list, b: list, within: bool = False) -> list:
+    """The expression that covers both nodes, which have one key. ``within`` a page the texts of both
+    stand in the group, else those that both have."""
+    texts, slot = {}, a[3] + b[3]
+    for t in a[2] | b[2]:
+        x, y = a[2].get(t), b[2].get(t)
+        if x and y:
+            texts[t] = [x[0] + y[0], sorted({*x[1], *y[1]})[:LEAST_PAGES]]
+        elif within:
+            texts[t] = x or y
+        else:
+            slot += (x or y)[0]
     if [c[0] for c in a[4]] == [c[0] for c in b[4]]:
-        children = [_align(x, y) for x, y in zip(a[4], b[4])]
+        children = [_align(x, y, within) for x, y in zip(a[4], b[4])]
     else:
         children, i, j = [], 0, 0
         for x, y in [*_common_keys(a[4], b[4]), (len(a[4]), len(b[4]))]:
             for lone in a[4][i:x] + b[4][j:y]:
                 lone[1] |= OPTIONAL
                 if children and children[-1][0] == lone[0]:
-                    children[-1] = _align(children[-1], lone)
+                    children[-1] = _align(children[-1], lone, within)
                     children[-1][1] |= OPTIONAL | REPEATED
                 else:
                     children.append(lone)
             if x < len(a[4]):
-                children.append(_align(a[4][x], b[4][y]))
+                children.append(_align(a[4][x], b[4][y], within))
             i, j = x + 1, y + 1
         children = children[:WIDTH]
-    return [a[0], a[1] | b[1], text, a[3] + b[3], children]
+    return [a[0], a[1] | b[1], texts, slot, children]
 
 
 class Wrapper:
@@ -300,51 +319,57 @@ class Wrapper:
 
         def show(node: list) -> str:
             inner = "".join(map(show, node[4]))
-            own = ("#" if node[2] is None else repr(node[2])) if node[0] == "#" else f"<{node[0]}>{inner}</>" if node[0] else inner
+            own = ("#" if node[3] or len(node[2]) != 1 else repr(*node[2])) if node[0] == "#" else f"<{node[0]}>{inner}</>" if node[0] else inner
             return f"({own})" + {0: "", 1: "?", 2: "+", 3: "*"}[node[1]] if node[1] else own
 
         return show(self.root) if self.root else ""
 
-    def rules(self) -> tuple[list[str], list[str]]:
-        """The path of the content root, and the constant texts (each after its path)."""
+    def rules(self) -> tuple[list[str], list[str], bool]:
+        """The path of the content root, the constant texts (each after its path), and whether the
+        wrapper is fit to choose the content root."""
+        known = len(self.pages) >= LEAST_PAGES
 
         def slots(node: list) -> int:
-            return (node[3] if node[0] == "#" and node[2] is None else 0) + sum(map(slots, node[4]))
+            several = not known and (node[3] or len(node[2]) > 1)
+            return node[3] + (sum(n for n, _ in node[2].values()) if several else 0) + sum(map(slots, node[4]))
+
+        def whole(node: list) -> int:
+            return node[3] + sum(n for n, _ in node[2].values()) + sum(map(whole, node[4]))
 
         path: list[str] = []
         node = self.root
         while node and (inner := [c for c in node[4] if c[0] != "#"]):
             best = max(inner, key=slots)
-            if best[1] & REPEATED or slots(best) < 0.7 * slots(node) or not slots(best):
+            if best[1] & REPEATED or slots(best) < MOST * slots(node) or not slots(best):
                 break
             node = best
             path.append(node[0])
+        fit = known and bool(path) and path[-1].partition(".")[0].partition("#")[0] not in ("html", "body")
         constants: list[str] = []
 
         def gather(node: list, at: tuple[str, ...]) -> None:
-            if node[0] == "#":
-                if node[2] is not None and not node[1]:
-                    constants.append(" > ".join(at) + " = " + node[2])
-                return
-            if node[1] & REPEATED:
-                return
+            constants.extend(" > ".join(at) + " = " + t for t, (_, pages) in node[2].items() if len(pages) >= LEAST_PAGES)
             for c in node[4]:
                 gather(c, (*at, node[0]) if node[0] else at)
 
-        if self.root and len(self.pages) >= LEAST_PAGES:
+        if self.root and known:
             gather(self.root, ())
-        return path, constants
+        return path, constants, fit and slots(node) >= DIFFERENT * whole(self.root)
 
 
-def main_text(page: str, content: list[str], constants: frozenset[str]) -> str:
-    """The blocks of the page's main text, joined by newlines."""
+def main_text(page: str, content: list[str], constants: frozenset[str], fit: bool = False) -> str:
+    """The blocks of the page's main text, joined by newlines; ``fit`` as ``rules`` tells it."""
     blocks = parse(page)
-    kept = [b for b in blocks if not (b.place < 3 and constants and " > ".join(b.path[:DEPTH]) + " = " + b.text[:200] in constants)]
+    constant = {id(b) for b in blocks if constants and " > ".join(b.path[:DEPTH]) + " = " + _mark(b.text) in constants}
+    inner = [b for b in blocks if list(b.path[: len(content)]) == content] if content else []
+    if fit and inner:
+        return "\n".join(b.text for b in inner if id(b) not in constant and (b.place >= 2 or b.links < 0.8 * len(b.text)))
+    kept = [b for b in blocks if b.place == 3 or id(b) not in constant]
     for place in (3, 2):
         if any(b.place == place for b in kept):
             return "\n".join(b.text for b in kept if b.place == place or b.place > place)
     if content:
-        inner = [b for b in kept if list(b.path[: len(content)]) == content]
+        inner = [b for b in inner if id(b) not in constant]
         if inner:
             kept = inner
     elif any(b.place == 1 for b in kept):
@@ -384,7 +409,8 @@ def infer(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame
         for batch in batches:
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
-                    found.setdefault(h, Wrapper()).add(Wrapper(_page_tree(parse(page)), [xxhash.xxh3_64_intdigest(page) >> 1]))
+                    digest = xxhash.xxh3_64_intdigest(page) >> 1
+                    found.setdefault(h, Wrapper()).add(Wrapper(_page_tree(parse(page), digest), [digest]))
             if len(found) > 2000:  # bounded memory, whatever the number of hosts
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([w.dump() for w in found.values()], pa.string())], ["host", "wrapper"])
                 found.clear()
@@ -414,15 +440,15 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
     joined = rows.join(hosts, "host", "left").select("key", "url", "html", "rules")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[str], frozenset[str]]] = {}
+        known: dict[str, tuple[list[str], frozenset[str], bool]] = {}
         for batch in batches:
             texts = []
             for page, rules in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if rules not in known:
                     if len(known) > 5000:
                         known.clear()
-                    content, constants = json.loads(rules) if rules else ([], [])
-                    known[rules] = content, frozenset(constants)
+                    content, constants, fit = json.loads(rules) if rules else ([], [], False)
+                    known[rules] = content, frozenset(constants), fit
                 texts.append(main_text(page, *known[rules]) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 

@@ -144,6 +144,30 @@ def test_wrapper_expression():
     assert whole.expression() == "<body><h1>#</>(<p>#</>)+(<div>'d'</>)?</>"
 
 
+def sites(spark, *hosts):
+    """The main texts of the pages of some hosts."""
+    rows = [(1000 * h + i, f"http://h{h}.example/{i}", page) for h, pages in enumerate(hosts) for i, page in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [[got[1000 * h + i] for i in range(len(pages))] for h, pages in enumerate(hosts)]
+
+
+def words(i, n=40):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def test_html_wrapper_decides(spark):
+    follow = [f"<body><article><h1>Title {i}</h1><p>{words(i)}</p><p>{words(i + 50)}</p><p>Follow us</p><div class=zz>Standing words</div></article></body>" for i in range(7)]
+    teasers = [f"<body><div class=b><p>{words(i)}</p></div><article><p><a href=x>More {i}</a></p></article><article><p><a href=y>Else {i}</a></p></article></body>" for i in range(7)]
+    once = [f"<body><p>{words(i)}</p>{'<div class=k>Once only</div>' if i == 3 else ''}<ul><li>{words(i + 50)}</ul></body>" for i in range(7)]
+    same = [f"<body><article><p>{words(1)}</p></article><p>{i}</p></body>" for i in range(7)]
+    got = sites(spark, follow, teasers, teasers[:2], once, same)
+    assert got[0] == [f"Title {i}\n{words(i)}\n{words(i + 50)}" for i in range(7)]
+    assert got[1] == [words(i) for i in range(7)]
+    assert got[2] == ["More 0\nElse 0", "More 1\nElse 1"]  # no wrapper to tell: element names
+    assert got[3][3] == f"{words(3)}\nOnce only\n{words(53)}"  # text of one page is no constant
+    assert got[4] == [words(1)] * 7  # copies of one article are no frame
+
+
 def test_html_sample(spark):
     rows = queries.op2_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert len(rows) == 50 and all("track(" not in r["text"] and "<" not in r["text"].replace("<", "", r["html"].count("&lt;")) for r in rows)
