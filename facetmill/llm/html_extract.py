@@ -210,8 +210,10 @@ OPTIONAL, REPEATED = 1, 2
 
 
 def _mark(text: str) -> str:
-    """What a constant text is known by."""
-    return text[:200]
+    """What a constant text is known by: itself, or if long its start, length and hash."""
+    import xxhash
+
+    return text if len(text) <= 60 else f"{text[:24]}... {len(text)} {xxhash.xxh3_128_hexdigest(text)}"
 
 
 def _page_tree(blocks: list[Block], page: int = 0) -> list:

@@ -168,6 +168,13 @@ def test_html_wrapper_decides(spark):
     assert got[4] == [words(1)] * 7  # copies of one article are no frame
 
 
+def test_html_constants_are_whole_texts(spark):
+    lead = "This standing lead opens every page of the site. " * 6
+    pages = [f"<body><div class=t>{lead}</div><main><div>{lead}{words(i)}</div></main><div class=z>{lead}end</div></body>" for i in range(7)]
+    plain = [p.replace("main>", "div>") for p in pages]
+    assert sites(spark, pages, plain) == [[f"{lead}{words(i)}" for i in range(7)]] * 2
+
+
 def test_html_sample(spark):
     rows = queries.op2_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert len(rows) == 50 and all("track(" not in r["text"] and "<" not in r["text"].replace("<", "", r["html"].count("&lt;")) for r in rows)
