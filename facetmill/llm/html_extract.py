@@ -42,6 +42,9 @@ SIMPLE = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>
 OPEN_QUOTES = 20
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
+#: Numbers in ids and, but for the small ones of grids, in classes differ by page.
+NUMBER, PAGE_NUMBER = re.compile(r"\d+"), re.compile(r"\d{3,}")
+
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -64,7 +67,8 @@ WORDS_OUT = frozenset(
 HEADER_WORDS = frozenset("header headers topbar".split())
 WORDS_WRAP = frozenset("content main wrapper container page layout article post entry story body".split())
 CONTENT_WORDS = frozenset("content article post entry story".split())
-#: Distinct pages a host must show before its constants count; levels and children a wrapper keeps.
+#: Distinct pages a host must show before its constants count; levels a wrapper has, and children of a
+#: node it keeps apart: beyond, its rarest share slots.
 LEAST_PAGES, DEPTH, WIDTH = 5, 24, 200
 #: Least share of a group's slot text in its content root; of a host's whole text in the root's slots.
 MOST, DIFFERENT = 0.7, 0.3
@@ -195,7 +199,7 @@ def parse(page: str) -> list[Block]:
                 place = max(place, 2)
             elif place == 0 and tag not in ("html", "body") and set(re.findall(r"[a-z]+", (attributes.get("class", "") + " " + attributes.get("id", "")).lower())) & CONTENT_WORDS:
                 place = 1
-            key = tag + ("." + kind[0] if kind else "#" + attributes["id"] if attributes.get("id") else "")
+            key = tag + ("." + PAGE_NUMBER.sub("0", kind[0]) if kind else "#" + NUMBER.sub("0", attributes["id"].replace(" ", "_")) if attributes.get("id") else "")
         else:
             key = tag
         stack.append((tag, key, out, place))
@@ -203,10 +207,11 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
-# A wrapper node is [key, flags, texts, characters, children]: flags 1 optional, 2 repeated; texts (of a
+# A wrapper node is [key, flags, texts, characters, children, pages]: flags 1 optional, 2 repeated; texts (of a
 # leaf) stand in it on every page that shows it, each with its characters outside links, summed, and
-# digests of some pages; characters are those of all other texts, the slot.
-OPTIONAL, REPEATED = 1, 2
+# digests of some pages; characters are those of all other texts, the slot. A node of key REST is the
+# slot of neighbours that few pages have.
+OPTIONAL, REPEATED, REST = 1, 2, "*"
 
 
 def _mark(text: str) -> str:
@@ -217,7 +222,7 @@ def _mark(text: str) -> str:
 
 
 def _page_tree(blocks: list[Block], page: int = 0) -> list:
-    root = ["", 0, {}, 0, []]
+    root = ["", 0, {}, 0, [], 1]
     last: tuple[str, ...] = ()
     open_nodes = [root]
     for b in blocks:
@@ -227,10 +232,10 @@ def _page_tree(blocks: list[Block], page: int = 0) -> list:
             same += 1
         del open_nodes[same + 1 :]
         for key in path[same:]:
-            node = [key, 0, {}, 0, []]
+            node = [key, 0, {}, 0, [], 1]
             open_nodes[-1][4].append(node)
             open_nodes.append(node)
-        open_nodes[-1][4].append(["#", 0, {_mark(b.text): [max(len(b.text) - b.links, 0), [page]]}, 0, []])
+        open_nodes[-1][4].append(["#", 0, {_mark(b.text): [max(len(b.text) - b.links, 0), [page]]}, 0, [], 1])
         last = path
     return _fold_repeats(root)
 
@@ -245,27 +250,71 @@ def _fold_repeats(node: list) -> list:
             out[-1][1] |= REPEATED
         else:
             out.append(child)
-    node[4] = out[:WIDTH]
+    node[4] = _narrow(out, True)
     return node
 
 
+def _whole(node: list) -> int:
+    """Characters outside links of all texts of a node."""
+    return node[3] + sum(n for n, _ in node[2].values()) + sum(map(_whole, node[4]))
+
+
+def _narrow(children: list, within: bool = False) -> list:
+    """``WIDTH`` children at most. If there are more, those of one key become one repeated group at the
+    first one's place; then the rarest, and of equals those far from both ends, become slots."""
+    if len(children) <= WIDTH:
+        return children
+    out: list = []
+    first: dict[str, int] = {}
+    for c in children:
+        if c[0] in first:
+            same = out[first[c[0]]]
+            out[first[c[0]]] = _align(same, c, True)
+            out[first[c[0]]][1] |= REPEATED
+        else:
+            if c[0] != REST:
+                first[c[0]] = len(out)
+            out.append(c)
+    if len(out) <= WIDTH:
+        return out
+    order = sorted(first.values(), key=lambda i: (-out[i][5], min(i, len(out) - 1 - i)))
+    apart = set(order[: WIDTH // 2 - 1])
+    children, out = out, []
+    for i, c in enumerate(children):
+        if i in apart:
+            out.append(c)
+        elif out and out[-1][0] == REST:
+            out[-1] = [REST, out[-1][1] | c[1] | (REPEATED if within else 0), {}, out[-1][3] + _whole(c), [], max(out[-1][5], c[5])]
+        else:
+            out.append([REST, OPTIONAL | c[1], {}, _whole(c), [], c[5]])
+    return out
+
+
 def _common_keys(a: list, b: list) -> list[tuple[int, int]]:
     """Index pairs of a longest common sequence of keys."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start][0] == b[start][0]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end][0] == b[-1 - end][0]:
+        end += 1
+    both = [(i, i) for i in range(start)]
+    ends = [(len(a) - i, len(b) - i) for i in range(end, 0, -1)]
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i, j = 0, 0
     while i < n and j < m:
         if a[i][0] == b[j][0]:
-            out.append((i, j))
+            both.append((start + i, start + j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return out
+    return both + ends
 
 
 def _align(a: list, b: list, within: bool = False) -> list:
@@ -295,8 +344,8 @@ def _align(a: list, b: list, within: bool = False) -> list:
             if x < len(a[4]):
                 children.append(_align(a[4][x], b[4][y], within))
             i, j = x + 1, y + 1
-        children = children[:WIDTH]
-    return [a[0], a[1] | b[1], texts, slot, children]
+        children = _narrow(children)
+    return [a[0], a[1] | b[1], texts, slot, children, max(a[5], b[5]) if within else a[5] + b[5]]
 
 
 class Wrapper:
@@ -332,15 +381,23 @@ class Wrapper:
         known = len(self.pages) >= LEAST_PAGES
 
         def slots(node: list) -> int:
-            several = not known and (node[3] or len(node[2]) > 1)
-            return node[3] + (sum(n for n, _ in node[2].values()) if several else 0) + sum(map(slots, node[4]))
-
-        def whole(node: list) -> int:
-            return node[3] + sum(n for n, _ in node[2].values()) + sum(map(whole, node[4]))
+            several = node[3] or len(node[2]) > 1
+            texts = sum(n for n, pages in node[2].values() if (len(pages) < LEAST_PAGES if known else several))
+            return node[3] + texts + sum(map(slots, node[4]))
+
+        def split(node: list) -> list:
+            """A node's children, the rare ones as one, named after the others."""
+            inner = [c for c in node[4] if c[0] != "#"]
+            rare = [c for c in inner if known and (c[5] < LEAST_PAGES or c[0] == REST)]
+            if len(rare) < 2 and not any(c[0] == REST for c in rare):
+                return inner
+            often = [c for c in inner if not any(c is r for r in rare)]
+            flags = OPTIONAL | max(c[1] & REPEATED for c in rare)
+            return [*often, [" ".join([REST, *sorted({c[0] for c in often})]), flags, {}, sum(map(_whole, rare)), [], 0]]
 
         path: list[str] = []
         node = self.root
-        while node and (inner := [c for c in node[4] if c[0] != "#"]):
+        while node and (inner := split(node)):
             best = max(inner, key=slots)
             if best[1] & REPEATED or slots(best) < MOST * slots(node) or not slots(best):
                 break
@@ -356,14 +413,19 @@ class Wrapper:
 
         if self.root and known:
             gather(self.root, ())
-        return path, constants, fit and slots(node) >= DIFFERENT * whole(self.root)
+        return path, constants, fit and slots(node) >= DIFFERENT * _whole(self.root)
+
+
+def _under(path: tuple[str, ...], content: list[str]) -> bool:
+    """Whether a block's path leads into the content root; the rest of a node is what it doesn't name."""
+    return len(path) >= len(content) and all(k == c or c[0] == REST and k not in c.split(" ") for k, c in zip(path, content))
 
 
 def main_text(page: str, content: list[str], constants: frozenset[str], fit: bool = False) -> str:
     """The blocks of the page's main text, joined by newlines; ``fit`` as ``rules`` tells it."""
     blocks = parse(page)
     constant = {id(b) for b in blocks if constants and " > ".join(b.path[:DEPTH]) + " = " + _mark(b.text) in constants}
-    inner = [b for b in blocks if list(b.path[: len(content)]) == content] if content else []
+    inner = [b for b in blocks if _under(b.path, content)] if content else []
     if fit and inner:
         return "\n".join(b.text for b in inner if id(b) not in constant and (b.place >= 2 or b.links < 0.8 * len(b.text)))
     kept = [b for b in blocks if b.place == 3 or id(b) not in constant]

@@ -175,6 +175,25 @@ def test_html_constants_are_whole_texts(spark):
     assert sites(spark, pages, plain) == [[f"{lead}{words(i)}" for i in range(7)]] * 2
 
 
+def test_html_wide_pages(spark):
+    slug = lambda i: "".join(chr(97 + int(d)) for d in str(1000 + i))
+    page = "<body><div class=t>My site</div><div id={}><p>{}</p></div><div class=z>All rights</div></body>"
+    named, numbered = ([page.format(x(i), words(i)) for i in range(n)] for n, x in ((450, slug), (450, "node-{}".format)))
+    long = ["<body>" + "".join(f"<h3>T{i} {j}</h3><p>{words(1000 * i + j)}</p>" for j in range(150)) + "<div class=z>All rights</div></body>" for i in range(6)]
+    got = sites(spark, named[:100], named, numbered, long)
+    assert got[0] == [words(i) for i in range(100)] and got[1] == got[2] == [words(i) for i in range(450)]
+    assert all(t.endswith(words(1000 * i + 149)) for i, t in enumerate(got[3]))
+    nodes = [html_extract._page_tree(html_extract.parse(p), i) for i, p in enumerate(named)]
+    whole, text = html_extract.Wrapper(), sum(map(html_extract._whole, nodes))
+    for i, n in enumerate(nodes):
+        whole.add(html_extract.Wrapper(n, [i]))
+    assert len(whole.root[4][0][4]) <= html_extract.WIDTH and html_extract._whole(whole.root) == text
+    content, _, fit = whole.rules()
+    assert fit and content == ["body", "* div.t div.z"]
+    tree = html_extract._page_tree(html_extract.parse(long[0]), 0)
+    assert html_extract._whole(tree) == sum(len(b.text) for b in html_extract.parse(long[0]))
+
+
 def test_html_sample(spark):
     rows = queries.op2_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert len(rows) == 50 and all("track(" not in r["text"] and "<" not in r["text"].replace("<", "", r["html"].count("&lt;")) for r in rows)
