@@ -134,6 +134,26 @@ def test_contaminated(spark):
     assert got <= want and len(got) >= 0.95 * len(want), (want - got, got - want)
 
 
+def test_contaminated_by_common_items(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfghklmnpr") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    vocabulary = sorted({word() for _ in range(4000)})
+    passage = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = {i: passage(n) for i, n in enumerate((200, 600, 120, 40))} | {9 + i: passage(30) for i in range(20)}
+    docs, want = {}, set()
+    for i in range(300):  # a third of the documents hold each of the long items, at any place
+        docs[i] = passage(rng.randint(20, 90))
+        if i % 3 == 0:
+            docs[i] = " ".join([passage(rng.randint(0, 60)), items[i // 3 % 4], docs[i]]).strip()
+            want.add((i, i // 3 % 4))
+    for i in range(300, 400):
+        docs[i] = " ".join([passage(rng.randint(1, 40)), items[0], passage(20), items[1], passage(9), items[2]])
+        want |= {(i, 0), (i, 1), (i, 2)}
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert got == want, (len(want - got), len(got - want))
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
