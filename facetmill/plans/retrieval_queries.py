@@ -101,6 +101,19 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.bm25(docs, asked, "doc_id", "w", "item_id", "q").select("item_id", "doc_id", F.round("bm25", 4).alias("bm25"))
 
 
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM benchmark),
+terms AS (SELECT item_id, unnest(w) AS word FROM q), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+tf AS (SELECT doc_id, len(w) AS dl, word, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM terms) GROUP BY 1, 2, 3),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
+SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS bm25 FROM tf JOIN df USING (word) JOIN terms USING (word), s GROUP BY 1, 2""")
+def bm25_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.split(F.lower("text"), "[^a-z]+")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(split, lambda w: w != "").alias("w"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.filter(split, lambda w: w != "").alias("q"))
+    return ranking.bm25(docs, asked, "doc_id", "w", "item_id", "q").select("item_id", "doc_id", F.round("bm25", 4).alias("bm25"))
+
+
 @query("""WITH m AS (SELECT label AS bucket, 'f' || (vec_id % 20) AS facet, count(*) AS n FROM embeddings GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, facet) AS place FROM m)
 SELECT bucket, facet, n, CAST(place AS INTEGER) AS place FROM r WHERE place <= 8""")
 def facet_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,29 @@ def test_merge_drafts(spark):
     sheet = spark.createDataFrame([("a", 1, "", ""), ("a", 2, "old", "keep: pos")], "asin string, review_no int, draft_aspects string, gold_aspects string")
     drafts = spark.createDataFrame([("a", 1, "x: pos"), ("a", 2, "y: neg")], "asin string, review_no int, draft string")
     assert rows(gold.merge_drafts(sheet, drafts)) == [("a", 1, "x: pos", "x: pos"), ("a", 2, "y: neg", "keep: pos")]
+
+
+def test_bm25_whole_queries(spark, tmp_path):
+    """Against brute force: all words of the items count, also where two texts share short ones only."""
+    import math
+    import re
+    from collections import Counter
+
+    from facetmill.plans import catalogue
+
+    docs = {1: "The cat sat on the mat.", 2: "A dog and a cat, wonderful animals", 3: "wonderful weather", 4: ""}
+    items = {7: "the cat or the dog", 8: "wonderful mat", 9: "of it"}
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame([*rows.items()], f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    split = {k: re.findall("[a-z]+", t.lower()) for k, t in docs.items()}
+    mean = sum(map(len, split.values())) / len(split)
+    want = {}
+    for item, text in items.items():
+        for word in set(re.findall("[a-z]+", text.lower())):
+            df = sum(word in w for w in split.values())
+            for doc, w in split.items():
+                if tf := Counter(w)[word]:
+                    part = math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                    want[item, doc] = want.get((item, doc), 0) + part
+    got = {(r["item_id"], r["doc_id"]): r["bm25"] for r in catalogue.queries()["bm25_all_words"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and (7, 1) in got and all(abs(got[k] - want[k]) < 1e-4 for k in want)
