@@ -35,8 +35,6 @@ FAMILIES = {
 DIM = 2048
 #: Bound of the training sample: about so many rows of each language, picked by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1000
-#: Languages learned at most, the most frequent first: a bound of the model's size.
-MAX_LANGUAGES = 200
 
 
 def family_of(lang: str) -> str:
@@ -156,12 +154,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     picked by a hash of the key, so the pick doesn't hang on order or partitions."""
     bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(lang).count().orderBy(lang).collect()
     if not counts:
         return Model()
     spread = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[lang], min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))])
-    picked = rows.where(spread < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    often = [r for r in counts if r["count"] > SAMPLE_PER_LANGUAGE]
+    share = F.element_at(F.create_map(*[F.lit(v) for r in often for v in (r[lang], SAMPLE_PER_LANGUAGE / r["count"])]), F.col(lang)) if often else F.lit(None)
+    picked = rows.where(spread < F.coalesce(share, F.lit(1.0))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

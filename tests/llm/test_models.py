@@ -31,6 +31,13 @@ def test_language_odd(spark):
     assert language_id.identify(docs.where("doc_id < 0"), model).count() == 0
 
 
+def test_language_every_label(spark):
+    rows = [(i, f"{c}{c}{d}{d} {d}{c}{c}{d} {c}{d}{c}{c}", f"x{c}{d}") for i, (c, d) in enumerate((c, d) for c in "abcdefghijklmnop" for d in "abcdefghijklmnop")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert sorted(model.members) == sorted(f"own:{r[2]}" for r in rows)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
