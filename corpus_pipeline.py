@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; between stages the
 rows are written as Parquet and read again. Stages 1 to 4 return the columns of ``docs``; the last
-adds ``ids``. Documents leave by their id, in an anti-join with the ids that a stage rejects, so texts
+adds ``ids`` and ``round_trip``. Documents leave by their id, in an anti-join with the ids that a stage rejects, so texts
 aren't shuffled while that set is small.
 
 Defined results: rows without an id stay; a document id that occurs twice is judged once, and both
@@ -50,8 +50,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids of every text."""
-    return piece_codec.encode(docs, piece_codec.PieceModel.load())
+    """Adds the piece ids of every text, and whether they decode to it."""
+    return piece_codec.encode(docs, piece_codec.PieceModel.load(), check=True)
 
 
 STAGES = [

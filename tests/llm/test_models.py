@@ -230,3 +230,12 @@ def test_pipeline_odd_rows(spark, tmp_path):
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert len(got) == n
         assert all("a@b" not in (r["text"] or "") for r in got)
+
+
+def test_pipeline_decodes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "hello world"), (2, "wörld"), (3, None), (4, "")], "doc_id long, text string")
+    assert [r["round_trip"] for r in corpus_pipeline.token_ids(spark, docs, SF).collect()] == [True] * 4
+    model = piece_codec.PieceModel.load()
+    model.flat = np.where(model.flat == ord("h"), ord("j"), model.flat).astype(model.flat.dtype)  # decodes wrongly
+    monkeypatch.setattr(piece_codec.PieceModel, "load", classmethod(lambda cls: model))
+    assert {r["doc_id"]: r["round_trip"] for r in corpus_pipeline.token_ids(spark, docs, SF).collect()} == {1: False, 2: True, 3: True, 4: True}
