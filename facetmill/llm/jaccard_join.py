@@ -8,28 +8,34 @@ band is chosen by cost: signatures written against chance collisions of small se
 
 A band has some segments more than it needs, so linked sets have several equal signatures. Rows of a
 signature that few sets have are counted in pairs, and pairs with too few equal signatures are
-dropped; rows of a crowded signature are only tied to their least id, which loses nothing. The
-components of what is left hold every linked pair, and each is verified exactly, with the sets shipped
-once: in one task for those of usual size, in pairs of blocks for large ones. Equal sets are one class
-from the start, so copies never meet in pairs. Verification counts common tokens by matrix products
-over hashed 64-bit tokens and returns links that span the components, not all pairs.
+dropped; rows of a crowded signature are only tied to one of their ids, which loses nothing. The
+components of these candidates hold every linked pair. A component of usual size is verified in one
+task, every pair of it. In a large one the candidate edges are verified first, a hub with some of its
+neighbours in a task; what they link is one class, and only blocks of different classes whose sizes
+can be linked at all meet afterwards, so cost follows what isn't linked yet, not the square of a
+family of copies. Equal sets are one class from the start. Verification counts common tokens by matrix
+products over hashed 64-bit tokens and returns links that span the components, not all pairs.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; fewer words
-than a shingle form one shingle; repeated rows are one document twice; a row without an id takes the
-component of a row with an equal set, or none.
+than a shingle form one shingle; repeated rows are one document twice. An id that stands on different
+texts stands for each of them: whatever they are linked with is one component, and each row keeps its
+own number of shingles. A row without an id takes the component of a row with an equal set, or none,
+and links nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.llm import kernels as K
-from facetmill.llm.common import bound_batches, materialize
+from facetmill.llm.common import bound_batches, discard, join_hot, materialize
 from facetmill.llm.components import connected_components
 
 #: Cost of a chance collision, in signatures; tokens of an average segment under which collisions are
@@ -43,12 +49,12 @@ EVIDENCE = 12
 CROWDED = 16
 #: Sample that tells common tokens: its documents, how many must hold a token, tokens kept at most.
 SAMPLE_DOCS, COMMON_DOCS, COMMON_TOKENS = 5000, 3, 200_000
-#: Members of a component that one task verifies; larger ones are split into pairs of such blocks.
+#: Members of a component that one task verifies, and their tokens; larger ones are split.
 BLOCK, BLOCK_TOKENS = 1500, 2_000_000
 #: Signatures that a task combines before sending them.
 LOT = 400_000
-#: Up to so many ids of members, copies or classes (32 bytes each) are sent to all executors; beyond,
-#: rows are shuffled.
+#: Up to so many ids of members, copies, classes or blocks (32 bytes each) are sent to all executors;
+#: beyond, rows are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -158,8 +164,8 @@ def common_tokens(docs: DataFrame, width: int, n_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64())], ["token"])
 
     counts = sample.select("id", "text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCS)
-    top = counts.orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).select("token").collect()
-    return np.sort(np.array([r["token"] for r in top], np.int64).view(np.uint64))
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).select("token").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64))
 
 
 def _ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -168,97 +174,100 @@ def _ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
+def _fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit halves for each set: sums of its tokens' hashes, so equal sets have equal ones."""
+    halves = [np.array([np.add.reduce(K.mix(s ^ np.uint64(salt))) for s in sets], np.uint64) for salt in (0, 0xABCDEF987654321)]
+    return [pa.array(h.view(np.int64)) for h in halves]
+
+
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     """id, n_shingles and the two halves of the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = token_sets(*K.column(batch), width)
-            low = np.array([np.add.reduce(K.mix(s)) for s in sets], np.uint64)
-            high = np.array([np.add.reduce(K.mix(s ^ np.uint64(0xABCDEF987654321))) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], ["id", "n_shingles", "fp1", "fp2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *_fingerprints(sets)], ["id", "n_shingles", "fp1", "fp2"])
+        K.release()
 
     return docs.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long")
 
 
-def _combine(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A lot's rows without those of signatures that are crowded in the lot alone: these are tied to the
-    least id by signatures of their own, so however common a signature is, a lot sends few rows of it."""
+def _combine(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A lot's rows (signature, id, whether crowded). Of a signature that is crowded in the lot alone one
+    row stays, which says so; its other rows are tied to that row's id by signatures of their own. So
+    however common a signature is, a lot sends one row of it."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
-    place = np.arange(len(sig)) - np.repeat(first, size)
-    tied = np.repeat(size > CROWDED, size) & (place > CROWDED)
+    crowded = np.repeat(size > CROWDED, size)
+    tied = crowded & (np.arange(len(sig)) > np.repeat(first, size))
     extra = np.unique(np.stack([ids[tied], np.repeat(ids[first], size)[tied]], 1), axis=0)
     extra = extra[extra[:, 0] != extra[:, 1]]
     own = K.mix(K.mix(extra[:, 0].astype(np.uint64)) ^ extra[:, 1].astype(np.uint64) ^ np.uint64(0x1234567))
     own = (own & ~np.uint64(15)) | np.uint64(1)
-    return np.concatenate([sig[~tied], own, own]), np.concatenate([ids[~tied], extra[:, 0], extra[:, 1]])
+    return np.concatenate([sig[~tied], own, own]), np.concatenate([ids[~tied], extra[:, 0], extra[:, 1]]), np.concatenate([crowded[~tied], np.zeros(2 * len(own), bool)])
 
 
 def _pairs(signed: DataFrame) -> DataFrame:
     """a, b and the evidence for the pair, 1 or more if it must be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sig, ids, said = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         hub: tuple[int, int] | None = None  # of a crowded signature that goes on
 
-        def found(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        def found(sig: np.ndarray, ids: np.ndarray, said: np.ndarray) -> pa.RecordBatch:
             a, b, w = [], [], []
             if len(sig):
                 first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-                size = np.repeat(np.diff(np.append(first, len(sig))), np.diff(np.append(first, len(sig))))
-                least = np.repeat(ids[first], np.diff(np.append(first, len(sig))))
+                size = np.diff(np.append(first, len(sig)))
+                many, tie = (size > CROWDED) | said[first], ids[first].copy()
                 if hub is not None and sig[0] == hub[0]:
-                    same = sig == hub[0]
-                    least[same], size[same] = hub[1], CROWDED + 1
-                many = size > CROWDED
-                a.append(ids[many]), b.append(least[many]), w.append(np.ones(many.sum()))
+                    many[0], tie[0] = True, hub[1]
+                many, tie = np.repeat(many, size), np.repeat(tie, size)
+                a.append(ids[many]), b.append(tie[many]), w.append(np.ones(many.sum()))
                 for d in range(1, min(CROWDED, len(sig))):
                     at = np.flatnonzero((sig[d:] == sig[:-d]) & ~many[d:])
                     if not len(at):
                         break
-                    a.append(ids[at + d]), b.append(ids[at]), w.append(1.0 / (sig[at] & 15))
+                    x, y = ids[at + d], ids[at]
+                    a.append(np.maximum(x, y)), b.append(np.minimum(x, y)), w.append(1.0 / (sig[at] & 15))
             columns = [np.concatenate(x) if x else np.zeros(0) for x in (a, b, w)]
             keep = columns[0] != columns[1]
             return pa.RecordBatch.from_arrays([pa.array(c[keep], k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "w"])
 
         for batch in batches:
-            sig = np.concatenate([sig, batch.column(0).to_numpy(zero_copy_only=False)])
-            ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
+            sig, ids, said = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((sig, ids, said), batch.columns))
             if not len(sig):
                 continue
             last = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on
-            if len(sig) - last > CROWDED or hub is not None and hub[0] == sig[-1]:
-                out = found(sig, ids)
-                hub = hub if hub is not None and hub[0] == sig[-1] else (int(sig[-1]), int(ids[last]))
+            on = hub is not None and hub[0] == sig[-1]
+            if on or said[last] or len(sig) - last > CROWDED:
+                yield found(sig, ids, said)
+                hub = hub if on else (int(sig[-1]), int(ids[last]))
                 last = len(sig)
             else:
-                out = found(sig[:last], ids[:last])
+                yield found(sig[:last], ids[:last], said[:last])
                 hub = None
-            sig, ids = sig[last:], ids[last:]
-            yield out
-        yield found(sig, ids)
+            sig, ids, said = sig[last:], ids[last:], said[last:]
+        yield found(sig, ids, said)
         K.release()
 
-    ordered = signed.repartition(F.col("sig")).sortWithinPartitions("sig", "id")
+    ordered = signed.repartition(F.col("sig")).sortWithinPartitions("sig", F.desc("crowded"), "id")
     return ordered.mapInArrow(run, "a long, b long, w double")
 
 
-def _signature_rows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_TOKENS at most
-
+def _signature_rows(docs: DataFrame, width: int, percent: int, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
             if held:
-                sig, ids = _combine(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+                sig, ids, crowded = _combine(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
                 held.clear()
                 sig = sig.view(np.int64)
                 for a in range(0, len(ids), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 50_000]), pa.array(ids[a : a + 50_000])], ["sig", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (sig, ids, crowded)], ["sig", "id", "crowded"])
 
         for batch in batches:
             found = [signatures(s, percent, shared.value) if len(s) else s for s in token_sets(*K.column(batch), width)]
@@ -269,7 +278,7 @@ def _signature_rows(docs: DataFrame, width: int, percent: int, common: np.ndarra
         yield from send()
         K.release()
 
-    return docs.mapInArrow(run, "sig long, id long")
+    return docs.mapInArrow(run, "sig long, id long, crowded boolean")
 
 
 def _sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -280,37 +289,44 @@ def _sets_of(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, _ragged(token_sets(*K.column(batch), width), pa.int64())], [*keep, "tokens"])
+        K.release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     return docs.mapInArrow(run, fields + ", tokens array<long>")
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of the exact similarity graph of the sets; with ``left``, only
-    pairs between the first ``left`` sets and the others are looked at."""
+def _common(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """How many tokens each of the first ``left`` sets has in common with each of the others; with
+    ``left`` 0, each set with each."""
     n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
     token, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), size)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
     times = np.bincount(at, minlength=len(token))
     everywhere = int((times == n).sum())
     useful = np.flatnonzero((times > 1) & (times < n))
     place = np.full(len(token), -1)
     place[useful] = np.arange(len(useful))
     row, col = row[place[at] >= 0], place[at][place[at] >= 0]
-    common = np.full((n, n), float(everywhere), np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
+    out = np.full((left or n, n - left), float(everywhere), np.float32)
     for a in range(0, len(useful), 2048):
         lo, hi = np.searchsorted(col, [a, a + 2048])
         m = np.zeros((n, min(2048, len(useful) - a)), np.float32)
         m[row[lo:hi], col[lo:hi] - a] = 1
-        common += m @ m.T
-    union = size[:, None] + size[None, :] - common.astype(np.int64)
-    linked = 100 * common.astype(np.int64) >= percent * union
-    np.fill_diagonal(linked, False)
-    if left is not None:
-        linked[:left, :left] = linked[left:, left:] = False
+        out += m[: left or n] @ m[left:].T
+    return out.astype(np.int32)
+
+
+def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int = 0) -> list[tuple[int, int]]:
+    """Links that span the components of the exact similarity graph of the sets; with ``left``, only
+    pairs between the first ``left`` sets and the others are looked at."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int32)
+    both = size[: left or n, None] + size[None, left:]
+    linked = (100 + percent) * _common(sets, left) >= percent * both  # 100 * common >= percent * union
+    if not left:
+        np.fill_diagonal(linked, False)
     out: list[tuple[int, int]] = []
     seen = np.zeros(n, bool)
     for first in range(n):
@@ -320,25 +336,29 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | No
         queue = [first]
         while queue:
             i = queue.pop()
-            new = np.flatnonzero(linked[i] & ~seen)
+            if not left:
+                new = np.flatnonzero(linked[i] & ~seen)
+            elif i < left:
+                new = left + np.flatnonzero(linked[i] & ~seen[left:])
+            else:
+                new = np.flatnonzero(linked[:, i - left] & ~seen[:left])
             seen[new] = True
             queue.extend(new.tolist())
-            out.extend((int(ids[i]), int(ids[j])) for j in new)
+            out.extend((int(ids[i]), int(ids[j])) for j in new if ids[i] != ids[j])
     return out
 
 
 def _verify(groups: DataFrame, percent: int) -> DataFrame:
-    """Links within each lot; ``groups`` has lot, side (0, or 0 and 1 for a pair of blocks), id,
-    tokens. Lots come one after another in sorted partitions, so memory is bounded by one lot."""
+    """Links within each lot; ``groups`` has lot, side (0, or 0 and 1 where only pairs of both sides
+    count), id, tokens. Lots come one after another in sorted partitions, so memory is bounded by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, ids, sides, sets = None, [], [], []
         found: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(ids) > 1:
-                left = sides.count(0) if 1 in sides else None
-                found.extend(_links(np.array(ids), sets, percent, left))
+            if len(ids) > 1 and (0 in sides):
+                found.extend(_links(np.array(ids), sets, percent, sides.count(0) if 1 in sides else 0))
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
@@ -354,18 +374,69 @@ def _verify(groups: DataFrame, percent: int) -> DataFrame:
                 if x != lot:
                     close()
                     lot, ids, sides, sets = x, [], [], []
+                new = flat[bounds[i] : bounds[i + 1]]
+                same = range(bisect_left(ids, key[i], sides.index(side[i])), len(ids)) if sides[-1:] == [side[i]] else ()
+                if any(np.array_equal(sets[k], new) for k in same):
+                    continue  # a repeated row
                 ids.append(key[i])
                 sides.append(side[i])
-                sets.append(flat[bounds[i] : bounds[i + 1]].copy())
+                sets.append(new.copy())
             yield flush()
         close()
         yield flush()
         K.release()
 
-    ordered = groups.repartition(F.col("lot")).sortWithinPartitions("lot", "side", "id")
+    ordered = groups.select("lot", "side", "id", "tokens").repartition(F.col("lot")).sortWithinPartitions("lot", "side", "id")
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """The written table, to be sent to all executors if it is small."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+
+def _candidate_links(sets: DataFrame, chains: DataFrame, percent: int) -> DataFrame:
+    """The verified ones among the candidate edges of large components: a node with a part of the
+    greater nodes that it is tied to makes a lot, so a hub is spread over many."""
+    edges = chains.join(sets.select(F.col("id").alias("a")).distinct(), "a")
+    hubs = materialize(edges.groupBy("b").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts")), "hubs")
+    crowded = F.col("parts") > 100
+    dealt = join_hot(edges, hubs, ["b"], crowded).select("b", F.col("a").alias("id"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    many = sets.select("id", "tokens").join(dealt, "id").select("id", "tokens", "b", "part", F.lit(1).alias("side"))
+    one = join_hot(sets.select("id", "tokens"), hubs.withColumnRenamed("b", "id"), ["id"], crowded)
+    one = one.select("id", "tokens", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    out = materialize(_verify(one.unionByName(many).withColumn("lot", F.concat_ws(":", "b", "part")), percent), "links")
+    discard(hubs)
+    return out
+
+
+def _block_links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links between members of large components that no verified candidate edge has put in one class.
+
+    Members are dealt to blocks by class and size. Two blocks of a component meet unless they are of
+    one class, or no size in one can be linked to a size in the other."""
+    named = classes.select(F.col("node").alias("id"), F.col("root").alias("class"))
+    named = materialize(named.unionByName(classes.select(F.col("root").alias("id"), F.col("root").alias("class")).distinct()), "classes")
+    step = float(np.log(100 / percent)) if percent < 100 else 1.0
+    held = sets.join(_sent(named), "id", "left").withColumn("size", F.size("tokens"))
+    held = held.withColumn("group", F.concat_ws(":", "root", F.coalesce(F.col("class").cast("string"), F.lit("alone")), F.floor(F.log(F.col("size").cast("double")) / step)))
+    parts = F.greatest(F.ceil(F.count("*") / (BLOCK // 2)), F.ceil(F.sum("size") / (BLOCK_TOKENS // 2))).cast("int")
+    groups = materialize(held.groupBy("root", "class", "group").agg(parts.alias("parts"), F.min("size").alias("lo"), F.max("size").alias("hi")), "groups")
+    blocks = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", "class", "lo", "hi", F.struct("group", "part").alias("block"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = (F.col("x.root") == F.col("y.root")) & (F.col("x.block") <= F.col("y.block"))
+    meet &= (percent * F.col("x.lo") <= 100 * F.col("y.hi")) & (percent * F.col("y.lo") <= 100 * F.col("x.hi"))
+    meet &= F.col("x.class").isNull() | F.col("y.class").isNull() | (F.col("x.class") != F.col("y.class"))
+    pairs = x.join(y, meet).select(F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    pairs = pairs.withColumn("lot", F.concat_ws("|", "p.group", "p.part", "q.group", "q.part"))
+    sides = pairs.select("lot", F.lit(0).alias("side"), "p.*").unionByName(pairs.where("p <> q").select("lot", F.lit(1).alias("side"), "q.*"))
+    sides = materialize(sides, "lots")
+    placed = held.join(_sent(groups.select("group", "parts")), "group").select("id", "tokens", "group", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    out = materialize(_verify(placed.join(_sent(sides), ["group", "part"]), percent), "links")
+    discard(named, groups, sides)
+    return out
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` of every document: rows are linked when
     100 * common >= percent * union of their shingle sets."""
@@ -375,34 +446,33 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     # One class for equal sets: its least id stands for it.
     found = materialize(_set_rows(rows, width), "sets")
     same = ["fp1", "fp2", "n_shingles"]
-    classes = found.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    copied = materialize(classes.where("n > 1").select(*same, "rep"), "copied")
-    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
-    sized = materialize(found.join(copied, same, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "classes")
-    rep_of = sized.where("id <> rep").select("id", "rep").distinct()
-    others = rep_of.select("id")
-    alone = rows.where("id IS NOT NULL").join(F.broadcast(others) if rep_of.count() <= BROADCAST_ROWS else others, "id", "left_anti")
-    signed = _signature_rows(alone, width, percent, common_tokens(rows, width, found.count()))
-    evidence = _pairs(signed).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 0.999")
+    copied = materialize(found.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select(*same, "rep"), "copied")
+    sized = materialize(found.join(_sent(copied), same, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "classes")
+    # Ids that stand for no class are left out of the search; those of several classes link them.
+    by_id = sized.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max(F.col("id") == F.col("rep")).alias("stands"))
+    odd = materialize(by_id.where("NOT stands OR lo <> hi"), "copies")
+    several = odd.where("lo <> hi").select("id")
+    alone = rows.where("id IS NOT NULL").join(_sent(materialize(odd.where("NOT stands").select("id"), "others")), "id", "left_anti")
+    shared = spark.sparkContext.broadcast(common_tokens(rows, width, found.count()))  # COMMON_TOKENS at most
+    evidence = _pairs(_signature_rows(alone, width, percent, shared)).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 0.999")
     chains = materialize(evidence.select("a", "b"), "chains")
+    shared.destroy()
     lots = connected_components(chains)
     nodes = lots.select(F.col("node").alias("id"), "root").unionByName(lots.select(F.col("root").alias("id"), "root").distinct())
     members = materialize(nodes.join(sized.where("id = rep").select("id", "n_shingles").distinct(), "id"), "members")
-    counts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / (BLOCK // 2)), F.ceil(F.sum("n_shingles") / (BLOCK_TOKENS // 2))).cast("int").alias("blocks"), F.count("*").alias("members"))
-    counts = counts.withColumn("blocks", F.when((F.col("members") <= BLOCK) & (F.col("blocks") <= 2), 1).otherwise(F.col("blocks")))
-    members = members.join(counts, "root").select("id", "root", "blocks")
-    few = members.count() <= BROADCAST_ROWS
-    held = materialize(_sets_of(rows.join(F.broadcast(members) if few else members, "id"), width), "lot-sets").dropDuplicates(["id"])
-    # A component is one lot, or every pair of its blocks is, so each pair of members meets once.
-    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = held.select(
-        F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("lot"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "id",
-        "tokens",
-    )
-    links = materialize(_verify(spread, percent), "links")
+    large = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("tokens")).where((F.col("members") > BLOCK) | (F.col("tokens") > BLOCK_TOKENS))
+    large = materialize(large.select("root", F.lit(True).alias("large")), "large")
+    members = materialize(members.join(_sent(large), "root", "left").select("id", "root", "large").distinct(), "members")
+    held = materialize(_sets_of(rows.join(_sent(members), "id"), width), "lot-sets")
+    usual = held.where("large IS NULL").select(F.col("root").alias("lot"), F.lit(0).alias("side"), "id", "tokens")
+    links = materialize(_verify(usual, percent), "links")
+    if large.count():
+        big = held.where("large").select("id", "root", "tokens")
+        first = _candidate_links(big, chains, percent)
+        links = links.unionByName(first).unionByName(_block_links(big, connected_components(first), percent))
+    if several.count():
+        links = links.unionByName(sized.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     linked = connected_components(links)
+    discard(found, copied, chains, members, held)
     roots = sized.join(linked, sized.rep == linked.node, "left")
     return roots.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "rep").alias("component_id"))
