@@ -2,13 +2,14 @@
 
 The statistics of every whole text are computed once and kept as a narrow table. Random cosine
 features with a fixed seed approximate a Gaussian kernel; each partition sums its part of the normal
-equations, the parts are added in two levels, and the ridge system is solved on the driver, whose
-size is that of the features alone. Scores are calibrated by pooled adjacent violators over a
+equations, the parts are added in levels of a few a task, and the ridge system is solved on the
+driver, whose size is that of the features alone. Scores are calibrated by pooled adjacent violators over a
 histogram of the training scores.
 
-Defined results: null and empty texts have statistics 0 and a score like any other; without a
-labelled row every score is 0.5; a label other than 0 or 1 is ignored; repeated label rows of one
-document count once each.
+Defined results: null and empty texts have statistics 0 and a score like any other; texts are read
+whole, however long; without a labelled row every score is 0.5; a label other than 0 or 1 is ignored;
+repeated label rows of one document count once each; repeated documents get equal scores and, if
+labelled, count once each; columns beyond the key and the text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.llm import kernels as K
-from facetmill.llm.common import bound_batches, materialize
+from facetmill.llm.common import bound_batches, discard, materialize, sum_arrays
 
 STATS = (
     "log_bytes log_words word_length upper digit symbol bang pipe dot comma other_punct non_ascii lines dup_lines "
@@ -149,32 +150,33 @@ def fit(labelled: DataFrame) -> Scorer:
     """``labelled`` has ``stats`` and ``label`` (0 or 1). Every labelled row counts."""
     bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col("label").isin(0, 1)).select("stats", F.col("label").cast("double").alias("label"))
+    rows = materialize(rows, "labelled")  # read three times: moments, normal equations, calibration
     width = len(STATS)
     sums = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(width)] + [F.sum(F.col("stats")[i] * F.col("stats")[i]).alias(f"q{i}") for i in range(width)]
     m = rows.agg(F.count("*").alias("n"), *sums).first()
     n = m["n"]
     if not n:
+        discard(rows)
         return Scorer(np.zeros(width), np.ones(width))
     mean = np.array([m[f"s{i}"] for i in range(width)]) / n
     var = np.array([m[f"q{i}"] for i in range(width)]) / n - mean**2
     model = Scorer(mean, np.sqrt(np.maximum(var, 1e-4)))
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, right = np.zeros((COSINES + 1, COSINES + 1)), np.zeros(COSINES + 1)
-        for f in frames:
-            x = model.expand(_matrix(f["stats"]))
-            gram += x.T @ x
-            right += x.T @ f["label"].to_numpy()
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        yield pd.DataFrame({"lot": [TaskContext.get().partitionId() % 16], "part": [np.hstack([gram, right[:, None]]).tobytes()]})
-
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        added = sum(np.frombuffer(p) for p in sorted(frame["part"]))
-        return pd.DataFrame({"part": [added.tobytes()]})
-
-    parts = rows.mapInPandas(partial, "lot int, part binary").groupBy("lot").applyInPandas(total, "part binary").collect()
-    whole = sum(np.frombuffer(bytes(r["part"])) for r in sorted(parts, key=lambda r: bytes(r["part"]))).reshape(COSINES + 1, COSINES + 2)
+        total = np.zeros((COSINES + 1, COSINES + 2))
+        some = False
+        for batch in batches:
+            if batch.num_rows:
+                x = model.expand(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+                total[:, :-1] += x.T @ x
+                total[:, -1] += x.T @ batch.column(1).to_numpy(zero_copy_only=False)
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["lot", "part"])
+
+    whole = sum_arrays(rows.mapInArrow(partial, "lot int, part binary"), (COSINES + 1) * (COSINES + 2)).reshape(COSINES + 1, COSINES + 2)
     gram, right = whole[:, :-1], whole[:, -1]
     penalty = RIDGE * n * np.eye(COSINES + 1) / COSINES
     penalty[-1, -1] = 1e-9 * n
@@ -184,6 +186,7 @@ def fit(labelled: DataFrame) -> Scorer:
     cell = F.floor((raw("stats") + 0.5) / 2 * BINS).cast("int")
     hist = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("w"), F.avg("label").alias("y")).orderBy("cell").collect()
     x = np.array([(r["cell"] + 0.5) / BINS * 2 - 0.5 for r in hist])
+    discard(rows)
     model.steps = pooled_adjacent_violators(x, np.array([r["y"] for r in hist]), np.array([float(r["w"]) for r in hist]))
     return model
 
