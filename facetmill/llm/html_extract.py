@@ -3,9 +3,11 @@
 A page is a stream of tag and text tokens. The streams of one host are aligned one after another into
 a wrapper, an expression of tags in which mismatches have become optional groups (seen in some pages
 only), repeated groups (neighbours of one kind) and text slots (texts that differ). Alignment goes
-level by level, by the longest common sequence of keys. Tasks fold the pages they read into one
-wrapper a host, and these are folded again in two salted steps, so a hot host is never in one task
-and a fold holds one wrapper at a time.
+level by level, by the longest common sequence of keys. Pages of one shape (equal keys throughout) need
+no alignment: tasks merge them as they read them, in any order with one result. The shapes of a host
+are then aligned in the order of their hashes, by ranges of hashes in three steps, so the wrapper
+doesn't hang on how pages lie in partitions, a hot host is spread over many tasks, and a fold holds two
+wrappers at a time.
 
 A wrapper tells the host's content root (the group whose slots hold most text outside links) and its
 constant texts: those that stand in a group on every page that shows it, also among the others of a
@@ -15,7 +17,9 @@ use (few pages, no group below the body that stands out, little text that differ
 content root do element names choose: the article, else main, else the likeliest root.
 
 Defined results: null or empty html, and pages without text, give an empty text; pages without a host
-share one wrapper; repeated rows stay; other columns are ignored.
+share one wrapper; repeated rows stay, and count as one page in telling constants; of groups with
+equally much text the first in page order leads on to the content root; pages are read whole and in
+linear time, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -442,25 +446,53 @@ def main_text(page: str, content: list[str], constants: frozenset[str], fit: boo
     return "\n".join(b.text for b in kept if b.links < 0.8 * len(b.text))
 
 
-def _fold(rows: DataFrame, *by: str) -> DataFrame:
-    """Folds the wrappers of each host; rows of a host come one after another in sorted partitions."""
+def _shape(node: list) -> str:
+    """The keys of a tree, in order and nested."""
+    return f"{node[0]}({','.join(map(_shape, node[4]))})"
+
+
+def _size(node: list) -> int:
+    return 1 + sum(map(_size, node[4]))
+
+
+def _fold(rows: DataFrame, bits: int) -> DataFrame:
+    """Aligns the wrappers of each host whose numbers ``no`` have equal first ``bits`` (of ``BITS``), in
+    the order of the numbers; wrappers of one number are of one shape. Rows of a group come one after
+    another in sorted partitions. The groups' first bits are the new numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, whole = None, Wrapper()
-        for batch in batches:
-            done: list[tuple[str, str]] = []
-            for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if h != host:
-                    if host is not None:
-                        done.append((host, whole.dump()))
-                    host, whole = h, Wrapper()
-                whole.add(Wrapper.load(w))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.string()) for i in range(2)], ["host", "wrapper"])
-        last = [(host, whole.dump())] if host is not None else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in last], pa.string()) for i in range(2)], ["host", "wrapper"])
+        group, number, same, whole = None, None, Wrapper(), Wrapper()
 
-    dealt = rows.repartition(*[F.col(c) for c in by]).sortWithinPartitions("host", "wrapper").select("host", "wrapper")
-    return dealt.mapInArrow(run, "host string, wrapper string")
+        def send(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], ["host", "no", "wrapper"])
+
+        def close() -> list[tuple]:
+            whole.add(same)
+            return [(*group, whole.dump())] if group else []
+
+        for batch in batches:
+            done: list[tuple] = []
+            for host, part, no, wrapper in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (host, part) != group:
+                    done += close()
+                    group, number, same, whole = (host, part), no, Wrapper(), Wrapper()
+                elif no != number:
+                    whole.add(same)
+                    number, same = no, Wrapper()
+                same.add(Wrapper.load(wrapper))
+            yield send(done)
+        yield send(close())
+
+    part = F.shiftright("no", BITS - bits) if bits else F.lit(0).cast("long")
+    dealt = rows.select("host", part.alias("part"), "no", "wrapper").repartition("host", "part").sortWithinPartitions("host", "part", "no")
+    out = dealt.mapInArrow(run, "host string, no long, wrapper string")
+    return out.withColumn("no", F.shiftleft("no", BITS - bits)) if bits else out
+
+
+#: Bits of a shape's number, and those that tell the groups of each step apart.
+BITS, STEPS = 48, (12, 6, 0)
+#: Nodes of wrappers that a task holds while it reads pages.
+HELD_NODES = 100_000
 
 
 def infer(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame:
@@ -469,20 +501,32 @@ def infer(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        found: dict[str, Wrapper] = {}
+        found: dict[tuple[str, int], Wrapper] = {}
+        nodes = 0
+
+        def send() -> pa.RecordBatch:
+            columns = [[h for h, _ in found], [n for _, n in found], [w.dump() for w in found.values()]]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()))], ["host", "no", "wrapper"])
+
         for batch in batches:
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
                     digest = xxhash.xxh3_64_intdigest(page) >> 1
-                    found.setdefault(h, Wrapper()).add(Wrapper(_page_tree(parse(page), digest), [digest]))
-            if len(found) > 2000:  # bounded memory, whatever the number of hosts
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([w.dump() for w in found.values()], pa.string())], ["host", "wrapper"])
-                found.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([w.dump() for w in found.values()], pa.string())], ["host", "wrapper"])
-
-    partial = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, wrapper string")
-    salted = _fold(partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16))), "host", "salt")
-    return _fold(salted, "host")
+                    tree = _page_tree(parse(page), digest)
+                    key = h, xxhash.xxh3_64_intdigest(_shape(tree)) >> (64 - BITS)
+                    if key not in found:
+                        nodes += _size(tree)
+                    found.setdefault(key, Wrapper()).add(Wrapper(tree, [digest]))
+            if nodes > HELD_NODES:
+                yield send()
+                nodes = 0
+        yield send()
+
+    out = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, no long, wrapper string")
+    for bits in STEPS:
+        out = _fold(out, bits)
+    return out.select("host", "wrapper")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
