@@ -3,10 +3,13 @@
 Spans are code-point offsets. As SQL gives matches but no places, each expression also splits the
 text; the lengths of pieces and matches, added up, are the places. Expressions are anchored at run
 starts and use possessive groups, so they match the same leftmost spans in linear time and without
-deep recursion on very long runs.
+deep recursion on very long runs. Running sums and rebuilt texts go by lots of ``LOT`` matches, and
+words near a match come from a cut of the text into pieces, so time grows with the text and not with
+the square of its matches.
 
-DataFrame expressions only. Defined results: null or empty text has no spans; repeated rows stay;
-other columns are kept by ``redact`` and ignored by ``find``.
+DataFrame expressions only. Defined results: null or empty text has no spans; texts are read whole;
+spans of different kinds may overlap, and all are told; repeated rows stay; other columns are kept by
+``redact`` and ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -89,36 +92,75 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+#: Matches whose running sums are made together, and code points of a piece of text.
+LOT, PIECE = 256, 512
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _lots(items: Column) -> Column:
+    """Neighbours in lots of ``LOT``; one empty lot if there are none."""
+    number = F.greatest(F.ceil(F.size(items) / LOT), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), number - 1), lambda c: F.slice(items, c * LOT + 1, LOT))
+
+
+def _running(values: Column, first: Column, add) -> Column:
+    """``first``, then the running result of ``add`` after each value; for short arrays."""
+    return F.aggregate(values, F.array(first), lambda acc, v: F.concat(acc, F.array(add(F.element_at(acc, -1), v))))
+
+
+def _starts(gaps: Column, sizes: Column) -> Column:
+    """Where each match starts, given the lengths of the pieces before them and of the matches."""
+    steps = F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
+
+    def placed(lots: Column) -> Column:
+        ends = F.transform(lots, lambda lot: _running(F.transform(lot, lambda s: s["g"] + s["n"]), F.lit(0), lambda a, v: a + v))
+        before = lambda e: _running(F.transform(e, lambda x: F.element_at(x, -1)), F.lit(0), lambda a, v: a + v)
+        inside = lambda e: F.zip_with(lots, e, lambda lot, x: F.transform(lot, lambda s, i: F.get(x, i) + s["g"]))
+        return _let(ends, lambda e: F.flatten(F.zip_with(inside(e), F.slice(before(e), 1, F.size(lots)), lambda x, b: F.transform(x, lambda v: v + b))))
+
+    return _let(_lots(steps), placed)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, from the pieces that hold it."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor(F.greatest(end - 1, start) / PIECE).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """The confirmed spans of one kind, by start; ``text`` must not be null."""
     pattern, quick = PATTERNS[kind]
     context = CONTEXT[kind]
 
     def placed(found: Column) -> Column:
-        sizes = F.transform(found["match"], lambda m: F.length(m))
-        gaps = F.transform(found["rest"], lambda p: F.length(p))
-        start = lambda acc: F.struct(acc["at"].alias("at"), acc["out"].alias("out"))
-        steps = F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        run = F.aggregate(steps, zero, lambda acc, s: F.struct((acc["at"] + s["g"] + s["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + s["g"])).alias("out")), start)["out"]
-        return F.zip_with(found["match"], run, lambda m, s: F.struct(m.alias("m"), s.alias("s")))
-
-    def scored(x: Column) -> Column:
-        near = F.concat(F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR))), F.lit(" "), F.substring(text, x["s"] + F.length(x["m"]) + 1, F.lit(NEAR)))
-        score = context.score + F.when(near.rlike(context.raising), 0.3).otherwise(0.0) - F.when(near.rlike(context.lowering), 0.3).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)).alias("score"))
+        sizes, gaps = F.transform(found["match"], lambda m: F.length(m)), F.transform(found["rest"], lambda p: F.length(p))
+        return F.zip_with(found["match"], _starts(gaps, sizes), lambda m, s: F.struct(m.alias("m"), s.alias("s"), (s + F.length(m)).alias("e")))
+
+    def scored(valid: Column, pieces: Column) -> Column:
+        def score(x: Column) -> Column:
+            near = F.concat(_between(pieces, F.greatest(x["s"] - NEAR, F.lit(0)), x["s"]), F.lit(" "), _between(pieces, x["e"], x["e"] + NEAR))
+            raised = lambda n: context.score + F.when(n.rlike(context.raising), 0.3).otherwise(0.0) - F.when(n.rlike(context.lowering), 0.3).otherwise(0.0)
+            value = _let(near, lambda n: F.round(F.greatest(F.least(raised(n), F.lit(1.0)), F.lit(0.0)), 2))
+            return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), value.alias("score"))
 
+        return F.transform(valid, score)
+
+    none = F.array().cast(SPAN)
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("rest"))
-    confirmed = _let(found, lambda f: F.transform(F.filter(placed(f), lambda x: _valid(kind, x["m"])), scored))
+    valid = lambda f: F.filter(placed(f), lambda x: _valid(kind, x["m"]))
+    judged = lambda v: F.when(F.size(v) > 0, _let(_pieces(text), lambda p: scored(v, p)).cast(SPAN)).otherwise(none)
+    confirmed = _let(found, lambda f: _let(valid(f), judged))
     if kind not in BASE:
         confirmed = F.filter(confirmed, lambda s: s["score"] >= context.least)
-    return F.when(text.rlike(quick), confirmed.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(quick), confirmed).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -133,28 +175,47 @@ def _listed(kinds: tuple[str, ...]) -> Column:
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans, and all spans of every row."""
+    """Counts of the base kinds, the digest of the base spans, all spans and their number, and their
+    scores in the same order, of every row."""
     rows = with_spans(docs.select(F.col(key), F.col(text).alias("text")), "text")
+    scores = F.concat(*[F.transform(f"__pii_{kind}", lambda s: s["score"]) for kind in PATTERNS])
     return rows.select(
         key,
         *[F.size(f"__pii_{kind}").cast("long").alias(f"n_{kind}") for kind in BASE],
         F.sha2(_listed(BASE).cast("binary"), 256).alias("base_sha256"),
         _listed(tuple(PATTERNS)).alias("spans"),
+        F.size(scores).cast("long").alias("n_spans"),
+        F.array_join(F.transform(scores, lambda s: s.cast("string")), ",").alias("scores"),
     )
 
 
+def _kept(spans: Column) -> Column:
+    """Of spans by start those that begin after all earlier ones end, each with that end in ``at``."""
+    kind = "array<struct<at:int,start:int,kind:string>>"
+    farther = lambda a, b: F.greatest(a, b)
+
+    def of(lots: Column) -> Column:
+        reached = _running(F.transform(lots, lambda lot: F.array_max(F.transform(lot, lambda s: s["end"]))), F.lit(0), farther)
+
+        def one(lot: Column, first: Column) -> Column:
+            ends = _running(F.transform(lot, lambda s: s["end"]), first, farther)
+            each = lambda e: F.transform(lot, lambda s, i: F.when(s["start"] >= F.get(e, i), F.struct(F.get(e, i).alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))))
+            return _let(ends, lambda e: F.array_compact(each(e)))
+
+        return F.flatten(F.zip_with(lots, F.slice(reached, 1, F.size(lots)), one))
+
+    return _let(_lots(spans), of).cast(kind)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Texts with each span replaced by its kind in brackets; overlapping spans become one mark."""
+    """Texts with each span replaced by its kind in brackets; overlapping spans become one mark, of the
+    kind that starts first (of these, that ends first, then by name)."""
     t = F.col(text)
 
     def rebuilt(spans: Column) -> Column:
-        step = lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).alias("out"),
-        )
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        done = F.aggregate(spans, zero, step)
-        return _let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(t, d["at"] + 1, F.length(t))))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        marked = lambda p: F.transform(_kept(spans), lambda k: F.concat(_between(p, k["at"], k["start"]), F.lit("["), F.upper(k["kind"]), F.lit("]")))
+        return _let(_pieces(t), lambda p: F.concat(F.array_join(marked(p), ""), F.substring(t, last + 1, F.length(t))))
 
     names = [f"__pii_{kind}" for kind in PATTERNS]
     ordered = F.array_sort(F.transform(F.concat(*names), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
