@@ -3,13 +3,16 @@
 For each (language, source) the minimum covariance determinant of transformed statistic vectors is
 approached by concentration steps from coordinate medians: keep the half of the rows with
 the least Mahalanobis distance, re-estimate, repeat. A group's moments are shrunk to those of its
-language by a fixed number of pseudo-rows, so small groups need no rule of their own, and a floor on
-each variance keeps statistics that are constant among clean texts from being singular. Rows farther
-than a chi-squared quantile are rejected.
+language by a fixed number of pseudo-rows, so small groups need no rule of their own, and a ridge added
+to each variance keeps statistics that are constant among clean texts from being singular. Rows
+farther than a chi-squared quantile are rejected.
 
 DataFrame expressions only: moments and distance histograms are partial aggregates by group, so a hot
 source costs one partial row a task. Defined results: null or empty text has all counts 0 and fails the
-base rule; null language or source is a group of its own; repeated rows stay.
+base rule; texts are read whole; null language or source is a group of its own, apart from the empty
+string's; rows at equal distances, or in one cell of the distances' histogram, are inside the subset
+together, so ties don't hang on any order; repeated rows stay and count each; columns beyond the key,
+text, language and source are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from facetmill.llm.common import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Statistics, with the least standard deviation assumed for each.
+#: Statistics, with the ridge on each one's variance as a standard deviation; also the first scales.
 VECTOR = {"length": 0.12, "symbols": 0.3, "dup_lines": 0.9, "repeats": 0.7, "capitals": 0.35}
 #: Share of a group in the concentrated subset; concentration steps; pseudo-rows of the language.
 SUBSET, STEPS, PSEUDO = 0.5, 3, 20.0
@@ -113,7 +116,7 @@ def chi2_quantile(q: float, p: int) -> float:
 
 
 def _estimates(rows: DataFrame, dims: int) -> DataFrame:
-    """By group: mean m0.. and the Cholesky factor c_ij of the floored covariance, from the rows
+    """By group: mean m0.. and the Cholesky factor c_ij of the covariance with its ridge, from the rows
     with ``inside``; shrunk to the language, and the language to everything."""
     z = [F.col("z")[i] for i in range(dims)]
     pairs = [(i, j) for i in range(dims) for j in range(i + 1)]
@@ -133,8 +136,8 @@ def _estimates(rows: DataFrame, dims: int) -> DataFrame:
     out = out.select("*", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(dims)])
     # Consistency at the normal distribution for a subset of this share.
     scale = SUBSET / chi2_cdf(chi2_quantile(SUBSET, dims), dims + 2)
-    floors = list(VECTOR.values())
-    out = out.select(*KEYS, *[f"m{i}" for i in range(dims)], *[(scale * (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (floors[i] ** 2 if i == j else 0.0)).alias(f"v{i}_{j}") for i, j in pairs])
+    ridge = list(VECTOR.values())
+    out = out.select(*KEYS, *[f"m{i}" for i in range(dims)], *[(scale * (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (ridge[i] ** 2 if i == j else 0.0)).alias(f"v{i}_{j}") for i, j in pairs])
     for i, j in pairs:  # row by row, so each entry needs only those before it
         rest = F.col(f"v{i}_{j}")
         for k in range(j):
@@ -187,9 +190,14 @@ def outliers(stats: DataFrame) -> DataFrame:
     return _distances(stats, model, dims, few)
 
 
+def _group(column: str) -> Column:
+    """A value as the name of a group; null has one that no value has."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
     """Base counts, ``base_failed``, ``distance2`` and ``kept`` of every row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("g_lang"), F.coalesce(F.col(source), F.lit("")).alias("g_source"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _group(lang).alias("g_lang"), _group(source).alias("g_source"))
     counted = base_counts(rows).select("key", *KEYS, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*_vector()).alias("z"))
     stats = materialize(counted, "quality-rules")
     cutoff = chi2_quantile(1 - ALPHA, len(VECTOR))
