@@ -5,7 +5,10 @@ one-versus-one machines vote between the closely related languages of that famil
 hashed byte trigrams of the whole lower-cased text, square-rooted and scaled to unit length.
 
 Defined results: null text, or a text with no letter, is ``und`` with score 0; with nothing to learn
-from, every text is ``und``. Repeated rows get equal answers. Columns beyond id and text are ignored.
+from, every text is ``und``. Texts are read whole, however long. Between languages of equal votes and
+belief, or families of equal score, the first by name wins. Repeated rows get equal answers. Rows
+without an id are identified like others, but not learned from. Columns beyond id, text and, in
+training, the language are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ FAMILIES = {
     "semitic": "ar he mt am".split(),
 }
 DIM = 2048
-#: Bound of the training sample: about so many rows of each language, picked by a hash of the id.
-SAMPLE_PER_LANGUAGE = 1000
+#: Bounds of the training sample: about so many rows of each language, picked by a hash of the id, and
+#: so many of all languages (8 KB each on the driver), whatever their number; each language is learned.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS = 1000, 16_000, 16
 
 
 def family_of(lang: str) -> str:
@@ -150,16 +154,18 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Learn from a bounded sample: ``SAMPLE_PER_LANGUAGE`` rows of each language are expected,
-    picked by a hash of the key, so the pick doesn't hang on order or partitions."""
+    """Learn from a bounded sample: ``SAMPLE_PER_LANGUAGE`` rows of each language are expected, fewer
+    where the languages are so many that ``SAMPLE_ROWS`` must do for all. They are picked by a hash of
+    the key, so the pick doesn't hang on order or partitions."""
     bound_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     counts = rows.groupBy(lang).count().orderBy(lang).collect()
     if not counts:
         return Model()
     spread = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
-    often = [r for r in counts if r["count"] > SAMPLE_PER_LANGUAGE]
-    share = F.element_at(F.create_map(*[F.lit(v) for r in often for v in (r[lang], SAMPLE_PER_LANGUAGE / r["count"])]), F.col(lang)) if often else F.lit(None)
+    each = min(SAMPLE_PER_LANGUAGE, max(SAMPLE_ROWS // len(counts), LEAST_ROWS))
+    often = [r for r in counts if r["count"] > each]
+    share = F.element_at(F.create_map(*[F.lit(v) for r in often for v in (r[lang], each / r["count"])]), F.col(lang)) if often else F.lit(None)
     picked = rows.where(spread < F.coalesce(share, F.lit(1.0))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +173,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             x = features(*K.column(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["lang", "x"])
 
-    got = picked.mapInArrow(vectors, "lang string, x binary").collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(bytes(r["x"]), np.float16).astype(np.float32) for r in got]) if got else np.zeros((0, DIM), np.float32)
-    return Model.fit(x, [r["lang"] for r in got]) if got else Model()
+    got = picked.mapInArrow(vectors, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    x = np.zeros((got.num_rows, DIM), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    return Model.fit(x, got.column("lang").to_pylist()) if len(x) else Model()
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
