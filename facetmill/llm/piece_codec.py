@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The best segmentation of a text is the one whose piece scores add up highest; ties go to the longest
-last piece. ``stream_viterbi`` keeps only a window bounded by the longest piece, and commits ids
+last piece. ``stream_viterbi`` keeps scores for a window bounded by the longest piece, and commits ids
 whenever all surviving backpointer paths meet at one boundary. Where two neighbouring bytes stand
 side by side in no piece, every path meets by construction; texts are cut there, equal stretches of
 a batch are solved once, and short ones all together, position by position, in NumPy. Longer
@@ -17,6 +17,7 @@ control ids decode to nothing. Repeated rows stay; other columns are kept.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,45 +87,53 @@ class PieceModel:
 
 
 def stream_viterbi(data: bytes, model: PieceModel) -> Iterator[int]:
-    """Ids of the best segmentation of ``data``, committed as soon as they are certain."""
-    best, back = {0: 0.0}, {0: (0, 0)}  # end -> score; end -> (start, id or -1)
-    done, width = 0, max(model.longest, 4)
+    """Ids of the best segmentation of ``data``, committed as soon as they are certain.
 
-    def path(end: int, start: int) -> list[int]:
+    Scores are kept for a window of the longest piece, backpointers (8 bytes a place) until the paths of
+    the window meet. Runs of one byte may never let them meet; so meetings are looked for at growing
+    distances, and the time stays in proportion to the text."""
+    width = max(model.longest, 4)
+    best, starts = {0: 0.0}, [0]
+    step, piece = array("i", [0]), array("i", [0])  # of the places from ``done`` on; a character as bytes is -1
+    done, look = 0, 2 * width
+
+    def path(end: int) -> list[int]:
         out: list[int] = []
-        while end > start:
-            a, i = back[end]
+        while end > done:
+            a, i = end - step[end - done], piece[end - done]
             out.extend([i] if i >= 0 else model.byte_ids[np.frombuffer(data[a:end], np.uint8)[::-1]].tolist())
             end = a
         return out[::-1]
 
-    starts: list[int] = [0]
     for end in range(1, len(data) + 1):
-        if end < len(data) and 0x80 <= data[end] < 0xC0:
-            continue  # inside a character
-        top, link = -np.inf, None
+        if end < len(data) and 0x80 <= data[end] < 0xC0:  # inside a character
+            step.append(0), piece.append(0)
+            continue
+        while end - starts[0] > width and len(starts) > 1:
+            del best[starts.pop(0)]
+        top, at, token = -np.inf, 0, 0
         for a in starts:
             if end - a <= width and (hit := model.pieces.get(data[a:end])) and best[a] + hit[0] > top:
-                top, link = best[a] + hit[0], (a, hit[1])
+                top, at, token = best[a] + hit[0], a, hit[1]
         a = starts[-1]
         if data[a:end] not in model.pieces and best[a] + model.unknown > top:
-            top, link = best[a] + model.unknown, (a, -1)
-        best[end], back[end] = top, link
+            top, at, token = best[a] + model.unknown, a, -1
+        best[end] = top
+        step.append(end - at), piece.append(token)
         starts.append(end)
-        starts = [a for a in starts if end + 1 - a <= width or a == end]
-        if end - done >= 2 * width:
-            alive = set(starts)
-            while len(alive) > 1:  # the boundary that all surviving paths share
+        if end >= look:
+            alive = {a for a in starts if end - a < width or a == end}
+            while len(alive) > 1 and max(alive) > done:  # the boundary that all surviving paths share
                 last = max(alive)
                 alive.remove(last)
-                alive.add(back[last][0])
-            meet = alive.pop()
+                alive.add(last - step[last - done])
+            meet = alive.pop() if len(alive) == 1 else done
             if meet > done:
-                yield from path(meet, done)
-                for a in [a for a in best if a < meet]:
-                    del best[a], back[a]
-                back[meet], done = (meet, 0), meet
-    yield from path(len(data), done)
+                yield from path(meet)
+                step, piece = step[meet - done :], piece[meet - done :]
+                done = meet
+            look = end + max(2 * width, end - done)
+    yield from path(len(data))
 
 
 def _solve_short(m: np.ndarray, size: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
