@@ -1,25 +1,28 @@
 """Exact substring deduplication with a run-length index of repeated regions.
 
-Every byte covered by a string of ``length`` bytes that starts in a second place anywhere is removed.
-The work is dealt out so that each window of ``length`` bytes is judged in exactly one place:
+Every byte covered by a string of ``length`` bytes that starts in a second place anywhere is removed;
+strings of ``mark`` bytes (at most ``length``) that do so are reported as shared. The work is dealt out
+so that each place where such a string can start is judged in exactly one task:
 
-1. A window's anchor is the leftmost of its least k-gram hashes, so equal windows have equal anchors
-   at equal offsets. The windows of one anchor form a stretch; its context is the bytes they cover.
+1. The anchor of a place is the leftmost of the least k-gram hashes of the ``mark`` bytes from there, so
+   equal strings have equal anchors at equal offsets. The places of one anchor that lie side by side
+   form a stretch; its context is the bytes up to ``length`` after the last of them.
 2. Contexts that are equal byte for byte (by a 64-bit anchor and a 64-bit context hash) are one class;
    a class with two members is repeated throughout. Copies are settled here, by counting.
-3. Only anchors with several classes need a search: one context of each class goes to the lot of its
-   anchor. A lot is indexed as a run-compressed Burrows-Wheeler transform: suffixes are sorted up to
-   ``length`` bytes, and common-prefix lengths are taken at the ends of the runs only. Streaming over
-   the text, the length of the match at a position is the one sampled there or one less than the
-   position's before; where it reaches ``length`` the window is repeated.
+3. Anchors with several classes are searched: one context of each class goes to the lot of its anchor. A
+   lot is indexed as a run-compressed Burrows-Wheeler transform: suffixes are sorted up to ``length``
+   bytes, and common-prefix lengths are taken at the ends of the runs only. Streaming over the text, the
+   match at a place is the longest one sampled there or one less than at the place before: matching
+   statistics, which tell where ``mark`` and ``length`` are reached.
 4. An anchor with more classes than a lot should hold is settled by counting hashes instead, spread
-   over all tasks: first of the bytes that neighbouring windows share, then of the windows left.
+   over all tasks: first of the bytes that neighbouring strings share, then of the strings left.
 
-Marked windows go back to their documents, which cut the covered bytes.
+Marked places go back to their documents, which cut the covered bytes.
 
 Defined results: null or empty text has no bytes; texts shorter than ``length`` keep all; matches never
-cross documents. ``key`` must tell documents apart: a row that occurs twice is a copy of itself, and
-rows without a key count as places of a string but keep all. Other columns are ignored.
+cross documents. Rows are told apart by key and text: a row that occurs twice is a copy of itself, one
+key may stand on several texts, and rows without a key are judged like others. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.llm import kernels as K
-from facetmill.llm.common import bound_batches, materialize
+from facetmill.llm.common import bound_batches, discard, join_hot, materialize
 
 #: Bytes of an anchor's k-gram.
 GRAM = 48
-#: Windows looked at in one piece of a long text.
+#: Places looked at in one piece of a long text.
 PIECE = 2 << 20
 #: Distances to the anchor that are counted together for crowded anchors.
 NEAR = 32
-#: Bytes of a lot, and classes of one anchor that a lot takes.
-LOT_BYTES, LOT_CLASSES = 1 << 20, 2000
+#: Bytes of a lot, and classes of one anchor that a lot takes; bytes of the lots dealt to one task.
+LOT_BYTES, LOT_CLASSES, TASK_BYTES = 1 << 20, 2000, 64 << 20
+#: Rows of one context, or classes of one anchor, beyond which the rows stay where they are in a join.
+HOT = 100_000
 
 
 def _window_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -55,95 +60,112 @@ def _window_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def stretches(text: np.ndarray, length: int, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
-    """(first window, number of windows, anchor hash) for every window of the text, in order."""
-    gram = min(gram, max(1, length // 4))
-    for base in range(0, max(len(text) - length + 1, 0), PIECE):
-        part = text[base : base + PIECE + length - 1]
+def gram_of(mark: int) -> int:
+    return min(GRAM, max(1, mark // 4))
+
+
+def stretches(text: np.ndarray, mark: int) -> Iterator[tuple[int, int, int]]:
+    """(first place, number of places, anchor hash) for every string of ``mark`` bytes, in order."""
+    gram = gram_of(mark)
+    for base in range(0, max(len(text) - mark + 1, 0), PIECE):
+        part = text[base : base + PIECE + mark - 1]
         p = K.prefix_hash(part)
         at = np.arange(len(part) - gram + 1)
         h = K.span_hash(p, at, at + gram)
         key = (h & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
-        anchor = (_window_min(key, length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+        anchor = (_window_min(key, mark - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         number = np.diff(np.append(first, len(anchor)))
         for s, n, a in zip(first.tolist(), number.tolist(), h[anchor[first]].view(np.int64).tolist()):
             yield base + s, n, a
 
 
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """Of each text, which positions start a string of ``length`` bytes that also starts elsewhere in
-    the texts: run-compressed transform, samples at run ends, streamed match lengths."""
+def matching_statistics(texts: list[bytes], places: list[int], longest: int, least: int) -> list[np.ndarray]:
+    """For the first ``places`` bytes of each text, how long a string from there also starts at another
+    such place: exact from ``least`` to ``longest`` bytes, shorter or longer matches only on the right
+    side of these bounds. The bytes after them are read on, but start nothing, as they may be places of
+    another text. Run-compressed transform, samples at run ends, streamed match lengths."""
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     s = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     n = len(s)
-    # Rank by 8 bytes, then double, sorting only positions whose rank is still shared.
+    # Rank by 8 bytes, then by three ranks at a time, sorting only places whose rank is still shared.
     padded = np.concatenate([s, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + n]
     order = np.argsort(word)
-    fresh = np.concatenate([[True], word[order[1:]] != word[order[:-1]]])
-    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    word = word[order]
+    fresh = np.concatenate([[True], word[1:] != word[:-1]])
     rank = np.empty(n, np.int64)
-    rank[order] = head
-    span = 8
-    late = np.full(n, length <= span)  # not told apart from the suffix before by the last round but one
-    while span < length:
-        late = ~fresh
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    span, digits = 8, max(int(n).bit_length(), 1)
+    early = fresh.copy() if span <= least else np.zeros(n, bool)  # told apart within ``least`` bytes
+    while span < longest:
         shared = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
         if not len(shared):
-            return [np.zeros(len(t), bool) for t in texts]
+            break
         pos = order[shared]
-        next_rank = np.where(pos + span < n, rank[np.minimum(pos + span, n - 1)], -1)
-        inner = np.argsort(rank[pos] * (n + 1) + next_rank + 1)
-        pos, next_rank = pos[inner], next_rank[inner]
+        key = rank[pos]
+        steps = 2 if 2 * span < longest and 3 * digits <= 63 else 1  # more ranks that fit into the key
+        for k in range(1, steps + 1):
+            ahead = pos + k * span
+            key = (key << digits) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        inner = np.argsort(key)
+        pos, key = pos[inner], key[inner]
         order[shared] = pos
-        group = rank[pos]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (next_rank[1:] != next_rank[:-1])])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         fresh[shared] = new
         rank[pos] = np.maximum.accumulate(np.where(new, shared, 0))
-        span *= 2
+        span *= steps + 1
+        if span <= least:
+            early = fresh.copy()
+    starts = np.zeros(n, bool)
+    for a, number in zip(bounds[:-1], places):
+        starts[a : a + number] = True
+    starts = starts[order]
+    # Equal numbers: not told apart at all, or not within ``least`` bytes.
+    alike, near = np.cumsum(fresh)[starts], np.cumsum(early)[starts]
+    order = order[starts]
     # Run ends of the transform: where the byte before differs from that of the suffix next in order.
     before = s[order - 1].astype(np.int16)
     before[order == 0] = -1
     # Starts of texts count as different, and so do suffixes that were not told apart.
-    ends = (before[1:] != before[:-1]) | (before[1:] == 0xFF) | ~fresh[1:]  # between neighbours i and i+1
+    ends = (before[1:] != before[:-1]) | (before[1:] == 0xFF) | (alike[1:] == alike[:-1])  # between neighbours i and i+1
     # Neighbours told apart earlier have too little in common to be of use as samples.
-    sampled = np.flatnonzero(ends & late[1:])
+    sampled = np.flatnonzero(ends & (near[1:] == near[:-1]))
     left, right = order[sampled], order[sampled + 1]
-    common = _common_prefix(s, left, right, length)
+    common = _common_prefix(s, left, right, max(span, longest))  # all that isn't told apart is sampled
     # Streaming: the match at x+1 is at least that at x less one. Inside a run both neighbours go on
-    # to the left with the same byte, so only the samples start anything new.
+    # to the left with the same byte, and what is left of a place in its text is one, so only the
+    # samples start anything new.
     match = np.zeros(n, np.int64)
     np.maximum.at(match, left, common)
     np.maximum.at(match, right, common)
-    reach = np.maximum.accumulate(match + np.arange(n))
-    long = reach - np.arange(n) >= length
-    return [long[a : b - 1] for a, b in zip(bounds[:-1], bounds[1:])]
+    match = np.maximum.accumulate(match + np.arange(n)) - np.arange(n)
+    return [match[a : a + number] for a, number in zip(bounds[:-1], places)]
 
 
 def _common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
-    """Length of the common prefix of pairs of suffixes, ``longest`` at most counted per doubling;
-    separators (0xFF) match nothing, so matches stay inside a text."""
+    """Length of the common prefix of pairs of suffixes, looked at up to ``longest`` and a bit; separators
+    (0xFF) match nothing, so matches stay inside a text."""
     n = len(s)
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
     step = 16
     padded = np.concatenate([s, np.full(64, 0xFF, np.uint8)])
+    grid = np.arange(step)
     while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
-        grid = np.arange(step)
         u, v = padded[np.minimum(x[:, None] + grid, n + 63)], padded[np.minimum(y[:, None] + grid, n + 63)]
         bad = (u != v) | (u == 0xFF)
         stop = bad.any(axis=1)
         out[live] += np.where(stop, bad.argmax(axis=1), step)
-        live = live[~stop]
+        live = live[~stop & (out[live] < longest)]
     return out
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each stretch: id, start, number of windows, anchor, context hash."""
+def _anchors(docs: DataFrame, length: int, mark: int) -> DataFrame:
+    """A row for each stretch: id and digest of the text, start, number of places, anchor, context hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -151,38 +173,40 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             buf, offs = K.column(batch)
             view = memoryview(np.ascontiguousarray(buf)).cast("B") if len(buf) else b""
-            ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for key, s, e in zip(ids, offs[:-1].tolist(), offs[1:].tolist()):
-                if e - s >= length:
-                    for start, number, anchor in stretches(buf[s:e], length):
+            for i, (s, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                if e - s >= mark:
+                    for start, number, anchor in stretches(buf[s:e], mark):
                         at = s + start
-                        rows.append((key, start, number, anchor, xxhash.xxh3_64_intdigest(view[at : at + number + length - 1]) - (1 << 63)))
+                        rows.append((i, start, number, anchor, xxhash.xxh3_64_intdigest(view[at : min(at + number + length - 1, e)]) - (1 << 63)))
             columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "start", "number", "anchor", "context"])
+            row = pa.array(columns[0], pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[pa.array(c, k) for c, k in zip(columns[1:], kinds)]], ["id", "digest", "start", "number", "anchor", "context"])
+        K.release()
 
-    return docs.mapInArrow(run, "id long, start int, number int, anchor long, context long")
+    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest long, start int, number int, anchor long, context long")
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` has id, text and wanted (array of start, number, anchor, context, crowded); gives one
-    row with the bytes of each."""
+    """``docs`` has text and wanted (array of start, number, anchor, context, crowded); gives one row
+    with the bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.column(batch)
             rows = []
             for i, wanted in enumerate(batch.column(batch.schema.get_field_index("wanted")).to_pylist()):
-                s = int(offs[i])
+                s, e = int(offs[i]), int(offs[i + 1])
                 for w in wanted:
                     at = s + w["start"]
-                    rows.append((w["anchor"], w["context"], w["number"], w["crowded"], buf[at : at + w["number"] + length - 1].tobytes()))
+                    rows.append((w["anchor"], w["context"], w["number"], w["crowded"], buf[at : min(at + w["number"] + length - 1, e)].tobytes()))
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "context", "number", "crowded", "bytes"])
+        K.release()
 
-    return docs.select("id", "text", "wanted").mapInArrow(run, "anchor long, context long, number int, crowded boolean, bytes binary")
+    return docs.select("text", "wanted").mapInArrow(run, "anchor long, context long, number int, crowded boolean, bytes binary")
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -191,10 +215,12 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 SPANS = "array<struct<a:int,b:int>>"
+#: Marked places of a class: starts of strings of ``length`` bytes, and of ``mark`` bytes.
+MARKS = f"anchor long, context long, spans {SPANS}, shared {SPANS}"
 
 
-def _search(contexts: DataFrame, length: int, lots: int) -> DataFrame:
-    """anchor, context and marked window runs, by lots of anchors."""
+def _search(contexts: DataFrame, length: int, mark: int, tasks: int) -> DataFrame:
+    """The marks of each class, by lots of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -203,17 +229,19 @@ def _search(contexts: DataFrame, length: int, lots: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             rows = []
             if len(held) > 1:
-                for (anchor, context, number, _), mark in zip(held, repeated_starts([h[3] for h in held], length)):
-                    if mark[:number].any():
-                        rows.append((anchor, context, [{"a": a, "b": b} for a, b in _runs(mask=mark[:number])]))
+                for (anchor, context, *_), match in zip(held, matching_statistics([h[3] for h in held], [h[2] for h in held], length, mark)):
+                    if (match >= mark).any():
+                        rows.append((anchor, context, *[[{"a": a, "b": b} for a, b in _runs(match >= least)] for least in (length, mark)]))
             held.clear()
-            columns = list(zip(*rows)) if rows else [[]] * 3
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["anchor", "context", "spans"])
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), span, span))], ["anchor", "context", "spans", "shared"])
 
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
             for anchor, context, number, data in rows:
+                if held and held[-1][:2] == (anchor, context):
+                    continue  # from a row that occurs twice
                 if size >= LOT_BYTES and anchor != lot:  # rows of an anchor stay together
                     yield close()
                     size = 0
@@ -223,26 +251,27 @@ def _search(contexts: DataFrame, length: int, lots: int) -> DataFrame:
         yield close()
         K.release()
 
-    dealt = contexts.where("NOT crowded").select("anchor", "context", "number", "bytes").repartition(lots, "anchor").sortWithinPartitions("anchor", "context")
-    return dealt.mapInArrow(run, f"anchor long, context long, spans {SPANS}")
+    dealt = contexts.where("NOT crowded").select("anchor", "context", "number", "bytes").repartition(tasks, "anchor").sortWithinPartitions("anchor", "context")
+    return dealt.mapInArrow(run, MARKS)
 
 
-def _anchor_place(s: np.ndarray, anchor: int, number: int, length: int) -> int:
-    """Where a context's anchor starts: the first such k-gram that all its windows hold."""
-    gram = min(GRAM, max(1, length // 4))
-    at = np.arange(number - 1, length - gram + 1)
+def _anchor_place(s: np.ndarray, anchor: int, number: int, mark: int) -> int:
+    """Where a context's anchor starts: the first such k-gram that the strings of all its places hold."""
+    gram = gram_of(mark)
+    at = np.arange(number - 1, mark - gram + 1)
     h = K.span_hash(K.prefix_hash(s), at, at + gram).view(np.int64)
     return int(at[np.flatnonzero(h == anchor)[0]])
 
 
-def _crowded(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many classes, by counting hashes.
+def _crowded(contexts: DataFrame, length: int, mark: int) -> DataFrame:
+    """The same for anchors with very many classes, by counting hashes, for each of the two lengths.
 
-    Windows whose distance to the anchor falls in one class of ``NEAR`` distances share all but
+    Strings whose distance to the anchor falls in one class of ``NEAR`` distances share all but
     ``NEAR`` - 1 bytes. Those shared bytes are counted first; only classes seen twice have their
-    windows hashed and counted."""
+    strings hashed and counted."""
 
-    near = min(NEAR, length // 2)
+    near = min(NEAR, mark // 2)
+    sizes = sorted({mark, length})
 
     def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -250,83 +279,108 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             rows = []
             for anchor, context, number, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                place = _anchor_place(np.frombuffer(data, np.uint8), anchor, number, length)
-                for j in range((place - number + 1) // near, place // near + 1):
-                    first = place - near * j
-                    rows.append((anchor, context, j, xxhash.xxh3_64_intdigest(data[max(first, 0) : first + length - near + 1]) - (1 << 63)))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["anchor", "context", "part", "shared"])
+                place = _anchor_place(np.frombuffer(data, np.uint8), anchor, number, mark)
+                for size in sizes:
+                    n = min(number, len(data) - size + 1)
+                    for j in range((place - n + 1) // near, place // near + 1) if n > 0 else ():
+                        first = place - near * j
+                        rows.append((anchor, context, size, j, xxhash.xxh3_64_intdigest(data[first : first + size - near + 1]) - (1 << 63)))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["anchor", "context", "size", "part", "common"])
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, context, number, data, parts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 s = np.frombuffer(data, np.uint8)
-                place = _anchor_place(s, anchor, number, length)
-                at = np.arange(number)
-                at = at[np.isin((place - at) // near, parts)]
-                h = K.span_hash(K.prefix_hash(s), at, at + length).view(np.int64)
-                fixed = [pa.array(np.full(len(at), v), pa.int64()) for v in (anchor, context)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(at.astype(np.int32)), pa.array(h)], ["anchor", "context", "at", "window"])
-
-    crowded = contexts.where("crowded").select("anchor", "context", "number", "bytes")
-    shared = materialize(crowded.mapInArrow(coarse, "anchor long, context long, part int, shared long"), "shared")
-    key = ["anchor", "part", "shared"]
-    again = shared.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    parts = shared.join(again, key, "left_semi").groupBy("anchor", "context").agg(F.collect_list("part").alias("parts"))
-    rows = materialize(crowded.join(parts, ["anchor", "context"]).select("anchor", "context", "number", "bytes", "parts").mapInArrow(fine, "anchor long, context long, at int, window long"), "windows")
-    twice = rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    marked = rows.join(twice, ["anchor", "window"], "left_semi")
-    return marked.groupBy("anchor", "context").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")))).alias("spans"))
-
-
-def _cut(docs: DataFrame, length: int, kind: str) -> DataFrame:
-    """The digest columns of each document; ``spans`` are its marked windows."""
+                place = _anchor_place(s, anchor, number, mark)
+                p = K.prefix_hash(s)
+                for size in sizes:
+                    at = np.arange(max(min(number, len(s) - size + 1), 0))
+                    at = at[np.isin((place - at) // near, [x["part"] for x in parts if x["size"] == size])]
+                    h = K.span_hash(p, at, at + size).view(np.int64)
+                    fixed = [pa.array(np.full(len(at), v), pa.int64()) for v in (anchor, context)]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.full(len(at), size), pa.int32()), pa.array(at.astype(np.int32)), pa.array(h)], ["anchor", "context", "size", "at", "string"])
+
+    crowded = contexts.where("crowded").select("anchor", "context", "number", "bytes").dropDuplicates(["anchor", "context"])
+    common = materialize(crowded.mapInArrow(coarse, "anchor long, context long, size int, part int, common long"), "common")
+    key = ["anchor", "size", "part", "common"]
+    again = common.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    parts = common.join(again, key, "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct("size", "part")).alias("parts"))
+    rows = crowded.join(parts, ["anchor", "context"]).select("anchor", "context", "number", "bytes", "parts")
+    rows = materialize(rows.mapInArrow(fine, "anchor long, context long, size int, at int, string long"), "strings")
+    twice = rows.groupBy("anchor", "size", "string").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "size", "string")
+    marked = rows.join(twice, ["anchor", "size", "string"], "left_semi")
+    spans = lambda size: F.array_sort(F.collect_list(F.when(F.col("size") == size, F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))))).cast(SPANS)
+    return marked.groupBy("anchor", "context").agg(spans(length).alias("spans"), spans(mark).alias("shared"))
+
+
+def _cut(docs: DataFrame, length: int, mark: int, kind: str) -> DataFrame:
+    """The digest columns of each document; ``spans`` and ``shared`` are its marked places."""
+
+    def covered(size: int, spans: list, width: int) -> np.ndarray:
+        gone = np.zeros(size + 1, np.int32)
+        for sp in spans or ():
+            if sp["a"] + width <= size:  # the last places of a text have only ``mark`` bytes left
+                gone[sp["a"]] += 1
+                gone[min(sp["b"] + width - 1, size)] -= 1
+        return np.cumsum(gone)[:-1] > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.column(batch)
             out: list[tuple] = []
-            for i, spans in enumerate(batch.column(2).to_pylist()):
+            for i, (spans, shared) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 text = buf[offs[i] : offs[i + 1]]
-                gone = np.zeros(len(text) + 1, np.int32)
-                for sp in spans or ():
-                    gone[sp["a"]] += 1
-                    gone[sp["b"] + length - 1] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                out.append((int(len(text)), int(gone.sum()), len(_runs(gone)), text[~gone].tobytes()))
-            sizes, removed, runs, rest = zip(*out) if out else ([], [], [], [])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rest], pa.string())]
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                gone = covered(len(text), spans, length)
+                out.append((int(len(text)), int(gone.sum()), len(_runs(gone)), text[~gone].tobytes(), int(covered(len(text), shared, mark).sum())))
+            sizes, removed, runs, rest, common = zip(*out) if out else ([], [], [], [], [])
+            digests = [hashlib.sha256(r).hexdigest() for r in rest]
+            columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in (sizes, removed, runs)], pa.array(digests, pa.string()), pa.array(common, pa.int64())]
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"]
             if kind == "text":
                 columns.append(pa.array([r.decode("utf-8", "replace") for r in rest], pa.string()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
+        K.release()
 
-    return docs.select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if kind == "text" else ""))
+    return docs.select("id", "text", "spans", "shared").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + (", kept string" if kind == "text" else ""))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, kind: str = "digest") -> DataFrame:
-    """``key``, n_bytes, n_removed, n_spans, kept_sha256 of every document; with kind "text" also
-    ``kept``, the remaining text."""
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, mark: int = 256, kind: str = "digest") -> DataFrame:
+    """``key``, n_bytes, n_removed, n_spans, kept_sha256 of every document, and n_shared, the bytes
+    covered by strings of ``mark`` bytes that also start anywhere else; with kind "text" also ``kept``,
+    the remaining text."""
     spark = docs.sparkSession
     bound_batches(spark)
+    mark = min(mark, length)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    anchors = materialize(_anchors(rows, length), "anchors")
-    classes = anchors.groupBy("anchor", "context", "number").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first"))
+    # Rows are known by key and text; 0 stands for no key, told apart by the digest.
+    rows = rows.withColumn("no", F.coalesce("id", F.lit(0))).withColumn("digest", F.xxhash64(F.col("id").isNull(), "text"))
+    row = ["no", "digest"]
+    anchors = materialize(_anchors(rows.select(F.col("no").alias("id"), "digest", "text"), length, mark).withColumnRenamed("id", "no"), "anchors")
+    classes = anchors.groupBy("anchor", "context", "number").agg(F.count("*").alias("n"), F.min(F.struct(*row, "start")).alias("first"))
     by_anchor = classes.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).where("total > 1")
     # Repeated anchors only; unique ones, the bulk of ordinary text, end here.
     repeated = materialize(classes.join(by_anchor, "anchor").select("anchor", "context", "number", "n", "first", "classes"), "classes")
-    whole = repeated.where("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("number").alias("b"))).cast(SPANS).alias("spans"))
     searched = repeated.where("classes > 1").withColumn("crowded", F.col("classes") > LOT_CLASSES)
-    wanted = searched.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "number", "anchor", "context", "crowded")).alias("wanted"))
+    wanted = searched.groupBy(*[F.col(f"first.{c}").alias(c) for c in row]).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "number", "anchor", "context", "crowded")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     size = searched.agg(F.coalesce(F.sum(F.col("number") + length), F.lit(0))).first()[0]
-    lots = max(1, min(20_000, -(-size // LOT_BYTES)))
-    contexts = materialize(_contexts(rows.join(wanted, "id"), length), "contexts")
-    found = _search(contexts, length, lots).unionByName(_crowded(contexts, length))
+    contexts = materialize(_contexts(rows.join(wanted, row), length), "contexts")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    found = _search(contexts, length, mark, tasks)
+    if searched.where("crowded").limit(1).count():
+        found = found.unionByName(_crowded(contexts, length, mark))
+    found = materialize(found, "found")
     # A class that is repeated throughout needs no search of its own.
-    partly = found.join(whole.select("anchor", "context"), ["anchor", "context"], "left_anti")
+    places = lambda n: F.array(F.struct(F.lit(0).alias("a"), n.alias("b"))).cast(SPANS)
+    whole = repeated.where("n > 1").select("anchor", "context", places(F.col("number")).alias("spans"), places(F.col("number")).alias("shared"), "n")
+    partly = found.join(repeated.select("anchor", "context", "n"), ["anchor", "context"]).where("n = 1")
     marks = materialize(whole.unionByName(partly), "marks")
-    spans = anchors.join(marks, ["anchor", "context"]).select("id", F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
-    spans = spans.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return _cut(rows.join(spans, "id", "left"), length, kind).withColumnRenamed("id", key)
+    placed = join_hot(anchors, marks, ["anchor", "context"], F.col("n") > HOT, 400)
+    moved = lambda c: F.transform(c, lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
+    spans = placed.select(*row, moved("spans").alias("spans"), moved("shared").alias("shared"))
+    spans = spans.groupBy(*row).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("shared")).alias("shared"))
+    spans = materialize(spans, "spans")
+    discard(anchors, repeated, wanted, contexts, found, marks)
+    return _cut(rows.join(spans, row, "left"), length, mark, kind).withColumnRenamed("id", key)
