@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, piece_codec, pii, quality_classifier, quality_rules, substring_dedup
+from facetmill.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, oracles, piece_codec, pii, quality_classifier, quality_rules, substring_dedup
 from facetmill.llm.common import crc_fold, table
 
 
@@ -58,9 +58,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_report(table(spark, sf_dir, "documents"), model)
 
 
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express."""
+    return op5_quality_rules(spark, sf_dir).drop("kept", "distance2")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can express."""
+    return op8_pii(spark, sf_dir).drop("spans", "n_spans", "scores")
+
+
+#: Queries beside op1 to op10, and the SQL of all that have one.
+PARTS = (quality_rules_base, pii_base)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {f.__name__: f for f in PARTS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_license_scan": oracles.license_sql(),
+        "op4_substring_dedup": oracles.dedup_sql(),
+        "op6_ngram_jaccard": oracles.jaccard_sql(),
+        "quality_rules_base": oracles.rules_base_sql(),
+        "pii_base": oracles.pii_base_sql(),
+    }

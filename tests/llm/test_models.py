@@ -1,14 +1,17 @@
 """Language identification, quality classifier, piece codec, HTML extraction, the pipeline."""
 
+import random
+
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from facetmill.llm import html_extract, kernels, language_id, piece_codec, quality_classifier, queries
+from facetmill.llm import common, html_extract, kernels, language_id, piece_codec, quality_classifier, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +34,36 @@ def test_language_odd(spark):
     assert language_id.identify(docs.where("doc_id < 0"), model).count() == 0
 
 
+def test_language_long_and_repeated(spark):
+    german, english = "der schnelle Hund läuft über die Straße und bellt. ", "the quick dog runs over the street and barks. "
+    rows = [(i, (german if i % 2 else english) * (1 + i % 7), "de" if i % 2 else "en") for i in range(60)] + [(None, english, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(7))
+    model = language_id.train(docs)
+    assert sorted(model.members) == ["germanic"]
+    long = [(1, german * 30_000), (2, english * 30_000), (2, english * 30_000), (3, english + "#" * 500_000)]
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(spark.createDataFrame(long, "doc_id long, text string"), model).collect())
+    assert [g[:2] for g in got] == [(1, "de"), (2, "en"), (2, "en"), (3, "en")] and got[1] == got[2]
+    assert language_id.identify(docs, model).columns == ["doc_id", "lang_pred", "score"]
+
+
+def test_language_machines_against_plain_descent():
+    """The accelerated solver reaches the least cost that plain gradient steps find."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 6)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=80) * 0.2 > 0.1, 1, -1).astype(np.float32)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+
+    def cost(w, b):
+        return (weight * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum() + 1e-2 / 2 * w @ w
+
+    w, b = np.zeros(6), 0.0
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (x @ w + b)) * weight * y
+        w, b = w - 0.1 * (1e-2 * w - 2 * slack @ x), b + 0.1 * 2 * slack.sum()
+    assert cost(*language_id.svm(x, y, 1e-2)) < cost(w, b) + 1e-4
+
+
 def test_language_every_label(spark):
     rows = [(i, f"{c}{c}{d}{d} {d}{c}{c}{d} {c}{d}{c}{c}", f"x{c}{d}") for i, (c, d) in enumerate((c, d) for c in "abcdefghijklmnop" for d in "abcdefghijklmnop")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -53,6 +86,59 @@ def test_quality_odd(spark):
     assert quality_classifier.classify(docs.where("doc_id < 0"), some).count() == 0
 
 
+def test_quality_against_plain_matrices(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    texts = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
+    known = {r["doc_id"]: r["label"] for r in labels.collect()}
+    buf, offs = kernels.column(pa.record_batch([pa.array([t for _, t in texts], pa.string())], ["text"]))
+    stats = quality_classifier.statistics(buf, offs)
+
+    class Scorer(quality_classifier.Scorer):
+        ridge, bins = quality_classifier.RIDGE, quality_classifier.BINS
+
+    model, x, fit, _ = brute.ridge_scores(stats, [known.get(i) for i, _ in texts], Scorer)
+    for parts, fan in ((1, 32), (9, 2)):  # in one sum or in levels
+        monkeypatch.setattr(common, "FAN_IN", fan)
+        shuffled = docs.repartition(parts, "doc_id").withColumn("score", F.lit("clash"))
+        got = {r["doc_id"]: r["score"] for r in quality_classifier.classify(shuffled, labels.repartition(parts)).collect()}
+        raw = np.clip(model.raw(stats), x[0], x[-1])
+        # Between two centres of blocks the score lies between the blocks' means.
+        for (i, _), r in zip(texts, raw):
+            near = np.abs(x - r) <= 2 / quality_classifier.BINS + 1e-9
+            lo, hi = fit[np.searchsorted(x, r, side="right") - 1], fit[min(np.searchsorted(x, r), len(x) - 1)]
+            assert lo - 0.35 <= got[i] <= hi + 0.35 and (not near.any() or fit[0] - 1e-9 <= got[i] <= fit[-1] + 1e-9)
+        if parts == 1:
+            first = got
+    assert all(abs(first[i] - got[i]) < 1e-6 for i in got)
+
+
+def test_quality_weights(spark):
+    """Summed by partitions, the ridge weights are those of one plain solve."""
+    rng = np.random.default_rng(2)
+    stats = rng.normal(size=(300, len(quality_classifier.STATS)))
+    label = (stats[:, 0] > 0).astype(int)
+    rows = spark.createDataFrame([(s.tolist(), int(y)) for s, y in zip(stats, label)], "stats array<double>, label int").repartition(7)
+    model = quality_classifier.fit(rows)
+
+    class Scorer(quality_classifier.Scorer):
+        ridge, bins = quality_classifier.RIDGE, quality_classifier.BINS
+
+    plain, x, fit, w = brute.ridge_scores(stats, label, Scorer)
+    assert np.allclose(model.weight, plain.weight, atol=1e-6)
+    assert np.allclose(np.interp(x, *model.steps), np.interp(x, *quality_classifier.pooled_adjacent_violators(x, fit, w)))
+
+
+def test_quality_long_and_repeated(spark):
+    long = "Some quite ordinary words, put down in a row.\n" * 20_000
+    docs = spark.createDataFrame([(1, long), (2, long), (2, long), (3, "### ||| $$$ " * 1000), (None, "words")], "doc_id long, text string").withColumn("stats", F.lit("clash")).withColumn("label", F.lit(3))
+    labels = spark.createDataFrame([(1, 1), (3, 0), (2, 1), (2, 1)], "doc_id long, label int")
+    got = sorted((r["doc_id"] or -1, r["score"], r["predicted"]) for r in quality_classifier.classify(docs, labels).collect())
+    assert len(got) == 5 and got[1][1:] == got[2][1:] == got[3][1:] and all(0 <= s <= 1 for _, s, _ in got) and got[4][2] == 0
+    one = quality_classifier.statistics_table(docs.where("doc_id = 1")).first()["stats"]
+    assert one[0] == np.log1p(len(long)) and one[1] == np.log1p(len(long.split()))
+
+
 def test_isotonic():
     x, y = quality_classifier.pooled_adjacent_violators(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5]), np.ones(6))
     assert (np.diff(y) >= 0).all() and len(x) == len(y)
@@ -72,22 +158,43 @@ def encoded(texts, model):
 
 
 def score(ids, model):
+    """The score of ids: pieces by their own, each character given as bytes by the unknown's."""
     by_id = {i: s for s, i in model.pieces.values()}
-    total, run = 0.0, 0
-    for i in ids:
-        if i in by_id:
-            total += by_id[i]
-    return total, run
+    value = {i: b for b, i in enumerate(model.byte_ids.tolist())}
+    return sum(by_id[i] if i in by_id else model.unknown * (not 0x80 <= value[i] < 0xC0) for i in ids)
+
+
+def close(ids, data, model):
+    want = brute.best_score(data, model.pieces, model.unknown)
+    assert abs(score(ids, model) - want) <= 1e-9 * abs(want) + 1e-6, data[:40]
 
 
 TEXTS = ["", "a", " ", "  two  spaces ", "the cat sat on the mat", "über straße çà", "日本語 mixed ▁ mark\n\ttabs", "x" * 300, "ab" * 40 + "é" * 50, "😀\u0000\x7f", "\n\n\n"]
 
 
+LONG = ["ab" * 3000 + " end", "\u00e9\u65e5" * 700 + "x" * 900, "".join(chr(0x4E00 + i * 37 % 20000) for i in range(1500)), " ".join(f"word{i}ing" for i in range(800))]
+
+
 def test_codec(model):
-    for text, ids in zip(TEXTS, encoded(TEXTS, model)):
-        assert ids == list(piece_codec.stream_viterbi((" " + text).encode() if text else b"", model)), text
-        if text and all((" " + text).encode()[i : i + 1] in model.pieces for i in range(len((" " + text).encode()))) and text.isascii():
-            assert score(ids, model)[0] == brute.best_score((" " + text).encode(), model.pieces, model.unknown)
+    texts = TEXTS + LONG
+    for text, ids in zip(texts, encoded(texts, model)):
+        data = (" " + text).encode() if text else b""
+        assert ids == list(piece_codec.stream_viterbi(data, model)), text
+        close(ids, data, model)
+
+
+def test_codec_window_is_bounded(model):
+    """Scores are kept for one window, backpointers until the paths meet, which takes little on text."""
+    longest = max(model.longest, 4)
+    for data, open_end in ((("ab" * 5000).encode(), 200), (LONG[1].encode(), 200), ((" " + LONG[3]).encode(), 200), (b"a" * 60_000, 70_000)):
+        search, ids, widest = piece_codec.stream_viterbi(data, model), [], 0
+        for i in search:
+            ids.append(i)
+            held = search.gi_frame.f_locals
+            assert len(held["best"]) <= longest + 4
+            widest = max(widest, len(held["step"]))
+        assert b"".join(bytes(model.flat[model.bounds[i] : model.bounds[i + 1]]) for i in ids) == data
+        assert widest <= open_end, (data[:10], widest)
 
 
 @settings(max_examples=60, deadline=None)
@@ -95,7 +202,9 @@ def test_codec(model):
 def test_codec_round_trip(texts):
     model = piece_codec.PieceModel.load()
     for text, ids in zip(texts, encoded(texts, model)):
-        assert ids == list(piece_codec.stream_viterbi((" " + text).encode() if text else b"", model))
+        data = (" " + text).encode() if text else b""
+        assert ids == list(piece_codec.stream_viterbi(data, model))
+        close(ids, data, model)
 
 
 def test_codec_tables(spark, model):
@@ -129,7 +238,7 @@ def test_html_wrappers(spark):
     page = lambda i, n: f"<html><body><div class=top>My site</div><div class=x><div class=box>{''.join(f'<p>Paragraph {i} {j} with words</p>' for j in range(n))}</div></div><div class=bottom>All rights</div></body></html>"
     data = [(i, f"http://a.example/{i}", page(i, 2 + i % 3)) for i in range(8)]
     data += [(50, "http://a.example/50", data[0][2]), (51, None, "<p>lone</p>"), (52, "http://b.example/", None), (53, "x", ""), (54, "http://c.example", "<script>only</script>")]
-    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("text", pa_lit())
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
     assert len(got) == len(data)
     assert got[1]["text"] == "\n".join(f"Paragraph 1 {j} with words" for j in range(3)) and got[50]["text"] == got[0]["text"]
@@ -137,12 +246,6 @@ def test_html_wrappers(spark):
     assert html_extract.extract(pages.where("page_id < 0")).count() == 0
 
 
-def pa_lit():
-    from pyspark.sql import functions as F
-
-    return F.lit("clash")
-
-
 def test_wrapper_expression():
     trees = [html_extract.Wrapper(html_extract._page_tree(html_extract.parse(p)), [i]) for i, p in enumerate(["<body><h1>a</h1><p>x</p><p>y</p></body>", "<body><h1>b</h1><p>z</p><div>d</div></body>"])]
     whole = html_extract.Wrapper()
@@ -201,6 +304,56 @@ def test_html_wide_pages(spark):
     assert html_extract._whole(tree) == sum(len(b.text) for b in html_extract.parse(long[0]))
 
 
+def made_site(rng, n):
+    """Pages of a made site without semantic tags, with the main text that was put in."""
+    lead, ad = (" ".join(f"{c}{rng.random()}" for _ in range(rng.randint(2, 30))) for c in "ls")
+    frame = [f"<div class=k{i}>{' '.join(f'f{i}x{j}' for j in range(rng.randint(2, 9)))}</div>" for i in range(rng.randint(2, 6))]
+    cut = rng.randint(1, len(frame) - 1)
+    pages, texts = [], []
+    for i in range(n):
+        inner, said = [], []
+        for j in range(rng.randint(3, 9)):
+            text = " ".join(f"p{i}x{j}x{k}" for k in range(rng.randint(8, 40)))
+            tag = rng.choice(["p", "p", "h2", "blockquote"])
+            inner.append(f"<{tag}>{text}</{tag}>")
+            said.append(text)
+        at = rng.randint(0, len(inner))
+        inner.insert(at, f"<p class=standing>{lead}</p>")
+        rare = f"<div class=r>{ad}</div>" if i % 3 else ""
+        pages.append(f"<body>{''.join(frame[:cut])}<div class=q><div class=t>{''.join(inner)}</div></div>{rare}{''.join(frame[cut:])}</body>")
+        texts.append("\n".join(said))
+    return pages, texts
+
+
+def test_html_against_plain_counts(spark):
+    """What differs from page to page inside the block that holds most of it, found by plain counting."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for site in range(6):
+        pages, texts = made_site(rng, 24)
+        standing = brute.standing_blocks([html_extract.parse(p) for p in pages], html_extract.LEAST_PAGES)
+        for i, (page, text) in enumerate(zip(pages, texts)):
+            key = 100 * site + i
+            rows.append((key, f"http://s{site}.example/{i}", page))
+            want[key] = text
+            assert "\n".join(b.text for b in html_extract.parse(page) if (b.path, b.text) not in standing) == text
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 5, 13):  # the same pages in other partitions and orders
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(frame.orderBy(F.xxhash64("page_id", F.lit(parts))).repartition(parts)).collect()}
+        assert got == want
+    wrappers = {parts: sorted(map(tuple, html_extract.infer(frame.repartition(parts).withColumn("host", F.split("url", "/")[2])).collect())) for parts in (1, 7)}
+    normal = lambda rows: [(h, html_extract.Wrapper.load(w).expression()) for h, w in rows]
+    assert normal(wrappers[1]) == normal(wrappers[7]) and len(wrappers[1]) == 6
+
+
+def test_html_bounded_tasks(spark, monkeypatch):
+    """Tasks that send their wrappers early, and ranges of hashes, change nothing."""
+    rng = random.Random(5)
+    pages, texts = made_site(rng, 60)
+    monkeypatch.setattr(html_extract, "HELD_NODES", 40)
+    assert sites(spark, pages, pages[:30]) == [texts, texts[:30]]
+
+
 def test_html_sample(spark):
     rows = queries.op2_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert len(rows) == 50 and all("track(" not in r["text"] and "<" not in r["text"].replace("<", "", r["html"].count("&lt;")) for r in rows)
@@ -208,17 +361,41 @@ def test_html_sample(spark):
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
-    kept = {r["doc_id"] for r in out}
-    assert 0.5 * len(texts) < len(kept) <= len(texts)
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    judged = {r["doc_id"]: r["predicted"] for r in quality_classifier.classify(docs, labels).collect()}
     first = corpus_pipeline.quality(spark, docs, SF)
-    groups = brute.components({r["doc_id"]: r["text"] for r in first.collect()}, 5, 80)
+    assert {r["doc_id"] for r in first.collect()} == {k for k, p in judged.items() if p == 1} and first.columns == docs.columns
+    groups = brute.components({k: texts[k] for k, p in judged.items() if p == 1}, 5, 80)
     second = corpus_pipeline.near_duplicates(spark, first, SF)
-    assert {r["doc_id"] for r in second.collect()} == {k for k, (_, c) in groups.items() if c == k}
-    assert second.columns == docs.columns and kept <= {r["doc_id"] for r in second.collect()}
-    assert corpus_pipeline.ORACLE_SQL is None
+    kept = {k for k, (_, c) in groups.items() if c == k}
+    assert {r["doc_id"] for r in second.collect()} == kept and second.columns == docs.columns
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    third = corpus_pipeline.contamination(spark, second, SF)
+    kept -= {t for t, _ in brute.leaks({k: texts[k] for k in kept}, items)}
+    assert {r["doc_id"] for r in third.collect()} == kept and third.columns == docs.columns
+    fourth = corpus_pipeline.personal_data(spark, third, SF)
+    assert fourth.columns == docs.columns and {r["doc_id"]: r["text"] for r in fourth.collect()} == {k: brute.redacted(texts[k]) for k in kept}
+    assert set(out) == kept and 0.5 * len(texts) < len(kept) < len(texts)
+    model = piece_codec.PieceModel.load()
+    for k, r in out.items():
+        text = brute.redacted(texts[k])
+        assert r["text"] == text and r["n_chars"] == len(text) and r["round_trip"]
+        assert r["ids"] == list(piece_codec.stream_viterbi((" " + text).encode() if text else b"", model))
+
+
+def test_pipeline_repeated_ids(spark, tmp_path):
+    """An id on several rows leaves with all of them; an id on other texts is judged by each."""
+    good, bad = "A plain sentence about the weather, with nothing else in it. ", "### $$$ ||| !!! ### "
+    say = lambda k: good + " ".join(f"{w}{k}" for w in ("rain", "sun", "wind", "snow", "fog", "hail", "mist"))
+    docs = spark.createDataFrame([(1, say(1)), (1, say(1)), (2, say(2)), (2, bad * 9), (3, say(3)), (4, bad * 9), (5, say(3) + " again"), (None, say(1))], "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item that no document holds anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(r["doc_id"] or -1 for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert 4 not in got and 2 not in got and got.count(1) == 2 and got.count(-1) == 1 and 3 in got
 
 
 def test_pipeline_odd_rows(spark, tmp_path):

@@ -1,11 +1,13 @@
 """License scan, quality rules and personal data against plain versions, with odd inputs."""
 
-import re
+import time
 
 import brute
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from facetmill.llm import license_scan, pii, quality_rules
+from facetmill.llm import license_scan, oracles, pii, quality_rules
 
 ODD = [
     None,
@@ -25,6 +27,11 @@ ODD = [
     "l\nl\n\nl\n \nm",
     "é ñ ü 日本語 😀 \x00\x1f\x7f",
     "word " * 4000,
+    "\n".join(license_scan.TEMPLATES[0][1].upper()[i : i + 60] for i in range(0, 900, 60)),  # wrapped inside words
+    "Copyright 2001\n" + license_scan.TEMPLATES[0][1].replace(" the ", " THE\n * "),
+    license_scan.GNU.format("Lesser General Public License", "3") + " under the m\u0130t l\u0131cense; \u212aey",
+    "not a license: the gnu public broadcast, general version 3 of the creative apache " * 50,
+    "token abc " + "0123456789abcdef" * 2 + " filler" * 8 + " commit " + "fedcba9876543210" * 3 + " ssn 123-45-6789, 900-12-3456 call 321-54-9876x " + "GB82WEST12345698765432",
 ]
 
 
@@ -44,17 +51,47 @@ def text_of(i):
     return ODD[4] if i >= 100 else ODD[i]
 
 
+def twin(docs, sql):
+    """The rows of a SQL twin over a DataFrame's documents."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return [dict(zip(names, r)) for r in found.fetchall()]
+
+
+def same(got, want):
+    cell = lambda v: round(float(v), 9) if isinstance(v, (int, float)) else v
+    rows = lambda x: sorted((tuple(cell(r[c]) for c in sorted(want[0])) for r in x), key=str)
+    assert rows(got) == rows(want)
+
+
 def test_license(docs, empty):
     got = license_scan.scan(docs).collect()
     assert len(got) == len(ODD) + 3
     for r in got:
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.licence(text_of(r["doc_id"])), r
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+    same(got, twin(docs, oracles.license_sql()))
     labels = {r["doc_id"]: r["labels"] for r in got}
-    assert "gpl-3" in labels[7] and labels[6] == "" and labels[0] == ""
+    assert "gpl-3" in labels[7] and labels[6] == "" and labels[0] == "" and labels[17] == "" and labels[18] == "mit" and "lgpl" in labels[19] and labels[20] == ""
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_places_grow_with_the_text(spark):
+    text = "Released under the MIT License and under the Apache License, Version 2.0 or some. "
+    docs = lambda n: spark.createDataFrame([(1, text * n)], "doc_id long, text string").coalesce(1)
+    license_scan.scan(docs(10)).collect()
+    took = []
+    for n in (500, 4000):
+        began = time.perf_counter()
+        r = license_scan.scan(docs(n)).first()
+        took.append(time.perf_counter() - began)
+        assert (r["n_base"], r["labels"], r["last_word"]) == (2 * n, "apache-2,mit", 15 * n - 7)
+    assert took[1] < 20 * max(took[0], 0.5)
+
+
 def test_rules(docs, empty):
     got = quality_rules.judge(docs).collect()
     assert len(got) == len(ODD) + 3
@@ -62,9 +99,27 @@ def test_rules(docs, empty):
         want = brute.rules(text_of(r["doc_id"]))
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want, r
         assert not (r["base_failed"] and r["kept"])
+    base = quality_rules.judge(docs).drop("kept", "distance2")
+    same(base.collect(), twin(docs, oracles.rules_base_sql()))
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_rules_against_plain_estimates(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 1, "").otherwise("src"))
+    rows = docs.collect()
+    found = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    dims = len(quality_rules.VECTOR)
+    scale = quality_rules.SUBSET / quality_rules.chi2_cdf(quality_rules.chi2_quantile(quality_rules.SUBSET, dims), dims + 2)
+    d2 = brute.outliers([(r["text"], f"{r['lang']}/{r['source']}", r["lang"]) for r in rows], list(quality_rules.VECTOR.values()), quality_rules.SUBSET, quality_rules.STEPS, quality_rules.PSEUDO, scale)
+    cutoff = quality_rules.chi2_quantile(1 - quality_rules.ALPHA, dims)
+    for r, d in zip(rows, d2):
+        got = found[r["doc_id"]]
+        assert abs(got["distance2"] - d) < 1e-6 * max(d, 1), r["doc_id"]
+        assert got["kept"] == (not brute.rules(r["text"])[-1] and d <= cutoff)
+    assert 0 < sum(r["kept"] for r in found.values()) < len(rows)
+
+
 def test_rules_reject_outliers(spark):
     clean = [(i, " ".join(f"word{(i * 7 + j * 3) % 97}{j}" for j in range(60 + i % 40)) + ".", "en", "s") for i in range(200)]
     junk = [(1000 + i, " ".join(f"w{j}###" for j in range(60)), "en", "s") for i in range(10)]
@@ -77,18 +132,37 @@ def test_chi2():
 
 
 def test_pii(docs, empty):
-    for r in pii.find(docs).collect():
+    got = pii.find(docs).collect()
+    for r in got:
         text = text_of(r["doc_id"])
         assert ((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]), r["base_sha256"]) == brute.pii(text), r["doc_id"]
-        for kind, a, b in re.findall(r"(\w+):(\d+):(\d+)", r["spans"]):
-            assert int(a) < int(b) <= len(text)
-    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
-    assert spans[12].count("iban") == 1 and "secret" in spans[12]
+        said = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+        assert [(k, int(a), int(b)) for k, a, b in said if k not in pii.BASE] == brute.more_spans(text)
+        assert r["n_spans"] == len(said) and all(0 <= float(x) <= 1 for x in r["scores"].split(",") if x) and len(r["scores"].split(",")) == max(len(said), 1)
+    same([{c: r[c] for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")} for r in got], twin(docs, oracles.pii_base_sql()))
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert spans[12].count("iban") == 1 and "secret" in spans[12] and spans[21].count("secret") == 1 and spans[21].count("ssn") == 2
     assert pii.find(empty).count() == 0
 
 
+def test_pii_with_many_matches(spark):
+    """Places by lots of matches are those of one running sum, and time grows with the text."""
+    one = "mail a@b.example from 10.0.0.1, card 4111 1111 1111 1111 or call +1 (706) 555-3138; "
+    docs = lambda n: spark.createDataFrame([(1, one * n)], "doc_id long, text string").coalesce(1)
+    pii.find(docs(2)).collect()
+    took = []
+    for n in (1000, 8000):
+        began = time.perf_counter()
+        r, text = pii.find(docs(n)).first(), pii.redact(docs(n)).first()["text"]
+        took.append(time.perf_counter() - began)
+        assert ((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]), r["base_sha256"]) == brute.pii(one * n)
+        assert text == "mail [EMAIL] from [IP], card [CARD] or call [PHONE]; " * n
+    assert took[1] < 20 * max(took[0], 0.5)
+
+
 def test_redact(spark, docs):
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert got == {i: brute.redacted(text_of(i)) for i in got}
     assert got[0] is None and got[1] == "" and "555" not in got[9] and "[PHONE]" in got[9] and got[14] == ODD[14]
     assert pii.redact(docs).columns == docs.columns
 

@@ -1,12 +1,14 @@
 """Substring deduplication, Jaccard join, components, decontamination."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from facetmill.llm import components, decontaminate, jaccard_join, substring_dedup
+from facetmill.llm import common, components, decontaminate, jaccard_join, substring_dedup
 
 
 def frame(spark, texts):
@@ -40,10 +42,36 @@ def texts():
 @pytest.mark.parametrize("classes", [0, 2000])
 def test_dedup(spark, texts, monkeypatch, classes):
     monkeypatch.setattr(substring_dedup, "LOT_CLASSES", classes)
-    for length in (60, 400):
-        want = brute.dedup(texts, length)
-        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.deduplicate(frame(spark, texts), length=length).collect()}
-        assert got == want
+    monkeypatch.setattr(substring_dedup, "LOT_BYTES", 5000)
+    if not classes:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 2000)
+        monkeypatch.setattr(substring_dedup, "HOT", 5)
+    columns = "n_bytes n_removed n_spans kept_sha256 n_shared".split()
+    for length, mark in ((60, 60), (60, 33), (400, 256)):
+        want = brute.dedup(texts, length, mark)
+        rows = substring_dedup.deduplicate(frame(spark, texts), length=length, mark=mark).collect()
+        assert {r["doc_id"]: tuple(r[c] for c in columns) for r in rows} == want
+
+
+def test_dedup_rows_without_ids(spark):
+    """Rows without a key, and a key on several texts, are judged like any other row."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    one, two = text(120), text(120)
+    rows = [(None, text(50) + one + text(20)), (2, text(9) + one + text(60)), (None, two + text(80)), (None, text(70) + two), (7, text(150)), (7, text(30) + one), (8, text(150)), (8, None), (9, "short"), (None, "short")]
+    rows += [(None, text(200))] * 2 + [(11, text(200))] * 2
+    want = brute.dedup(dict(enumerate(t for _, t in rows)), 400, 256)
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda x: str(x)
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_shared"]) for r in got], key=key) == sorted([(k, *want[i]) for i, (k, _) in enumerate(rows)], key=key)
+    assert sum(r["n_removed"] > 0 for r in got) == 9
+
+
+def test_dedup_kept_text(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(700))
+    got = substring_dedup.deduplicate(spark.createDataFrame([(1, "head " + text), (2, text + " tail"), (3, "é" * 100)], "doc_id long, text string"), length=650, kind="text").collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {1: "head ", 2: " tail", 3: "é" * 100}
 
 
 def test_dedup_pieces_of_long_texts(spark, texts, monkeypatch):
@@ -53,12 +81,25 @@ def test_dedup_pieces_of_long_texts(spark, texts, monkeypatch):
     assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:])) and parts[-1][0] + parts[-1][1] == len(text) - 59
 
 
-def test_repeated_starts():
-    texts = [b"abcabcabc", b"xabcabcy", b"abc", b"", b"zzzz"]
-    for length in (1, 2, 3, 5, 8):
-        whole = [t[i : i + length] for t in texts for i in range(len(t) - length + 1)]
-        want = [[whole.count(t[i : i + length]) > 1 and i + length <= len(t) for i in range(len(t))] for t in texts]
-        assert [list(x) for x in substring_dedup.repeated_starts(texts, length)] == want
+def test_matching_statistics():
+    rng = random.Random(1)
+    made = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))).encode() for _ in range(12)]
+    for texts in ([b"abcabcabc", b"xabcabcy", b"abc", b"", b"zzzz"], made, [b"a" * 90, b"a" * 40]):
+        for longest, least in ((1, 1), (2, 1), (8, 3), (8, 8), (30, 9), (70, 24)):
+            whole = Counter(t[i : i + n] for t in texts for n in range(least, longest + 1) for i in range(len(t) - n + 1))
+            for text, found in zip(texts, substring_dedup.matching_statistics(texts, list(map(len, texts)), longest, least)):
+                for i in range(len(text)):
+                    true = max([n for n in range(least, longest + 1) if i + n <= len(text) and whole[text[i : i + n]] > 1], default=0)
+                    assert min(found[i], longest) == true if true else found[i] < least
+
+
+def test_matches_start_at_places_only():
+    """Texts that overlap in their document: what follows a text's places isn't found in the next one."""
+    text = bytes(np.random.default_rng(3).integers(97, 123, 300).astype(np.uint8))
+    parts = [text[:160], text[100:260], text[200:]]
+    assert all((m < 9).all() for m in substring_dedup.matching_statistics(parts, [100, 100, 100], 50, 9))
+    found = substring_dedup.matching_statistics([*parts, text[150:260]], [100, 100, 100, 100], 50, 9)
+    assert (found[1][50:] >= 50).all() and (found[2][:11] >= 50).all() and (found[3] >= 50).sum() == 61
 
 
 def test_empty_tables(spark):
@@ -76,11 +117,46 @@ def test_jaccard(spark, texts, width, percent):
     assert got == brute.components(texts, width, percent)
 
 
-def test_jaccard_large_components(spark, texts, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+def found(spark, texts, width, percent):
+    rows = jaccard_join.jaccard_components(frame(spark, texts), width=width, percent=percent).collect()
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
+
+
+@pytest.mark.parametrize("width, percent", [(3, 80), (1, 60), (2, 100)])
+def test_jaccard_large_components(spark, texts, monkeypatch, width, percent):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(spark, texts), width=3, percent=80).collect()}
-    assert got == brute.components(texts, 3, 80)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 200)
+    assert found(spark, texts, width, percent) == brute.components(texts, width, percent)
+
+
+def test_jaccard_family(spark, monkeypatch):
+    """A family of near copies about one text, some too far from it but near to others, and strangers
+    that share the crowded signatures."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for j in range(i % 6):
+            w[(i * 7 + j * 11) % 60] = f"x{i}y{j}"
+        texts[i] = " ".join(w)
+    for i in range(150, 170):
+        texts[i] = " ".join(base[:25] + [f"z{rng.random()}" for _ in range(60)])
+    monkeypatch.setattr(jaccard_join, "CROWDED", 5)
+    want = brute.components(texts, 1, 80)
+    assert found(spark, texts, 1, 80) == want and len({c for _, c in want.values()}) > 15
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    monkeypatch.setattr(jaccard_join, "LOT", 200)
+    assert found(spark, texts, 1, 80) == want
+
+
+def test_jaccard_ids_of_several_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, one), (5, two), (1, two), (7, one + " more"), (3, two + " more"), (9, "alone here"), (5, one), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == [(-1, 38, 1), (1, 38, 1), (3, 39, 1), (5, 38, 1), (5, 38, 1), (5, 38, 1), (7, 39, 1), (9, 1, 9)]
 
 
 @pytest.mark.parametrize("deletions", [False, True])
@@ -105,10 +181,43 @@ def test_pigeonhole_loses_nothing(monkeypatch, deletions):
     jaccard_join._plans.clear()
 
 
-def test_components(spark):
-    edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (11, 12), (7, 7), (12, 10)] + [(100 + i, 101 + i) for i in range(40)]
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    monkeypatch.setattr(components, "HUB", 5)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 200)
+    rng = random.Random(2)
+    edges = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 11), (11, 12), (7, 7), (12, 10), (None, 4)] + [(100 + i, 101 + i) for i in range(40)]
+    edges += [(1000, 1001 + i) for i in range(50)] + [(2000 + rng.randrange(200), 2000 + rng.randrange(200)) for _ in range(120)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got[5] == 1 and got[12] == 10 and got[140] == 100 and 7 not in got
+    assert got == {x: find(x) for x in parent if find(x) != x} and got[140] == 100 and 7 not in got
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_say_when_unfinished(spark, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    monkeypatch.setattr(components, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+
+
+def test_sums_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(common, "FAN_IN", 3)
+    parts = [(i, np.array([float(i), 1.0]).tobytes()) for i in range(40) if i % 5]
+    rows = spark.createDataFrame(parts, "lot int, part binary")
+    assert common.sum_arrays(rows, 2).tolist() == [float(sum(i for i, _ in parts)), 32.0]
+    assert common.sum_arrays(rows.where("lot < 0"), 2).tolist() == [0.0, 0.0]
 
 
 def test_contaminated(spark):
@@ -154,6 +263,39 @@ def test_contaminated_by_common_items(spark):
     assert got == want, (len(want - got), len(got - want))
 
 
+def test_contaminated_recall(spark, monkeypatch):
+    """Against exact search: short and long items, items of common words only, several blocks of items,
+    long documents, repeated rows, copies cut and reworded."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bcdfghklmnpr") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    vocabulary = sorted({word() for _ in range(2500)})
+    common_words = vocabulary[:40]  # in every document
+    passage = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = {i: passage(n) for i, n in enumerate((5, 6, 8, 11, 15, 20, 23, 25, 30, 40, 60, 90, 14, 18, 35))}
+    items |= {50 + i: " ".join(rng.sample(common_words, n)) for i, n in enumerate((8, 14, 22, 30))}
+    docs = {}
+    for i in range(240):
+        text = [passage(rng.randint(10, 120)), " ".join(rng.sample(common_words, 12)), passage(rng.randint(0, 30))]
+        if i % 2 == 0:
+            said = items[rng.choice(list(items))].split()
+            if i % 4 == 0 and len(said) > 12:
+                said = [w if rng.random() < 0.85 else rng.choice(vocabulary) for w in said]
+            text.insert(rng.randint(0, 3), " ".join(said))
+        docs[i] = " ".join(text)
+    docs[500] = " ".join([passage(4000), items[9], passage(4000), items[50]])
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    rows = spark.createDataFrame([*docs.items(), (500, docs[500]), (None, items[8])], "doc_id long, text string").withColumn("item", F.lit("clash")).withColumn("cosine", F.lit(1))
+    found = [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(rows.repartition(6), bench).collect()]
+    want = brute.leaks(docs, items)
+    got = {x for x in found if x[0] is not None}
+    assert found.count((500, 9)) == 2 and (None, 8) in found and got <= want, got - want
+    for kind in ([i for i in items if i < 50 and len(items[i].split()) < 24], [i for i in items if i < 50 and len(items[i].split()) >= 24], [i for i in items if i >= 50]):
+        true = {x for x in want if x[1] in kind}
+        assert len(true & got) >= 0.9 * len(true) > 5, (kind, true - got)
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
