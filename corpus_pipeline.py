@@ -1,12 +1,13 @@
 """The corpus pipeline: quality, near-duplicates, contamination, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; between stages the
-rows are written as Parquet and read again. Stages 1 to 4 return the columns of ``docs``; the last
-adds ``ids`` and ``round_trip``. Documents leave by their id, in an anti-join with the ids that a stage rejects, so texts
-aren't shuffled while that set is small.
+rows are written as Parquet and read again, and a stage's table goes once the next one is written.
+Stages 1 to 4 return the columns of ``docs``; the last adds ``ids`` and ``round_trip``. Documents leave
+by their id, in an anti-join with the ids that a stage rejects, so texts aren't shuffled while that set
+is small.
 
-Defined results: rows without an id stay; a document id that occurs twice is judged once, and both
-rows share the judgement; extra columns are carried along.
+Defined results: rows without an id stay; an id that occurs twice leaves with all its rows if any of
+them is rejected; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.llm import decontaminate, jaccard_join, pii, piece_codec, quality_classifier
-from facetmill.llm.common import materialize, table
+from facetmill.llm.common import discard, materialize, table
 
 #: Up to so many rejected ids are sent to all executors; beyond, the anti-join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -69,7 +70,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{i + 1}")
+            out = materialize(out, f"stage-{i + 1}")
+            discard(docs)
+        docs = out
     return docs
