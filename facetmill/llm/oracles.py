@@ -78,7 +78,7 @@ c AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w,
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
 
 
-def dedup_sql(length: int = 400, mark: int = 256, documents: str = "documents") -> str:
+def dedup_sql(length: int = 400, mark: int = 288, documents: str = "documents") -> str:
     """SQL for the rows of ``substring_dedup.deduplicate``: every string of so many bytes, in hexadecimal."""
 
     def covered(name: str, size: int) -> str:

@@ -14,8 +14,10 @@ so that each place where such a string can start is judged in exactly one task:
    bytes, and common-prefix lengths are taken at the ends of the runs only. Streaming over the text, the
    match at a place is the longest one sampled there or one less than at the place before: matching
    statistics, which tell where ``mark`` and ``length`` are reached.
-4. An anchor with more classes than a lot should hold is settled by counting hashes instead, spread
-   over all tasks: first of the bytes that neighbouring strings share, then of the strings left.
+4. The contexts of an anchor with more classes than a lot should hold are split: places at ``NEAR``
+   neighbouring distances from the anchor share most of their ``mark`` bytes, so only parts in which
+   these are equal need to meet, and each such set of parts is a lot of its own. Sets that are still too
+   large are settled by counting hashes of their strings, spread over all tasks.
 
 Marked places go back to their documents, which cut the covered bytes.
 
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.llm import kernels as K
@@ -42,10 +44,10 @@ from facetmill.llm.common import bound_batches, discard, join_hot, materialize
 GRAM = 48
 #: Places looked at in one piece of a long text.
 PIECE = 2 << 20
-#: Distances to the anchor that are counted together for crowded anchors.
+#: Distances to the anchor whose places make a part, for crowded anchors.
 NEAR = 32
 #: Bytes of a lot, and classes of one anchor that a lot takes; bytes of the lots dealt to one task.
-LOT_BYTES, LOT_CLASSES, TASK_BYTES = 1 << 20, 2000, 64 << 20
+LOT_BYTES, LOT_CLASSES, TASK_BYTES = 512 << 10, 2000, 64 << 20
 #: Rows of one context, or classes of one anchor, beyond which the rows stay where they are in a join.
 HOT = 100_000
 
@@ -85,46 +87,47 @@ def matching_statistics(texts: list[bytes], places: list[int], longest: int, lea
     such place: exact from ``least`` to ``longest`` bytes, shorter or longer matches only on the right
     side of these bounds. The bytes after them are read on, but start nothing, as they may be places of
     another text. Run-compressed transform, samples at run ends, streamed match lengths."""
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    size = np.array([len(t) for t in texts], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(size + 1)])
     s = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     n = len(s)
     # Rank by 8 bytes, then by three ranks at a time, sorting only places whose rank is still shared.
     padded = np.concatenate([s, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
+    eight = np.zeros(n, np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(word)
-    word = word[order]
+        eight = (eight << np.uint64(8)) | padded[k : k + n]
+    order = np.argsort(eight).astype(np.int32)
+    word = eight[order]
     fresh = np.concatenate([[True], word[1:] != word[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    count = np.arange(n, dtype=np.int32)
+    rank = np.zeros(n + 2 * longest, np.int32)  # from 1; 0 behind the end
+    rank[order] = np.maximum.accumulate(np.where(fresh, count, 0)) + 1
     span, digits = 8, max(int(n).bit_length(), 1)
     early = fresh.copy() if span <= least else np.zeros(n, bool)  # told apart within ``least`` bytes
     while span < longest:
-        shared = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        shared = np.flatnonzero(~(fresh & np.append(fresh[1:], True))).astype(np.int32)
         if not len(shared):
             break
         pos = order[shared]
-        key = rank[pos]
+        key = rank[pos].astype(np.int64)
         steps = 2 if 2 * span < longest and 3 * digits <= 63 else 1  # more ranks that fit into the key
         for k in range(1, steps + 1):
-            ahead = pos + k * span
-            key = (key << digits) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+            key = (key << digits) | rank[pos + k * span]
         inner = np.argsort(key)
         pos, key = pos[inner], key[inner]
         order[shared] = pos
         new = np.concatenate([[True], key[1:] != key[:-1]])
         fresh[shared] = new
-        rank[pos] = np.maximum.accumulate(np.where(new, shared, 0))
+        rank[pos] = np.maximum.accumulate(np.where(new, shared, 0)) + 1
         span *= steps + 1
         if span <= least:
             early = fresh.copy()
-    starts = np.zeros(n, bool)
-    for a, number in zip(bounds[:-1], places):
-        starts[a : a + number] = True
-    starts = starts[order]
+    starts = np.zeros(n + 1, np.int8)
+    np.add.at(starts, bounds[:-1], 1)
+    np.add.at(starts, bounds[:-1] + np.array(places, np.int64), -1)
+    starts = np.cumsum(starts[:n], dtype=np.int8).astype(bool)[order]
     # Equal numbers: not told apart at all, or not within ``least`` bytes.
-    alike, near = np.cumsum(fresh)[starts], np.cumsum(early)[starts]
+    alike, near = np.cumsum(fresh, dtype=np.int32)[starts], np.cumsum(early, dtype=np.int32)[starts]
     order = order[starts]
     # Run ends of the transform: where the byte before differs from that of the suffix next in order.
     before = s[order - 1].astype(np.int16)
@@ -134,33 +137,32 @@ def matching_statistics(texts: list[bytes], places: list[int], longest: int, lea
     # Neighbours told apart earlier have too little in common to be of use as samples.
     sampled = np.flatnonzero(ends & (near[1:] == near[:-1]))
     left, right = order[sampled], order[sampled + 1]
-    common = _common_prefix(s, left, right, max(span, longest))  # all that isn't told apart is sampled
+    room = np.repeat(bounds[1:] - 1, size + 1).astype(np.int32) - count  # to the end of the place's text
+    common = np.minimum(np.minimum(_common_prefix(eight, left, right, max(span, longest)), room[left]), room[right])  # all that isn't told apart is sampled
     # Streaming: the match at x+1 is at least that at x less one. Inside a run both neighbours go on
     # to the left with the same byte, and what is left of a place in its text is one, so only the
     # samples start anything new.
-    match = np.zeros(n, np.int64)
-    np.maximum.at(match, left, common)
-    np.maximum.at(match, right, common)
-    match = np.maximum.accumulate(match + np.arange(n)) - np.arange(n)
-    return [match[a : a + number] for a, number in zip(bounds[:-1], places)]
-
-
-def _common_prefix(s: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
-    """Length of the common prefix of pairs of suffixes, looked at up to ``longest`` and a bit; separators
-    (0xFF) match nothing, so matches stay inside a text."""
-    n = len(s)
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    step = 16
-    padded = np.concatenate([s, np.full(64, 0xFF, np.uint8)])
-    grid = np.arange(step)
+    match = count.copy()
+    np.maximum.at(match, left, left + common)
+    np.maximum.at(match, right, right + common)
+    match = np.maximum.accumulate(match) - count
+    return [match[a : a + number] for a, number in zip(bounds[:-1].tolist(), places)]
+
+
+def _common_prefix(eight: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
+    """Length of the common prefix of pairs of suffixes, up to ``longest`` and a bit, by words of the 8
+    bytes from each place."""
+    out = np.zeros(len(a), np.int32)
+    live = np.arange(len(a), dtype=np.int32)
+    last = len(eight) - 1
     while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
-        u, v = padded[np.minimum(x[:, None] + grid, n + 63)], padded[np.minimum(y[:, None] + grid, n + 63)]
-        bad = (u != v) | (u == 0xFF)
-        stop = bad.any(axis=1)
-        out[live] += np.where(stop, bad.argmax(axis=1), step)
-        live = live[~stop & (out[live] < longest)]
+        differ = eight[np.minimum(x, last)] ^ eight[np.minimum(y, last)]
+        equal = np.full(len(live), 8, np.int32)
+        for k in range(8):  # the byte k from the end tells that fewer are equal
+            equal[(differ >> np.uint64(8 * k)) != 0] = 7 - k
+        out[live] += equal
+        live = live[(equal == 8) & (out[live] < longest) & (np.maximum(x, y) < last)]
     return out
 
 
@@ -214,44 +216,63 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-SPANS = "array<struct<a:int,b:int>>"
-#: Marked places of a class: starts of strings of ``length`` bytes, and of ``mark`` bytes.
-MARKS = f"anchor long, context long, spans {SPANS}, shared {SPANS}"
+def _run_lists(mask: np.ndarray, at: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The runs of the mask in each part (from ``at`` to the next) that ``some`` picks, as lists."""
+    first, last = mask.copy(), mask.copy()
+    first[1:] &= ~mask[:-1]
+    first[at[:-1]] = mask[at[:-1]]
+    last[:-1] &= ~mask[1:]
+    last[at[1:] - 1] = mask[at[1:] - 1]
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    part = np.searchsorted(at, a, side="right") - 1
+    keep = some[part]
+    a, b, part = a[keep], b[keep], part[keep]
+    number = np.bincount(part, minlength=len(some))[some]
+    offsets = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array((x - at[part]).astype(np.int32)) for x in (a, b)], fields=list(SPAN_TYPE.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets), spans)
+
+
+SPANS, SPAN_TYPE = "array<struct<a:int,b:int>>", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+#: Marked places of a class (or part): starts of strings of ``length`` bytes, and of ``mark`` bytes.
+MARKS = f"lot long, member long, spans {SPANS}, shared {SPANS}"
 
 
 def _search(contexts: DataFrame, length: int, mark: int, tasks: int) -> DataFrame:
-    """The marks of each class, by lots of anchors."""
+    """The marks of each row of lot, member, number, bytes, whose lots are put together to lots of some
+    size; rows of one lot stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         size, lot = 0, None
 
         def close() -> pa.RecordBatch:
-            rows = []
+            columns = [np.zeros(0, np.int64)] * 2
+            listed = [pa.array([], SPAN_TYPE)] * 2
             if len(held) > 1:
-                for (anchor, context, *_), match in zip(held, matching_statistics([h[3] for h in held], [h[2] for h in held], length, mark)):
-                    if (match >= mark).any():
-                        rows.append((anchor, context, *[[{"a": a, "b": b} for a, b in _runs(match >= least)] for least in (length, mark)]))
+                match = matching_statistics([h[3] for h in held], [h[2] for h in held], length, mark)
+                at = np.cumsum([0] + [len(m) for m in match])
+                match = np.concatenate(match)
+                some = np.add.reduceat(match >= mark, at[:-1]) > 0
+                columns = [np.array([h[i] for h in held], np.int64)[some] for i in range(2)]
+                listed = [_run_lists(match >= least, at, some) for least in (length, mark)]
             held.clear()
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), span, span))], ["anchor", "context", "spans", "shared"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *listed], ["lot", "member", "spans", "shared"])
 
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
-            for anchor, context, number, data in rows:
-                if held and held[-1][:2] == (anchor, context):
-                    continue  # from a row that occurs twice
-                if size >= LOT_BYTES and anchor != lot:  # rows of an anchor stay together
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if held and held[-1][:2] == row[:2]:
+                    continue  # from a document that occurs twice
+                if size >= LOT_BYTES and row[0] != lot:
                     yield close()
                     size = 0
-                lot = anchor
-                held.append((anchor, context, number, data))
-                size += len(data)
+                lot = row[0]
+                held.append(row)
+                size += len(row[3])
         yield close()
         K.release()
 
-    dealt = contexts.where("NOT crowded").select("anchor", "context", "number", "bytes").repartition(tasks, "anchor").sortWithinPartitions("anchor", "context")
+    dealt = contexts.select("lot", "member", "number", "bytes").repartition(tasks, "lot").sortWithinPartitions("lot", "member")
     return dealt.mapInArrow(run, MARKS)
 
 
@@ -263,55 +284,76 @@ def _anchor_place(s: np.ndarray, anchor: int, number: int, mark: int) -> int:
     return int(at[np.flatnonzero(h == anchor)[0]])
 
 
-def _crowded(contexts: DataFrame, length: int, mark: int) -> DataFrame:
-    """The same for anchors with very many classes, by counting hashes, for each of the two lengths.
-
-    Strings whose distance to the anchor falls in one class of ``NEAR`` distances share all but
-    ``NEAR`` - 1 bytes. Those shared bytes are counted first; only classes seen twice have their
-    strings hashed and counted."""
-
+def _parts(crowded: DataFrame, length: int, mark: int) -> DataFrame:
+    """The contexts by classes of ``NEAR`` distances to the anchor: lot (a hash of the anchor, the class and
+    the bytes that its strings share), member, where the part begins, number of places, bytes."""
     near = min(NEAR, mark // 2)
-    sizes = sorted({mark, length})
 
-    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             rows = []
             for anchor, context, number, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 place = _anchor_place(np.frombuffer(data, np.uint8), anchor, number, mark)
-                for size in sizes:
-                    n = min(number, len(data) - size + 1)
-                    for j in range((place - n + 1) // near, place // near + 1) if n > 0 else ():
-                        first = place - near * j
-                        rows.append((anchor, context, size, j, xxhash.xxh3_64_intdigest(data[first : first + size - near + 1]) - (1 << 63)))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["anchor", "context", "size", "part", "common"])
+                for j in range((place - number + 1) // near, place // near + 1):
+                    last = place - near * j
+                    a, b = max(last - near + 1, 0), min(last, number - 1)
+                    lot = xxhash.xxh3_64(f"{anchor}:{j}:")
+                    lot.update(data[last : last + mark - near + 1])
+                    member = xxhash.xxh3_64_intdigest(f"{anchor}:{context}:{j}")
+                    rows.append((anchor, context, lot.intdigest() - (1 << 63), member - (1 << 63), a, b - a + 1, data[a : b + length]))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "context", "lot", "member", "first", "number", "bytes"])
+
+    return crowded.mapInArrow(run, "anchor long, context long, lot long, member long, first int, number int, bytes binary")
+
+
+def _counted(parts: DataFrame, length: int, mark: int) -> DataFrame:
+    """The marks of parts by counting hashes of their strings of both lengths."""
+    sizes = sorted({mark, length})
 
-    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, context, number, data, parts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for lot, member, number, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 s = np.frombuffer(data, np.uint8)
-                place = _anchor_place(s, anchor, number, mark)
                 p = K.prefix_hash(s)
                 for size in sizes:
                     at = np.arange(max(min(number, len(s) - size + 1), 0))
-                    at = at[np.isin((place - at) // near, [x["part"] for x in parts if x["size"] == size])]
                     h = K.span_hash(p, at, at + size).view(np.int64)
-                    fixed = [pa.array(np.full(len(at), v), pa.int64()) for v in (anchor, context)]
-                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.full(len(at), size), pa.int32()), pa.array(at.astype(np.int32)), pa.array(h)], ["anchor", "context", "size", "at", "string"])
-
-    crowded = contexts.where("crowded").select("anchor", "context", "number", "bytes").dropDuplicates(["anchor", "context"])
-    common = materialize(crowded.mapInArrow(coarse, "anchor long, context long, size int, part int, common long"), "common")
-    key = ["anchor", "size", "part", "common"]
-    again = common.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    parts = common.join(again, key, "left_semi").groupBy("anchor", "context").agg(F.collect_list(F.struct("size", "part")).alias("parts"))
-    rows = crowded.join(parts, ["anchor", "context"]).select("anchor", "context", "number", "bytes", "parts")
-    rows = materialize(rows.mapInArrow(fine, "anchor long, context long, size int, at int, string long"), "strings")
-    twice = rows.groupBy("anchor", "size", "string").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "size", "string")
-    marked = rows.join(twice, ["anchor", "size", "string"], "left_semi")
+                    fixed = [pa.array(np.full(len(at), v), pa.int64()) for v in (lot, member)]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.full(len(at), size), pa.int32()), pa.array(at.astype(np.int32)), pa.array(h)], ["lot", "member", "size", "at", "string"])
+
+    rows = materialize(parts.select("lot", "member", "number", "bytes").mapInArrow(run, "lot long, member long, size int, at int, string long"), "strings")
+    string = ["lot", "size", "string"]
+    twice = materialize(rows.groupBy(*string).agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    marked = join_hot(rows, twice, string, F.col("n") > HOT)
     spans = lambda size: F.array_sort(F.collect_list(F.when(F.col("size") == size, F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))))).cast(SPANS)
-    return marked.groupBy("anchor", "context").agg(spans(length).alias("spans"), spans(mark).alias("shared"))
+    return marked.groupBy("lot", "member").agg(spans(length).alias("spans"), spans(mark).alias("shared"))
+
+
+def _moved(spans: str, by: str) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))
+
+
+def _gathered(rows: DataFrame, by: str, *keys: str) -> DataFrame:
+    """All spans of each key, moved by a column."""
+    moved = rows.select(*keys, _moved("spans", by).alias("spans"), _moved("shared", by).alias("shared"))
+    return moved.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("shared")).alias("shared"))
+
+
+def _crowded(contexts: DataFrame, length: int, mark: int, tasks: int) -> DataFrame:
+    """The marks of classes whose anchors have very many."""
+    parts = contexts.select("anchor", "context", "number", "bytes").dropDuplicates(["anchor", "context"])
+    parts = materialize(_parts(parts, length, mark), "parts")
+    lots = materialize(parts.groupBy("lot").agg(F.count("*").alias("members")).where("members > 1"), "lots")
+    dealt = join_hot(parts, lots, ["lot"], F.col("members") > LOT_CLASSES)
+    found = _search(dealt.where(F.col("members") <= LOT_CLASSES), length, mark, tasks)
+    if lots.where(F.col("members") > LOT_CLASSES).limit(1).count():
+        found = found.unionByName(_counted(dealt.where(F.col("members") > LOT_CLASSES), length, mark))
+    placed = found.join(parts.select("lot", "member", "anchor", "context", "first"), ["lot", "member"])
+    return _gathered(placed, "first", "anchor", "context")
 
 
 def _cut(docs: DataFrame, length: int, mark: int, kind: str) -> DataFrame:
@@ -346,7 +388,7 @@ def _cut(docs: DataFrame, length: int, mark: int, kind: str) -> DataFrame:
     return docs.select("id", "text", "spans", "shared").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + (", kept string" if kind == "text" else ""))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, mark: int = 256, kind: str = "digest") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, mark: int = 288, kind: str = "digest") -> DataFrame:
     """``key``, n_bytes, n_removed, n_spans, kept_sha256 of every document, and n_shared, the bytes
     covered by strings of ``mark`` bytes that also start anywhere else; with kind "text" also ``kept``,
     the remaining text."""
@@ -358,19 +400,21 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length
     rows = rows.withColumn("no", F.coalesce("id", F.lit(0))).withColumn("digest", F.xxhash64(F.col("id").isNull(), "text"))
     row = ["no", "digest"]
     anchors = materialize(_anchors(rows.select(F.col("no").alias("id"), "digest", "text"), length, mark).withColumnRenamed("id", "no"), "anchors")
-    classes = anchors.groupBy("anchor", "context", "number").agg(F.count("*").alias("n"), F.min(F.struct(*row, "start")).alias("first"))
+    # The first ones are of one row, as all three are taken from each row together; any row will do.
+    classes = anchors.groupBy("anchor", "context", "number").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*row, "start")])
     by_anchor = classes.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).where("total > 1")
     # Repeated anchors only; unique ones, the bulk of ordinary text, end here.
-    repeated = materialize(classes.join(by_anchor, "anchor").select("anchor", "context", "number", "n", "first", "classes"), "classes")
+    repeated = materialize(classes.join(by_anchor, "anchor").select("anchor", "context", "number", "n", *row, "start", "classes"), "classes")
     searched = repeated.where("classes > 1").withColumn("crowded", F.col("classes") > LOT_CLASSES)
-    wanted = searched.groupBy(*[F.col(f"first.{c}").alias(c) for c in row]).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "number", "anchor", "context", "crowded")).alias("wanted"))
+    wanted = searched.groupBy(*row).agg(F.collect_list(F.struct("start", "number", "anchor", "context", "crowded")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     size = searched.agg(F.coalesce(F.sum(F.col("number") + length), F.lit(0))).first()[0]
     contexts = materialize(_contexts(rows.join(wanted, row), length), "contexts")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    found = _search(contexts, length, mark, tasks)
+    usual = contexts.where("NOT crowded").select(F.col("anchor").alias("lot"), F.col("context").alias("member"), "number", "bytes")
+    found = _search(usual, length, mark, tasks).withColumnsRenamed({"lot": "anchor", "member": "context"})
     if searched.where("crowded").limit(1).count():
-        found = found.unionByName(_crowded(contexts, length, mark))
+        found = found.unionByName(_crowded(contexts.where("crowded"), length, mark, tasks))
     found = materialize(found, "found")
     # A class that is repeated throughout needs no search of its own.
     places = lambda n: F.array(F.struct(F.lit(0).alias("a"), n.alias("b"))).cast(SPANS)
@@ -378,9 +422,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length
     partly = found.join(repeated.select("anchor", "context", "n"), ["anchor", "context"]).where("n = 1")
     marks = materialize(whole.unionByName(partly), "marks")
     placed = join_hot(anchors, marks, ["anchor", "context"], F.col("n") > HOT, 400)
-    moved = lambda c: F.transform(c, lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    spans = placed.select(*row, moved("spans").alias("spans"), moved("shared").alias("shared"))
-    spans = spans.groupBy(*row).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("shared")).alias("shared"))
+    spans = _gathered(placed, "start", *row)
     spans = materialize(spans, "spans")
     discard(anchors, repeated, wanted, contexts, found, marks)
     return _cut(rows.join(spans, row, "left"), length, mark, kind).withColumnRenamed("id", key)

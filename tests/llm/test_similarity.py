@@ -39,11 +39,11 @@ def texts():
     return corpus()
 
 
-@pytest.mark.parametrize("classes", [0, 2000])
+@pytest.mark.parametrize("classes", [0, 3, 2000])
 def test_dedup(spark, texts, monkeypatch, classes):
     monkeypatch.setattr(substring_dedup, "LOT_CLASSES", classes)
     monkeypatch.setattr(substring_dedup, "LOT_BYTES", 5000)
-    if not classes:
+    if classes < 4:
         monkeypatch.setattr(common, "BROADCAST_BYTES", 2000)
         monkeypatch.setattr(substring_dedup, "HOT", 5)
     columns = "n_bytes n_removed n_spans kept_sha256 n_shared".split()
@@ -61,7 +61,7 @@ def test_dedup_rows_without_ids(spark):
     one, two = text(120), text(120)
     rows = [(None, text(50) + one + text(20)), (2, text(9) + one + text(60)), (None, two + text(80)), (None, text(70) + two), (7, text(150)), (7, text(30) + one), (8, text(150)), (8, None), (9, "short"), (None, "short")]
     rows += [(None, text(200))] * 2 + [(11, text(200))] * 2
-    want = brute.dedup(dict(enumerate(t for _, t in rows)), 400, 256)
+    want = brute.dedup(dict(enumerate(t for _, t in rows)), 400, 288)
     got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     key = lambda x: str(x)
     assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_shared"]) for r in got], key=key) == sorted([(k, *want[i]) for i, (k, _) in enumerate(rows)], key=key)
