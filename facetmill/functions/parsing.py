@@ -21,7 +21,7 @@ _AFTER_COUNTRY = r"\s*[\x{1F1E6}-\x{1F1FF}]{0,2}\s*n?\s*"
 #: Review dates; groups are country, then the parts in the order named.
 DATE_US = r"Reviewed in (.+?)" + _AFTER_COUNTRY + r"(?:on\s+)?([A-Z][a-z]+)\s+(\d{1,2}),\s*(\d{4})"
 DATE_UK = r"Reviewed in (.+?)" + _AFTER_COUNTRY + r"(?:on\s+)?(\d{1,2})\s+([A-Z][a-z]+)\s+(\d{4})"
-DATE_ES = r"(?:Revisado|Comentado) en (.+?)" + _AFTER_COUNTRY + r"el\s+(\d{1,2})\s+de\s+([^\W\d_]+)\s+de\s+(\d{4})"
+DATE_ES = r"(?:Revisado|Comentado) en (.+?)" + _AFTER_COUNTRY + r"el\s+(\d{1,2})\s+de\s+(\w+)\s+de\s+(\d{4})"
 DATE_JP = r"(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日に(.+?)でレビュー済み"
 #: As DATE_US, but the stray `n` must follow a flag, so names that end in n stay whole.
 _STRICT = r"(?:\s*[\x{1F1E6}-\x{1F1FF}]{2}\s*n?)?\s*"

@@ -56,3 +56,9 @@ def depth_histogram(assigned: DataFrame) -> DataFrame:
 def values_by_depth(products: DataFrame, path: str = "category") -> DataFrame:
     """Distinct values at each depth and how many products reach it."""
     return products.select(F.posexplode(path).alias("depth", "value")).groupBy("depth").agg(F.count_distinct("value").alias("values"), F.count("*").alias("products"))
+
+
+def first_is_top(products: DataFrame, path: str = "category", top: str = "cat_top") -> DataFrame:
+    """Products, and the share of them whose path begins with their top category; an empty path doesn't."""
+    same = F.coalesce(F.get(F.col(path), F.lit(0)) == F.col(top), F.lit(False))
+    return products.agg(F.count("*").alias("products"), F.avg(same.cast("int")).alias("first_is_top"))

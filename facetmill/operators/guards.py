@@ -1,8 +1,8 @@
-"""Checks that raise."""
+"""Checks that raise, sizes that decide, and ranks without one task for all."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,3 +19,37 @@ def require_unique(rows: DataFrame, *keys: str) -> DataFrame:
     if found:
         raise DuplicateKeyError(f"{keys} is not unique: {[r.asDict() for r in found]}")
     return rows
+
+
+def refuse_prefix(tag: str, prefix: str = "v") -> str:
+    """The tag of a search run; released versions own a prefix that runs must not take."""
+    if tag.startswith(prefix):
+        raise ValueError(f"tag {tag!r} begins with {prefix!r}, which names released versions")
+    return tag
+
+
+def sent(small: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The table, to be sent to all executors if a count shows that it has few rows."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+#: Ranges that a column's distinct values are cut into, so that none is sorted in one task.
+RANGES = 256
+
+
+def running_before(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """``counts`` (distinct ``value``, count ``n``) with ``before``, the rows of all lesser values.
+
+    The values are cut at their approximate quantiles; each range is summed up in a task of its own, and
+    only the ranges' totals meet.
+    """
+    cuts = counts.select(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    rows = counts.withColumn("__part", part)
+    totals = rows.groupBy("__part").agg(F.sum(n).alias("__t"))  # RANGES rows at most
+    first = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__part", F.coalesce(F.sum("__t").over(first), F.lit(0)).alias("__first"))
+    own = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("__own", F.coalesce(F.sum(n).over(own), F.lit(0))).join(F.broadcast(totals), "__part")
+    return out.withColumn("before", F.col("__first") + F.col("__own")).drop("__part", "__own", "__first")

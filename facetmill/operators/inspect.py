@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.functions import parsing as P
+from facetmill.operators.guards import sent
 
 
 def shared_shingles(examples: DataFrame, corpus: DataFrame, width: int = 8, example: str = "example_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``example``, ``doc``, ``shared`` runs of ``width`` words, found by an equi-join on words.
-    Distinct runs of each side are joined, so repeated lines don't multiply."""
+
+    Distinct runs of each side are joined, so repeated lines don't multiply. The examples' runs are sent
+    to all tasks where a count shows them to be few, so the corpus isn't shuffled.
+    """
     left = examples.select(example, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s"))
     right = corpus.select(doc, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s"))
-    return right.join(left, "s").groupBy(example, doc).agg(F.count("*").alias("shared"))
+    return right.join(sent(left), "s").groupBy(example, doc).agg(F.count("*").alias("shared"))
 
 
 def contained_shingles(examples: DataFrame, corpus: DataFrame, width: int = 8, example: str = "example_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same by plain substring search in the lower-cased text, so a run may start or end inside
-    a word and other white space defeats it. For few examples: each text is searched once."""
-    runs = examples.select(example, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s"))
-    listed = runs.groupBy().agg(F.collect_set(F.struct(example, "s")).alias("runs"))
-    hits = corpus.select(doc, F.lower(text).alias("t")).crossJoin(F.broadcast(listed))  # one row
+    """The same by plain substring search in the lower-cased text, so a run may start or end inside a
+    word and other white space defeats it.
+
+    The inner words of a run stand whole in any text that contains it, so an equi-join on these proposes
+    the texts, and only those are searched for the run. ``width`` is 3 at least.
+    """
+    inner = F.substring_index(F.regexp_replace("s", r"^\S+ ", ""), " ", width - 2)
+    runs = examples.select(example, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s")).withColumn("inner", inner)
+    words = corpus.select(doc, F.explode(F.array_distinct(P.word_shingles(F.col(text), width - 2))).alias("inner"))
+    proposed = words.join(sent(runs), "inner").groupBy(doc).agg(F.collect_set(F.struct(example, "s")).alias("runs"))
+    hits = corpus.select(doc, F.lower(text).alias("t")).join(proposed, doc)
     hits = hits.select(doc, F.explode(F.filter("runs", lambda r: F.contains(F.col("t"), r["s"]))).alias("r"))
     return hits.groupBy(F.col(f"r.{example}").alias(example), doc).agg(F.count("*").alias("shared"))
 
@@ -42,8 +52,9 @@ def schema_profile(rows: DataFrame, json: str, *by: str) -> DataFrame:
 
 def shares(rows: DataFrame, *by: str) -> DataFrame:
     """Counts of each value with their percentage of all rows."""
-    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+    total = rows.agg(F.count("*").alias("__n"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.col("__n"), 4)).drop("__n")
 
 
 def describe(rows: DataFrame, column: str, *by: str) -> DataFrame:
@@ -92,3 +103,16 @@ def throughput(rows: DataFrame, series: str, stamp: str, target: int) -> DataFra
     each = rows.groupBy(series).agg(F.count("*").alias("n"), F.timestamp_diff("SECOND", F.min(stamp), F.max(stamp)).alias("s"))
     rate = F.col("s") / F.col("n")
     return each.select(series, "n", F.round(rate, 6).alias("seconds_each"), F.round(rate * target / 86400.0, 4).alias("days"))
+
+
+def scaling_arms(rows: DataFrame, keys: list[str], shares_: tuple[int, ...] = (25, 50, 75, 100), seed: str = "0") -> DataFrame:
+    """``rows`` once for each percentage of the keys, in column ``arm``; a smaller arm is part of a larger
+    one, by a hash of seed and keys."""
+    place = P.hash_index(F.lit(100), F.lit(seed), *[F.col(k) for k in keys])
+    return rows.withColumn("arm", F.explode(F.filter(F.array(*map(F.lit, shares_)), lambda a: place < a)))
+
+
+def page_after(rows: DataFrame, key: str, last: object, size: int) -> DataFrame:
+    """The ``size`` rows that follow key ``last``; the filter reaches the scan, unlike an offset's."""
+    after = rows if last is None else rows.where(F.col(key) > F.lit(last))
+    return after.orderBy(key).limit(size)

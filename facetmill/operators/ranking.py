@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetmill.functions import parsing as P
 from facetmill.session import ship_package
 
 
@@ -97,6 +98,58 @@ def max_sim(pairs: DataFrame, query: str, item: str, score: str) -> DataFrame:
     return pairs.groupBy(query, item).agg(F.max(score).alias("max_sim"))
 
 
+def max_sim_vectors(parts: DataFrame, queries: DataFrame, item: str, vector: str, qid: str, qvector: str, part: str | None = None) -> DataFrame:
+    """qid, item, max_sim: the highest product of each query with any part of each item; with ``part`` a
+    query isn't compared with the part of its own number.
+
+    Queries are the stated, bounded side: blocks of them go to all tasks, which multiply whole batches of
+    parts and send the best of each item in a batch.
+    """
+    spark = parts.sparkSession
+    ship_package(spark)
+    schema = f"qid {queries.schema[qid].dataType.simpleString()}, item {parts.schema[item].dataType.simpleString()}, max_sim double"
+    rows = parts.select(F.col(item).alias("item"), F.col(vector).alias("vector"), F.col(part or item).alias("part"))
+
+    def one_pass(frame: pd.DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(frame)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if not len(f):
+                    continue
+                f = f.sort_values("item", kind="stable")
+                x, items = np.stack(f["vector"].to_numpy()).astype(np.float64), f["item"].to_numpy()
+                first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
+                for q, v in _blocks(shared.value, 512):
+                    s = v.astype(np.float64) @ x.T
+                    if part:
+                        s[q[:, None] == f["part"].to_numpy()[None, :]] = -np.inf
+                    best = np.maximum.reduceat(s, first, axis=1)
+                    a, b = np.nonzero(best > -np.inf)
+                    yield pd.DataFrame({"qid": q[a], "item": items[first][b], "max_sim": best[a, b]})
+
+        return rows.mapInPandas(run, schema)
+
+    out, held = None, []
+    for r in queries.select(F.col(qid).alias("qid"), F.col(qvector).alias("vector")).toLocalIterator():
+        held.append((r["qid"], np.array(r["vector"], np.float32)))
+        if len(held) == QUERY_BLOCK:
+            found = one_pass(pd.DataFrame(held, columns=["qid", "vector"]))
+            out, held = found if out is None else out.unionByName(found), []
+    if held or out is None:
+        found = one_pass(pd.DataFrame(held, columns=["qid", "vector"]))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("qid", "item").agg(F.max("max_sim").alias("max_sim"))
+
+
+def row_corrections(pairs: DataFrame, query: str, item: str, review: str, score: str) -> DataFrame:
+    """Corrections for items of many rows: ``max_sim``, ``by_log`` (divided by 1 + ln of the rows) and
+    ``mean_of_max`` (the best part of each review, averaged)."""
+    each = pairs.groupBy(query, item, review).agg(F.max(score).alias("__m"), F.count("*").alias("__n"))
+    top = F.max("__m")
+    return each.groupBy(query, item).agg(top.alias("max_sim"), (top / (1 + F.log(F.sum("__n")))).alias("by_log"), F.avg("__m").alias("mean_of_max"))
+
+
 def late_interaction(pairs: DataFrame, query: str, token: str, item: str, score: str) -> DataFrame:
     """Sum over query tokens of the best matching part."""
     return pairs.groupBy(query, item, token).agg(F.max(score).alias("__m")).groupBy(query, item).agg(F.sum("__m").alias("late"))
@@ -119,27 +172,31 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, words: str, query: str,
 def facet_vocabulary(mentions: DataFrame, bucket: str, facet: str, vector: str, top: int = 8, theta: float = 0.85) -> DataFrame:
     """The ``top`` facets of each bucket by count, leaving out one too close to a more frequent one.
 
-    Facets are counted before any vector moves; each bucket then handles its distinct facets only.
+    Facets are counted before any vector moves; a facet's vector is the least of its vectors. A bucket's
+    facets stream by in order of their counts, and a task holds the vectors it has kept, ``top`` at most.
     """
-    counted = mentions.groupBy(bucket, facet).agg(F.count("*").alias("n"), F.first(vector).alias("vector"))
+    counted = mentions.groupBy(bucket, facet).agg(F.count("*").alias("n"), F.min(vector).alias("vector"))
     ship_package(mentions.sparkSession)
 
-    def pick(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["n", facet], ascending=[False, True])
-        kept: list[int] = []
-        x = np.stack(f["vector"].to_numpy()).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        for i in range(len(f)):
-            if len(kept) == top:
-                break
-            if not kept or (x[kept] @ x[i]).max() < theta:
-                kept.append(i)
-        out = f.iloc[kept][[bucket, facet, "n"]].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for f in frames:
+            out = []
+            for b, name, n, v in zip(f[bucket], f[facet], f["n"], f["vector"]):
+                if b != now:
+                    now, kept = b, []
+                if len(kept) == top:
+                    continue
+                x = np.asarray(v, np.float64)
+                x = x / max(np.linalg.norm(x), 1e-12)
+                if all(x @ k < theta for k in kept):
+                    kept.append(x)
+                    out.append((b, name, n, len(kept)))
+            yield pd.DataFrame(out, columns=[bucket, facet, "n", "place"])
 
     kinds = {c: counted.schema[c].dataType.simpleString() for c in (bucket, facet)}
-    return counted.groupBy(bucket).applyInPandas(pick, f"{bucket} {kinds[bucket]}, {facet} {kinds[facet]}, n long, place int")
+    ordered = counted.repartition(bucket).sortWithinPartitions(bucket, F.desc("n"), facet).select(bucket, facet, "n", "vector")
+    return ordered.mapInPandas(pick, f"{bucket} {kinds[bucket]}, {facet} {kinds[facet]}, n long, place int")
 
 
 def factorial_cells(channels: list[str]) -> list[tuple[str, ...]]:
@@ -147,12 +204,12 @@ def factorial_cells(channels: list[str]) -> list[tuple[str, ...]]:
     return [tuple(c for i, c in enumerate(channels) if m >> i & 1) for m in range(1, 1 << len(channels))]
 
 
-def factorial_scores(scored: DataFrame, channels: list[str], query: str, item: str, gain: str, k: int) -> DataFrame:
-    """Mean NDCG@k of every combination of channels, fused by reciprocal ranks. Ranks within a channel
-    are computed once and only recombined."""
+def cell_scores(scored: DataFrame, cells: dict[str, tuple[str, ...]], query: str, item: str, gain: str, k: int) -> DataFrame:
+    """``cell``, mean ``ndcg`` at k and ``queries`` of each named combination of channels, fused by
+    reciprocal ranks. Ranks within a channel are computed once and only recombined."""
     ranks = scored.withColumn("__r", F.row_number().over(Window.partitionBy(query, "channel").orderBy(F.desc("score"), item)))
-    cells = F.array(*[F.lit("+".join(c)) for c in factorial_cells(channels)])
-    mine = F.filter(cells, lambda c: F.array_contains(F.split(c, r"\+"), F.col("channel")))
+    listed = F.array(*[F.struct(F.lit(name).alias("cell"), F.array(*map(F.lit, c)).alias("channels")) for name, c in cells.items()])
+    mine = F.transform(F.filter(listed, lambda c: F.array_contains(c["channels"], F.col("channel"))), lambda c: c["cell"])
     each = ranks.withColumn("cell", F.explode(mine))
     fused = each.groupBy("cell", query, item).agg(F.max(gain).alias(gain), F.round(F.avg(1.0 / (60 + F.col("__r"))), 12).alias("__s"))
     unit = F.struct("cell", query)
@@ -160,6 +217,60 @@ def factorial_scores(scored: DataFrame, channels: list[str], query: str, item: s
     return per_query.groupBy(F.col("__q.cell").alias("cell")).agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries"))
 
 
+def factorial_scores(scored: DataFrame, channels: list[str], query: str, item: str, gain: str, k: int) -> DataFrame:
+    """Mean NDCG@k of every combination of channels."""
+    return cell_scores(scored, {"+".join(c): c for c in factorial_cells(channels)}, query, item, gain, k)
+
+
+def factorial_effects(cells: DataFrame, base: tuple[str, ...], optional: tuple[str, ...], score: str = "ndcg") -> DataFrame:
+    """``kind``, ``term`` and ``effect`` from the cells' scores: what each optional channel adds to the base,
+    and for each pair how much more both add together than each alone."""
+    name = lambda *more: "+".join(sorted((*base, *more)))
+    pairs = [(a, b) for i, a in enumerate(optional) for b in optional[i + 1 :]]
+    needed = {name()} | {name(c) for c in optional} | {name(*p) for p in pairs}
+    row = cells.agg(*[F.max(F.when(F.col("cell") == n, F.col(score))).alias(n) for n in sorted(needed)])
+    at = lambda *more: F.col(f"`{name(*more)}`")
+    effects = [("marginal", c, at(c) - at()) for c in optional] + [("interaction", f"{a}+{b}", at(a, b) - at(a) - at(b) + at()) for a, b in pairs]
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("term"), e.alias("effect")) for k, t, e in effects])))
+
+
+def ladder(scored: DataFrame, rungs: list[tuple[str, tuple[str, ...]]], query: str, item: str, gain: str, k: int, seed: str = "0") -> DataFrame:
+    """``rung``, ``system``, mean ``ndcg`` at k and ``queries`` of systems in order; one without channels ranks
+    by a hash of seed, query and item."""
+    named = cell_scores(scored, {name: channels for name, channels in rungs if channels}, query, item, gain, k)
+    judged = scored.groupBy(query, item).agg(F.max(gain).alias(gain))
+    blind = ndcg(judged, query, [P.hash_order(seed, F.col(query), F.col(item)), F.col(item)], gain, k)
+    for name, channels in rungs:
+        if not channels:
+            named = named.unionByName(blind.agg(F.lit(name).alias("cell"), F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries")))
+    place = F.create_map(*[F.lit(v) for i, (name, _) in enumerate(rungs) for v in (name, i)])
+    return named.select(F.element_at(place, F.col("cell")).alias("rung"), F.col("cell").alias("system"), "ndcg", "queries")
+
+
+def payload_filter(equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None) -> Column:
+    """A condition on payload columns (category, price, brand, color, locale, number of ratings) from a
+    request's facets; a list of values means any of them, and None asks for nothing."""
+    out = F.lit(True)
+    for c, v in (equal or {}).items():
+        if v is not None:
+            out &= F.col(c).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(c) == F.lit(v)
+    for c, v in (at_least or {}).items():
+        out &= F.lit(True) if v is None else F.col(c) >= F.lit(v)
+    for c, v in (at_most or {}).items():
+        out &= F.lit(True) if v is None else F.col(c) <= F.lit(v)
+    return out
+
+
+def product_points(products: DataFrame, key: str, payload: list[str], channels: dict[str, DataFrame]) -> DataFrame:
+    """One row a product: ``id`` (a stable UUID of the key), the key, ``payload`` and a vector (or list of
+    vectors) for each channel. Channels are tables of key and ``vector``; a product that one lacks has a
+    null there, which later steps leave out rather than score as zero."""
+    out = products.select(P.stable_uuid(F.col(key).cast("string")).alias("id"), key, F.struct(*payload).alias("payload"))
+    for name, vectors in channels.items():
+        out = out.join(vectors.select(key, F.col("vector").alias(name)), key, "left")
+    return out
+
+
 def two_stage(pairs: DataFrame, query: str, item: str, first: str, second: str, retrieve: int, keep: int) -> DataFrame:
     """The ``retrieve`` best of each query by a first score, reranked by a second: query, item, rank."""
     by = lambda c: Window.partitionBy(query).orderBy(F.desc(c), item)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetmill.functions import aspects as A
-from facetmill.functions import parsing as P
+from facetmill.operators.guards import running_before
+from facetmill.session import ship_package
 
 
 def _ratio(a: Column, b: Column, empty: float) -> Column:
@@ -47,29 +52,60 @@ def top_facets(examples: DataFrame, column: str, n: int = 15) -> DataFrame:
     return examples.select(F.explode(column).alias("facet")).groupBy("facet").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "facet").limit(n)
 
 
-def resamples(spark: SparkSession, rows: DataFrame, order: list[str], times: int, seed: str = "0") -> DataFrame:
-    """``times`` samples with replacement of ``rows``, as large as it, in column ``b``. The draw is
-    a hash of seed, sample and place, so any engine draws the same.
+#: The modulus and the multipliers of the draws, small enough for 64-bit products.
+MODULUS, BY_SAMPLE, BY_PLACE = 2_147_483_647, 1_000_003, 7_919
+#: Units of a judged set at most; they are held by every task.
+MAX_UNITS = 2_000_000
+
+
+def draws(sample: int, n: int, seed: int = 0) -> np.ndarray:
+    """The places that sample number ``sample`` draws from 0..n-1, n of them, with replacement: two rounds
+    of a quadratic residue map, so any engine with 64-bit integers draws the same."""
+    h = (seed + sample * BY_SAMPLE + np.arange(n, dtype=np.int64) * BY_PLACE) % MODULUS
+    h = (h * h + h + 12_345) % MODULUS
+    h = (h * h + 3 * h + 6_789) % MODULUS
+    return h * n // MODULUS
+
 
-    ``rows`` is a judged set of a few thousand; it is numbered once and its draws are spread by b.
+def bootstrap(units: DataFrame, order: list[str], columns: list[str], times: int = 10_000, seed: int = 0) -> DataFrame:
+    """``b``, ``n`` and the sum of each of ``columns`` over resample b of the units, which has as many units
+    as there are. Sums are all that means and micro averages need, so nothing is matched again.
+
+    Units are the rows of a judged set in the order of their keys (``MAX_UNITS`` at most); they go to all
+    tasks once, and each task draws its samples on arrays.
     """
-    numbered = rows.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1)
-    n = rows.count()
-    draws = spark.range(times).select(F.col("id").alias("b")).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))) if n else spark.createDataFrame([], "b long, __k int")
-    draws = draws.withColumn("__i", P.hash_index(F.lit(max(n, 1)), F.lit(seed), F.col("b"), F.col("__k")))
-    return draws.join(numbered, "__i").drop("__i", "__k")
+    spark = units.sparkSession
+    ship_package(spark)
+    if (n := units.count()) > MAX_UNITS:
+        raise ValueError(f"{n} units; a judged set has {MAX_UNITS} at most")
+    held = units.orderBy(*order).select(*columns).toPandas()
+    shared = spark.sparkContext.broadcast([held[c].to_numpy() for c in columns])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for b in f["id"]:
+                at = draws(int(b), n, seed)
+                rows.append((b, n, *[v[at].sum() for v in shared.value]))
+            yield pd.DataFrame(rows, columns=["b", "n", *columns])
+
+    kinds = {c: "long" if held[c].dtype.kind in "iu" else "double" for c in columns}
+    samples = spark.range(times if n else 0)
+    return samples.mapInPandas(run, "b long, n long, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
 def interval(samples: DataFrame, column: str, n: int, level: float = 0.95) -> DataFrame:
-    """Order-statistic bounds ``lo``/``hi`` and interpolated bounds ``lo_i``/``hi_i`` of n samples."""
+    """Order-statistic bounds ``lo``/``hi`` and interpolated bounds ``lo_i``/``hi_i`` of n samples, which are
+    one number a resample."""
     tail = (1 - level) / 2
-    ranked = samples.select(column, F.row_number().over(Window.orderBy(column)).alias("__r"))
-    at = lambda q: F.max(F.when(F.col("__r") == int(q * n) + 1, F.col(column)))
-    return ranked.agg(at(tail).alias("lo"), at(1 - tail).alias("hi"), F.percentile(column, tail).alias("lo_i"), F.percentile(column, 1 - tail).alias("hi_i"))
+    ranked = F.array_sort(F.collect_list(column))
+    at = lambda q: F.get(F.col("__s"), F.lit(int(q * n)))
+    out = samples.agg(ranked.alias("__s"), F.percentile(column, tail).alias("lo_i"), F.percentile(column, 1 - tail).alias("hi_i"))
+    return out.select(at(tail).alias("lo"), at(1 - tail).alias("hi"), "lo_i", "hi_i")
 
 
 def holm_bh(tests: DataFrame, p: str = "p", key: str = "test") -> DataFrame:
-    """Holm and Benjamini-Hochberg adjusted p-values of one family of tests."""
+    """Holm and Benjamini-Hochberg adjusted p-values of one family of tests, a handful of rows by nature."""
     up = Window.orderBy(p, key)
     ranked = tests.withColumn("__r", F.row_number().over(up)).withColumn("__n", F.count("*").over(Window.partitionBy()))
     holm = F.least(F.lit(1.0), F.max((F.col("__n") - F.col("__r") + 1) * F.col(p)).over(up.rowsBetween(Window.unboundedPreceding, 0)))
@@ -78,12 +114,20 @@ def holm_bh(tests: DataFrame, p: str = "p", key: str = "test") -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman's rho. Ranks come from the distinct values and their counts, so no task sorts all
-    rows."""
+    """Spearman's rho of the rows that have both values. Middle ranks come from the distinct values and
+    their counts, in ranges, so no task sorts all rows or all values."""
+    rows = rows.select(a, b).dropna()
 
     def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(c).agg(F.count("*").alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(F.col(c), (before + (F.col("__n") + 1) / 2.0).alias(f"__{c}"))
+        counts = running_before(rows.groupBy(c).agg(F.count("*").alias("__n")), c, "__n")
+        return counts.select(F.col(c), (F.col("before") + (F.col("__n") + 1) / 2.0).alias(f"__{c}"))
+
+    return rows.join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"__{a}", f"__{b}").alias("spearman"))
+
 
-    return rows.select(a, b).join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"__{a}", f"__{b}").alias("spearman"))
+def star_curve(rows: DataFrame, star: str, value: str) -> DataFrame:
+    """Levels of ``star``, whether the mean of ``value`` never falls from one level to the next, and the
+    smallest step. Only the levels' means are put in order."""
+    means = rows.groupBy(star).agg(F.avg(value).alias("__m"))
+    step = F.col("__m") - F.lag("__m").over(Window.orderBy(star))  # one row a level
+    return means.withColumn("__s", step).agg(F.count("*").alias("levels"), F.coalesce(F.min("__s") >= 0, F.lit(True)).alias("monotone"), F.min("__s").alias("least_step"))

@@ -136,3 +136,9 @@ def collisions(rows: DataFrame, group: list[str], label: str) -> DataFrame:
     """Groups with several rows and more than one label."""
     out = rows.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"))
     return out.where("n > 1 AND labels > 1")
+
+
+def product_sentences(reviews: DataFrame, product: str, text: str, wanted: Column | None = None) -> DataFrame:
+    """The distinct sentences of each product's reviews, of those rows that ``wanted`` (a language, say) keeps."""
+    rows = reviews if wanted is None else reviews.where(wanted)
+    return rows.select(product, F.explode(P.sentences(F.col(text))).alias("sentence")).distinct()

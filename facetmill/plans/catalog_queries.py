@@ -177,4 +177,74 @@ def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.collisions(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], "l_linestatus")
 
 
+@query("""SELECT count(*) AS products, round(avg(CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 1 END), 6) AS first_is_top FROM part""")
+def first_is_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    path = F.when(key % 20 == 0, F.array().cast("array<string>")).otherwise(F.array("p_type", "p_brand"))
+    rows = table(spark, sf_dir, "part").select(path.alias("category"), F.when(key % 20 == 10, F.lit("elsewhere")).otherwise(F.col("p_type")).alias("cat_top"))
+    return buckets.first_is_top(rows).select("products", F.round("first_is_top", 6).alias("first_is_top"))
+
+
+@query("""SELECT p_partkey, p_type AS first, len(w) AS n, array_to_string(w[1:2], '/') AS head FROM (SELECT p_partkey, p_type, [p_type, p_brand, p_name] AS w FROM part)""")
+def list_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.array("p_type", "p_brand", "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", P.first_or_null(path).alias("first"), F.size(path).cast("long").alias("n"), F.array_join(F.slice(path, 1, 2), "/").alias("head"))
+
+
+@query("""SELECT p_partkey, lower(p_type) AS facet, lower(p_type) || ' x' AS squeezed, chr(9) || p_name AS stripped FROM part""")
+def text_tidied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("p_type")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        P.normalize_facet(F.concat(F.lit(" \u00a0"), F.upper(kind), F.lit("\t "))).alias("facet"),
+        P.collapse_spaces(P.normalize_facet(F.concat(kind, F.lit(" \n\t X ")))).alias("squeezed"),
+        P.strip_control(F.concat(F.lit("\x01\t"), F.col("p_name"), F.lit("\x1f"))).alias("stripped"),
+    )
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN CAST(o_orderkey AS DOUBLE) END AS number FROM orders""")
+def numbers_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("o_orderkey") % 4
+    text = F.when(kind == 0, F.col("o_totalprice").cast("string")).when(kind == 1, F.concat(F.lit(" "), F.col("o_orderkey").cast("string"))).when(kind == 2, "n/a")
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.to_number(text).alias("number"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as raw scrape records, with two reviews for every third; ``ord`` is their order."""
+    key = F.col("p_partkey")
+    review = lambda n: F.struct(F.lit(f"{n}.0 out of 5 stars").alias("stars"), F.lit("t").alias("title"), F.concat(F.lit(f"text {n} of "), F.col("p_name")).alias("text"), F.lit("Reviewed in Canada on May 1, 2021").alias("date"))
+    reviews = F.when(key % 3 == 0, F.array(review(4), review(2))).when(key % 3 == 1, F.array().cast("array<struct<stars:string,title:string,text:string,date:string>>"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("A"), key.cast("string")).alias("asin"), F.lit("product").alias("type"), F.lit("us").alias("locale"), F.lit("t").alias("template"), F.col("p_name").alias("title"),
+        F.when(key % 2 == 0, "4.5 out of 5 stars").alias("stars"), F.concat((key % 900 + 1).cast("string"), F.lit(" ratings")).alias("ratings"),
+        F.when(key % 5 != 0, F.array("p_type", "p_brand")).alias("category"), F.col("p_retailprice").cast("string").alias("price"), F.lit("u").alias("image"),
+        F.when(key % 7 != 0, F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))).alias("attrs"), F.lit("d").alias("description"), reviews.alias("reviews"), key.alias("ord"),
+    )
+
+
+PRODUCT_ROWS_SQL = """SELECT 'A' || p_partkey AS asin, CASE WHEN p_partkey % 2 = 0 THEN 4.5 END::DOUBLE AS stars, CAST(p_partkey % 900 + 1 AS INTEGER) AS n_ratings, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS n_reviews,
+  CASE WHEN p_partkey % 7 <> 0 THEN 2 ELSE 0 END AS n_attrs, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS cat_top, CASE WHEN p_partkey % 5 <> 0 THEN p_type || '/' || p_brand ELSE '' END AS path FROM part"""
+REVIEW_ROWS_SQL = """SELECT 'A' || p_partkey AS asin, pos, CASE pos WHEN 0 THEN 4.0 ELSE 2.0 END::DOUBLE AS stars, length('text 4 of ' || p_name) AS text_len, 'Canada' AS country, '2021-05-01' AS date FROM part, (VALUES (0), (1)) AS l(pos) WHERE p_partkey % 3 = 0"""
+
+
+def show_products(rows: DataFrame) -> DataFrame:
+    out = tables.product_rows(rows)
+    return out.select("asin", F.col("stars").cast("double").alias("stars"), "n_ratings", "n_reviews", "n_attrs", "cat_top", F.array_join("category", "/").alias("path"))
+
+
+def show_reviews(rows: DataFrame) -> DataFrame:
+    out = tables.review_rows(rows)
+    return out.select("asin", "pos", F.col("stars").cast("double").alias("stars"), "text_len", "country", F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+@query(PRODUCT_ROWS_SQL)
+def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show_products(records(spark, sf_dir))
+
+
+@query(REVIEW_ROWS_SQL)
+def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return show_reviews(records(spark, sf_dir))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -117,33 +117,35 @@ def sheet_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.judge_sheet(sheet, manifest).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-_DRAWS_SQL = """n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS m FROM f),
-draws AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || k), 1, 8))::BIGINT % (SELECT count(*) FROM f) AS i FROM range(200) AS r(b), (SELECT i AS k FROM n))"""
-_INTERVAL_SQL = """SELECT max(CASE WHEN r = 6 THEN v END) AS lo, max(CASE WHEN r = 196 THEN v END) AS hi, round(quantile_cont(v, 0.025), 6) AS lo_i, round(quantile_cont(v, 0.975), 6) AS hi_i
+#: Resamples of each bootstrap.
+TIMES = 10_000
+_DRAWS_SQL = f"""n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS m FROM f),
+h0 AS (SELECT b, m, (b * {scores.BY_SAMPLE} + i * {scores.BY_PLACE}) % {scores.MODULUS} AS h FROM range({TIMES}) AS r(b), n),
+h1 AS (SELECT b, m, (h * h + h + 12345) % {scores.MODULUS} AS h FROM h0),
+h2 AS (SELECT b, m, (h * h + 3 * h + 6789) % {scores.MODULUS} AS h FROM h1),
+draws AS (SELECT b, h * m // {scores.MODULUS} AS i FROM h2)"""
+_INTERVAL_SQL = f"""SELECT max(CASE WHEN r = {int(0.025 * TIMES) + 1} THEN v END) AS lo, max(CASE WHEN r = {int(0.975 * TIMES) + 1} THEN v END) AS hi, round(quantile_cont(v, 0.025), 6) AS lo_i, round(quantile_cont(v, 0.975), 6) AS hi_i
 FROM (SELECT v, row_number() OVER (ORDER BY v) AS r FROM sampled)"""
 
 
-# The resampled units are sources and nations: each has the sums of its rows, so a resample adds up a
-# few numbers and nothing is matched again.
-@query(f"""WITH {_EXAMPLES_SQL.replace('f AS (', 'each AS (')}, f AS (SELECT source AS doc_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM each JOIN documents USING (doc_id) GROUP BY 1), {_DRAWS_SQL},
+# The resampled units are reviews, each with its counts.
+@query(f"""WITH {_EXAMPLES_SQL}, {_DRAWS_SQL},
 sampled AS (SELECT b, round(2 * (sum(tp) / (sum(tp) + sum(fp))) * (sum(tp) / (sum(tp) + sum(fn))) / ((sum(tp) / (sum(tp) + sum(fp))) + (sum(tp) / (sum(tp) + sum(fn)))), 4) AS v FROM draws JOIN n USING (i) GROUP BY 1) {_INTERVAL_SQL}""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = examples(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    units = judged.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "polarity_hits")])
-    samples = scores.micro_scores(scores.resamples(spark, units, ["source"], 200), "b")
-    out = scores.interval(samples, "facet_f1", 200)
+    samples = scores.bootstrap(examples(spark, sf_dir), ["doc_id"], ["tp", "fp", "fn", "polarity_hits"], TIMES)
+    out = scores.interval(scores.micro_scores(samples, "b"), "facet_f1", TIMES)
     return out.select("lo", "hi", F.round("lo_i", 6).alias("lo_i"), F.round("hi_i", 6).alias("hi_i"))
 
 
-@query(f"""WITH f AS (SELECT c_nationkey AS doc_id, avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) - avg(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END) AS d FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
-{_DRAWS_SQL}, sampled AS (SELECT b, round(avg(d), 6) AS v FROM draws JOIN n USING (i) GROUP BY 1), c AS ({_INTERVAL_SQL})
+# Queries are customers; the paired difference of each is between two rates over its orders.
+@query(f"""WITH f AS (SELECT o_custkey AS doc_id, avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) - avg(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END) AS d FROM orders GROUP BY 1),
+{_DRAWS_SQL}, sampled AS (SELECT b, round(sum(d) / any_value(m), 6) AS v FROM draws JOIN n USING (i) GROUP BY 1), c AS ({_INTERVAL_SQL})
 SELECT lo, hi, lo > 0 OR hi < 0 AS significant FROM c""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     delta = F.avg((F.col("o_orderstatus") == "F").cast("int")) - F.avg((F.col("o_orderpriority") < "3").cast("int"))
-    deltas = orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy("c_nationkey").agg(delta.alias("d"))
-    samples = scores.resamples(spark, deltas, ["c_nationkey"], 200).groupBy("b").agg(F.round(F.avg("d"), 6).alias("v"))
-    out = scores.interval(samples, "v", 200)
+    deltas = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(delta.alias("d"))
+    samples = scores.bootstrap(deltas, ["o_custkey"], ["d"], TIMES).select("b", F.round(F.col("d") / F.col("n"), 6).alias("v"))
+    out = scores.interval(samples, "v", TIMES)
     return out.select("lo", "hi", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))
 
 
@@ -168,6 +170,43 @@ def star_crosscheck_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("stars")).agg(F.round(F.avg(sign), 6).alias("polarity"), F.count("*").alias("n"))
 
 
+@query("""WITH m AS (SELECT l_linenumber AS star, avg(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS v FROM lineitem GROUP BY 1), s AS (SELECT v - lag(v) OVER (ORDER BY star) AS step FROM m)
+SELECT count(*) AS levels, min(step) >= 0 AS monotone, round(min(step), 6) AS least_step FROM s""")
+def star_crosscheck_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1).otherwise(0)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("star"), sign.alias("sign"))
+    return scores.star_curve(rows, "star", "sign").select("levels", "monotone", F.round("least_step", 6).alias("least_step"))
+
+
+#: Model answers that stand for many, by document id: good, without polarity, broken, too long, of an unknown polarity, empty.
+ANSWERS = [
+    '{"aspects":[{"facet":" Fit ","polarity":"positive","evidence":"e"}]}',
+    '{"aspects":[{"facet":"x"}]}',
+    "{broken",
+    '{"aspects":[' + ",".join(['{"facet":"a","polarity":"neutral","evidence":""}'] * 7) + "]}",
+    '{"aspects":[{"facet":"x","polarity":"great","evidence":""}]}',
+    '{"aspects":[]}',
+]
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 1 WHEN 5 THEN 0 END AS n_aspects, CASE doc_id % 6 WHEN 0 THEN 'fit' END AS facet,
+  CASE doc_id % 6 WHEN 1 THEN 'bad aspect' WHEN 2 THEN 'no aspects' WHEN 3 THEN 'too many aspects' WHEN 4 THEN 'bad aspect' END AS error FROM documents""")
+def model_output_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("doc_id") % len(ANSWERS) + 1).cast("int"))
+    out = table(spark, sf_dir, "documents").select("doc_id", A.parse_model_output(answer).alias("p"))
+    number = F.when(F.col("p.aspects").isNotNull(), F.size("p.aspects"))
+    return out.select("doc_id", number.alias("n_aspects"), F.get(F.col("p.aspects"), F.lit(0))["facet"].alias("facet"), F.col("p.error").alias("error"))
+
+
+@query("""SELECT doc_id AS review_no, CASE WHEN doc_id % 3 = 0 THEN 'new: pos' WHEN doc_id % 2 = 0 THEN 'old: neg' ELSE '' END AS draft_aspects,
+  CASE WHEN doc_id % 4 = 0 THEN 'kept: pos' WHEN doc_id % 3 = 0 THEN 'new: pos' ELSE ' ' END AS gold_aspects FROM documents""")
+def drafts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.lit("a").alias("asin"), F.col("doc_id").alias("review_no"))
+    sheet = docs.select("asin", "review_no", F.when(F.col("review_no") % 2 == 0, "old: neg").otherwise("").alias("draft_aspects"), F.when(F.col("review_no") % 4 == 0, "kept: pos").otherwise(" ").alias("gold_aspects"))
+    drafts = docs.where("review_no % 3 = 0").select("asin", "review_no", F.lit("new: pos").alias("draft"))
+    return gold.merge_drafts(sheet, drafts).drop("asin")
+
+
 @query("""SELECT user_id, max(value) AS best, arg_max(event_id, value) AS at FROM events GROUP BY 1""")
 def best_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("best"), F.max_by("event_id", "value").alias("at"))

@@ -83,9 +83,9 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT qid, label AS product, round(max(list_dot_product(v, embedding)::DOUBLE), 3) AS max_sim FROM q, embeddings e WHERE e.vec_id <> qid GROUP BY 1, 2""")
 def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
-    pairs = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select("qid", F.col("label").alias("product"), P.dot(F.col("v"), F.col("embedding")).alias("s"))
-    return ranking.max_sim(pairs, "qid", "product", "s").select("qid", "product", F.round("max_sim", 3).alias("max_sim"))
+    queries = rows.where("vec_id % 100 = 0")
+    out = ranking.max_sim_vectors(rows, queries, "label", "embedding", "vec_id", "embedding", part="vec_id")
+    return out.select("qid", F.col("item").alias("product"), F.round("max_sim", 3).alias("max_sim"))
 
 
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
@@ -147,10 +147,8 @@ p AS (SELECT *, row_number() OVER (PARTITION BY cell, q ORDER BY s DESC, item) A
 n AS (SELECT cell, q, sum(CASE WHEN r <= 10 THEN gain / log2(r + 1) ELSE 0 END) / sum(CASE WHEN i <= 10 THEN gain / log2(i + 1) ELSE 0 END) AS ndcg FROM p GROUP BY 1, 2 HAVING sum(gain) > 0)
 SELECT cell, round(avg(ndcg), 6) AS ndcg_10, count(*) AS queries FROM n GROUP BY 1""")
 def factorial_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gain = F.when(F.col("l_discount") > 0.07, 1.0).when(F.col("l_discount") > 0.04, 0.1).otherwise(0.0)
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("item")).agg(F.max(gain).alias("gain"), *[F.max(F.expr(e)).alias(c) for c, e in _CHANNELS.items()])
-    scored = rows.select("q", "item", "gain", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("score")) for c in _CHANNELS])))
-    return ranking.factorial_scores(scored, sorted(_CHANNELS), "q", "item", "gain", 10).select("cell", F.round("ndcg", 6).alias("ndcg_10"), "queries")
+    out = ranking.factorial_scores(_scored(spark, sf_dir), sorted(_CHANNELS), "q", "item", "gain", 10)
+    return out.select("cell", F.round("ndcg", 6).alias("ndcg_10"), "queries")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS q, l_partkey AS item, max(l_extendedprice) AS s1, max(l_quantity) AS s2 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY 1, 2),
@@ -162,4 +160,70 @@ def two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.two_stage(pairs, "q", "item", "s1", "s2", 3, 2)
 
 
+_CELLS_SQL = """g AS (SELECT l_orderkey AS q, l_partkey AS item, max(CASE WHEN l_discount > 0.07 THEN 1.0 WHEN l_discount > 0.04 THEN 0.1 ELSE 0.0 END) AS gain, max(l_extendedprice) AS price, max(-l_tax) AS tax, max(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2),
+c AS (SELECT q, item, gain, 'price' AS channel, price AS score FROM g UNION ALL SELECT q, item, gain, 'tax', tax FROM g UNION ALL SELECT q, item, gain, 'quantity', quantity FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY q, channel ORDER BY score DESC, item) AS r FROM c),
+cells AS (SELECT unnest(['price', 'quantity', 'tax', 'price+quantity', 'price+tax', 'quantity+tax', 'price+quantity+tax']) AS cell),
+f AS (SELECT cell, q, item, any_value(gain) AS gain, round(avg(1.0 / (60 + r)), 12) AS s FROM r JOIN cells ON list_contains(string_split(cell, '+'), channel) GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY cell, q ORDER BY s DESC, item) AS r, row_number() OVER (PARTITION BY cell, q ORDER BY gain DESC) AS i FROM f),
+n AS (SELECT cell, q, sum(CASE WHEN r <= 10 THEN gain / log2(r + 1) ELSE 0 END) / sum(CASE WHEN i <= 10 THEN gain / log2(i + 1) ELSE 0 END) AS ndcg FROM p GROUP BY 1, 2 HAVING sum(gain) > 0),
+m AS (SELECT cell, avg(ndcg) AS ndcg, count(*) AS queries FROM n GROUP BY 1)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each order with their scores in three channels."""
+    gain = F.when(F.col("l_discount") > 0.07, 1.0).when(F.col("l_discount") > 0.04, 0.1).otherwise(0.0)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("item")).agg(F.max(gain).alias("gain"), *[F.max(F.expr(e)).alias(c) for c, e in _CHANNELS.items()])
+    return rows.select("q", "item", "gain", F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("score")) for c in _CHANNELS])))
+
+
+@query(f"""WITH {_CELLS_SQL}, v AS (SELECT max(ndcg) FILTER (cell = 'price') AS p, max(ndcg) FILTER (cell = 'price+quantity') AS pq, max(ndcg) FILTER (cell = 'price+tax') AS pt, max(ndcg) FILTER (cell = 'price+quantity+tax') AS pqt FROM m)
+SELECT 'marginal' AS kind, 'quantity' AS term, round(pq - p, 6) AS effect FROM v UNION ALL SELECT 'marginal', 'tax', round(pt - p, 6) FROM v UNION ALL SELECT 'interaction', 'quantity+tax', round(pqt - pq - pt + p, 6) FROM v""")
+def factorial_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = ranking.factorial_scores(_scored(spark, sf_dir), sorted(_CHANNELS), "q", "item", "gain", 10)
+    out = ranking.factorial_effects(cells, ("price",), ("quantity", "tax"))
+    return out.select("kind", "term", F.round("effect", 6).alias("effect"))
+
+
+LADDER = [("random", ()), ("lexical", ("price",)), ("dense", ("quantity",)), ("fields", ("price", "quantity")), ("with_reviews", ("price", "quantity", "tax"))]
+
+
+@query(f"""WITH {_CELLS_SQL}, x AS (SELECT q, item, gain, row_number() OVER (PARTITION BY q ORDER BY md5('0:' || q || ':' || item), item) AS r, row_number() OVER (PARTITION BY q ORDER BY gain DESC) AS i FROM g),
+y AS (SELECT q, sum(CASE WHEN r <= 10 THEN gain / log2(r + 1) ELSE 0 END) / sum(CASE WHEN i <= 10 THEN gain / log2(i + 1) ELSE 0 END) AS ndcg FROM x GROUP BY 1 HAVING sum(gain) > 0),
+l AS (SELECT 0 AS rung, 'random' AS system, avg(ndcg) AS ndcg, count(*) AS queries FROM y UNION ALL SELECT 1, 'lexical', ndcg, queries FROM m WHERE cell = 'price' UNION ALL SELECT 2, 'dense', ndcg, queries FROM m WHERE cell = 'quantity'
+  UNION ALL SELECT 3, 'fields', ndcg, queries FROM m WHERE cell = 'price+quantity' UNION ALL SELECT 4, 'with_reviews', ndcg, queries FROM m WHERE cell = 'price+quantity+tax')
+SELECT rung, system, round(ndcg, 6) AS ndcg, queries FROM l""")
+def baseline_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ladder(_scored(spark, sf_dir), LADDER, "q", "item", "gain", 10).withColumn("ndcg", F.round("ndcg", 6))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS q, l_partkey AS item, l_linenumber AS review, l_quantity AS s FROM lineitem), e AS (SELECT q, item, review, max(s) AS m, count(*) AS n FROM p GROUP BY 1, 2, 3)
+SELECT q, item, max(m) AS max_sim, round(max(m) / (1 + ln(sum(n))), 6) AS by_log, round(avg(m), 6) AS mean_of_max FROM e GROUP BY 1, 2""")
+def row_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("q"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("review"), F.col("l_quantity").alias("s"))
+    out = ranking.row_corrections(pairs, "q", "item", "review", "s")
+    return out.select("q", "item", "max_sim", F.round("by_log", 6).alias("by_log"), F.round("mean_of_max", 6).alias("mean_of_max"))
+
+
+@query("""WITH h AS (SELECT p_partkey, p_brand, p_size, p_retailprice, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(CAST(p_partkey AS VARCHAR))) AS d FROM part),
+v AS (SELECT l_partkey, round(avg(l_quantity), 6) AS a, round(avg(l_discount), 6) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT p_partkey, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab', 1 + (('0x' || substr(d, 17, 1))::INTEGER % 4), 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS id, p_brand AS brand,
+  p_retailprice AS text_1, CAST(p_size AS DOUBLE) AS text_2, l_partkey IS NOT NULL AS has_review, a AS review_1, b AS review_2 FROM h LEFT JOIN v ON l_partkey = p_partkey""")
+def product_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    text = part.select("p_partkey", F.array("p_retailprice", F.col("p_size").cast("double")).alias("vector"))
+    review = items.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array(F.round(F.avg("l_quantity"), 6), F.round(F.avg("l_discount"), 6)).alias("vector"))
+    out = ranking.product_points(part, "p_partkey", ["p_brand", "p_type"], {"text": text, "review": review})
+    at = lambda c, i, name: F.get(F.col(c), F.lit(i)).alias(name)
+    return out.select("p_partkey", "id", F.col("payload.p_brand").alias("brand"), at("text", 0, "text_1"), at("text", 1, "text_2"), F.col("review").isNotNull().alias("has_review"), at("review", 0, "review_1"), at("review", 1, "review_2"))
+
+
+@query("""WITH b AS (SELECT min(p_brand) AS lo, max(p_brand) AS hi FROM part) SELECT p_partkey, p_brand, p_size, p_retailprice FROM part, b WHERE p_brand IN (lo, hi) AND p_size >= 10 AND p_retailprice <= 1500""")
+def payload_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    brands = part.agg(F.min("p_brand").alias("lo"), F.max("p_brand").alias("hi")).first()
+    asked = ranking.payload_filter({"p_brand": [brands["lo"], brands["hi"]], "p_type": None}, {"p_size": 10}, {"p_retailprice": 1500})
+    return part.where(asked).select("p_partkey", "p_brand", "p_size", "p_retailprice")
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -9,6 +9,7 @@ from facetmill.functions import aspects as A
 from facetmill.functions import parsing as P
 from facetmill.operators import extraction, gold, inspect, tables
 from facetmill.plans.registry import Registry, table
+from facetmill.streaming import extraction_stream
 
 R = Registry()
 query = R.query
@@ -193,4 +194,32 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE length(text) END AS text_len FROM documents")
+def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", P.text_length(F.when(F.col("doc_id") % 9 != 0, F.col("text"))).alias("text_len"))
+
+
+@query("""WITH s AS (SELECT DISTINCT doc_id // 5 AS product, trim(unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*'))) AS s FROM documents WHERE lang = 'en')
+SELECT 'p' || product AS asin, count(*) AS n_sentences, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM s WHERE length(s) >= 15 GROUP BY 1""")
+def product_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.product_sentences(reviews(spark, sf_dir), "asin", "text", F.col("country") == "en")
+    return found.groupBy("asin").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
+
+
+@query("""SELECT unnest([25, 50, 75, 100]) AS arm, unnest([count(*) FILTER (h < 25), count(*) FILTER (h < 50), count(*) FILTER (h < 75), count(*)]) AS n FROM (SELECT ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT % 100 AS h FROM documents)""")
+def scaling_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.scaling_arms(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]).groupBy("arm").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id > 20 ORDER BY doc_id LIMIT 50")
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.page_after(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 20, 50)
+
+
+@query("""SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extraction_stream.windowed_counts(table(spark, sf_dir, "events"))
+    return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +30,34 @@ def ship_package(spark: SparkSession) -> None:
             out.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset on a local master (tests), a temporary folder takes its place; on a
+    cluster the setting is required.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="facetmill-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone at exit; the folder is then left to its owner
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/facetmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete_path, spark, path)
+    return path

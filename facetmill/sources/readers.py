@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facetmill.functions import parsing as P
 from facetmill.operators.extraction import read_log
+from facetmill.sources.sheets import read_sheet_xlsx
 
 #: The fields of a raw scrape record.
 SCRAPE_SCHEMA = (
@@ -72,16 +73,39 @@ def read_log_stamps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """An annotation sheet as CSV, all cells text and blanks empty."""
+    """An annotation sheet, a workbook or CSV, all cells text and blanks empty."""
+    if path.endswith(".xlsx"):
+        return read_sheet_xlsx(spark, path)
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return rows.fillna("")
 
 
+def read_drafts(spark: SparkSession, path: str) -> DataFrame:
+    """Drafts of annotation cells, JSON lines; those without a key are skipped."""
+    rows = spark.read.schema("asin string, review_no int, draft string").json(path)
+    return rows.where("asin IS NOT NULL AND review_no IS NOT NULL")
+
+
+def read_rounds(spark: SparkSession, path: str) -> DataFrame:
+    """The state log of an optimisation loop, JSON lines: ``tag``, its ``parent``, and scores on dev rows."""
+    kind = "tag string, parent string, facet_f1 double, polarity_accuracy double, accepted boolean, minutes double"
+    return spark.read.schema(kind).json(path).where("tag IS NOT NULL")
+
+
 def read_prompt(path: str) -> dict:
-    """A versioned prompt artifact (JSON); the version inside must be the file's name."""
+    """A versioned prompt artifact, JSON or (where a YAML library is installed) YAML; the version inside must
+    be the file's name."""
     import json
 
-    doc = json.loads(Path(path).read_text())
+    text = Path(path).read_text()
+    if Path(path).suffix in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path}: reading YAML needs a YAML library; JSON artifacts need none") from e
+        doc = yaml.safe_load(text)
+    else:
+        doc = json.loads(text)
     if doc.get("version") != Path(path).stem:
         raise ValueError(f"{path} says version {doc.get('version')!r}")
     return doc

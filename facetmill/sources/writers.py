@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.operators.scores import worst
@@ -26,13 +28,43 @@ def write_gold(frozen: DataFrame, path: str) -> None:
     frozen.write.partitionBy("split").json(path)
 
 
+#: Rows of a sampled set that are written as one file, at most.
+MAX_SAMPLE = 1_000_000
+
+
 def write_manifest(splits: DataFrame, path: str, seed: int) -> None:
     """The sampled set, some hundred rows, as one JSON file."""
-    rows = [r.asDict() for r in splits.select("asin", "review_no", "split", "stratum", "review_md5").collect()]
+    rows = [r.asDict() for r in splits.select("asin", "review_no", "split", "stratum", "review_md5").limit(MAX_SAMPLE + 1).collect()]
+    if len(rows) > MAX_SAMPLE:
+        raise ValueError(f"more than {MAX_SAMPLE} rows aren't a sample for one file")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps({"seed": seed, "n": len(rows), "rows": rows}, indent=1))
 
 
+def write_blobs(blobs: DataFrame, root: str, key: str = "product_id", content: str = "content", suffix: str = ".jpg") -> DataFrame:
+    """Stores each row's bytes in a sharded folder, and gives ``key`` and ``path``. Each task writes its own
+    rows through the file system of ``root``, a file under another name first, so none is ever half there."""
+    from facetmill.functions.parsing import shard_path
+    from facetmill.session import ship_package
+
+    ship_package(blobs.sparkSession)
+    named = blobs.select(key, F.col(content).alias("content"), shard_path(F.col(key), root, suffix).alias("path"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for f in frames:
+            for path, data in zip(f["path"], f["content"]):
+                store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at + ".part") as out:
+                    out.write(data)
+                store.move(at + ".part", at)
+            yield f[[key, "path"]]
+
+    return named.mapInPandas(run, f"{key} {blobs.schema[key].dataType.simpleString()}, path string")
+
+
 def write_artifact(doc: dict, folder: str) -> Path:
     """A prompt artifact under its version; an existing one is never overwritten."""
     target = Path(folder) / f"{doc['version']}.json"
@@ -43,14 +75,32 @@ def write_artifact(doc: dict, folder: str) -> Path:
 
 
 def swap_table(df: DataFrame, path: str) -> None:
-    """Replaces a table that ``df`` may be read from: write beside it, then rename."""
+    """Replaces a table that ``df`` may be read from: write beside it, move the old one aside, move the new
+    one in, delete the old one. A crash leaves the old table at its place or aside; the next swap, or
+    ``restore_table``, puts it back first."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    staged, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.staged", path))
+    restore_table(spark, path)
+    new, aside, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.staged", f"{path}.aside", path))
     df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.staged")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(staged, target)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        restore_table(spark, path)
+        raise OSError(f"{path}.staged can't be moved in")
+    fs.delete(aside, True)
+
+
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """Puts back a table that a broken swap left aside; whether there was one."""
+    aside, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.aside", path))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(aside):
+        return False
+    if fs.exists(target):  # the new one was in already
+        fs.delete(aside, True)
+        return False
+    return bool(fs.rename(aside, target))
 
 
 def failure_packet(examples: DataFrame, texts: DataFrame, keys: list[str], n: int = 20) -> str:

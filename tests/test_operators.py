@@ -162,3 +162,101 @@ def test_bm25_whole_queries(spark, tmp_path):
                     want[item, doc] = want.get((item, doc), 0) + part
     got = {(r["item_id"], r["doc_id"]): r["bm25"] for r in catalogue.queries()["bm25_all_words"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and (7, 1) in got and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_bootstrap_against_plain_draws(spark):
+    units = [(i * 7 % 50, i, 0.5 * i) for i in range(50)]
+    df = spark.createDataFrame(units, "k int, n_hits int, d double").repartition(5)
+    got = {r["b"]: r for r in scores.bootstrap(df, ["k"], ["n_hits", "d"], 40, 3).collect()}
+    ordered = sorted(units)
+    for b in range(40):
+        at = scores.draws(b, 50, 3)
+        assert (got[b]["n"], got[b]["n_hits"]) == (50, sum(ordered[i][1] for i in at)) and abs(got[b]["d"] - sum(ordered[i][2] for i in at)) < 1e-9
+    assert len({tuple(scores.draws(b, 50)) for b in range(40)}) == 40
+    assert scores.bootstrap(df.where("k < 0"), ["k"], ["d"], 5).count() == 0
+    spread = [scores.draws(b, 1000).tolist() for b in range(200)]
+    mean = [len(set(x)) / 1000 for x in spread]  # with replacement 1 - 1/e of the units are drawn
+    assert abs(sum(mean) / 200 - 0.632) < 0.01 and abs(sum(map(sum, spread)) / 200_000 - 499.5) < 5
+
+
+def test_interval(spark):
+    df = spark.range(1000).select((F.col("id") * 17 % 1000).cast("double").alias("v"))
+    r = scores.interval(df, "v", 1000).first()
+    assert (r["lo"], r["hi"]) == (25.0, 975.0) and abs(r["lo_i"] - 24.975) < 1e-9
+
+
+def test_spearman_by_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(guards, "RANGES", 5)
+    rng = random.Random(1)
+    data = [(rng.choice([1.5, 2.5, float(i % 40)]), float(rng.randint(0, 300))) for i in range(500)] + [(None, 1.0), (1.0, None)]
+    df = spark.createDataFrame(data, "a double, b double")
+
+    def ranks(values):
+        s = sorted(values)
+        return [s.index(v) + (s.count(v) + 1) / 2 for v in values]
+
+    pairs = [p for p in data if None not in p]
+    x, y = ranks([p[0] for p in pairs]), ranks([p[1] for p in pairs])
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    want = sum((a - mx) * (b - my) for a, b in zip(x, y)) / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+    assert abs(scores.spearman(df, "a", "b").first()["spearman"] - want) < 1e-9
+
+
+def test_star_curve(spark):
+    df = spark.createDataFrame([(1, -1.0), (1, 0.0), (2, 0.0), (3, 0.5)], "star int, v double")
+    assert tuple(scores.star_curve(df, "star", "v").first()) == (3, True, 0.5)
+    assert scores.star_curve(df.withColumn("v", -F.col("v")), "star", "v").first()["monotone"] is False
+    assert scores.star_curve(df.where("star = 1"), "star", "v").first()["monotone"] is True
+
+
+def test_contained_shingles_against_search(spark):
+    items = {1: "One two  three four five", 2: "two three four five six", 3: "a b", 4: "x ONE two three four y"}
+    docs = {1: "say everyone two three four fiver", 2: "one two three\nfour five", 3: "ONE TWO THREE FOUR FIVE SIX", 4: "two three", 5: None}
+    frame = lambda d, k: spark.createDataFrame([*d.items()], f"{k} long, text string")
+    got = {(r["e"], r["doc_id"]): r["shared"] for r in inspect.contained_shingles(frame(items, "e"), frame(docs, "doc_id"), 4, "e").collect()}
+    want = {}
+    for i, t in items.items():
+        w = t.lower().split()
+        for run in {" ".join(w[j : j + 4]) for j in range(len(w) - 3)}:
+            for d, text in docs.items():
+                if text and run in text.lower():
+                    want[i, d] = want.get((i, d), 0) + 1
+    assert got == want and (1, 1) in got and (1, 2) not in got
+
+
+def test_max_sim_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 2)
+    data = [(i, i % 3, [float(i), float(-i % 5)]) for i in range(12)]
+    df = spark.createDataFrame(data, "id int, item int, v array<double>")
+    got = {(r["qid"], r["item"]): r["max_sim"] for r in ranking.max_sim_vectors(df, df.where("id < 5"), "item", "v", "id", "v", part="id").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(q, item): max(dot(qv, v) for i, it, v in data if it == item and i != q) for q, _, qv in data[:5] for item in range(3)}
+    assert got == want
+    whole = ranking.max_sim_vectors(df, df.where("id = 0"), "item", "v", "id", "v")
+    assert whole.count() == 3 and ranking.max_sim_vectors(df, df.where("id < 0"), "item", "v", "id", "v").count() == 0
+
+
+def test_factorial_effects(spark):
+    cells = spark.createDataFrame([("a", 0.5), ("a+b", 0.6), ("a+c", 0.55), ("a+b+c", 0.7), ("b", 0.1)], "cell string, ndcg double")
+    got = {(r["kind"], r["term"]): round(r["effect"], 6) for r in ranking.factorial_effects(cells, ("a",), ("b", "c")).collect()}
+    assert got == {("marginal", "b"): 0.1, ("marginal", "c"): 0.05, ("interaction", "b+c"): 0.05}
+
+
+def test_payload_filter(spark):
+    df = spark.createDataFrame([("x", 1.0, 5), ("y", 2.0, 9), (None, 3.0, 9)], "brand string, price double, n_ratings int")
+    count = lambda **f: df.where(ranking.payload_filter(**f)).count()
+    assert (count(), count(equal={"brand": "x"}), count(equal={"brand": ["x", "y"]}), count(at_least={"n_ratings": 6}, at_most={"price": 2.5, "n_ratings": None})) == (3, 1, 2, 1)
+
+
+def test_guards():
+    assert guards.refuse_prefix("run3") == "run3"
+    with pytest.raises(ValueError):
+        guards.refuse_prefix("v3")
+
+
+def test_scaling_arms_are_nested(spark):
+    out = inspect.scaling_arms(spark.range(300), ["id"])
+    arms = {a: {r["id"] for r in out.where(F.col("arm") == a).collect()} for a in (25, 50, 75, 100)}
+    assert arms[25] < arms[50] < arms[75] < arms[100] and len(arms[100]) == 300 and 40 < len(arms[25]) < 110
