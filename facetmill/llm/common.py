@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.session import ship_package
+from facetmill.session import delete_path, shared_dir, ship_package
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; the bytes bound the worker's memory.
 BATCH_ROWS = 10_000
@@ -30,34 +29,9 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset on a local master (tests), a temporary folder takes its place; on a
-    cluster the setting is required.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="facetmill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; the folder is then left to its owner
-        pass
-
-
 def _leave_none() -> None:
     for spark, path in list(_written.values()):
-        _delete(spark, path)
+        delete_path(spark, path)
 
 
 _written: dict[str, tuple[SparkSession, str]] = {}
@@ -84,7 +58,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_facetmill_table", None)
         if path in _written:
-            _delete(*_written.pop(path))
+            delete_path(*_written.pop(path))
 
 
 #: Bytes of keys that ``join_hot`` sends to all executors at most.
