@@ -45,8 +45,9 @@ COLLISION, SMALL_SEGMENT = 40.0, 5
 EXTRA = 0.3
 #: One more equal signature is needed of a pair for so many segments of its band.
 EVIDENCE = 12
-#: Rows up to which a signature's pairs are counted; rows of more are tied to the least id.
-CROWDED = 16
+#: Rows up to which a signature's pairs are counted; rows of more are tied to one id. The bit of a
+#: signature that is unset in the row of a lot where it is crowded, which so comes first.
+CROWDED, SPARSE = 16, 16
 #: Sample that tells common tokens: its documents, how many must hold a token, tokens kept at most.
 SAMPLE_DOCS, COMMON_DOCS, COMMON_TOKENS = 5000, 3, 200_000
 #: Members of a component that one task verifies, and their tokens; larger ones are split.
@@ -115,7 +116,8 @@ def signatures(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarr
     A band has some segments more than it needs. Each set leaves out ``extra`` of its own, the weakest:
     those with the fewest tokens outside ``common``, then the fewest tokens. No pair is lost: linked
     sets have ``extra`` + ``needed`` equal segments, and the strongest ``needed`` of these are among the
-    weakest of neither. The lowest four bits of a signature tell how many a pair needs.
+    weakest of neither. The lowest four bits of a signature tell how many a pair needs, the next one that
+    no lot has found it crowded.
     """
     n = len(tokens)
     bands = [band_of(n, percent)]
@@ -138,7 +140,7 @@ def signatures(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarr
         np.add.at(total, segment, value)
         near = segment >= exact + extra  # those with one-deletion neighbourhoods
         salt = K.mix(np.uint64(band << 20) + np.arange(m, dtype=np.uint64))
-        mark = lambda h, needed=needed: (K.mix(h) & ~np.uint64(15)) | np.uint64(needed)
+        mark = lambda h, needed=needed: (K.mix(h) & ~np.uint64(31)) | np.uint64(SPARSE + needed)
         whole = mark(total ^ salt)
         if extra:
             strength = np.bincount(segment[rare], minlength=m)[: exact + extra] * 4096 + np.bincount(segment, minlength=m)[: exact + extra]
@@ -192,10 +194,10 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long")
 
 
-def _combine(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A lot's rows (signature, id, whether crowded). Of a signature that is crowded in the lot alone one
-    row stays, which says so; its other rows are tied to that row's id by signatures of their own. So
-    however common a signature is, a lot sends one row of it."""
+def _combine(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A lot's rows. Of a signature that is crowded in the lot alone one row stays, which says so; its other
+    rows are tied to that row's id by signatures of their own. So however common a signature is, a lot
+    sends one row of it."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -205,15 +207,16 @@ def _combine(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     extra = np.unique(np.stack([ids[tied], np.repeat(ids[first], size)[tied]], 1), axis=0)
     extra = extra[extra[:, 0] != extra[:, 1]]
     own = K.mix(K.mix(extra[:, 0].astype(np.uint64)) ^ extra[:, 1].astype(np.uint64) ^ np.uint64(0x1234567))
-    own = (own & ~np.uint64(15)) | np.uint64(1)
-    return np.concatenate([sig[~tied], own, own]), np.concatenate([ids[~tied], extra[:, 0], extra[:, 1]]), np.concatenate([crowded[~tied], np.zeros(2 * len(own), bool)])
+    own = (own & ~np.uint64(31)) | np.uint64(SPARSE + 1)
+    sig = np.where(crowded, sig & ~np.uint64(SPARSE), sig)
+    return np.concatenate([sig[~tied], own, own]), np.concatenate([ids[~tied], extra[:, 0], extra[:, 1]])
 
 
 def _pairs(signed: DataFrame) -> DataFrame:
     """a, b and the evidence for the pair, 1 or more if it must be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, ids, said = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        sig, ids, said = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # said to be crowded
         hub: tuple[int, int] | None = None  # of a crowded signature that goes on
 
         def found(sig: np.ndarray, ids: np.ndarray, said: np.ndarray) -> pa.RecordBatch:
@@ -237,7 +240,8 @@ def _pairs(signed: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c[keep], k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "w"])
 
         for batch in batches:
-            sig, ids, said = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((sig, ids, said), batch.columns))
+            more, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sig, ids, said = (np.concatenate(x) for x in ((sig, more | SPARSE), (ids, key), (said, (more & SPARSE) == 0)))
             if not len(sig):
                 continue
             last = int(np.searchsorted(sig, sig[-1]))  # the last signature may go on
@@ -253,7 +257,7 @@ def _pairs(signed: DataFrame) -> DataFrame:
         yield found(sig, ids, said)
         K.release()
 
-    ordered = signed.repartition(F.col("sig")).sortWithinPartitions("sig", F.desc("crowded"), "id")
+    ordered = signed.repartition(F.col("sig").bitwiseOR(F.lit(SPARSE).cast("long"))).sortWithinPartitions("sig", "id")
     return ordered.mapInArrow(run, "a long, b long, w double")
 
 
@@ -263,11 +267,11 @@ def _signature_rows(docs: DataFrame, width: int, percent: int, shared: Broadcast
 
         def send() -> Iterator[pa.RecordBatch]:
             if held:
-                sig, ids, crowded = _combine(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+                sig, ids = _combine(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
                 held.clear()
                 sig = sig.view(np.int64)
                 for a in range(0, len(ids), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (sig, ids, crowded)], ["sig", "id", "crowded"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (sig, ids)], ["sig", "id"])
 
         for batch in batches:
             found = [signatures(s, percent, shared.value) if len(s) else s for s in token_sets(*K.column(batch), width)]
@@ -278,7 +282,7 @@ def _signature_rows(docs: DataFrame, width: int, percent: int, shared: Broadcast
         yield from send()
         K.release()
 
-    return docs.mapInArrow(run, "sig long, id long, crowded boolean")
+    return docs.mapInArrow(run, "sig long, id long")
 
 
 def _sets_of(docs: DataFrame, width: int) -> DataFrame:
