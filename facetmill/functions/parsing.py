@@ -154,6 +154,15 @@ def word_shingles(text: Column, width: int = 8) -> Column:
     return F.element_at(one, 1)
 
 
+def shingle_hashes(text: Column, width: int = 8) -> Column:
+    """64-bit hashes of the distinct runs of ``word_shingles``, made from hashes of the words, so no run is
+    put together."""
+    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+    one = F.transform(F.array(words), lambda h: F.when(F.size(h) >= width, runs(h)).otherwise(F.array().cast("array<bigint>")))
+    return F.array_distinct(F.element_at(one, 1))
+
+
 def hash_order(seed: str, *keys: Column) -> Column:
     """A sample order that depends on seed and key alone, whatever the partitions or the engine."""
     return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]).cast("binary"))

@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.functions import parsing as P
 from facetmill.operators.guards import sent
+from facetmill.session import scratch
 
 
-def shared_shingles(examples: DataFrame, corpus: DataFrame, width: int = 8, example: str = "example_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``example``, ``doc``, ``shared`` runs of ``width`` words, found by an equi-join on words.
+def _proposed(runs: DataFrame, corpus: DataFrame, run: str, width: int, doc: str, text: str, keep: list[str]) -> DataFrame:
+    """``doc`` and its ``runs`` (structs of ``keep``) whose words, by a hash of them, stand in the text. The
+    runs are sent to all tasks where a count shows them to be few, so the corpus isn't shuffled."""
+    hashed = runs.withColumn("__h", F.get(P.shingle_hashes(F.col(run), width), F.lit(0)))
+    found = corpus.select(doc, F.explode(P.shingle_hashes(F.col(text), width)).alias("__h")).join(sent(hashed), "__h")
+    return found.groupBy(doc).agg(F.collect_set(F.struct(*keep)).alias("runs"))
 
-    Distinct runs of each side are joined, so repeated lines don't multiply. The examples' runs are sent
-    to all tasks where a count shows them to be few, so the corpus isn't shuffled.
-    """
-    left = examples.select(example, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s"))
-    right = corpus.select(doc, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s"))
-    return right.join(sent(left), "s").groupBy(example, doc).agg(F.count("*").alias("shared"))
+
+def _shared(corpus: DataFrame, proposed: DataFrame, said: Column, holds: Callable[[Column], Column], example: str, doc: str, text: str) -> DataFrame:
+    """Counts of the proposed runs that ``said`` of the text holds. The proposals are written first, so the
+    corpus is searched for them once, and only their texts are made ready and compared."""
+    path = scratch(corpus.sparkSession, "proposed")
+    proposed.write.parquet(path)
+    few = corpus.sparkSession.read.schema(proposed.schema).parquet(path)
+    hits = corpus.select(doc, text).join(sent(few), doc).select(doc, said.alias("t"), "runs")
+    hits = hits.select(doc, F.explode(F.filter("runs", holds)).alias("r"))
+    return hits.groupBy(F.col(f"r.{example}").alias(example), doc).agg(F.count("*").alias("shared"))
+
+
+def shared_shingles(examples: DataFrame, corpus: DataFrame, width: int = 8, example: str = "example_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``example``, ``doc``, ``shared`` distinct runs of ``width`` words. Hashes of runs propose the texts, and
+    only those are compared word for word."""
+    runs = examples.select(example, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s"))
+    proposed = _proposed(runs, corpus, "s", width, doc, text, [example, "s"])
+    words = F.array_join(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), " ")
+    said = F.concat(F.lit(" "), words, F.lit(" "))
+    return _shared(corpus, proposed, said, lambda r: F.contains(F.col("t"), F.concat(F.lit(" "), r["s"], F.lit(" "))), example, doc, text)
 
 
 def contained_shingles(examples: DataFrame, corpus: DataFrame, width: int = 8, example: str = "example_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The same by plain substring search in the lower-cased text, so a run may start or end inside a
     word and other white space defeats it.
 
-    The inner words of a run stand whole in any text that contains it, so an equi-join on these proposes
-    the texts, and only those are searched for the run. ``width`` is 3 at least.
+    The inner words of a run stand whole in any text that contains it, so these propose the texts, and
+    only those are searched for the run. ``width`` is 3 at least.
     """
     inner = F.substring_index(F.regexp_replace("s", r"^\S+ ", ""), " ", width - 2)
     runs = examples.select(example, F.explode(F.array_distinct(P.word_shingles(F.col(text), width))).alias("s")).withColumn("inner", inner)
-    words = corpus.select(doc, F.explode(F.array_distinct(P.word_shingles(F.col(text), width - 2))).alias("inner"))
-    proposed = words.join(sent(runs), "inner").groupBy(doc).agg(F.collect_set(F.struct(example, "s")).alias("runs"))
-    hits = corpus.select(doc, F.lower(text).alias("t")).join(proposed, doc)
-    hits = hits.select(doc, F.explode(F.filter("runs", lambda r: F.contains(F.col("t"), r["s"]))).alias("r"))
-    return hits.groupBy(F.col(f"r.{example}").alias(example), doc).agg(F.count("*").alias("shared"))
+    proposed = _proposed(runs, corpus, "inner", width - 2, doc, text, [example, "s"])
+    return _shared(corpus, proposed, F.lower(text), lambda r: F.contains(F.col("t"), r["s"]), example, doc, text)
 
 
 def schema_profile(rows: DataFrame, json: str, *by: str) -> DataFrame:
