@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facetmill.llm import license_scan
+from facetmill.llm import importance, license_scan
 
 _UPPER = "".join(chr(c) for c in range(65, 91))
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -110,3 +110,23 @@ edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
 root AS (SELECT a AS doc_id, min(least(a, b)) AS root FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id FROM {documents} LEFT JOIN z USING (doc_id) LEFT JOIN root USING (doc_id)"""
+
+
+def importance_sql(documents: str = "documents", benchmark: str = "benchmark") -> str:
+    """SQL for the rows of ``importance.resample`` with runs of one word: the checksum of every distinct
+    word byte by byte from its table of remainders."""
+    b = importance.BUCKETS
+    found = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH table_of AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, row_number() OVER () AS r, {found("text")} AS w FROM {documents}),
+place AS (SELECT r, unnest(w) AS word FROM d),
+wanted AS (SELECT unnest({found("text")}) AS word FROM {benchmark}),
+word AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(word)), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+  lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % {b} AS bucket FROM (SELECT word FROM place UNION SELECT word FROM wanted), table_of),
+source AS (SELECT bucket, count(*) AS s FROM place JOIN word USING (word) GROUP BY 1),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN word USING (word) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM place) + {b}) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + {b}))))::BIGINT AS gain FROM source LEFT JOIN target USING (bucket)),
+weighed AS (SELECT r, sum(gain)::BIGINT AS weight FROM place JOIN word USING (word) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weighed USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS FIRST) AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {importance.LEAST_WORDS} AND k <= (SELECT count(*) FROM scored WHERE n_features >= {importance.LEAST_WORDS}) * {importance.PERCENT} // 100 THEN k END AS rank FROM ranked"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, oracles, piece_codec, pii, quality_classifier, quality_rules, substring_dedup
+from facetmill.llm import bpe_codec, decontaminate, html_extract, importance, jaccard_join, language_id, license_scan, oracles, piece_codec, pii, quality_classifier, quality_rules, substring_dedup
 from facetmill.llm.common import crc_fold, table
 
 
@@ -58,6 +58,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.codec_report(table(spark, sf_dir, "documents"), model)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.codec_report(table(spark, sf_dir, "documents"), bpe_codec.BpeModel.load())
+
+
 def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5 that SQL can express."""
     return op5_quality_rules(spark, sf_dir).drop("kept", "distance2")
@@ -81,6 +91,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": oracles.license_sql(),
         "op4_substring_dedup": oracles.dedup_sql(),
         "op6_ngram_jaccard": oracles.jaccard_sql(),
+        "op11_importance_resampling": oracles.importance_sql(),
         "quality_rules_base": oracles.rules_base_sql(),
         "pii_base": oracles.pii_base_sql(),
     }
