@@ -12,8 +12,12 @@ ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def words_of(text):
+    return ALNUM.findall((text or "").translate(LOWER))
+
+
 def licence(text):
-    words = ALNUM.findall((text or "").translate(LOWER))
+    words = words_of(text)
     places, labels = [], set()
     for label, phrase in (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")):
         p = phrase.split()
