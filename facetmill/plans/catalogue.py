@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from facetmill.plans import catalog_queries, evaluation_queries, file_queries, retrieval_queries, review_queries
+from facetmill.plans import catalog_queries, evaluation_queries, file_queries, job_queries, retrieval_queries, review_queries
 
-MODULES = (catalog_queries, review_queries, evaluation_queries, retrieval_queries, file_queries)
+MODULES = (catalog_queries, review_queries, evaluation_queries, retrieval_queries, file_queries, job_queries)
 
 
 def queries() -> dict:

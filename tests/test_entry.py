@@ -24,6 +24,7 @@ def test_every_library_query_has_sql():
 
 def test_without_llm(tmp_path):
     shutil.copytree(ROOT / "facetmill", tmp_path / "facetmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as d; q = d.queries(); assert 'bucket_assign' in q and not any(n.startswith('op1') for n in q) and 'pipeline' not in q; d.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=60)
