@@ -60,7 +60,7 @@ def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None)
                     errors.append(None)
                 except Exception as e:  # one bad review must not end the batch
                     answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:200])
+                    errors.append(f"{type(e).__name__}: {e}")
             yield pd.DataFrame({"review_md5": f["review_md5"], "answer": answers, "failed": errors})
 
     asked = rows.select("review_md5", "text")
@@ -77,7 +77,9 @@ def extract(rows: DataFrame, log: DataFrame, chat: Callable[[str], str], workers
     """
     planned = classify(rows, log)
     fresh = ask(planned.where("plan = 'first'"), chat, workers)
-    cache = log.groupBy("review_md5").agg(F.first("aspects").alias("known"))
+    # Of several answers to a text the last one is served: by ``batch`` where the log has it, then by review.
+    age = F.struct(*[c for c in ("batch", "asin", "review_no") if c in log.columns])
+    cache = log.groupBy("review_md5").agg(F.max_by("aspects", age).alias("known"))
     joined = planned.join(fresh, "review_md5", "left").join(cache, "review_md5", "left")
     outcome = (
         F.when(F.col("plan") == "skipped", "skipped")

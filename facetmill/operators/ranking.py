@@ -71,13 +71,16 @@ def dense_top_k(items: DataFrame, queries: DataFrame, k: int, item: str, vector:
                 ids = f["item"].to_numpy()
                 for q, v in _blocks(shared.value, 512):
                     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    s = (v @ x.T).astype(np.float64)
+                    # Rounded before the cut, so ties are the same however rows are dealt.
+                    s = np.round((v @ x.T).astype(np.float64), 6)
                     if exclude_self:
                         s[q[:, None] == ids[None, :]] = -2
-                    take = min(k + 1, s.shape[1])
+                    take = min(k, s.shape[1])
                     cut = -np.partition(-s, take - 1, axis=1)[:, take - 1]
                     a, b = np.nonzero((s >= cut[:, None]) & (s > -1.5))
-                    yield pd.DataFrame({"qid": q[a], "item": ids[b], "score": s[a, b]})
+                    found = pd.DataFrame({"qid": q[a], "item": ids[b], "score": s[a, b]})
+                    found = found.sort_values(["qid", "score", "item"], ascending=[True, False, True], kind="stable")
+                    yield found[found.groupby("qid").cumcount() < k]
 
         return rows.mapInPandas(run, schema)
 
@@ -89,7 +92,7 @@ def dense_top_k(items: DataFrame, queries: DataFrame, k: int, item: str, vector:
     if held or out is None:
         part = one_pass(pd.DataFrame(held, columns=["qid", "vector"]))
         out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item")))
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item")))
     return ranked.where(F.col("rank") <= k)
 
 

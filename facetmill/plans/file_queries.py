@@ -34,16 +34,22 @@ def scrape_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.show_reviews(_scraped(spark, sf_dir))
 
 
-@query("""SELECT DISTINCT 'u' || user_id AS asin, CAST(event_id % 3 AS INTEGER) AS review_no FROM events""")
+_COMMIT = "CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 10 < 9 THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH r AS (SELECT 'u' || user_id AS asin, CAST(event_id % 7 AS INTEGER) AS review_no, {_COMMIT} AS c, max(event_id) AS e FROM events GROUP BY ALL)
+SELECT asin, review_no, 'e' || max_by(e, c) AS facet FROM r GROUP BY 1, 2""")
 def checkpoint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two appends to the log, with broken and blank lines between, read as one record a review."""
+    """Three appends to the log, a large one between small ones, with broken and blank lines after them; of
+    each review the record of the last append is read."""
     path = scratch(spark, "log")
-    aspects = F.array(F.struct(F.lit("f").alias("facet"), F.lit("positive").alias("polarity"), F.lit("").alias("evidence")))
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("asin"), (F.col("event_id") % 3).cast("int").alias("review_no"), F.lit("m").alias("review_md5"), aspects.alias("aspects"))
-    for half in (0, 1):
-        writers.append_log(rows.where(F.col("event_id") % 2 == half).drop("event_id"), path)
-    rows.where("event_id % 7 = 0").select(F.when(F.col("event_id") % 2 == 0, "").otherwise('{"asin": "u1", "rev').alias("value")).write.mode("append").text(path)
-    return readers.read_checkpoint(spark, path).select("asin", "review_no")
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    rows = table(spark, sf_dir, "events").groupBy(user.alias("asin"), (F.col("event_id") % 7).cast("int").alias("review_no"), F.expr(_COMMIT).alias("c")).agg(F.max("event_id").alias("e"))
+    aspects = F.array(F.struct(F.concat(F.lit("e"), F.col("e").cast("string")).alias("facet"), F.lit("positive").alias("polarity"), F.lit("").alias("evidence")))
+    for c in range(3):
+        writers.append_log(rows.where(F.col("c") == c).select("asin", "review_no", F.lit("m").alias("review_md5"), aspects.alias("aspects")), path)
+    rows.select(F.when(F.col("e") % 2 == 0, "").otherwise('{"asin": "u1", "rev').alias("value")).write.text(f"{path}/commit=0")
+    return readers.read_checkpoint(spark, path).select("asin", "review_no", F.col("aspects")[0]["facet"].alias("facet"))
 
 
 @query("""SELECT CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'dev' END AS split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1""")
@@ -78,17 +84,13 @@ def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS series, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1""")
 def log_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log files with stamped lines and others; a stamp's series is told by the line here."""
+    """Log files with stamped lines and others, a folder for each series."""
     path = scratch(spark, "stamps")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     rows = table(spark, sf_dir, "events")
-    out = None
-    for kind in sorted(r["event_type"] for r in rows.select("event_type").distinct().collect()):
-        lines = rows.where(F.col("event_type") == kind).select(F.explode(F.array(F.concat(stamp, F.lit(" seen")), F.lit("no stamp here"))).alias("value"))
-        lines.write.text(f"{path}/{kind}")
-        read = readers.read_log_stamps(spark, f"{path}/{kind}").groupBy(F.lit(kind).alias("series")).agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
-        out = read if out is None else out.unionByName(read)
-    return out
+    lines = rows.select("event_type", F.explode(F.array(F.concat(stamp, F.lit(" seen")), F.lit("no stamp here"))).alias("value"))
+    lines.write.partitionBy("event_type").text(path)
+    return readers.read_log_stamps(spark, path).groupBy("series").agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
 def answer(text: str) -> str:

@@ -42,8 +42,16 @@ def read_columns(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """The extraction log, last record of each review; broken lines are skipped."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    """The extraction log, last record of each review; broken lines are skipped.
+
+    Records come in the order of their files' commits (``append_log``; files of other writers by their time
+    of change), within a commit by file name, and within a file by place: neither the sizes of files nor how
+    they are dealt to tasks matter.
+    """
+    at = F.col("_metadata.file_path")
+    commit = F.nullif(F.regexp_extract(at, r"/commit=(\d+)/", 1), F.lit("")).cast("long")
+    place = [F.coalesce(commit, F.unix_micros("_metadata.file_modification_time")).alias("commit"), at.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.struct(*place).alias("ord"))
     return read_log(lines, "value", "ord")
 
 
@@ -66,8 +74,12 @@ def read_file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log_stamps(spark: SparkSession, path: str) -> DataFrame:
-    """``series`` (file), ``ts`` and ``ord`` of lines that start with a time stamp."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("series"), F.monotonically_increasing_id().alias("ord"))
+    """``series`` (the folder's ``event_type`` or other partition value, else the file's name), ``ts`` and
+    ``ord`` of lines that start with a time stamp."""
+    at = F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(at, r"/[^/=]+=([^/]+)/[^/]+$", 1), F.lit(""))
+    name = F.coalesce(F.url_decode(folder), F.regexp_extract(at, r"([^/]+?)(?:\.[^./]*)?$", 1))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", name.alias("series"), F.monotonically_increasing_id().alias("ord"))
     stamp = F.try_to_timestamp(F.regexp_extract("value", r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})", 1)).cast("timestamp_ntz")
     return lines.select("series", stamp.alias("ts"), "ord").where("ts IS NOT NULL")
 

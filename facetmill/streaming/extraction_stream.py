@@ -51,7 +51,7 @@ def process_batch(rows: DataFrame, batch_id: int, folder: str, chat: Callable[[s
     batch that was committed finds its reviews done."""
     spark = rows.sparkSession
     log = _read(spark, f"{folder}/log", E.RECORD + ", batch long")
-    log = log.where(log["batch"] != batch_id).drop("batch")
+    log = log.where(log["batch"] != batch_id)
     todo = rows.select("asin", "review_no", "text").unionByName(_waiting(spark, folder, log)).dropDuplicates(["asin", "review_no"])
     _, judged = E.extract(todo, _known(log, todo), chat, workers)
     judged.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={batch_id}")
