@@ -78,7 +78,7 @@ c AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w,
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
 
 
-def dedup_sql(length: int = 400, mark: int = 288, documents: str = "documents") -> str:
+def dedup_sql(length: int = 400, documents: str = "documents") -> str:
     """SQL for the rows of ``substring_dedup.deduplicate``: every string of so many bytes, in hexadecimal."""
 
     def covered(name: str, size: int) -> str:
@@ -89,14 +89,12 @@ def dedup_sql(length: int = 400, mark: int = 288, documents: str = "documents")
 
     return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM {documents}),
 {covered("cut", length)},
-{covered("shared", mark)},
 bounds AS (SELECT doc_id, a, b FROM cut UNION ALL SELECT doc_id, n + 1, n + 1 FROM d),
 piece AS (SELECT doc_id, a, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - 1 - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS p FROM bounds JOIN d USING (doc_id)),
 kept AS (SELECT doc_id, sha256(unhex(string_agg(p, '' ORDER BY a))) AS kept_sha256 FROM piece GROUP BY 1),
-c AS (SELECT doc_id, CAST(sum(b - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM cut GROUP BY 1),
-x AS (SELECT doc_id, CAST(sum(b - a + 1) AS BIGINT) AS n_shared FROM shared GROUP BY 1)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256, coalesce(n_shared, 0) AS n_shared
-FROM d JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)"""
+c AS (SELECT doc_id, CAST(sum(b - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM cut GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
 def jaccard_sql(width: int = 3, percent: int = 90, documents: str = "documents") -> str:

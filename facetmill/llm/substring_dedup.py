@@ -388,13 +388,13 @@ def _cut(docs: DataFrame, length: int, mark: int, kind: str) -> DataFrame:
     return docs.select("id", "text", "spans", "shared").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + (", kept string" if kind == "text" else ""))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, mark: int = 288, kind: str = "digest") -> DataFrame:
-    """``key``, n_bytes, n_removed, n_spans, kept_sha256 of every document, and n_shared, the bytes
-    covered by strings of ``mark`` bytes that also start anywhere else; with kind "text" also ``kept``,
-    the remaining text."""
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 400, mark: int | None = None, kind: str = "digest") -> DataFrame:
+    """``key``, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``mark`` also n_shared, the
+    bytes covered by strings of that many bytes that also start anywhere else; with kind "text" also
+    ``kept``, the remaining text."""
     spark = docs.sparkSession
     bound_batches(spark)
-    mark = min(mark, length)
+    shared, mark = mark is not None, min(mark or length, length)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # Rows are known by key and text; 0 stands for no key, told apart by the digest.
     rows = rows.withColumn("no", F.coalesce("id", F.lit(0))).withColumn("digest", F.xxhash64(F.col("id").isNull(), "text"))
@@ -425,4 +425,5 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", length
     spans = _gathered(placed, "start", *row)
     spans = materialize(spans, "spans")
     discard(anchors, repeated, wanted, contexts, found, marks)
-    return _cut(rows.join(spans, row, "left"), length, mark, kind).withColumnRenamed("id", key)
+    out = _cut(rows.join(spans, row, "left"), length, mark, kind).withColumnRenamed("id", key)
+    return out if shared else out.drop("n_shared")

@@ -62,7 +62,7 @@ def test_dedup_rows_without_ids(spark):
     rows = [(None, text(50) + one + text(20)), (2, text(9) + one + text(60)), (None, two + text(80)), (None, text(70) + two), (7, text(150)), (7, text(30) + one), (8, text(150)), (8, None), (9, "short"), (None, "short")]
     rows += [(None, text(200))] * 2 + [(11, text(200))] * 2
     want = brute.dedup(dict(enumerate(t for _, t in rows)), 400, 288)
-    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), mark=288).collect()
     key = lambda x: str(x)
     assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_shared"]) for r in got], key=key) == sorted([(k, *want[i]) for i, (k, _) in enumerate(rows)], key=key)
     assert sum(r["n_removed"] > 0 for r in got) == 9
