@@ -55,6 +55,7 @@ BLOCKS = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre section article main "
     "figure figcaption address header footer nav aside form fieldset details summary body html hr center menu dialog".split()
 )
+PARAGRAPHS = frozenset("p blockquote h1 h2 h3 h4 h5 h6 dd figcaption caption".split())
 #: A start tag of the key closes an open element of these kinds first, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("div section article main body html ul ol table td th blockquote header footer nav aside form dl".split())
@@ -431,7 +432,7 @@ def main_text(page: str, content: list[str], constants: frozenset[str], fit: boo
     constant = {id(b) for b in blocks if constants and " > ".join(b.path[:DEPTH]) + " = " + _mark(b.text) in constants}
     inner = [b for b in blocks if _under(b.path, content)] if content else []
     if fit and inner:
-        return "\n".join(b.text for b in inner if id(b) not in constant and (b.place >= 2 or b.links < 0.8 * len(b.text)))
+        return "\n".join(b.text for b in inner if id(b) not in constant)
     kept = [b for b in blocks if b.place == 3 or id(b) not in constant]
     for place in (3, 2):
         if any(b.place == place for b in kept):
@@ -442,8 +443,8 @@ def main_text(page: str, content: list[str], constants: frozenset[str], fit: boo
             kept = inner
     elif any(b.place == 1 for b in kept):
         kept = [b for b in kept if b.place == 1]
-    # Outside marked articles a block that is all links is a menu.
-    return "\n".join(b.text for b in kept if b.links < 0.8 * len(b.text))
+    # Outside marked articles and content roots a block that is all links is a menu, unless it is a paragraph.
+    return "\n".join(b.text for b in kept if b.links < 0.8 * len(b.text) or b.path and b.path[-1].partition(".")[0].partition("#")[0] in PARAGRAPHS)
 
 
 def _shape(node: list) -> str:
