@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetmill.functions import parsing as P
-from facetmill.operators import ranking
+from facetmill.operators import dense, lexical, ranking
 from facetmill.plans.registry import Registry, table
 
 R = Registry()
@@ -79,6 +79,17 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "rank", F.round("score", 3).alias("score"))
 
 
+@query("""WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (
+  SELECT qid, vec_id AS item, round(list_dot_product(v, embedding)::DOUBLE / sqrt(list_dot_product(v, v)::DOUBLE * list_dot_product(embedding, embedding)::DOUBLE), 3) AS score FROM q, embeddings WHERE vec_id <> qid),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC) AS rank FROM s) SELECT qid, rank, score FROM r WHERE rank <= 10""")
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors through the inverted file of codes."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = dense.build_index(rows, "vec_id", "embedding")
+    out, _ = dense.search(index, rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10, exclude_self=True)
+    return out.select("qid", "rank", F.round("score", 3).alias("score"))
+
+
 @query("""WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0)
 SELECT qid, label AS product, round(max(list_dot_product(v, embedding)::DOUBLE), 3) AS max_sim FROM q, embeddings e WHERE e.vec_id <> qid GROUP BY 1, 2""")
 def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,17 +99,23 @@ def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", F.col("item").alias("product"), F.round("max_sim", 3).alias("max_sim"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
-q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) > 6)) AS w FROM benchmark),
+_BM25_SQL = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM benchmark),
 terms AS (SELECT item_id, unnest(w) AS word FROM q), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 tf AS (SELECT doc_id, len(w) AS dl, word, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM terms) GROUP BY 1, 2, 3),
-df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
-SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS bm25 FROM tf JOIN df USING (word) JOIN terms USING (word), s GROUP BY 1, 2""")
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (word) JOIN terms USING (word), s GROUP BY 1, 2)
+SELECT item_id, doc_id, round(score, 4) AS bm25, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 10"""
+
+
+@query(_BM25_SQL)
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = F.split(F.lower("text"), "[^a-z]+")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(split, lambda w: w != "").alias("w"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.filter(split, lambda w: F.length(w) > 6).alias("q"))
-    return ranking.bm25(docs, asked, "doc_id", "w", "item_id", "q").select("item_id", "doc_id", F.round("bm25", 4).alias("bm25"))
+    """The ten best documents of each item, all words of the items and whole texts."""
+    asked = table(spark, sf_dir, "benchmark")
+    only = asked.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    index = lexical.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", only)
+    out = lexical.search(index, asked, "item_id", "text", 10)
+    return out.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 4).alias("bm25"), "rank")
 
 
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
