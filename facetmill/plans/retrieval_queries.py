@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetmill.functions import parsing as P
-from facetmill.operators import dense, lexical, ranking
+from facetmill.operators import dense, lexical, multivector, ranking, semantic
 from facetmill.plans.registry import Registry, table
 
 R = Registry()
@@ -90,6 +90,14 @@ def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "rank", F.round("score", 3).alias("score"))
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v)
+SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v) / (x.n * y.n), 5) AS cosine FROM u x JOIN u y ON x.vec_id < y.vec_id WHERE list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.4""")
+def facet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors, standing for facets, that a matcher by meaning accepts."""
+    out = semantic.threshold_pairs(table(spark, sf_dir, "embeddings"), 0.4, "vec_id", "embedding")
+    return out.select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
 @query("""WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0)
 SELECT qid, label AS product, round(max(list_dot_product(v, embedding)::DOUBLE), 3) AS max_sim FROM q, embeddings e WHERE e.vec_id <> qid GROUP BY 1, 2""")
 def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +107,30 @@ def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", F.col("item").alias("product"), F.round("max_sim", 3).alias("max_sim"))
 
 
+@query("""WITH p AS (SELECT vec_id % 150 AS product, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 <> 0), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT qid, product, round(max(list_dot_product(q.v, p.v)), 6) AS score FROM q, p GROUP BY 1, 2)
+SELECT qid, product, round(score, 4) AS max_sim, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, product) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def max_sim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five products whose best review vector is nearest to each query."""
+    rows = table(spark, sf_dir, "embeddings")
+    parts = rows.where("vec_id % 100 <> 0").select((F.col("vec_id") % 150).alias("product"), "embedding")
+    summary = multivector.summarise(parts, "product", "embedding")
+    out = multivector.search(summary, parts, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+    return out.select("qid", F.col("item").alias("product"), F.round("score", 4).alias("max_sim"), "rank")
+
+
+@query("""WITH p AS (SELECT vec_id // 8 AS item, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id // 100 AS qid, vec_id AS token, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 < 4),
+m AS (SELECT qid, token, item, max(list_dot_product(q.v, p.v)) AS m FROM q, p GROUP BY ALL), s AS (SELECT qid, item, round(sum(m), 6) AS score FROM m GROUP BY ALL)
+SELECT qid, item, round(score, 4) AS late, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def late_interaction_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five items of eight token vectors each with the greatest sum of maxima for queries of four."""
+    rows = table(spark, sf_dir, "embeddings")
+    parts = rows.select(F.floor(F.col("vec_id") / 8).alias("item"), "embedding")
+    queries = rows.where("vec_id % 100 < 4").select(F.floor(F.col("vec_id") / 100).alias("q"), "embedding")
+    out = multivector.search(multivector.summarise(parts, "item", "embedding"), parts, queries, "q", "embedding", 5)
+    return out.select("qid", "item", F.round("score", 4).alias("late"), "rank")
+
+
 _BM25_SQL = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
 q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM benchmark),
 terms AS (SELECT item_id, unnest(w) AS word FROM q), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),

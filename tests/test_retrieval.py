@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from facetmill.operators import dense, lexical, ranking
+from facetmill.operators import dense, lexical, multivector, ranking
 
 
 def corpus(n=300, seed=3):
@@ -159,3 +159,41 @@ def test_dense_top_k_is_the_same_in_any_partitions(spark):
     df = spark.createDataFrame(rows, "id long, v array<float>")
     got = [found_by(ranking.dense_top_k(df.repartition(p), df.where("id = 0"), 2, "id", "v", "id", "v", exclude_self=True)) for p in (1, 3, 8)]
     assert got == [{0: [1, 2]}] * 3
+
+
+@pytest.mark.parametrize("parts,cells,k", [(1, 16, 3), (6, 1, 4), (3, 40, 50)])
+def test_multivector_against_plain(spark, parts, cells, k):
+    """Ragged items, one with a third of all vectors, queries of one to four vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(v is None, i, v) for i, v in vectors(400)]
+    item = lambda i: "huge" if i % 3 == 0 else f"i{i % 23}" if i % 2 else f"j{int(rng.integers(0, 60))}"
+    rows = [(item(i), v) for _, i, v in rows] + [("none", None), (None, [0.0] * 16)]
+    queries = [(q, rng.normal(size=16).tolist()) for q in range(12) for _ in range(1 + q % 4)]
+    df = spark.createDataFrame(rows, "item string, v array<double>").repartition(parts)
+    asked = spark.createDataFrame(queries, "q int, v array<double>")
+    summary = multivector.summarise(df, "item", "v", cells)
+    want, held = {}, {}
+    for i, v in rows:
+        if v is not None and i is not None:
+            held.setdefault(i, []).append(v)
+    for q in range(12):
+        x = np.array([v for p, v in queries if p == q])
+        score = {i: round(float((x @ np.array(v).T).max(1).sum()), 6) for i, v in held.items()}
+        want[q] = [i for i, _ in sorted(score.items(), key=lambda s: (-s[1], s[0]))[:k]]
+    assert found_by(multivector.search(summary, df, asked, "q", "v", k)) == want
+    assert multivector.search(summary, df, asked.limit(0), "q", "v", k).count() == 0
+
+
+def test_multivector_scores_few_items(spark):
+    """On clustered items the upper bounds leave most of them unscored."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.3).tolist()) for i in range(200) for _ in range(5)]
+    df = spark.createDataFrame(rows, "item int, v array<double>")
+    summary = multivector.summarise(df, "item", "v", 40)
+    x = centres[:8] + rng.normal(size=(8, 16)) * 0.1
+    first = np.arange(8)
+    low = multivector._bounds(summary, x, first, list(range(8)), 3, None, ("int", "int")).toPandas()
+    floors = np.array([low[low.q == q].bound.nlargest(3).min() for q in range(8)])
+    reached = multivector._bounds(summary, x, first, list(range(8)), 3, floors, ("int", "int")).count()
+    assert 8 * 3 <= reached < 0.3 * 8 * 200
