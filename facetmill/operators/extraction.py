@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from facetmill.functions import aspects as A
 from facetmill.functions import parsing as P
+from facetmill.operators.inflight import in_window
 from facetmill.session import ship_package
 
+#: Answers of a task that are given on together.
+ANSWERS = 256
 RECORD = f"asin string, review_no int, review_md5 string, aspects array<{A.ASPECT}>"
 
 
@@ -46,22 +49,22 @@ def classify(rows: DataFrame, log: DataFrame) -> DataFrame:
     return keyed.withColumn("plan", plan).drop("__done", "__known", "__first")
 
 
-def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None) -> DataFrame:
-    """review_md5, aspects, error for each row's text. ``workers`` bounds the tasks that call the
-    model at a time; an exception or an invalid answer is an error of its row."""
+def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1) -> DataFrame:
+    """review_md5, aspects, error for each row's text. ``workers`` bounds the tasks that call the model at a
+    time, ``in_flight`` the calls that each of them has open; an exception or an invalid answer is an error of
+    its row. Answers are given on as they come."""
     ship_package(rows.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            answers, errors = [], []
-            for text in f["text"]:
-                try:
-                    answers.append(chat(text))
-                    errors.append(None)
-                except Exception as e:  # one bad review must not end the batch
-                    answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"review_md5": f["review_md5"], "answer": answers, "failed": errors})
+        texts = (row for f in frames for row in zip(f["review_md5"], f["text"]))
+        done: list[tuple] = []
+        frame = lambda: pd.DataFrame(done, columns=["review_md5", "answer", "failed"], dtype=object)
+        for (md5, _), answer, error in in_window(texts, lambda row: chat(row[1]), in_flight):
+            done.append((md5, answer, None if error is None else f"{type(error).__name__}: {error}"))
+            if len(done) == ANSWERS:
+                yield frame()
+                done = []
+        yield frame()
 
     asked = rows.select("review_md5", "text")
     asked = asked.repartition(workers) if workers else asked
@@ -70,13 +73,13 @@ def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None)
     return out.select("review_md5", parsed["aspects"].alias("aspects"), F.coalesce("failed", F.when(F.col("answer").isNull(), "no answer"), parsed["error"]).alias("error"))
 
 
-def extract(rows: DataFrame, log: DataFrame, chat: Callable[[str], str], workers: int | None = None) -> tuple[DataFrame, DataFrame]:
+def extract(rows: DataFrame, log: DataFrame, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
     """New log records, and every row's outcome: skipped, cached, extracted, failed or failed_dupes.
 
     Both come from one call of the model, so persist or write the outcomes before using them twice.
     """
     planned = classify(rows, log)
-    fresh = ask(planned.where("plan = 'first'"), chat, workers)
+    fresh = ask(planned.where("plan = 'first'"), chat, workers, in_flight)
     # Of several answers to a text the last one is served: by ``batch`` where the log has it, then by review.
     age = F.struct(*[c for c in ("batch", "asin", "review_no") if c in log.columns])
     cache = log.groupBy("review_md5").agg(F.max_by("aspects", age).alias("known"))

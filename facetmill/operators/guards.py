@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,9 +28,20 @@ def refuse_prefix(tag: str, prefix: str = "v") -> str:
     return tag
 
 
-def sent(small: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """The table, to be sent to all executors if a count shows that it has few rows."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+def _bytes(column: str, kind: str) -> Column:
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if kind.startswith(("array", "map", "struct")):
+        return F.octet_length(F.to_json(F.struct(column))) + 8
+    return F.lit(8)
+
+
+def sent(small: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """The table, to be sent to all executors if a count shows that it has few rows and bytes."""
+    part = small.limit(rows + 1)
+    total = sum((_bytes(f"`{c}`", kind) for c, kind in small.dtypes), F.lit(0))
+    n, held = part.agg(F.count("*"), F.sum(total)).first()
+    return F.broadcast(small) if n <= rows and (held or 0) <= size else small
 
 
 #: Ranges that a column's distinct values are cut into, so that none is sorted in one task.

@@ -12,35 +12,54 @@ from facetmill.operators.guards import require_unique
 GAIN = {"E": 1.0, "S": 0.1, "C": 0.01, "I": 0.0}
 
 
-def product_rows(records: DataFrame) -> DataFrame:
-    """Raw scrape records as typed product rows; a missing list is empty, its first element null."""
+def _product_columns() -> list[Column]:
     category = F.coalesce("category", F.array().cast("array<string>"))
-    return records.select(
-        "asin", "type", "locale", "template", "title",
+    return [
+        *map(F.col, ("asin", "type", "locale", "template", "title")),
         P.parse_stars(F.col("stars")).alias("stars"),
         P.parse_ratings(F.col("ratings")).alias("n_ratings"),
         F.coalesce(F.size(F.coalesce("reviews", F.array())), F.lit(0)).cast("int").alias("n_reviews"),
         F.coalesce(F.size(F.map_keys("attrs")), F.lit(0)).cast("int").alias("n_attrs"),
         P.first_or_null(category).alias("cat_top"),
-        "price", "image", "description",
+        *map(F.col, ("price", "image", "description")),
         category.alias("category"),
-    )
+    ]
+
+
+def _review_columns(review: Column, pos: Column) -> list[Column]:
+    origin = P.parse_review_date(review["date"])
+    return [
+        *map(F.col, ("asin", "locale", "ord")),
+        pos.alias("pos"),
+        P.parse_stars(review["stars"]).alias("stars"),
+        review["title"].alias("title"),
+        F.coalesce(review["text"], F.lit("")).alias("text"),
+        P.text_length(review["text"]).alias("text_len"),
+        origin["country"].alias("country"),
+        origin["date"].alias("date"),
+    ]
+
+
+def product_rows(records: DataFrame) -> DataFrame:
+    """Raw scrape records as typed product rows; a missing list is empty, its first element null."""
+    return records.select(*_product_columns())
 
 
 def review_rows(records: DataFrame) -> DataFrame:
     """One row for each inline review, with its record's locale, ``ord`` and position, which make
     later numbering independent of partitions."""
     out = records.select("asin", "locale", "ord", F.posexplode("reviews").alias("pos", "r"))
-    origin = P.parse_review_date(F.col("r.date"))
-    return out.select(
-        "asin", "locale", "ord", "pos",
-        P.parse_stars(F.col("r.stars")).alias("stars"),
-        F.col("r.title").alias("title"),
-        F.coalesce("r.text", F.lit("")).alias("text"),
-        P.text_length(F.col("r.text")).alias("text_len"),
-        origin["country"].alias("country"),
-        origin["date"].alias("date"),
-    )
+    return out.select(*_review_columns(F.col("r"), F.col("pos")))
+
+
+def scrape_rows(records: DataFrame) -> DataFrame:
+    """Product and review rows of a scrape as one table of ``kind``, ``product`` and ``review``, so that both
+    come from one pass: a record is read and parsed once. Of the two structs the other kind's is null."""
+    kinds = [f"struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in make(records).schema)}>" for make in (product_rows, review_rows)]
+    row = lambda kind, product, review: F.struct(F.lit(kind).alias("kind"), product.cast(kinds[0]).alias("product"), review.cast(kinds[1]).alias("review"))
+    product = row("product", F.struct(*_product_columns()), F.lit(None))
+    reviews = F.transform(F.coalesce("reviews", F.array()), lambda r, i: row("review", F.lit(None), F.struct(*_review_columns(r, i))))
+    return records.select(F.inline(F.concat(F.array(product), reviews)))
 
 
 def in_scope(judgments: DataFrame, version: int = 1, locales: tuple[str, ...] = ("us",)) -> DataFrame:

@@ -34,6 +34,17 @@ def scrape_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.show_reviews(_scraped(spark, sf_dir))
 
 
+@query("""SELECT asin, 'product' AS kind, count(*) AS n, CAST(sum(len_) AS BIGINT) AS chars FROM (SELECT 'A' || p_partkey AS asin, length(p_name) AS len_ FROM part) GROUP BY 1
+UNION ALL SELECT 'A' || p_partkey, 'review', count(*), CAST(sum(length('text 4 of ' || p_name)) AS BIGINT) FROM part, (VALUES (0), (1)) AS l(pos) WHERE p_partkey % 3 = 0 GROUP BY 1""")
+def scrape_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products and reviews from one pass over the scrape."""
+    path = scratch(spark, "dual")
+    writers.write_scrape(_scraped(spark, sf_dir), path)
+    products = readers.read_scraped(spark, path, "product").select("asin", F.lit("product").alias("kind"), F.length("title").alias("c"))
+    reviews = readers.read_scraped(spark, path, "review").select("asin", F.lit("review").alias("kind"), F.col("text_len").alias("c"))
+    return products.unionByName(reviews).groupBy("asin", "kind").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
+
+
 _COMMIT = "CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 10 < 9 THEN 1 ELSE 2 END"
 
 

@@ -29,6 +29,11 @@ def read_scrape(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return reader.json(path).withColumn("ord", F.monotonically_increasing_id())
 
 
+def read_scraped(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of one kind, ``product`` or ``review``, that ``write_scrape`` wrote."""
+    return spark.read.parquet(f"{path}/kind={kind}").select(f"{kind}.*")
+
+
 def read_judgments(spark: SparkSession, *paths: str) -> DataFrame:
     """All judgment files one after another, by column name."""
     out = spark.read.parquet(paths[0])

@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetmill.operators.scores import worst
+from facetmill.operators.tables import scrape_rows
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 5_000_000) -> None:
     df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_scrape(records: DataFrame, path: str) -> None:
+    """Products and reviews of a scrape, a folder for each kind, in one pass over the records and one commit."""
+    scrape_rows(records).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+
+
 def append_log(records: DataFrame, path: str) -> None:
     """Adds records as JSON lines, in a folder named by its time of commit, which orders appends. Each call
     commits files of its own, so a crash loses no earlier record and leaves no half line before a later one.

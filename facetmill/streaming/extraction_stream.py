@@ -46,14 +46,14 @@ def _known(log: DataFrame, todo: DataFrame) -> DataFrame:
     return done.unionByName(same)
 
 
-def process_batch(rows: DataFrame, batch_id: int, folder: str, chat: Callable[[str], str], workers: int | None = None) -> None:
+def process_batch(rows: DataFrame, batch_id: int, folder: str, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1) -> None:
     """One micro-batch. Done over, it gives the same log: its files carry the batch's number, and a
     batch that was committed finds its reviews done."""
     spark = rows.sparkSession
     log = _read(spark, f"{folder}/log", E.RECORD + ", batch long")
     log = log.where(log["batch"] != batch_id)
     todo = rows.select("asin", "review_no", "text").unionByName(_waiting(spark, folder, log)).dropDuplicates(["asin", "review_no"])
-    _, judged = E.extract(todo, _known(log, todo), chat, workers)
+    _, judged = E.extract(todo, _known(log, todo), chat, workers, in_flight)
     judged.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={batch_id}")
     judged = spark.read.parquet(f"{folder}/outcomes/batch={batch_id}")
     good = judged.where("outcome IN ('cached', 'extracted')").select("asin", "review_no", "review_md5", "aspects")
@@ -62,19 +62,19 @@ def process_batch(rows: DataFrame, batch_id: int, folder: str, chat: Callable[[s
     failed.write.mode("overwrite").parquet(f"{folder}/retry/batch={batch_id}")
 
 
-def retry_failed(spark: SparkSession, folder: str, chat: Callable[[str], str], workers: int | None = None) -> int:
+def retry_failed(spark: SparkSession, folder: str, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1) -> int:
     """Asks again for what has failed, while no stream runs; how many reviews still fail. Its batches have
     negative numbers, so they don't meet the stream's."""
     done = _read(spark, f"{folder}/outcomes", "outcome string, batch long").agg(F.least(F.min("batch"), F.lit(0))).first()[0]
     batch = (done or 0) - 1
-    process_batch(spark.createDataFrame([], ROW), batch, folder, chat, workers)
+    process_batch(spark.createDataFrame([], ROW), batch, folder, chat, workers, in_flight)
     return _read(spark, f"{folder}/retry/batch={batch}", ROW).count()
 
 
-def start(spark: SparkSession, source: str, folder: str, chat: Callable[[str], str], workers: int | None = None, files_per_batch: int = 100, available_now: bool = True) -> StreamingQuery:
+def start(spark: SparkSession, source: str, folder: str, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1, files_per_batch: int = 100, available_now: bool = True) -> StreamingQuery:
     """Follows Parquet files of reviews in ``source``; by default until what is there is done."""
     stream = spark.readStream.schema(ROW).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    writer = stream.writeStream.foreachBatch(lambda rows, n: process_batch(rows, n, folder, chat, workers)).option("checkpointLocation", f"{folder}/checkpoint")
+    writer = stream.writeStream.foreachBatch(lambda rows, n: process_batch(rows, n, folder, chat, workers, in_flight)).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
