@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetmill.operators.guards import quantiles
+
 GLOBAL_BUCKET = ("__global__",)
 
 
@@ -41,12 +43,10 @@ def level_statistics(products: DataFrame, levels: int = 6, path: str = "category
     cut = products.select(count, F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"), F.col(path).alias("p"))
     buckets = cut.groupBy("level", F.slice("p", 1, F.col("level")).alias("bucket")).agg(F.sum(count).alias("reviews"), F.count("*").alias("products"))
     share = lambda t: F.round(100.0 * F.sum(F.when(F.col("reviews") < t, F.col("products")).otherwise(0)) / F.sum("products"), 4)
-    return buckets.groupBy("level").agg(
-        F.count("*").alias("buckets"),
-        F.floor(F.percentile("reviews", 0.5)).cast("long").alias("median_reviews"),
-        F.floor(F.percentile("reviews", 0.25)).cast("long").alias("p25_reviews"),
-        *[share(t).alias(f"pct_products_under_{t}") for t in thin],
-    )
+    counts = buckets.groupBy("level").agg(F.count("*").alias("buckets"), *[share(t).alias(f"pct_products_under_{t}") for t in thin])
+    found = quantiles(buckets, "reviews", {"median": 0.5, "p25": 0.25}, "level")
+    whole = lambda c: F.floor(c).cast("long").alias(f"{c}_reviews")
+    return counts.join(found, "level", "left").select("level", "buckets", whole("median"), whole("p25"), *[f"pct_products_under_{t}" for t in thin])
 
 
 def depth_histogram(assigned: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetmill.functions import parsing as P
-from facetmill.operators.guards import sent
+from facetmill.operators.guards import quantiles, sent
 from facetmill.session import scratch
 
 
@@ -76,11 +76,15 @@ def shares(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def describe(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    at = lambda q: F.round(F.percentile(column, q), 4)
-    return rows.groupBy(*by).agg(
-        F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"),
-        at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(0.95).alias("p95"), F.max(column).alias("max"),
+    """Count, mean, deviation, least and greatest value, and exact quartiles and 95th percentile of each group."""
+    key = F.struct(F.lit(0).alias("g"), *[F.col(c) for c in by]).alias("__k")
+    base = rows.groupBy(*by).agg(
+        F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")
     )
+    at = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    found = quantiles(rows, column, at, *by).select(key, *[F.round(n, 4).alias(n) for n in at])
+    out = base.select("*", key).join(found, "__k", "left")
+    return out.select(*by, "n", "mean", "std", "min", *at, "max")
 
 
 def foreign_fraction(rows: DataFrame, locale: str, product: str, foreign: Column) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetmill.functions import aspects as A
-from facetmill.operators.guards import running_before
-from facetmill.session import ship_package
+from facetmill.operators.guards import numbered, running_before, sent
+from facetmill.session import scratch, ship_package
 
 
 def _ratio(a: Column, b: Column, empty: float) -> Column:
@@ -54,44 +52,56 @@ def top_facets(examples: DataFrame, column: str, n: int = 15) -> DataFrame:
 
 #: The modulus and the multipliers of the draws, small enough for 64-bit products.
 MODULUS, BY_SAMPLE, BY_PLACE = 2_147_483_647, 1_000_003, 7_919
-#: Units of a judged set at most; they are held by every task.
-MAX_UNITS = 2_000_000
+#: Units of a block, draws made at a time, and the lots that the samples are dealt into.
+BLOCK, DRAWS, LOTS = 1_000_000, 1_000_000, 64
 
 
-def draws(sample: int, n: int, seed: int = 0) -> np.ndarray:
+def draws(sample: int, n: int, seed: int = 0, first: int = 0, number: int | None = None) -> np.ndarray:
     """The places that sample number ``sample`` draws from 0..n-1, n of them, with replacement: two rounds
-    of a quadratic residue map, so any engine with 64-bit integers draws the same."""
-    h = (seed + sample * BY_SAMPLE + np.arange(n, dtype=np.int64) * BY_PLACE) % MODULUS
+    of a quadratic residue map, so any engine with 64-bit integers draws the same. Of the n draws, ``number``
+    from the ``first`` on."""
+    at = np.arange(first, n if number is None else min(first + number, n), dtype=np.int64)
+    h = (seed + sample * BY_SAMPLE + at * BY_PLACE) % MODULUS
     h = (h * h + h + 12_345) % MODULUS
     h = (h * h + 3 * h + 6_789) % MODULUS
     return h * n // MODULUS
 
 
-def bootstrap(units: DataFrame, order: list[str], columns: list[str], times: int = 10_000, seed: int = 0) -> DataFrame:
+def bootstrap(units: DataFrame, order: list[str], columns: list[str], times: int = 10_000, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """``b``, ``n`` and the sum of each of ``columns`` over resample b of the units, which has as many units
     as there are. Sums are all that means and micro averages need, so nothing is matched again.
 
-    Units are the rows of a judged set in the order of their keys (``MAX_UNITS`` at most); they go to all
-    tasks once, and each task draws its samples on arrays.
+    Units are numbered in the order of their keys and cut into blocks; a task has one block and a lot of
+    the samples, makes each sample's draws a part at a time, and adds up those that fall into its block.
+    So no task and not the driver holds all units, however many there are.
     """
-    spark = units.sparkSession
-    ship_package(spark)
-    if (n := units.count()) > MAX_UNITS:
-        raise ValueError(f"{n} units; a judged set has {MAX_UNITS} at most")
-    held = units.orderBy(*order).select(*columns).toPandas()
-    shared = spark.sparkContext.broadcast([held[c].to_numpy() for c in columns])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for b in f["id"]:
-                at = draws(int(b), n, seed)
-                rows.append((b, n, *[v[at].sum() for v in shared.value]))
-            yield pd.DataFrame(rows, columns=["b", "n", *columns])
-
-    kinds = {c: "long" if held[c].dtype.kind in "iu" else "double" for c in columns}
-    samples = spark.range(times if n else 0)
-    return samples.mapInPandas(run, "b long, n long, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    ship_package(units.sparkSession)
+    placed = numbered(units.select(*order, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)]), [F.col(c) for c in order])
+    n = placed.count()
+    kinds = ["double" if units.schema[c].dataType.typeName() in ("double", "float", "decimal") else "long" for c in columns]
+    values = [f"__v{i}" for i in range(len(columns))]
+    dealt = placed.select("place", *[F.col(v).cast(k).alias(v) for v, k in zip(values, kinds)], F.floor(F.col("place") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(min(LOTS, times) - 1))).alias("lot"))
+
+    def run(group: pa.Table) -> pa.Table:
+        lot, number = group.column("lot")[0].as_py(), group.column("block")[0].as_py()
+        at = np.argsort(group.column("place").to_numpy())
+        held = [group.column(v).to_numpy()[at] for v in values]
+        low, high = number * block, number * block + len(at)
+        samples = list(range(lot, times, min(LOTS, times)))
+        sums = [[] for _ in held]
+        for b in samples:
+            parts = [0] * len(held)
+            for i in range(0, n, DRAWS):
+                place = draws(b, n, seed, i, DRAWS)
+                place = place[(place >= low) & (place < high)] - low
+                parts = [p + v[place].sum() for p, v in zip(parts, held)]
+            for s, p in zip(sums, parts):
+                s.append(p)
+        kinds_ = [pa.float64() if k == "double" else pa.int64() for k in kinds]
+        return pa.table([pa.array(samples, pa.int64()), *[pa.array(s, k) for s, k in zip(sums, kinds_)]], ["b", *values])
+
+    part = dealt.groupBy("block", "lot").applyInArrow(run, "b long, " + ", ".join(f"{v} {k}" for v, k in zip(values, kinds)))
+    return part.groupBy("b").agg(F.lit(n).cast("long").alias("n"), *[F.sum(v).alias(c) for v, c in zip(values, columns)])
 
 
 def interval(samples: DataFrame, column: str, n: int, level: float = 0.95) -> DataFrame:
@@ -114,15 +124,23 @@ def holm_bh(tests: DataFrame, p: str = "p", key: str = "test") -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman's rho of the rows that have both values. Middle ranks come from the distinct values and
-    their counts, in ranges, so no task sorts all rows or all values."""
-    rows = rows.select(a, b).dropna()
+    """Spearman's rho of the rows that have both values, null if one of them never changes. Equal pairs are
+    counted first, so what is ranked, joined and summed up are the distinct pairs; middle ranks come from
+    the distinct values and their counts, in ranges."""
+    pairs = rows.select(F.col(a).alias("__a"), F.col(b).alias("__b")).dropna().groupBy("__a", "__b").agg(F.count("*").alias("__w"))
+    path = scratch(rows.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    pairs = rows.sparkSession.read.schema(pairs.schema).parquet(path)
+    middle = ((pairs.agg(F.sum("__w")).first()[0] or 0) + 1) / 2  # the mean of the ranks
 
     def ranks(c: str) -> DataFrame:
-        counts = running_before(rows.groupBy(c).agg(F.count("*").alias("__n")), c, "__n")
-        return counts.select(F.col(c), (F.col("before") + (F.col("__n") + 1) / 2.0).alias(f"__{c}"))
+        counts = running_before(pairs.groupBy(c).agg(F.sum("__w").alias("__n")), c, "__n")
+        return counts.select(F.col(c), (F.col("before") + (F.col("__n") + 1) / 2.0 - middle).alias(f"{c}r"))
 
-    return rows.join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"__{a}", f"__{b}").alias("spearman"))
+    ranked = pairs.join(sent(ranks("__a")), "__a").join(sent(ranks("__b")), "__b")
+    total = lambda x, y: F.sum(F.col("__w") * F.col(x) * F.col(y))
+    both, one, other = total("__ar", "__br"), total("__ar", "__ar"), total("__br", "__br")
+    return ranked.agg(F.when((one > 0) & (other > 0), both / F.sqrt(one) / F.sqrt(other)).alias("spearman"))
 
 
 def star_curve(rows: DataFrame, star: str, value: str) -> DataFrame:
