@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from facetmill.operators import dense, scores
 from facetmill.operators.guards import sent
@@ -21,8 +22,8 @@ from facetmill.session import scratch, ship_package
 #: Fixed value: the least cosine of facets that mean the same.
 THRESHOLD = 0.80
 CANARY = "canary facet"
-#: Facets encoded in one call; vectors of a block.
-CALL, BLOCK = 256, 2048
+#: Facets encoded in one call; vectors of a block; pairs of blocks of a task.
+CALL, BLOCK, ROWS = 256, 2048, 8
 
 
 class EncoderError(RuntimeError):
@@ -73,7 +74,7 @@ def threshold_pairs(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
         return spark.createDataFrame([], f"a {kind}, b {kind}, cosine double")
     share = rows if n <= dense.SAMPLE else rows.where(F.pmod(F.xxhash64("key"), F.lit(n)) < dense.SAMPLE)
     picked = [r["vector"] for r in share.select("vector", F.xxhash64("key").alias("h")).orderBy("h").limit(2 * dense.SAMPLE).toLocalIterator()]
-    centroids = dense.train(np.array(picked), min(cells, max(1, int(n**0.5))))
+    centroids = dense.train(np.array(picked), min(cells, max(1, n // (block // 2))))
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,37 +93,43 @@ def threshold_pairs(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     parts = spark.createDataFrame([(c, -(-m // block)) for c, m in sizes.items()], "cell int, parts int")
     # A crowded cell is as many blocks as it takes.
     blocked = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    blocked = blocked.withColumn("block", F.struct("cell", "part"))
-    held = [(r["block"]["cell"], r["block"]["part"], r["angle"]) for r in blocked.groupBy("block").agg(F.max("angle").alias("angle")).orderBy("block").toLocalIterator()]  # n / BLOCK rows
+
+    def pack(group: pa.Table) -> pa.Table:
+        x = np.array(group.column("vector").to_pylist())
+        one = (group.column("cell")[0].as_py(), group.column("part")[0].as_py(), max(group.column("angle").to_pylist()), group.column("key").to_pylist(), x.tobytes())
+        return pa.table([pa.array([v], t) for v, t in zip(one, (pa.int32(), pa.int32(), pa.float64(), pa.list_(type_), pa.binary()))], ["cell", "part", "angle", "keys", "data"])
+
+    type_ = to_arrow_type(vectors.schema[key].dataType)
+    path = scratch(spark, "blocks")
+    packed = blocked.select("cell", "part", "angle", "key", "vector").groupBy("cell", "part").applyInArrow(pack, f"cell int, part int, angle double, keys array<{kind}>, data binary")
+    packed.write.parquet(path)
+    packed = spark.read.schema(packed.schema).parquet(path)
+    held = [(r["cell"], r["part"], r["angle"]) for r in packed.select("cell", "part", "angle").orderBy("cell", "part").toLocalIterator()]  # n / BLOCK rows
     between = np.arccos(np.clip(centroids @ centroids.T, -1, 1))
     cell, radius = np.array([c for c, _, _ in held]), np.array([r for _, _, r in held])
     room = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
-    meets = []
-    for i in range(len(held)):
-        near = np.flatnonzero(between[cell[i], cell[i:]] - radius[i] - radius[i:] <= room) + i
-        meets += [(*held[k][:2], i * len(held) + int(j)) for j in near for k in {i, int(j)}]
-    plan = spark.createDataFrame(meets, "cell int, part int, pair long")
-    met = blocked.join(sent(plan), ["cell", "part"]).select("pair", "cell", "part", "key", "vector")
-
-    def product(group: pa.Table) -> pa.Table:
-        names, x = np.array(group.column("key").to_pylist()), np.array(group.column("vector").to_pylist())
-        where = np.array(group.column("cell").to_pylist()) * (1 << 32) + np.array(group.column("part").to_pylist())
-        sides = [np.flatnonzero(where == w) for w in np.unique(where)]
-        left, right = sides[0], sides[-1]
-        out = []
-        for i in range(0, len(left), 1024):
-            s = x[left[i : i + 1024]] @ x[right].T
-            a, b = np.nonzero(s >= threshold)
-            u, v = names[left[i + a]], names[right[b]]
-            ok = u != v if len(sides) > 1 else u < v
-            out.append((np.where(u < v, u, v)[ok].tolist(), np.where(u < v, v, u)[ok].tolist(), s[a, b][ok].tolist()))
-        cols = [[y for o in out for y in o[c]] for c in range(3)]
-        return pa.table([pa.array(cols[0], type_), pa.array(cols[1], type_), pa.array(cols[2], pa.float64())], ["a", "b", "cosine"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+    meets = [(*held[i][:2], *held[j][:2]) for i in range(len(held)) for j in (np.flatnonzero(between[cell[i], cell[i:]] - radius[i] - radius[i:] <= room) + i).tolist()]
+    # A row is two matrices, so a task gets few.
+    plan = spark.createDataFrame(meets, "cell int, part int, cell2 int, part2 int").repartition(max(1, -(-len(meets) // ROWS)))
+    side = sent(packed.drop("angle"))
+    met = plan.join(side, ["cell", "part"]).join(side.withColumnsRenamed({"cell": "cell2", "part": "part2", "keys": "keys2", "data": "data2"}), ["cell2", "part2"])
 
-    type_ = to_arrow_type(vectors.schema[key].dataType)
-    return met.groupBy("pair").applyInArrow(product, f"a {kind}, b {kind}, cosine double")
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same, left, right, data, data2 = (batch.column(c)[i].as_py() for c in range(5))
+                names, names2 = np.array(left), np.array(right)
+                x, y = np.frombuffer(data).reshape(len(left), -1), np.frombuffer(data2).reshape(len(right), -1)
+                for j in range(0, len(x), 1024):
+                    s = x[j : j + 1024] @ y.T
+                    a, b = np.nonzero(s >= threshold)
+                    u, v = names[j + a], names2[b]
+                    ok = u < v if same else u != v
+                    low, high = np.where(u < v, u, v)[ok].tolist(), np.where(u < v, v, u)[ok].tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(low, type_), pa.array(high, type_), pa.array(s[a, b][ok])], ["a", "b", "cosine"])
+
+    same = (F.col("cell") == F.col("cell2")) & (F.col("part") == F.col("part2"))
+    return met.select(same.alias("same"), "keys", "keys2", "data", "data2").mapInArrow(product, f"a {kind}, b {kind}, cosine double")
 
 
 def semantic_scores(gold: DataFrame, pred: DataFrame, keys: list[str], encode: Callable[[list[str]], list], threshold: float = THRESHOLD) -> DataFrame:
