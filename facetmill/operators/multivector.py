@@ -26,6 +26,8 @@ from facetmill.session import scratch, ship_package
 CELLS, DIGITS, SLACK = 64, 6, 2e-6
 #: Vectors of queries that go to every task at a time; products that a task holds at a time.
 QUERY_VECTORS, PRODUCTS = 20_000, 4_000_000
+#: Vectors of an item that are put together; items of more are scored part by part.
+TOGETHER = 1024
 
 
 @dataclass(frozen=True)
@@ -112,11 +114,15 @@ def _bounds(summary: Summary, vectors: np.ndarray, first: np.ndarray, qids: list
                     take = min(k, score.shape[1])
                     at = np.argpartition(-score, take - 1, axis=1)[:, :take]
                     q, c = np.repeat(np.arange(len(first)), take), at.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids[c].tolist(), type_), pa.array(score[q, c])], names)
                 else:
-                    q, c = np.nonzero(score >= floors[:, None] - SLACK)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids[c].tolist(), type_), pa.array(score[q, c])], ["q", "item", "bound"])
+                    c, q = np.nonzero((score >= floors[:, None] - SLACK).T)
+                    some, at = np.unique(c, return_index=True)
+                    asked = pa.ListArray.from_arrays(pa.array([*at.tolist(), len(q)], pa.int32()), pa.array(q, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some].tolist(), type_), asked], names)
 
-    return summary.rows.mapInArrow(run, f"q int, item {kinds[1]}, bound double")
+    names = ["q", "item", "bound"] if floors is None else ["item", "asked"]
+    return summary.rows.mapInArrow(run, f"q int, item {kinds[1]}, bound double" if floors is None else f"item {kinds[1]}, asked array<int>")
 
 
 def search(summary: Summary, parts: DataFrame, queries: DataFrame, qid: str, qvector: str, k: int) -> DataFrame:
@@ -152,15 +158,40 @@ def _search_block(summary: Summary, parts: DataFrame, held: dict, k: int, kinds:
     for r in low.toLocalIterator():  # one a query
         floors[r["q"]] = r["bound"]
     path = scratch(spark, "reached")
-    reached = _bounds(summary, vectors, first, qids, k, floors, kinds).groupBy("item").agg(F.collect_set("q").alias("asked"))
+    reached = _bounds(summary, vectors, first, qids, k, floors, kinds)
     reached.write.parquet(path)
     reached = spark.read.schema(reached.schema).parquet(path)
-    rows = parts.where(F.col(summary.vector).isNotNull()).select(F.col(summary.item).alias("item"), F.col(summary.vector).cast("array<double>").alias("vector")).join(sent(reached), "item")
+    sizes = summary.rows.select("item", (F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + g["n"]) > TOGETHER).alias("large"))
+    reached = reached.join(sizes, "item")
+    rows = parts.where(F.col(summary.vector).isNotNull()).select(F.col(summary.item).alias("item"), F.col(summary.vector).cast("array<double>").alias("vector"))
     shared = spark.sparkContext.broadcast((vectors, first, count))
     type_ = to_arrow_type(parts.schema[summary.item].dataType)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of each query among a task's items, whose vectors are together."""
+        vectors, first, count = shared.value
+        best: dict[int, list[tuple]] = {}
+
+        def cut(q: int) -> list[tuple]:
+            best[q] = sorted(best[q], key=lambda e: (-e[0], e[1]))[:k]
+            return best[q]
+
+        for b in batches:
+            for item, x, asked in zip(*(b.column(c) for c in range(3))):
+                q = np.array(asked.as_py())
+                tokens = np.arange(count[q].sum()) + np.repeat(first[q] - (np.cumsum(count[q]) - count[q]), count[q])
+                top = (vectors[tokens] @ np.array(x.as_py(), np.float64).T).max(1)
+                score = np.add.reduceat(top, np.cumsum(count[q]) - count[q])
+                for one, v in zip(q.tolist(), np.round(score, DIGITS).tolist()):
+                    held = best.setdefault(one, [])
+                    held.append((v, item.as_py()))
+                    if len(held) >= 4 * k + 16:
+                        cut(one)
+        out = [(q, i, v) for q in sorted(best) for v, i in cut(q)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int32(), type_, pa.float64()))], ["q", "item", "score"])
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each batch, item, query and query's vector the best product."""
+        """Of each batch, large item, query and query's vector the best product."""
         vectors, first, count = shared.value
         for b in batches:
             out: list[tuple] = []
@@ -175,8 +206,13 @@ def _search_block(summary: Summary, parts: DataFrame, held: dict, k: int, kinds:
                     out += [(q, ids[i].item(), t, v) for t, v in enumerate(top.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int32(), type_, pa.int32(), pa.float64()))], ["q", "item", "t", "top"])
 
-    tops = rows.select("item", "vector", "asked").mapInArrow(best, f"q int, item {kinds[1]}, t int, top double")
-    scored = tops.groupBy("q", "item", "t").agg(F.max("top").alias("top")).groupBy("q", "item").agg(F.round(F.sum("top"), DIGITS).alias("score"))
+    met = lambda large: rows.join(sent(reached.where(large).drop("large")), "item")
+    small = met(~F.col("large")).groupBy("item").agg(F.collect_list("vector").alias("vectors"), F.first("asked").alias("asked"))
+    scored = small.mapInArrow(whole, f"q int, item {kinds[1]}, score double")
+    # Items of very many vectors are few; the best products of their parts meet.
+    tops = met(F.col("large")).select("item", "vector", "asked").mapInArrow(best, f"q int, item {kinds[1]}, t int, top double")
+    tops = tops.groupBy("q", "item", "t").agg(F.max("top").alias("top")).groupBy("q", "item").agg(F.round(F.sum("top"), DIGITS).alias("score"))
+    scored = scored.unionByName(tops)
     names = spark.createDataFrame(list(enumerate(qids)), f"q int, qid {kinds[0]}")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item"))
     return scored.join(F.broadcast(names), "q").withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "item", "score", "rank")
