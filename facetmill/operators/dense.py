@@ -180,7 +180,8 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def search(index: DenseIndex, items: DataFrame, queries: DataFrame, qid: str, qvector: str, k: int, probes: int = 8, exact: bool = True, exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``qid``, ``item``, ``score``, ``rank`` of the k best items of each query, ties by item; and a report: of
+    """``qid``, ``item``, ``score``, ``rank`` of the k best items of each query, scores equal to
+    six digits by item; and a report: of
     each query the vectors ``scored`` by codes and their ``share`` of all. ``items`` are those of the index.
 
     Without ``exact`` only the ``probes`` nearest lists are searched."""
@@ -234,9 +235,9 @@ def _search_block(index: DenseIndex, items: DataFrame, held: list[tuple], k: int
             if len(f):
                 x = unit(np.stack(f["vector"].to_numpy()))
                 s = (x * vectors[[place[q] for q in f["qid"].tolist()]]).sum(1)
-                yield pd.DataFrame({"qid": f["qid"], "item": f["item"], "score": np.round(s, DIGITS) + 0.0})
+                yield pd.DataFrame({"qid": f["qid"], "item": f["item"], "score": s})
 
     scored = pairs.select("qid", "item", "vector").mapInPandas(score, f"qid {kinds[0]}, item {kinds[1]}, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", DIGITS)), "item"))
     report = candidates.where("item IS NULL").groupBy("qid").agg(F.sum("scored").alias("scored")).withColumn("share", F.col("scored") / F.lit(float(max(index.n, 1))))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k), report

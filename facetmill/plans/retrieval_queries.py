@@ -79,8 +79,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", "rank", F.round("score", 3).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (
-  SELECT qid, vec_id AS item, round(list_dot_product(v, embedding)::DOUBLE / sqrt(list_dot_product(v, v)::DOUBLE * list_dot_product(embedding, embedding)::DOUBLE), 3) AS score FROM q, embeddings WHERE vec_id <> qid),
+@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings), s AS (
+  SELECT qid, vec_id AS item, round(list_dot_product(v, embedding)::DOUBLE / sqrt(list_dot_product(v, v)::DOUBLE * list_dot_product(embedding, embedding)::DOUBLE), 3) AS score FROM q, e WHERE vec_id <> qid),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC) AS rank FROM s) SELECT qid, rank, score FROM r WHERE rank <= 10""")
 def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors through the inverted file of codes."""
