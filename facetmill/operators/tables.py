@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetmill.functions import parsing as P
-from facetmill.operators.guards import require_unique
+from facetmill.operators.guards import numbered, require_unique, sent
 
 #: The gain of each relevance grade.
 GAIN = {"E": 1.0, "S": 0.1, "C": 0.01, "I": 0.0}
@@ -91,11 +91,29 @@ def build_reviews(reviews: DataFrame, products: DataFrame) -> DataFrame:
     return rows.withColumnsRenamed({"stars": "rev_stars", "title": "rev_title"})
 
 
-def number_reviews(reviews: DataFrame, key: str = "asin", order: tuple[str, ...] = ("ord", "pos"), text: str = "text") -> DataFrame:
-    """``review_no`` from 0 in file order; blank texts go only afterwards, so numbers have gaps."""
+#: A key with more rows than this is numbered by ranges, in many tasks.
+HOT_ROWS = 1_000_000
+
+
+def number_reviews(reviews: DataFrame, key: str = "asin", order: tuple[str, ...] = ("ord", "pos"), text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``review_no`` from 0 in file order; blank texts go only afterwards, so numbers have gaps.
+
+    Rows are numbered key by key. The rows of a hot key are sorted by ranges of its order instead and a
+    range's first number is the count of the ranges before it, so no task sorts a key of any size. Both
+    give the same numbers where ``order`` has no ties."""
     number = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    numbered = reviews.withColumn("review_no", number.cast("int"))
-    return numbered.where(F.length(P.strip(F.coalesce(F.col(text), F.lit("")))) > 0)
+    crowded = reviews.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).select("__hot")
+    if not crowded.take(1):
+        out = reviews.withColumn("review_no", number.cast("int"))
+    else:
+        hot = sent(crowded)
+        same = F.col(key).eqNullSafe(F.col("__hot"))
+        calm = reviews.join(hot, same, "left_anti").withColumn("review_no", number.cast("int"))
+        placed = numbered(reviews.join(hot, same, "left_semi"), [F.col(key), *[F.col(c) for c in order]], "__place")
+        first = placed.groupBy(F.col(key).alias("__hot")).agg(F.min("__place").alias("__first"))
+        counted = placed.join(sent(first), same).withColumn("review_no", (F.col("__place") - F.col("__first")).cast("int"))
+        out = calm.unionByName(counted.select(*reviews.columns, "review_no"))
+    return out.where(F.length(P.strip(F.coalesce(F.col(text), F.lit("")))) > 0)
 
 
 def keep_one(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

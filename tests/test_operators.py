@@ -46,6 +46,22 @@ def test_numbering_keeps_gaps(spark):
     assert rows(tables.number_reviews(df).select("asin", "review_no")) == [("a", 0), ("a", 2)]
 
 
+def test_numbering_of_hot_keys(spark):
+    """Keys that are numbered by ranges, the null key too, have the numbers that a plain count gives."""
+    keys = ["hot"] * 300 + [None] * 60 + ["b"] * 3 + ["c"]
+    data = [(k, (i * 7919) % 1009, i % 3, " " if i % 5 == 0 else f"t{i}", i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(data, "asin string, ord long, pos int, text string, place int").repartition(6)
+    want = []
+    for k in set(keys):
+        mine = sorted((r for r in data if r[0] == k), key=lambda r: r[1:3])
+        want += [(*r, i) for i, r in enumerate(mine) if r[3].strip()]
+    for hot_rows in (50, 1000):
+        got = tables.number_reviews(df, hot_rows=hot_rows)
+        assert got.columns == [*df.columns, "review_no"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert tables.number_reviews(df.limit(0), hot_rows=50).count() == 0
+
+
 def test_placeholders(spark):
     data = [("p1", "ok", "m"), ("p2", "skip", "m"), ("p3", "http_error", "m"), ("p4", "ok", "m"), ("p5", "ok", "u"), ("p6", "ok", None)]
     out = tables.mark_placeholders(spark.createDataFrame(data, "product_id string, status string, md5 string"), 3)
