@@ -1,17 +1,18 @@
 """Quality rules: base counts, and robust multivariate outliers by language and source.
 
 For each (language, source) the minimum covariance determinant of transformed statistic vectors is
-approached by concentration steps from coordinate medians: keep the half of the rows with
-the least Mahalanobis distance, re-estimate, repeat. A group's moments are shrunk to those of its
-language by a fixed number of pseudo-rows, so small groups need no rule of their own, and a ridge added
-to each variance keeps statistics that are constant among clean texts from being singular. Rows
-farther than a chi-squared quantile are rejected.
-
-DataFrame expressions only: moments and distance histograms are partial aggregates by group, so a hot
-source costs one partial row a task. Defined results: null or empty text has all counts 0 and fails the
+searched from several starts around coordinate medians. A concentration step keeps the half of the rows
+with the least Mahalanobis distance and re-estimates. After a few steps each group goes on from the start
+whose determinant is least, and steps are repeated until no group's determinant falls any more. A group's
+moments are shrunk to those of its language by a fixed number of pseudo-rows, so small groups need no rule
+of their own, and a ridge added to each variance keeps statistics that are constant among clean texts from
+being singular. Rows farther than a chi-squared quantile are rejected.
+
+DataFrame expressions only: a step is one scan of the statistic vectors and one partial aggregate by group
+and cell of the distances' histogram, so a hot source costs a bounded number of rows a task. Defined results: null or empty text has all counts 0 and fails the
 base rule; texts are read whole; null language or source is a group of its own, apart from the empty
 string's; rows at equal distances, or in one cell of the distances' histogram, are inside the subset
-together, so ties don't hang on any order; repeated rows stay and count each; columns beyond the key,
+together, so ties don't hang on any order; of starts with equal determinants the first counts; repeated rows stay and count each; columns beyond the key,
 text, language and source are ignored.
 """
 
@@ -28,8 +29,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Statistics, with the ridge on each one's variance as a standard deviation; also the first scales.
 VECTOR = {"length": 0.12, "symbols": 0.3, "dup_lines": 0.9, "repeats": 0.7, "capitals": 0.35}
-#: Share of a group in the concentrated subset; concentration steps; pseudo-rows of the language.
-SUBSET, STEPS, PSEUDO = 0.5, 3, 20.0
+#: Share of a group in the concentrated subset; steps from each start; pseudo-rows of the language.
+SUBSET, STEPS, PSEUDO = 0.5, 2, 20.0
+#: A group's steps have come to rest when the logarithm of its determinant falls by less.
+REST = 0.01
 #: Chance that a Gaussian row is rejected.
 ALPHA = 1e-5
 KEYS = ("g_lang", "g_source")
@@ -115,35 +118,48 @@ def chi2_quantile(q: float, p: int) -> float:
     return hi
 
 
-def _estimates(rows: DataFrame, dims: int) -> DataFrame:
-    """By group: mean m0.. and the Cholesky factor c_ij of the covariance with its ridge, from the rows
-    with ``inside``; shrunk to the language, and the language to everything."""
+def _moment_names(dims: int) -> list[str]:
+    return ["n", *[f"s{i}" for i in range(dims)], *[f"q{i}_{j}" for i in range(dims) for j in range(i + 1)]]
+
+
+def _concentrate(rows: DataFrame, dims: int) -> DataFrame:
+    """By group and start: the moments of the nearest share of the rows (z, d2), whole cells of a histogram of
+    log distances. Moments are added up by cell, so one scan gives the cut and what is inside."""
     z = [F.col("z")[i] for i in range(dims)]
+    by, names = (*KEYS, "start"), _moment_names(dims)
+    cell = F.least(F.floor(8 * F.log2(1 + 1000 * F.col("d2"))), F.lit(400)).cast("int").alias("cell")
+    values = [F.count("*").cast("double"), *map(F.sum, z), *[F.sum(z[i] * z[j]) for i in range(dims) for j in range(i + 1)]]
+    cells = rows.groupBy(*by, cell).agg(*[v.alias(c) for v, c in zip(values, names)])
+    group = Window.partitionBy(*by)
+    before = F.sum("n").over(group.orderBy("cell")) - F.col("n")
+    inside = cells.select("*", before.alias("before"), F.sum("n").over(group).alias("total")).where(F.col("before") < SUBSET * F.col("total"))
+    return inside.groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _estimates(sums: DataFrame, dims: int) -> DataFrame:
+    """By group and start: ``logdet``, mean m0.. and the Cholesky factor c_ij of the covariance with its ridge;
+    moments are shrunk to the language's, and those to everything's."""
     pairs = [(i, j) for i in range(dims) for j in range(i + 1)]
-    names = ["n", *[f"s{i}" for i in range(dims)], *[f"q{i}_{j}" for i, j in pairs]]
-    inside = lambda v: F.sum(F.when(F.col("inside"), v).otherwise(0.0))
-    sums = rows.groupBy(*KEYS).agg(
-        inside(F.lit(1.0)).alias("n"),
-        *[inside(z[i]).alias(f"s{i}") for i in range(dims)],
-        *[inside(z[i] * z[j]).alias(f"q{i}_{j}") for i, j in pairs],
-    )
-    language = sums.groupBy("g_lang").agg(*[F.sum(c).alias(f"l_{c}") for c in names])
-    whole = sums.agg(*[F.sum(c).alias(f"w_{c}") for c in names]).withColumn("one", F.lit(1))
-    language = language.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # one row
+    names, by = _moment_names(dims), (*KEYS, "start")
+    language = sums.groupBy("g_lang", "start").agg(*[F.sum(c).alias(f"l_{c}") for c in names])
+    whole = sums.groupBy("start").agg(*[F.sum(c).alias(f"w_{c}") for c in names])
+    language = language.join(F.broadcast(whole), "start")  # a row a start
     half = [F.col(f"l_{c}") + PSEUDO * F.col(f"w_{c}") / F.greatest(F.col("w_n"), F.lit(1.0)) for c in names]
-    language = language.select("g_lang", *[v.alias(f"l_{c}") for v, c in zip(half, names)])
-    out = sums.join(language, "g_lang").select(*KEYS, *[(F.col(c) + PSEUDO * F.col(f"l_{c}") / F.greatest(F.col("l_n"), F.lit(1.0))).alias(c) for c in names])
+    language = language.select("g_lang", "start", *[v.alias(f"l_{c}") for v, c in zip(half, names)])
+    out = sums.join(language, ["g_lang", "start"]).select(*by, *[(F.col(c) + PSEUDO * F.col(f"l_{c}") / F.greatest(F.col("l_n"), F.lit(1.0))).alias(c) for c in names])
     out = out.select("*", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(dims)])
     # Consistency at the normal distribution for a subset of this share.
     scale = SUBSET / chi2_cdf(chi2_quantile(SUBSET, dims), dims + 2)
     ridge = list(VECTOR.values())
-    out = out.select(*KEYS, *[f"m{i}" for i in range(dims)], *[(scale * (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (ridge[i] ** 2 if i == j else 0.0)).alias(f"v{i}_{j}") for i, j in pairs])
+    means = [f"m{i}" for i in range(dims)]
+    out = out.select(*by, *means, *[(scale * (F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (ridge[i] ** 2 if i == j else 0.0)).alias(f"v{i}_{j}") for i, j in pairs])
     for i, j in pairs:  # row by row, so each entry needs only those before it
         rest = F.col(f"v{i}_{j}")
         for k in range(j):
             rest = rest - F.col(f"c{i}_{k}") * F.col(f"c{j}_{k}")
         out = out.withColumn(f"c{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"c{j}_{j}"))
-    return out.select(*KEYS, *[f"m{i}" for i in range(dims)], *[f"c{i}_{j}" for i, j in pairs])
+    logdet = sum((2 * F.log(f"c{i}_{i}") for i in range(1, dims)), 2 * F.log("c0_0"))
+    return out.select(*by, logdet.alias("logdet"), *means, *[f"c{i}_{j}" for i, j in pairs])
 
 
 def _by_group(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
@@ -151,7 +167,7 @@ def _by_group(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
 
 
 def _distances(rows: DataFrame, model: DataFrame, dims: int, few: bool) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance under their group's model."""
+    """``rows`` with ``start`` and ``d2``, the squared Mahalanobis distance under each model of their group."""
     out = _by_group(rows, model, few)
     y: list[Column] = []
     for i in range(dims):
@@ -160,34 +176,56 @@ def _distances(rows: DataFrame, model: DataFrame, dims: int, few: bool) -> DataF
             rest = rest - F.col(f"c{i}_{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", rest / F.col(f"c{i}_{i}"))
         y.append(F.col(f"y{i}"))
-    return out.select(*rows.columns, sum((v * v for v in y[1:]), y[0] * y[0]).alias("d2"))
+    return out.select(*rows.columns, "start", sum((v * v for v in y[1:]), y[0] * y[0]).alias("d2"))
 
 
-def _concentrate(rows: DataFrame, few: bool) -> DataFrame:
-    """Marks as ``inside`` the nearest share of each group, by a histogram of log distances."""
-    cell = F.least(F.floor(8 * F.log2(1 + 1000 * F.col("d2"))), F.lit(400)).cast("int")
-    marked = rows.withColumn("cell", cell)
-    counts = marked.groupBy(*KEYS, "cell").count()
-    by = Window.partitionBy(*KEYS)
-    running = F.sum("count").over(by.orderBy("cell"))
-    cut = counts.select(*KEYS, "cell", running.alias("upto"), F.sum("count").over(by).alias("total"))
-    cut = cut.where(F.col("upto") >= SUBSET * F.col("total")).groupBy(*KEYS).agg(F.min("cell").alias("cut"))
-    return _by_group(marked, cut, few).withColumn("inside", F.col("cell") <= F.col("cut")).drop("cell", "cut", "d2")
+def _starts(rows: DataFrame, quartiles: DataFrame, dims: int, few: bool) -> DataFrame:
+    """``rows`` with ``start`` and ``d2``, the first distances: from the medians in fixed scales, in scales by
+    the group's quartiles, and by the farthest coordinate in those scales."""
+    off = [F.col("z")[i] - F.col(f"p{i}")[1] for i in range(dims)]
+    own = [(F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349 + ridge for i, ridge in enumerate(VECTOR.values())]
+    fixed = [(x / ridge) ** 2 for x, ridge in zip(off, VECTOR.values())]
+    scaled = [(x / w) ** 2 for x, w in zip(off, own)]
+    total = lambda parts: sum(parts[1:], parts[0])
+    first = F.posexplode(F.array(total(fixed), total(scaled), F.greatest(*scaled))).alias("start", "d2")
+    return _by_group(rows, quartiles, few).select(*rows.columns, first)
 
 
-def outliers(stats: DataFrame) -> DataFrame:
-    """``stats`` (with z, g_lang, g_source) plus ``d2`` under the robust estimates of the groups."""
+def _least(models: DataFrame) -> DataFrame:
+    """Each group's model of the least determinant, of equal ones the first start's, as start 0; ``gain`` is by
+    how much its logarithm lies below that of start 0."""
+    rest = [c for c in models.columns if c not in (*KEYS, "start", "logdet")]
+    best = models.groupBy(*KEYS).agg(F.min(F.struct("logdet", "start", *rest)).alias("b"), F.max(F.when(F.col("start") == 0, F.col("logdet"))).alias("was"))
+    return best.select(*KEYS, F.lit(0).alias("start"), "b.logdet", *[F.col(f"b.{c}").alias(c) for c in rest], (F.col("was") - F.col("b.logdet")).alias("gain"))
+
+
+def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """The robust model of each group of ``stats`` (z, g_lang, g_source), and whether they are few."""
     dims = len(VECTOR)
-    medians = stats.groupBy(*KEYS).agg(*[F.percentile_approx(F.col("z")[i], 0.5, 1000).alias(f"p{i}") for i in range(dims)])
-    medians = materialize(medians, "medians")
-    few = medians.count() <= BROADCAST_GROUPS
-    far = sum((((F.col("z")[i] - F.col(f"p{i}")) / floor) ** 2 for i, floor in enumerate(VECTOR.values())), F.lit(0.0))
     narrow = stats.select(*KEYS, "z")
-    rows = _by_group(narrow, medians, few).select(*KEYS, "z", far.alias("d2"))
-    for _ in range(STEPS):
-        model = materialize(_estimates(_concentrate(rows, few), dims), "mcd")
-        rows = _distances(narrow, model, dims, few)
-    return _distances(stats, model, dims, few)
+    quartiles = narrow.groupBy(*KEYS).agg(*[F.percentile_approx(F.col("z")[i], [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(dims)])
+    quartiles = materialize(quartiles, "quartiles")
+    few = quartiles.count() <= BROADCAST_GROUPS
+
+    def step(rows: DataFrame) -> DataFrame:
+        return _estimates(materialize(_concentrate(rows, dims), "moments"), dims)
+
+    model = step(_starts(narrow, quartiles, dims, few))
+    for _ in range(STEPS - 1):
+        model = step(_distances(narrow, materialize(model, "mcd"), dims, few))
+    model = materialize(_least(model).drop("gain"), "mcd")
+    while True:
+        new = step(_distances(narrow, model, dims, few)).withColumn("start", F.lit(1))
+        both = materialize(_least(model.unionByName(new)), "mcd")
+        model = both.drop("gain")
+        if (both.agg(F.max("gain")).first()[0] or 0.0) < REST:
+            return model, few
+
+
+def outliers(stats: DataFrame) -> DataFrame:
+    """``stats`` (with z, g_lang, g_source) plus ``d2`` under the robust estimates of the groups."""
+    model, few = estimates(stats)
+    return _distances(stats, model, len(VECTOR), few).drop("start")
 
 
 def _group(column: str) -> Column:

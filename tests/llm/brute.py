@@ -130,9 +130,9 @@ def standing_blocks(pages, least):
     return {x for x, n in seen.items() if n >= least}
 
 
-def outliers(rows, ridge, subset, steps, pseudo, scale):
-    """Squared robust distances of (text, group, language) rows: concentration from coordinate medians,
-    moments shrunk to the language's, by plain loops."""
+def outliers(rows, ridge, subset, steps, pseudo, scale, rest):
+    """Squared robust distances of (text, group, language) rows: concentration from three starts, the least
+    determinant of each group, steps until none falls; moments shrunk to the language's, by plain loops."""
     z, dims = [], len(ridge)
     for text, _, _ in rows:
         n, chars, symbols, dup, repeats, _ = rules(text)
@@ -141,32 +141,54 @@ def outliers(rows, ridge, subset, steps, pseudo, scale):
         z.append([(math.log(max(chars / n, 0.5)) - math.log(5)) * math.sqrt(n / (n + 100)), per(symbols, n), per(dup, lines), per(repeats, n), per(sum(c.isupper() for c in text or ""), chars)])
     z, ridge = np.array(z), np.array(ridge)
     group, lang = np.array([g for _, g, _ in rows]), np.array([x for *_, x in rows])
-    d2 = np.zeros(len(z))
-    for g in set(group):
+    groups = sorted(set(group))
+    starts = [np.zeros(len(z)) for _ in range(3)]
+    for g in groups:
         own = group == g
-        middle = np.sort(z[own], 0)[(own.sum() + 1) // 2 - 1]
-        d2[own] = (((z[own] - middle) / ridge) ** 2).sum(1)
+        low, middle, high = (np.sort(z[own], 0)[math.ceil(q * own.sum()) - 1] for q in (0.25, 0.5, 0.75))
+        wide = ((z[own] - middle) / ((high - low) / 1.349 + ridge)) ** 2
+        starts[0][own] = (((z[own] - middle) / ridge) ** 2).sum(1)
+        starts[1][own], starts[2][own] = wide.sum(1), wide.max(1)
     moments = lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
-    for _ in range(steps):
+
+    def step(d2):
         cell = np.minimum(np.floor(8 * np.log2(1 + 1000 * d2)), 400)
         inside = np.zeros(len(z), bool)
-        for g in set(group):
+        for g in groups:
             own = np.flatnonzero(group == g)
             cut = np.sort(cell[own])[math.ceil(subset * len(own)) - 1]
             inside[own] = cell[own] <= cut
-        whole = moments(z[inside])
-        new = np.zeros(len(z))
-        for g in set(group):
+        whole, out = moments(z[inside]), {}
+        for g in groups:
             own = group == g
             near = moments(z[inside & (lang == lang[own][0])])
             near = near + pseudo * whole / max(whole[0], 1)
             sums = moments(z[inside & own]) + pseudo * near / max(near[0], 1)
             mean = sums[1 : 1 + dims] / sums[0]
             cov = scale * (sums[1 + dims :].reshape(dims, dims) / sums[0] - np.outer(mean, mean)) + np.diag(ridge**2)
-            x = z[own] - mean
-            new[own] = (x * np.linalg.solve(cov, x.T).T).sum(1)
-        d2 = new
-    return d2
+            out[g] = np.linalg.slogdet(cov)[1], mean, cov
+        return out
+
+    def distances(models):
+        d2 = np.zeros(len(z))
+        for g, (_, mean, cov) in models.items():
+            x = z[group == g] - mean
+            d2[group == g] = (x * np.linalg.solve(cov, x.T).T).sum(1)
+        return d2
+
+    tried = []
+    for d2 in starts:
+        for _ in range(steps):
+            models = step(d2)
+            d2 = distances(models)
+        tried.append(models)
+    best = {g: min((m[g] for m in tried), key=lambda m: m[0]) for g in groups}
+    while True:
+        new = step(distances(best))
+        gain = max(best[g][0] - new[g][0] for g in groups)
+        best = {g: min(best[g], new[g], key=lambda m: m[0]) for g in groups}
+        if gain < rest:
+            return distances(best)
 
 
 def more_spans(text):
