@@ -15,6 +15,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), 4) == 2
     model = language_id.train(docs.where(~held_out))
+    held_out = F.coalesce(held_out, F.lit(False))  # a row without an id is in no fold
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -42,6 +43,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_fold(F.col("doc_id"), 3) == 1
     known = labels.where(~held_out).select("doc_id", F.col("quality").alias("label")).distinct()
+    held_out = F.coalesce(held_out, F.lit(False))
     return quality_classifier.classify(docs, known).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -97,17 +97,16 @@ def test_quality_against_plain_matrices(spark, monkeypatch):
     class Scorer(quality_classifier.Scorer):
         ridge, bins = quality_classifier.RIDGE, quality_classifier.BINS
 
-    model, x, fit, _ = brute.ridge_scores(stats, [known.get(i) for i, _ in texts], Scorer)
+    model, x, fit, w = brute.ridge_scores(stats, [known.get(i) for i, _ in texts], Scorer)
     for parts, fan in ((1, 32), (9, 2)):  # in one sum or in levels
         monkeypatch.setattr(common, "FAN_IN", fan)
         shuffled = docs.repartition(parts, "doc_id").withColumn("score", F.lit("clash"))
         got = {r["doc_id"]: r["score"] for r in quality_classifier.classify(shuffled, labels.repartition(parts)).collect()}
-        raw = np.clip(model.raw(stats), x[0], x[-1])
-        # Between two centres of blocks the score lies between the blocks' means.
-        for (i, _), r in zip(texts, raw):
-            near = np.abs(x - r) <= 2 / quality_classifier.BINS + 1e-9
-            lo, hi = fit[np.searchsorted(x, r, side="right") - 1], fit[min(np.searchsorted(x, r), len(x) - 1)]
-            assert lo - 0.35 <= got[i] <= hi + 0.35 and (not near.any() or fit[0] - 1e-9 <= got[i] <= fit[-1] + 1e-9)
+        # A run of bins of one mean is a block; between the blocks' weighted centres scores are interpolated.
+        blocks = [np.flatnonzero(np.isclose(fit, v)) for v in sorted(set(fit.round(9)))]
+        centres, means = [np.average(x[b], weights=w[b]) for b in blocks], [fit[b[0]] for b in blocks]
+        for (i, _), want in zip(texts, np.clip(np.interp(model.raw(stats), centres, means), 0, 1)):
+            assert abs(got[i] - want) < 1e-6, i
         if parts == 1:
             first = got
     assert all(abs(first[i] - got[i]) < 1e-6 for i in got)

@@ -1,6 +1,7 @@
 """Substring deduplication, Jaccard join, components, decontamination."""
 
 import random
+import re
 from collections import Counter
 
 import brute
@@ -243,6 +244,26 @@ def test_contaminated(spark):
     assert got <= want and len(got) >= 0.95 * len(want), (want - got, got - want)
 
 
+def test_contaminated_by_short_items(spark, monkeypatch):
+    """Items under five words against plain search: at both ends of texts, repeated, of equal beginnings; a
+    phrase that goes on into the next text doesn't count."""
+    items = {1: "Alpha", 2: "alpha BETA", 3: "alpha beta", 4: "beta gamma delta", 5: "alpha beta gamma eps", 6: "eps eps", 7: "", 8: None, 9: "..."}
+    rng = random.Random(8)
+    docs = {i: " ".join(rng.choice(["alpha", "beta", "Gamma", "delta", "eps", "other"]) for _ in range(rng.randint(0, 9))) for i in range(200)}
+    docs |= {500: None, 501: "", 502: "alpha", 503: "alpha, beta; gamma-eps.", 504: "beta"}
+    padded = {i: f" {' '.join(re.findall('[a-z]+', (t or '').lower()))} " for i, t in docs.items()}
+    said = {i: " ".join((t or "").lower().strip(".").split()) for i, t in items.items()}
+    want = {(d, i) for d, t in padded.items() for i, p in said.items() if p and f" {p} " in t}
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    for block in (500, 1):  # all items in a scan, or two at a time
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        monkeypatch.setattr(decontaminate, "BLOCKS", 8 if block > 1 else 2)
+        got = decontaminate.contaminated(frame(spark, docs).repartition(3), bench).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+        assert all(r["cosine"] == r["lcs_share"] == 1.0 for r in got)
+    assert decontaminate.contaminated(frame(spark, {1: "x"}).limit(0), bench).count() == 0
+
+
 def test_contaminated_by_common_items(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("bcdfghklmnpr") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
