@@ -11,7 +11,7 @@ from facetmill.plans import catalog_queries as C
 from facetmill.plans.registry import Registry, table
 from facetmill.session import scratch
 from facetmill.sources import readers, writers
-from facetmill.streaming import extraction_stream
+from facetmill.streaming import extraction_stream, keyed_extraction
 
 R = Registry()
 query = R.query
@@ -136,6 +136,21 @@ def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.agg(F.count("*").alias("reviews"), F.count_if(F.col("times") == 1).alias("done"), F.count_if(F.col("times").isNull()).alias("waiting"))
 
 
+@query("""WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS m, length(coalesce(text, '')) AS n FROM documents),
+r AS (SELECT n, row_number() OVER (PARTITION BY m ORDER BY doc_id % 2, doc_id) AS k, row_number() OVER (PARTITION BY m, doc_id % 2 ORDER BY doc_id) AS k_half FROM d)
+SELECT CASE WHEN n < 60 AND k_half = 1 THEN 'failed' WHEN n < 60 THEN 'failed_dupes' WHEN k = 1 THEN 'extracted' ELSE 'cached' END AS outcome, count(*) AS n, count(CASE WHEN n > 1000 THEN 1 END) AS with_aspects FROM r GROUP BY 1""")
+def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over growing input whose memory is keyed state: texts of the first are known in the second,
+    texts that failed are asked again when they come again."""
+    source, folder = scratch(spark, "reviews"), scratch(spark, "extraction")
+    docs = table(spark, sf_dir, "documents").select(F.lit("a").alias("asin"), F.col("doc_id").cast("int").alias("review_no"), "text")
+    for half in (0, 1):
+        docs.where(F.col("review_no") % 2 == half).write.mode("append").parquet(source)
+        keyed_extraction.start(spark, source, folder, answer).awaitTermination()
+    judged = keyed_extraction.outcomes(spark, folder)
+    return judged.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.size("aspects") > 0).alias("with_aspects"))
+
+
 @query("""SELECT 'p' || (doc_id // 5) AS asin, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_positive, count(*) FILTER (doc_id % 2 = 1) AS n_negative FROM documents GROUP BY 1""")
 def product_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     polarity = F.when(F.col("doc_id") % 2 == 0, "positive").otherwise("negative")
