@@ -209,7 +209,10 @@ def drafts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, max(value) AS best, arg_max(event_id, value) AS at FROM events GROUP BY 1""")
 def best_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("best"), F.max_by("event_id", "value").alias("at"))
+    """Of equal best values the first event, as a plain scan meets it."""
+    known = F.col("event_id").isNotNull() & F.col("value").isNotNull()
+    first = F.max(F.when(known, F.struct("value", F.bitwise_not("event_id").alias("id"))))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("best"), F.bitwise_not(first["id"]).alias("at"))
 
 
 @query("""SELECT o_orderkey, CAST(regexp_extract(tag, '(\\d+)$', 1) AS INTEGER) AS round FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'v2' ELSE chr(CAST(97 + o_orderkey % 3 AS INTEGER)) || 'e' || (o_orderkey % 50) END AS tag, o_orderstatus FROM orders)

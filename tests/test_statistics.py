@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from facetmill.operators import guards, inspect, scores
+from facetmill.plans import catalogue
 
 
 def test_quantiles_against_plain(spark):
@@ -63,3 +64,13 @@ def test_spearman_of_a_constant(spark):
     df = spark.createDataFrame([(1, 2), (1, 3), (None, 4)], "a int, b int")
     assert scores.spearman(df, "a", "b").first()[0] is None
     assert abs(scores.spearman(spark.createDataFrame([(1, 9), (2, 5), (3, 1), (3, 1)], "a int, b int"), "a", "b").first()[0] + 1) < 1e-12
+
+
+def test_best_iteration_takes_the_first_of_ties(spark, tmp_path):
+    rows = [(i, u, v) for u in (1, 2) for i, v in ((90 + u, 5.0), (30 + u, 5.0), (60 + u, 5.0), (10 + u, 4.0))]
+    rows += [(None, 3, 9.0), (7, 3, 1.0), (8, 4, None)]
+    want = {1: (5.0, 31), 2: (5.0, 32), 3: (9.0, 7), 4: (None, None)}
+    for n, order in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(order, "event_id long, user_id long, value double").repartition(n + 1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        got = catalogue.queries()["best_iteration"](spark, f"{tmp_path}/{n}").collect()
+        assert {r.user_id: (r.best, r["at"]) for r in got} == want
