@@ -13,6 +13,12 @@ from facetmill.functions import parsing as P
 from facetmill.session import ship_package
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded half up as it stands in binary, as DuckDB rounds. A score that was cut to more digits
+    before often shows a half that it lies just under; ``F.round`` goes by the digits shown."""
+    return F.round(value * float(10**digits), 0) / float(10**digits)
+
+
 def ndcg(ranked: DataFrame, query: str, order: list[Column], gain: str, k: int | None = None) -> DataFrame:
     """``query`` and ``ndcg`` with linear gains and a log2 discount; queries without any gain go."""
     own, best = Window.partitionBy(query).orderBy(*order), Window.partitionBy(query).orderBy(F.desc(gain))

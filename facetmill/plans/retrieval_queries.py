@@ -116,7 +116,7 @@ def max_sim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = rows.where("vec_id % 100 <> 0").select((F.col("vec_id") % 150).alias("product"), "embedding")
     summary = multivector.summarise(parts, "product", "embedding")
     out = multivector.search(summary, parts, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
-    return out.select("qid", F.col("item").alias("product"), F.round("score", 4).alias("max_sim"), "rank")
+    return out.select("qid", F.col("item").alias("product"), ranking.rounded(F.col("score"), 4).alias("max_sim"), "rank")
 
 
 @query("""WITH p AS (SELECT vec_id // 8 AS item, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id // 100 AS qid, vec_id AS token, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 < 4),
@@ -128,7 +128,7 @@ def late_interaction_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = rows.select(F.floor(F.col("vec_id") / 8).alias("item"), "embedding")
     queries = rows.where("vec_id % 100 < 4").select(F.floor(F.col("vec_id") / 100).alias("q"), "embedding")
     out = multivector.search(multivector.summarise(parts, "item", "embedding"), parts, queries, "q", "embedding", 5)
-    return out.select("qid", "item", F.round("score", 4).alias("late"), "rank")
+    return out.select("qid", "item", ranking.rounded(F.col("score"), 4).alias("late"), "rank")
 
 
 _BM25_SQL = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
@@ -147,7 +147,7 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = asked.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     index = lexical.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", only)
     out = lexical.search(index, asked, "item_id", "text", 10)
-    return out.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 4).alias("bm25"), "rank")
+    return out.select(F.col("qid").alias("item_id"), F.col("doc").alias("doc_id"), ranking.rounded(F.col("score"), 4).alias("bm25"), "rank")
 
 
 @query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),

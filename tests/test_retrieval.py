@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from facetmill.operators import dense, lexical, multivector, ranking
+from facetmill.plans import catalogue
 
 
 def corpus(n=300, seed=3):
@@ -198,3 +200,18 @@ def test_multivector_scores_few_items(spark):
     floors = np.array([low[low.q == q].bound.nlargest(3).min() for q in range(8)])
     reached = sum(len(r.asked) for r in multivector._bounds(summary, x, first, list(range(8)), 3, floors, ("int", "int")).collect())
     assert 8 * 3 <= reached < 0.3 * 8 * 200
+
+
+def test_scores_round_as_they_stand_in_binary(spark):
+    rows = spark.createDataFrame([(1.02005,), (1.15555,), (1.09965,), (-1.02005,), (0.25,), (None,)], "x double")
+    got = [r[0] for r in rows.select(ranking.rounded(rows.x, 4)).collect()]
+    want = [duckdb.sql(f"SELECT round({x if x is not None else 'NULL'}::DOUBLE, 4)").fetchall()[0][0] for (x,) in rows.collect()]
+    assert got == want and got[0] == 1.02  # F.round gives 1.0201
+
+
+def test_late_interaction_equals_its_sql_to_the_digit(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    want = con.execute(catalogue.oracle_sql()["late_interaction_topk"]).fetchall()
+    got = catalogue.queries()["late_interaction_topk"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
