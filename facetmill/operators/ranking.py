@@ -213,17 +213,43 @@ def factorial_cells(channels: list[str]) -> list[tuple[str, ...]]:
     return [tuple(c for i, c in enumerate(channels) if m >> i & 1) for m in range(1, 1 << len(channels))]
 
 
-def cell_scores(scored: DataFrame, cells: dict[str, tuple[str, ...]], query: str, item: str, gain: str, k: int) -> DataFrame:
-    """``cell``, mean ``ndcg`` at k and ``queries`` of each named combination of channels, fused by
-    reciprocal ranks. Ranks within a channel are computed once and only recombined."""
+def cell_scores(scored: DataFrame, cells: dict[str, tuple[str, ...]], query: str, item: str, gain: str, k: int, seed: str = "0") -> DataFrame:
+    """``cell``, mean ``ndcg`` at k and ``queries`` of each named combination of channels, fused by reciprocal
+    ranks; one without channels ranks by a hash of seed, query and item. An item's gain is the greatest of its
+    rows.
+
+    A row for each item holds its places in all cells, and no window's rows are told apart by cell; where
+    ``scored`` is dealt by ``query``, rows aren't dealt again.
+    """
+    channels = sorted({c for names in cells.values() for c in names})
     ranks = scored.withColumn("__r", F.row_number().over(Window.partitionBy(query, "channel").orderBy(F.desc("score"), item)))
-    listed = F.array(*[F.struct(F.lit(name).alias("cell"), F.array(*map(F.lit, c)).alias("channels")) for name, c in cells.items()])
-    mine = F.transform(F.filter(listed, lambda c: F.array_contains(c["channels"], F.col("channel"))), lambda c: c["cell"])
-    each = ranks.withColumn("cell", F.explode(mine))
-    fused = each.groupBy("cell", query, item).agg(F.max(gain).alias(gain), F.round(F.avg(1.0 / (60 + F.col("__r"))), 12).alias("__s"))
-    unit = F.struct("cell", query)
-    per_query = ndcg(fused.withColumn("__q", unit), "__q", [F.desc("__s"), F.col(item)], gain, k)
-    return per_query.groupBy(F.col("__q.cell").alias("cell")).agg(F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries"))
+    mine = lambda c: F.when(F.col("channel") == c, 1.0 / (60 + F.col("__r")))
+    sums = [f(mine(c)).alias(f"__{name}{i}") for i, c in enumerate(channels) for name, f in (("s", F.sum), ("c", F.count))]
+    rows = ranks.groupBy(query, item).agg(F.max(gain).alias("__gain"), *sums)
+
+    def fused(names: tuple[str, ...]) -> Column:
+        """The mean to 12 digits, as a whole number; null where none of the channels has the item."""
+        at = [channels.index(c) for c in names]
+        total, n = (sum((F.coalesce(f"__{name}{i}", F.lit(0)) for i in at), F.lit(0)) for name in "sc")
+        return F.when(n > 0, F.floor(total / n * 1e12 + 0.5))
+
+    places = [f"__f{j}" if names else None for j, names in enumerate(cells.values())]
+    rows = rows.select(query, item, "__gain", *[fused(names).alias(f) for f, names in zip(places, cells.values()) if f])
+    there = [F.col(f).isNotNull() if f else F.lit(True) for f in places]
+    best = Window.partitionBy(query).orderBy(F.desc("__gain")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[F.when(here, F.count_if(here).over(best)).alias(f"__i{j}") for j, here in enumerate(there)])
+    for j, (f, here) in enumerate(zip(places, there)):
+        order = F.desc_nulls_last(f) if f else P.hash_order(seed, F.col(query), F.col(item))
+        place = F.when(here, F.row_number().over(Window.partitionBy(query).orderBy(order, item)))
+        rows = rows.withColumn(f"__r{j}", place)
+        if f:
+            rows = rows.drop(f)
+    part = lambda r: F.sum(F.when(F.col(r) <= k, F.col("__gain") / F.log2(F.col(r) + 1.0)).otherwise(0.0)).alias(r)
+    per_query = rows.groupBy(query).agg(*[part(f"__{r}{j}") for j in range(len(cells)) for r in "ri"])
+    ratio = lambda j: F.when(F.col(f"__i{j}") > 0, F.col(f"__r{j}") / F.col(f"__i{j}"))
+    total = per_query.agg(*[f(ratio(j)).alias(f"__{name}{j}") for j in range(len(cells)) for name, f in (("m", F.avg), ("n", F.count))])
+    listed = [F.struct(F.lit(name).alias("cell"), F.col(f"__m{j}").alias("ndcg"), F.col(f"__n{j}").alias("queries")) for j, name in enumerate(cells)]
+    return total.select(F.inline(F.array(*listed))).where("queries > 0")
 
 
 def factorial_scores(scored: DataFrame, channels: list[str], query: str, item: str, gain: str, k: int) -> DataFrame:
@@ -246,12 +272,7 @@ def factorial_effects(cells: DataFrame, base: tuple[str, ...], optional: tuple[s
 def ladder(scored: DataFrame, rungs: list[tuple[str, tuple[str, ...]]], query: str, item: str, gain: str, k: int, seed: str = "0") -> DataFrame:
     """``rung``, ``system``, mean ``ndcg`` at k and ``queries`` of systems in order; one without channels ranks
     by a hash of seed, query and item."""
-    named = cell_scores(scored, {name: channels for name, channels in rungs if channels}, query, item, gain, k)
-    judged = scored.groupBy(query, item).agg(F.max(gain).alias(gain))
-    blind = ndcg(judged, query, [P.hash_order(seed, F.col(query), F.col(item)), F.col(item)], gain, k)
-    for name, channels in rungs:
-        if not channels:
-            named = named.unionByName(blind.agg(F.lit(name).alias("cell"), F.avg("ndcg").alias("ndcg"), F.count("*").alias("queries")))
+    named = cell_scores(scored, dict(rungs), query, item, gain, k, seed)
     place = F.create_map(*[F.lit(v) for i, (name, _) in enumerate(rungs) for v in (name, i)])
     return named.select(F.element_at(place, F.col("cell")).alias("rung"), F.col("cell").alias("system"), "ndcg", "queries")
 
