@@ -104,6 +104,10 @@ def log_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_log_stamps(spark, path).groupBy("series").agg(F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 
+#: Files of a micro-batch, more than any table here has: one batch a run, as the SQL of the streams counts.
+FILES = 1 << 20
+
+
 def answer(text: str) -> str:
     """A model that stands for others: fails on short texts, finds one aspect in long ones."""
     if len(text) < 60:
@@ -116,8 +120,8 @@ SELECT CASE WHEN n < 60 AND k = 1 THEN 'failed' WHEN n < 60 THEN 'failed_dupes'
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as reviews through the resumable stream, in one micro-batch."""
     source, folder = scratch(spark, "reviews"), scratch(spark, "extraction")
-    table(spark, sf_dir, "documents").select(F.lit("a").alias("asin"), F.col("doc_id").cast("int").alias("review_no"), "text").coalesce(4).write.parquet(source)
-    extraction_stream.start(spark, source, folder, answer).awaitTermination()
+    table(spark, sf_dir, "documents").select(F.lit("a").alias("asin"), F.col("doc_id").cast("int").alias("review_no"), "text").write.parquet(source)
+    extraction_stream.start(spark, source, folder, answer, files_per_batch=FILES).awaitTermination()
     judged = spark.read.parquet(f"{folder}/outcomes")
     return judged.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.size("aspects") > 0).alias("with_aspects"))
 
@@ -128,8 +132,8 @@ def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, folder = scratch(spark, "reviews"), scratch(spark, "extraction")
     docs = table(spark, sf_dir, "documents").select(F.lit("a").alias("asin"), F.col("doc_id").cast("int").alias("review_no"), "text")
     for half in (0, 1):
-        docs.where(F.col("review_no") % 2 == half).coalesce(2).write.mode("append").parquet(source)
-        extraction_stream.start(spark, source, folder, answer).awaitTermination()
+        docs.where(F.col("review_no") % 2 == half).write.mode("append").parquet(source)
+        extraction_stream.start(spark, source, folder, answer, files_per_batch=FILES).awaitTermination()
     extraction_stream.retry_failed(spark, folder, answer)
     log = spark.read.parquet(f"{folder}/log").groupBy("asin", "review_no").agg(F.count("*").alias("times"))
     seen = docs.select("asin", "review_no").join(log, ["asin", "review_no"], "left")

@@ -7,6 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from facetmill.operators import tables
+from facetmill.plans import catalogue, file_queries
 from facetmill.sources import readers, writers
 from facetmill.streaming import extraction_stream as S
 
@@ -130,3 +131,23 @@ def test_failure_packet(spark):
     texts = spark.createDataFrame([(1, "one"), (2, "two")], "k int, text string")
     packet = writers.failure_packet(scores.example_scores(gold, pred, ["k"]), texts, ["k"], 1)
     assert "## 2  f1=0.0" in packet and "two" in packet and "one" not in packet.split("\n", 1)[1]
+
+
+@pytest.mark.parametrize("name", ["stream_resumed", "stream_outcomes"])
+def test_stream_source_is_not_squeezed_into_few_tasks(spark, tmp_path, monkeypatch, name):
+    """A table of seven files is written by seven tasks, and read in one batch a run."""
+    spark.range(70).selectExpr("id AS doc_id", "CAST(id AS string) AS text").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def started(spark, source, folder, chat, files_per_batch=100):
+        seen.append((len(spark.read.parquet(source).inputFiles()), files_per_batch))
+        raise InterruptedError
+
+    monkeypatch.setattr(file_queries.extraction_stream, "start", started)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        with pytest.raises(InterruptedError):
+            catalogue.queries()[name](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen == [(7, file_queries.FILES)]
