@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from facetmill.functions import aspects as A
 from facetmill.functions import parsing as P
+from facetmill.operators.guards import sent
 from facetmill.operators.inflight import in_window
 from facetmill.session import ship_package
 
@@ -35,9 +36,11 @@ def read_log(lines: DataFrame, value: str = "value", order: str | None = None) -
 
 
 def classify(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """``rows`` (asin, review_no, text) with ``review_md5`` and ``plan``: skipped (done), cached (the
-    answer to this text is known), first (to be asked) or duplicate (waits for the first)."""
-    keyed = rows.withColumn("review_md5", P.content_hash(F.col("text")))
+    """asin, review_no, ``review_md5`` (of ``text``, unless ``rows`` has it) and ``plan`` of each row: skipped
+    (done), cached (the answer to this text is known), first (to be asked) or duplicate (waits for the first).
+    Texts go through no join, only keys and hashes do."""
+    md5 = F.col("review_md5") if "review_md5" in rows.columns else P.content_hash(F.col("text"))
+    keyed = rows.select("asin", "review_no", md5.alias("review_md5"))
     done = log.select("asin", "review_no", F.lit(True).alias("__done")).distinct()
     known = log.select("review_md5", F.lit(True).alias("__known")).distinct()
     keyed = keyed.join(done, ["asin", "review_no"], "left").join(known, "review_md5", "left")
@@ -49,6 +52,17 @@ def classify(rows: DataFrame, log: DataFrame) -> DataFrame:
     return keyed.withColumn("plan", plan).drop("__done", "__known", "__first")
 
 
+#: What tells a review's text from all others.
+TEXT_KEY = ["asin", "review_no", "review_md5"]
+
+
+def with_texts(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (asin, review_no, text) that ``keys`` names by ``TEXT_KEY``, each once, with ``review_md5``. A
+    text is shuffled once, and only if it is wanted where the keys are few enough to be sent."""
+    keyed = rows.select("asin", "review_no", "text", P.content_hash(F.col("text")).alias("review_md5"))
+    return keyed.join(sent(keys.select(TEXT_KEY)), TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY)
+
+
 def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1) -> DataFrame:
     """review_md5, aspects, error for each row's text. ``workers`` bounds the tasks that call the model at a
     time, ``in_flight`` the calls that each of them has open; an exception or an invalid answer is an error of
@@ -73,13 +87,14 @@ def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None,
     return out.select("review_md5", parsed["aspects"].alias("aspects"), F.coalesce("failed", F.when(F.col("answer").isNull(), "no answer"), parsed["error"]).alias("error"))
 
 
-def extract(rows: DataFrame, log: DataFrame, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
+def extract(rows: DataFrame, log: DataFrame, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1, planned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New log records, and every row's outcome: skipped, cached, extracted, failed or failed_dupes.
 
-    Both come from one call of the model, so persist or write the outcomes before using them twice.
+    Both come from one call of the model, so persist or write the outcomes before using them twice. ``planned``
+    is what ``classify`` gave for the rows that count, where it gave it before.
     """
-    planned = classify(rows, log)
-    fresh = ask(planned.where("plan = 'first'"), chat, workers, in_flight)
+    planned = classify(rows, log) if planned is None else planned
+    fresh = ask(with_texts(planned.where("plan = 'first'"), rows), chat, workers, in_flight)
     # Of several answers to a text the last one is served: by ``batch`` where the log has it, then by review.
     age = F.struct(*[c for c in ("batch", "asin", "review_no") if c in log.columns])
     cache = log.groupBy("review_md5").agg(F.max_by("aspects", age).alias("known"))

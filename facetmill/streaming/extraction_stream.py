@@ -38,9 +38,9 @@ def _waiting(spark: SparkSession, folder: str, log: DataFrame) -> DataFrame:
 
 
 def _known(log: DataFrame, todo: DataFrame) -> DataFrame:
-    """The part of the log that a batch needs: its reviews and its texts."""
-    keys = todo.select("asin", "review_no").distinct()
-    texts = todo.select(P.content_hash(F.col("text")).alias("review_md5")).distinct()
+    """The part of the log that a batch (its reviews' keys and hashes) needs: its reviews and its texts."""
+    keys = todo.select("asin", "review_no")
+    texts = todo.select("review_md5").distinct()
     done = log.join(sent(keys), ["asin", "review_no"], "left_semi")
     same = log.join(sent(texts), "review_md5", "left_semi").select(*log.columns)
     return done.unionByName(same)
@@ -52,13 +52,20 @@ def process_batch(rows: DataFrame, batch_id: int, folder: str, chat: Callable[[s
     spark = rows.sparkSession
     log = _read(spark, f"{folder}/log", E.RECORD + ", batch long")
     log = log.where(log["batch"] != batch_id)
-    todo = rows.select("asin", "review_no", "text").unionByName(_waiting(spark, folder, log)).dropDuplicates(["asin", "review_no"])
-    _, judged = E.extract(todo, _known(log, todo), chat, workers, in_flight)
+    rows = rows.select("asin", "review_no", "text").unionByName(_waiting(spark, folder, log))
+    # One text of each review: keys and hashes say which, and are all that is shuffled to tell.
+    hashed = rows.select("asin", "review_no", P.content_hash(F.col("text")).alias("review_md5"))
+    todo = hashed.groupBy("asin", "review_no").agg(F.min("review_md5").alias("review_md5")).persist()
+    known = _known(log, todo)
+    planned = E.classify(todo, known).persist()
+    _, judged = E.extract(rows, known, chat, workers, in_flight, planned)
     judged.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={batch_id}")
+    planned.unpersist()
+    todo.unpersist()
     judged = spark.read.parquet(f"{folder}/outcomes/batch={batch_id}")
     good = judged.where("outcome IN ('cached', 'extracted')").select("asin", "review_no", "review_md5", "aspects")
     good.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
-    failed = todo.join(judged.where("outcome IN ('failed', 'failed_dupes')").select("asin", "review_no"), ["asin", "review_no"], "left_semi")
+    failed = E.with_texts(judged.where("outcome IN ('failed', 'failed_dupes')"), rows).select("asin", "review_no", "text")
     failed.write.mode("overwrite").parquet(f"{folder}/retry/batch={batch_id}")
 
 
