@@ -6,8 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from facetmill.functions import parsing as P
 from facetmill.session import ship_package
@@ -164,18 +168,83 @@ def late_interaction(pairs: DataFrame, query: str, token: str, item: str, score:
     return pairs.groupBy(query, item, token).agg(F.max(score).alias("__m")).groupBy(query, item).agg(F.sum("__m").alias("late"))
 
 
+#: Queries whose words go to every task; pairs that a task scores at a time.
+BM25_QUERIES, BM25_CELLS = 20_000, 1 << 18
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, words: str, query: str, qwords: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query``, ``doc``, ``bm25`` for every pair that shares a word. Only words of the queries
-    are kept of the documents, before anything is shuffled."""
-    terms = queries.select(query, F.explode(F.array_distinct(qwords)).alias("word"))
-    size = docs.select(doc, F.size(words).alias("dl"), words)
-    stats = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = size.select(doc, "dl", F.explode(words).alias("word")).join(terms.select("word").distinct(), "word", "left_semi").groupBy(doc, "dl", "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "word").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weighed.select(doc, "word", part.alias("__w")).join(terms, "word").groupBy(query, doc).agg(F.sum("__w").alias("bm25"))
+    """``query``, ``doc``, ``bm25`` for every pair that shares a word.
+
+    Queries are the stated, bounded side: blocks of them go to all tasks with their words' frequencies, and
+    a document is scored where it is read, so neither its words nor its pairs are shuffled. Ids that come
+    twice, which the tables don't have, are put together before.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    size = docs.select(F.col(doc).alias("doc"), F.size(words).cast("double").alias("dl"), F.col(words).alias("words"))
+    n, average = size.agg(F.count("*"), F.avg("dl")).first()
+    twice = bool(size.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").take(1))
+    if twice:
+        size = size.groupBy("doc", "dl").agg(F.flatten(F.collect_list("words")).alias("words"))
+    asked = queries.groupBy(query).agg(F.flatten(F.collect_list(F.array_distinct(qwords))).alias("words"))
+    schema = f"{query} {queries.schema[query].dataType.simpleString()}, {doc} {docs.schema[doc].dataType.simpleString()}, bm25 double"
+    out, held = None, []
+
+    def flush() -> None:
+        nonlocal out
+        part = _bm25_block(size, held, n, average or 0.0, k1, b, schema)
+        out = part if out is None else out.unionByName(part)
+        held.clear()
+
+    for q, found in asked.toLocalIterator():
+        held.append((q, [w for w in found or () if w is not None]))
+        if len(held) == BM25_QUERIES:
+            flush()
+    if held or out is None:
+        flush()
+    return out.groupBy(query, doc).agg(F.sum("bm25").alias("bm25")) if twice else out
+
+
+def _bm25_block(docs: DataFrame, asked: list[tuple], n: int, average: float, k1: float, b: float, schema: str) -> DataFrame:
+    """The pairs of ``docs`` (doc, dl, words) and the queries ``asked`` (id, words)."""
+    spark = docs.sparkSession
+    names = sorted({w for _, ws in asked for w in ws})
+    number = {w: i for i, w in enumerate(names)}
+    wanted = F.broadcast(spark.createDataFrame([(w,) for w in names], "word string"))
+    counts = docs.select(F.explode(F.array_distinct("words")).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    df = np.zeros(len(names))
+    for r in counts.collect():  # words of the queries
+        df[number[r["word"]]] = r["df"]
+    # For each word the places of the queries that have it.
+    word = np.array([number[w] for _, ws in asked for w in ws], np.int64)
+    place = np.repeat(np.arange(len(asked)), np.array([len(ws) for _, ws in asked], np.int64))[np.argsort(word, kind="stable")]
+    held = np.bincount(word, minlength=len(names))
+    shared = spark.sparkContext.broadcast((names, np.log(1 + (n - df + 0.5) / (df + 0.5)), place, held, [q for q, _ in asked]))
+    kinds = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema)]
+    columns = [f.name for f in _parse_datatype_string(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf, place, held, ids = shared.value
+        first, known, ids = np.cumsum(held) - held, pa.array(names, pa.string()), pa.array(ids, kinds[0])
+        lot = max(1, BM25_CELLS // max(len(ids), 1))
+        for batch in batches:
+            for i in range(0, batch.num_rows, lot):
+                docs, dl, words = batch.slice(i, lot).columns
+                sizes = dl.fill_null(0).to_numpy(zero_copy_only=False)
+                lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(len(docs)), lengths)
+                found = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                key, tf = np.unique((at * max(len(names), 1) + found)[found >= 0], return_counts=True)
+                at, found = key // max(len(names), 1), key % max(len(names), 1)
+                part = idf[found] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[at] / max(average, 1e-12)))
+                # Each word of a document meets the queries that have it: their run in ``place``.
+                many = held[found]
+                met = place[np.repeat(first[found] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                score = np.bincount(np.repeat(at, many) * len(ids) + met, np.repeat(part, many), len(docs) * len(ids))
+                pair = np.flatnonzero(score)  # every part is above 0
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(pair % max(len(ids), 1))), docs.take(pa.array(pair // max(len(ids), 1))), pa.array(score[pair], pa.float64())], columns)
+
+    return docs.mapInArrow(run, schema)
 
 
 def facet_vocabulary(mentions: DataFrame, bucket: str, facet: str, vector: str, top: int = 8, theta: float = 0.85) -> DataFrame:

@@ -183,6 +183,50 @@ def test_bm25_whole_queries(spark, tmp_path):
     assert got.keys() == want.keys() and (7, 1) in got and all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
+def plain_bm25(docs, items):
+    """Brute force; rows of one id and length count as one document, as the SQL of the query groups them."""
+    from collections import Counter
+
+    held = {}
+    for d, w in docs:
+        if w is not None:
+            held.setdefault((d, len(w)), Counter()).update(w)
+    sizes = [len(w) for _, w in docs if w is not None]
+    out = {}
+    for item, words in items:
+        for word in set(words or ()):
+            df = sum(word in c for c in held.values())
+            for (d, size), c in held.items():
+                if c[word]:
+                    idf = math.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+                    out[item, d] = out.get((item, d), 0) + idf * c[word] * 2.2 / (c[word] + 1.2 * (0.25 + 0.75 * size * len(sizes) / sum(sizes)))
+    return out
+
+
+@pytest.mark.parametrize("block, cells, twice", [(20_000, 1 << 20, False), (2, 3, False), (3, 7, True)])
+def test_bm25_shuffles_no_pairs(spark, monkeypatch, block, cells, twice):
+    """A document is scored where it is read; null and empty ones, words of no query, blocks of queries and ids
+    that come twice."""
+    monkeypatch.setattr(ranking, "BM25_QUERIES", block, raising=False)
+    monkeypatch.setattr(ranking, "BM25_CELLS", cells, raising=False)
+    rng = random.Random(5)
+    some = lambda: [rng.choice("abcdefghij") for _ in range(rng.randint(0, 9))]
+    docs = [(i, some()) for i in range(60)] + [(60, None), (61, []), (62, ["z"])]
+    if twice:
+        docs += [(1, docs[1][1]), (2, ["a", "b"]), (2, ["c", "b"])]
+    items = [(f"q{i}", some()) for i in range(7)] + [("none", []), ("null", None)]
+    d = spark.createDataFrame(docs, "id int, w array<string>").repartition(3)
+    q = spark.createDataFrame(items, "q string, w array<string>")
+    got = ranking.bm25(d, q, "id", "w", "q", "w")
+    want = plain_bm25(docs, items)
+    rows_ = got.collect()
+    assert len(rows_) == len(want) and all(abs(r["bm25"] - want[r["q"], r["id"]]) < 1e-9 for r in rows_)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert twice or "hashpartitioning" not in plan
+    assert ranking.bm25(d, q.where("q = ''"), "id", "w", "q", "w").collect() == []
+    assert ranking.bm25(d.where("id < 0"), q, "id", "w", "q", "w").collect() == []
+
+
 def test_bootstrap_against_plain_draws(spark):
     units = [(i * 7 % 50, i, 0.5 * i) for i in range(50)]
     df = spark.createDataFrame(units, "k int, n_hits int, d double").repartition(5)
