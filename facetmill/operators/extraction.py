@@ -52,15 +52,15 @@ def classify(rows: DataFrame, log: DataFrame) -> DataFrame:
     return keyed.withColumn("plan", plan).drop("__done", "__known", "__first")
 
 
-#: What tells a review's text from all others.
-TEXT_KEY = ["asin", "review_no", "review_md5"]
+#: What tells a review's text from all others; so many at most are sent to the tasks, as the driver holds them.
+TEXT_KEY, SENT = ["asin", "review_no", "review_md5"], 100_000
 
 
 def with_texts(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows (asin, review_no, text) that ``keys`` names by ``TEXT_KEY``, each once, with ``review_md5``. A
     text is shuffled once, and only if it is wanted where the keys are few enough to be sent."""
     keyed = rows.select("asin", "review_no", "text", P.content_hash(F.col("text")).alias("review_md5"))
-    return keyed.join(sent(keys.select(TEXT_KEY)), TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY)
+    return keyed.join(sent(keys.select(TEXT_KEY), SENT), TEXT_KEY, "left_semi").dropDuplicates(TEXT_KEY)
 
 
 def ask(rows: DataFrame, chat: Callable[[str], str], workers: int | None = None, in_flight: int = 1) -> DataFrame:

@@ -41,8 +41,8 @@ def _known(log: DataFrame, todo: DataFrame) -> DataFrame:
     """The part of the log that a batch (its reviews' keys and hashes) needs: its reviews and its texts."""
     keys = todo.select("asin", "review_no")
     texts = todo.select("review_md5").distinct()
-    done = log.join(sent(keys), ["asin", "review_no"], "left_semi")
-    same = log.join(sent(texts), "review_md5", "left_semi").select(*log.columns)
+    done = log.join(sent(keys, E.SENT), ["asin", "review_no"], "left_semi")
+    same = log.join(sent(texts, E.SENT), "review_md5", "left_semi").select(*log.columns)
     return done.unionByName(same)
 
 
