@@ -10,11 +10,14 @@ A band has some segments more than it needs, so linked sets have several equal s
 signature that few sets have are counted in pairs, and pairs with too few equal signatures are
 dropped; rows of a crowded signature are only tied to one of their ids, which loses nothing. The
 components of these candidates hold every linked pair. A component of usual size is verified in one
-task, every pair of it. In a large one the candidate edges are verified first, a hub with some of its
-neighbours in a task; what they link is one class, and only blocks of different classes whose sizes
-can be linked at all meet afterwards, so cost follows what isn't linked yet, not the square of a
-family of copies. Equal sets are one class from the start. Verification counts common tokens by matrix
-products over hashed 64-bit tokens and returns links that span the components, not all pairs.
+task, every pair of it. Large ones come from common passages, and grow faster than the input; there
+pairs are looked for again, by the tokens of each set that the fewest members have: linked sets share
+one of them. A pair that such a token of few sets shows is verified, a hub with some of its neighbours
+in a task, and what that links is one class. Only where such a token is crowded itself, blocks whose
+sizes can be linked at all meet afterwards, large classes in blocks of their own, so cost doesn't grow
+with the square of a family of copies. Equal sets are one class from the start. Verification
+counts common tokens by matrix products over hashed 64-bit tokens and returns links that span the
+components, not all pairs.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; fewer words
 than a shingle form one shingle; repeated rows are one document twice. An id that stands on different
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetmill.llm import kernels as K
@@ -48,6 +51,10 @@ EVIDENCE = 12
 #: Rows up to which a signature's pairs are counted; rows of more are tied to one id. The bit of a
 #: signature that is unset in the row of a lot where it is crowded, which so comes first.
 CROWDED, SPARSE = 16, 16
+#: Sets beyond which a token's rows are joined where they are.
+HOT_TOKEN = 100_000
+#: Evidence of a pair that a crowded signature ties; a pair's equal signatures add up to far less.
+TIED = 1e6
 #: Sample that tells common tokens: its documents, how many must hold a token, tokens kept at most.
 SAMPLE_DOCS, COMMON_DOCS, COMMON_TOKENS = 5000, 3, 200_000
 #: Members of a component that one task verifies, and their tokens; larger ones are split.
@@ -207,13 +214,14 @@ def _combine(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     extra = np.unique(np.stack([ids[tied], np.repeat(ids[first], size)[tied]], 1), axis=0)
     extra = extra[extra[:, 0] != extra[:, 1]]
     own = K.mix(K.mix(extra[:, 0].astype(np.uint64)) ^ extra[:, 1].astype(np.uint64) ^ np.uint64(0x1234567))
-    own = (own & ~np.uint64(31)) | np.uint64(SPARSE + 1)
+    own = (own & ~np.uint64(31)) | np.uint64(SPARSE)
     sig = np.where(crowded, sig & ~np.uint64(SPARSE), sig)
     return np.concatenate([sig[~tied], own, own]), np.concatenate([ids[~tied], extra[:, 0], extra[:, 1]])
 
 
 def _pairs(signed: DataFrame) -> DataFrame:
-    """a, b and the evidence for the pair, 1 or more if it must be verified."""
+    """a, b and the evidence for the pair: 1 or more if it must be verified, ``TIED`` or more if it is tied."""
+    worth = np.array([TIED, *(1 / np.arange(1, 16))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, ids, said = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # said to be crowded
@@ -228,13 +236,13 @@ def _pairs(signed: DataFrame) -> DataFrame:
                 if hub is not None and sig[0] == hub[0]:
                     many[0], tie[0] = True, hub[1]
                 many, tie = np.repeat(many, size), np.repeat(tie, size)
-                a.append(ids[many]), b.append(tie[many]), w.append(np.ones(many.sum()))
+                a.append(ids[many]), b.append(tie[many]), w.append(np.full(many.sum(), TIED))
                 for d in range(1, min(CROWDED, len(sig))):
                     at = np.flatnonzero((sig[d:] == sig[:-d]) & ~many[d:])
                     if not len(at):
                         break
                     x, y = ids[at + d], ids[at]
-                    a.append(np.maximum(x, y)), b.append(np.minimum(x, y)), w.append(1.0 / (sig[at] & 15))
+                    a.append(np.maximum(x, y)), b.append(np.minimum(x, y)), w.append(worth[sig[at] & 15])
             columns = [np.concatenate(x) if x else np.zeros(0) for x in (a, b, w)]
             keep = columns[0] != columns[1]
             return pa.RecordBatch.from_arrays([pa.array(c[keep], k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "w"])
@@ -261,28 +269,56 @@ def _pairs(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, w double")
 
 
-def _signature_rows(docs: DataFrame, width: int, percent: int, shared: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def _in_lots(made: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Batches of sig and id; what comes to a lot is combined before it is sent."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def send() -> Iterator[pa.RecordBatch]:
+        if held:
+            sig, ids = _combine(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            held.clear()
+            sig = sig.view(np.int64)
+            for a in range(0, len(ids), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (sig, ids)], ["sig", "id"])
 
-        def send() -> Iterator[pa.RecordBatch]:
-            if held:
-                sig, ids = _combine(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-                held.clear()
-                sig = sig.view(np.int64)
-                for a in range(0, len(ids), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (sig, ids)], ["sig", "id"])
+    for some in made:
+        held.append(some)
+        if sum(len(x) for x, _ in held) > LOT:
+            yield from send()
+    yield from send()
+    K.release()
 
+
+def _signature_rows(docs: DataFrame, width: int, percent: int, shared: Broadcast) -> DataFrame:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             found = [signatures(s, percent, shared.value) if len(s) else s for s in token_sets(*K.column(batch), width)]
             if found:
-                held.append((np.concatenate(found), np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found])))
-            if sum(len(x) for x, _ in held) > LOT:
-                yield from send()
-        yield from send()
-        K.release()
+                yield np.concatenate(found), np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(f) for f in found])
+
+    return docs.mapInArrow(lambda batches: _in_lots(made(batches)), "sig long, id long")
+
+
+def _rare_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """sig and id of the tokens of each set that the fewest of the sets have. The order is the same for all
+    sets, and a set that lacks so many of another's tokens can't be linked with it: so linked sets have one
+    of these in common."""
+    each = sets.select("id", F.xxhash64("tokens").alias("own"), F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    shared = materialize(each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "tokens")
+    known = Window.partitionBy("id", "own")
+    placed = join_hot(each, shared, ["token"], F.col("n") > HOT_TOKEN).withColumn("at", F.dense_rank().over(known.orderBy("n", "token")))
+    # Tokens of one set alone come first and find nothing: they only take places.
+    alone = F.col("size") - F.max("at").over(known)
+    first = F.expr(f"size - (size * {percent}L + 99) div 100 + 1")
+    few = materialize(placed.withColumn("alone", alone).where(F.col("at") <= first - F.col("alone")).select("token", "id").distinct(), "rare")
+    discard(shared)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            token, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield (K.mix(token.view(np.uint64)) & ~np.uint64(31)) | np.uint64(SPARSE + 1), ids
 
-    return docs.mapInArrow(run, "sig long, id long")
+    return few.mapInArrow(lambda batches: _in_lots(made(batches)), "sig long, id long")
 
 
 def _sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -400,7 +436,7 @@ def _sent(few: DataFrame) -> DataFrame:
 
 
 def _candidate_links(sets: DataFrame, chains: DataFrame, percent: int) -> DataFrame:
-    """The verified ones among the candidate edges of large components: a node with a part of the
+    """The verified ones among the candidate edges ``chains``: a node with a part of the
     greater nodes that it is tied to makes a lot, so a hub is spread over many."""
     edges = chains.join(sets.select(F.col("id").alias("a")).distinct(), "a")
     hubs = materialize(edges.groupBy("b").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts")), "hubs")
@@ -415,12 +451,13 @@ def _candidate_links(sets: DataFrame, chains: DataFrame, percent: int) -> DataFr
 
 
 def _block_links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links between members of large components that no verified candidate edge has put in one class.
+    """Links between members of crowds (id, tokens, root) that no verified candidate edge has put in one class.
 
-    Members are dealt to blocks by class and size. Two blocks of a component meet unless they are of
-    one class, or no size in one can be linked to a size in the other."""
-    named = classes.select(F.col("node").alias("id"), F.col("root").alias("class"))
-    named = materialize(named.unionByName(classes.select(F.col("root").alias("id"), F.col("root").alias("class")).distinct()), "classes")
+    Members are dealt to blocks by size, those of a class that fills one by themselves. Two blocks of a
+    crowd meet unless they are of one such class, or no size in one can be linked to a size in the other."""
+    full = materialize(classes.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= BLOCK // 2), "full")
+    named = classes.join(_sent(full), "root").select(F.col("node").alias("id"), F.col("root").alias("class"))
+    named = materialize(named.unionByName(full.select(F.col("root").alias("id"), F.col("root").alias("class"))), "classes")
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     held = sets.join(_sent(named), "id", "left").withColumn("size", F.size("tokens"))
     held = held.withColumn("group", F.concat_ws(":", "root", F.coalesce(F.col("class").cast("string"), F.lit("alone")), F.floor(F.log(F.col("size").cast("double")) / step)))
@@ -437,7 +474,22 @@ def _block_links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     sides = materialize(sides, "lots")
     placed = held.join(_sent(groups.select("group", "parts")), "group").select("id", "tokens", "group", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     out = materialize(_verify(placed.join(_sent(sides), ["group", "part"]), percent), "links")
-    discard(named, groups, sides)
+    discard(full, named, groups, sides)
+    return out
+
+
+def _large_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of large components (id, tokens), by their rare tokens: the pairs that tokens
+    of few sets show are verified, and sets that crowded ones tie meet as blocks."""
+    rare = _rare_rows(sets, percent)
+    found = _pairs(rare).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    found = materialize(found.where("w > 0.999").select("a", "b", (F.col("w") >= TIED).alias("tied")), "found")
+    links = _candidate_links(sets, found.select("a", "b"), percent)
+    tied = connected_components(found.where("tied").select("a", "b"))
+    roots = materialize(tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct()), "tied")
+    crowds = sets.join(_sent(roots.withColumnRenamed("node", "id")), "id")
+    out = links.unionByName(_block_links(crowds, connected_components(links), percent))
+    discard(found)
     return out
 
 
@@ -471,9 +523,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     usual = held.where("large IS NULL").select(F.col("root").alias("lot"), F.lit(0).alias("side"), "id", "tokens")
     links = materialize(_verify(usual, percent), "links")
     if large.count():
-        big = held.where("large").select("id", "root", "tokens")
-        first = _candidate_links(big, chains, percent)
-        links = links.unionByName(first).unionByName(_block_links(big, connected_components(first), percent))
+        links = links.unionByName(_large_links(held.where("large").select("id", "tokens"), percent))
     if several.count():
         links = links.unionByName(sized.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     linked = connected_components(links)

@@ -152,6 +152,37 @@ def test_jaccard_family(spark, monkeypatch):
     assert found(spark, texts, 1, 80) == want
 
 
+def test_jaccard_common_lines(spark, monkeypatch):
+    """Documents that share lines, and copies of some: candidates put most of them in one component, but
+    what meets doesn't grow with its square. Some hold little but common words, in crowds of their own."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    monkeypatch.setattr(jaccard_join, "CROWDED", 4)
+    monkeypatch.setattr(jaccard_join, "COMMON_TOKENS", 0)
+    lots = []
+
+    def written(df, name):
+        out = common.materialize(df, name)
+        if name == "lots":
+            lots.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", written)
+    lines = [[f"line{k}word{i}" for i in range(12)] for k in range(8)]
+    for n in (150, 300):
+        rng, texts = random.Random(6), {}
+        for i in range(n):
+            words = [*sum(rng.sample(lines, 2), []), *(f"own{i}.{j}" for j in range(rng.randint(20, 40)))]
+            texts[i] = " ".join(words)
+            if i % 5 == 0:
+                texts[n + i] = " ".join([*words[:-2], f"new{i}"])
+        for i in range(40):
+            words = texts[3 * n + i - 1].split()[:-1] if i % 4 == 3 else [*lines[i % 2], *(f"rest{j}" for j in rng.sample(range(50), 30))]
+            texts[3 * n + i] = " ".join(words)
+        want = brute.components(texts, 1, 80)
+        assert found(spark, texts, 1, 80) == want and len({c for _, c in want.values()}) < n + 40
+    assert len(lots) == 2 and lots[1] < 2 * lots[0] + 20, lots
+
+
 def test_jaccard_ids_of_several_texts(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(5, one), (5, two), (1, two), (7, one + " more"), (3, two + " more"), (9, "alone here"), (5, one), (None, one)]
